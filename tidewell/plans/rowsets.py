@@ -1,10 +1,9 @@
 """Hooks for user functions, functions on row sets, text and page jobs, metadata."""
 
-from __future__ import annotations
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from tidewell.functions import text as fx
@@ -40,7 +39,7 @@ def renamed_processor(source: str, dest: str, table: dict[str, str]):
 query("g2_process_with_arguments", "select c_custkey, case c_mktsegment when 'BUILDING' then 'house' else 'Unknown' end as label from customer")(lambda t: rs.process(t.customer.select("c_custkey", "c_mktsegment"), renamed_processor("c_mktsegment", "label", {"BUILDING": "house"}), "c_custkey long, label string"))
 
 
-def _total(key, batches):
+def _total(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Adds up a key batch by batch; no more than one batch is in memory."""
     s = 0.0
     for b in batches:
@@ -48,18 +47,10 @@ def _total(key, batches):
     yield pd.DataFrame({"o_orderpriority": [key[0]], "s": [round(s, 2)]})
 
 
-from collections.abc import Iterator  # noqa: E402
-
-_total.__annotations__ = {"key": tuple, "batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
 query("g4_reduce_native", "select o_orderpriority, round(sum(o_totalprice), 2) as s from orders group by o_orderpriority")(lambda t: t.orders.groupBy("o_orderpriority").agg(F.round(F.sum("o_totalprice"), 2).alias("s")))
 query("g4_reduce_hook", "select o_orderpriority, round(sum(o_totalprice), 2) as s from orders group by o_orderpriority")(lambda t: rs.reduce(t.orders.select("o_orderpriority", "o_totalprice"), ["o_orderpriority"], _total, "o_orderpriority string, s double"))
 
 
-def _first_and_gap(pdf: pd.DataFrame) -> pd.DataFrame:
-    v = pdf.sort_values(["ts", "event_id"])["event_id"].tolist()
-    return pd.DataFrame({"user_id": [pdf["user_id"].iloc[0]], "first": [v[0]], "last": [v[-1]]})
-
-
 query("o6_presorted_groups", 'select user_id, min_by(event_id, ts) as "first", max_by(event_id, ts) as "last" from events group by user_id')(
     lambda t: t.events.select("user_id", "ts", "event_id").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("e")).select("user_id", F.col("e")[0]["event_id"].alias("first"), F.element_at("e", -1)["event_id"].alias("last"))
 )
