@@ -107,8 +107,9 @@ query("k7_clustered_sorted", "select event_id, event_type, value from events")(l
 
 
 def bucketed(t, key: str):
-    name = f"tidewell_{key}"
-    sinks.save_bucketed(t.lineitem.select("l_orderkey", "l_suppkey", "l_quantity"), name, key, 8, key)
+    path = place(t, "bucketed")
+    name = path.rpartition("/")[2].replace("-", "_")
+    sinks.save_bucketed(t.lineitem.select("l_orderkey", "l_suppkey", "l_quantity"), name, key, 8, key, path)
     return t.spark.table(name)
 
 

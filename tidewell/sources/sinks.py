@@ -21,9 +21,10 @@ def write_clustered(df: DataFrame, path: str, keys: list[str], sort: list[Column
     out.sortWithinPartitions(*keys, *(sort or [])).write.parquet(path)
 
 
-def save_bucketed(df: DataFrame, name: str, key: str, buckets: int, sort: str | None = None) -> None:
-    """A table whose joins and groupings by ``key`` need no exchange."""
+def save_bucketed(df: DataFrame, name: str, key: str, buckets: int, sort: str | None = None, path: str | None = None) -> None:
+    """A table whose joins and groupings by ``key`` need no exchange; at ``path``, or else in the warehouse."""
     w = df.write.mode("overwrite").format("parquet").bucketBy(buckets, key)
+    w = w.option("path", path) if path else w
     (w.sortBy(sort) if sort else w).saveAsTable(name)
 
 
