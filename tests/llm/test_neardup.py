@@ -149,7 +149,7 @@ def test_pipeline_stage_by_stage(spark, sf, docs, labels):
     assert {r.doc_id for r in a.collect()} == {k for k, s in scores.items() if s >= 0.3} and a.columns == docs.columns
     b = stage["quality rules"](spark, a, sf).cache()
     cut = rules.calibrate(a, labels)
-    assert {r.doc_id for r in b.collect()} == {r.doc_id for r in rules.verdicts(a, cut).where("kept").collect()} and b.columns == docs.columns
+    assert {r.doc_id for r in b.collect()} == {r.doc_id for r in rules.verdicts(rules.measured(a), cut).where("kept").collect()} and b.columns == docs.columns
     c = stage["near duplicates"](spark, b, sf).cache()
     assert {r.doc_id for r in c.collect()} == {r.doc_id for r in neardup.contract(b).where("kept").collect()} and c.columns == docs.columns
     d = stage["decontamination"](spark, c, sf).cache()
