@@ -5,11 +5,14 @@ verified by weighted Jaccard similarity.
    stands, over all documents; tables of tasks are added up by columns.
 2. Each text gets BANDS * ROWS improved consistent weighted samples of its weighted
    shingles, and a code for each band. Equal texts are one class from here on.
-3. Texts that share a code are compared with the code's leader, the text of least hash;
-   those at least ``similarity`` alike are linked, and links joined to components.
-4. Texts that share a code but are in different components are compared too, so that a
-   link between them isn't lost because neither is the leader. Texts of one component
-   aren't, so a large group of copies costs as many comparisons as it has texts.
+3. Texts that share a code are compared with the code's leader, the text that shares codes
+   with the most others; those at least ``similarity`` alike are linked, and links joined to
+   components.
+4. Texts of different components in codes that have several are compared too if they share a
+   shingle of their prefixes (the rarest shingles of a text, without which the others weigh
+   too little), as every pair that is alike enough does. So no link is lost because neither
+   text is the leader, while texts of one component aren't compared again, nor are those of
+   a large family that have only its common shingles in common.
 5. Classes are the components after both.
 
 A class is named by its least id. Null and empty texts, and texts without words, are like
@@ -61,13 +64,15 @@ def _merge(batches):
 
 
 def document_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """(count-min table, number of documents) of a DataFrame of one binary column; at most 8 MB."""
+    """(count-min table, number of documents) of a DataFrame of one binary column; 4 MB."""
     schema = "slice int, counts binary"
     rows = texts.mapInArrow(_add_up, schema).repartition("slice").mapInArrow(_merge, schema).collect()
     by = {r.slice: np.frombuffer(bytes(r.counts), "<i8") for r in rows}
     if not by:
         return np.zeros((DEPTH, WIDTH), np.int64), 0
-    return np.concatenate([by[s] for s in range(_SLICES)]).reshape(DEPTH, WIDTH), int(by[-1][0])
+    # counts over 2**31 - 1 weigh the same as that one
+    table = np.concatenate([by[s] for s in range(_SLICES)]).reshape(DEPTH, WIDTH)
+    return np.minimum(table, 2**31 - 1).astype(np.int32), int(by[-1][0])
 
 
 def _sign(shared, rows: int, n_bands: int):
@@ -76,12 +81,15 @@ def _sign(shared, rows: int, n_bands: int):
         for b in batches:
             texts = [t or b"" for t in b.column(1).to_pylist()]
             codes: list[list[int] | None] = []
+            total: list[float] = []
             for first, last in blocks(texts, _BLOCK):
                 x, tf, n = shingles(texts[first:last])
-                got = bands(samples(x, weights(x, tf, counts, docs), n, rows * n_bands), rows).tolist() if n.any() else []
+                w = weights(x, tf, counts, docs)
+                got = bands(samples(x, w, n, rows * n_bands), rows).tolist() if n.any() else []
+                total += np.bincount(np.repeat(np.arange(len(n)), n), w, len(n)).tolist()
                 each = iter(got)
                 codes += [next(each) if m else None for m in n.tolist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([blake2b(t, digest_size=16).digest() for t in texts], pa.binary()), pa.array(codes, pa.list_(pa.int64()))], names=["k", "digest", "codes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([blake2b(t, digest_size=16).digest() for t in texts], pa.binary()), pa.array(codes, pa.list_(pa.int64())), pa.array(total, pa.float64())], names=["k", "digest", "codes", "w"])
 
     return run
 
@@ -89,23 +97,57 @@ def _sign(shared, rows: int, n_bands: int):
 def _compare(shared, similarity: float):
     def run(batches):
         counts, docs = shared.value
-        last: tuple[int, tuple] | None = None
-
-        def vector(t):
-            x, tf, _ = shingles([t])
-            return x, weights(x, tf, counts, docs)
+        known: dict[int, tuple] = {}
+        held = 0
+
+        def vector(k, t):
+            """The shingles of a text; as many are remembered as fit in some 16 MB."""
+            nonlocal held
+            if k not in known:
+                x, tf, _ = shingles([t])
+                if held > 1_000_000:
+                    known.clear()
+                    held = 0
+                held += len(x) + 50
+                known[k] = x, weights(x, tf, counts, docs)
+            return known[k]
 
         for b in batches:
             keep = []
-            for a, ta, tb in zip(*[b.column(c).to_pylist() for c in ("a", "ta", "tb")]):
-                if last is None or last[0] != a:
-                    last = (a, vector(ta))
-                keep.append(weighted_jaccard(*last[1], *vector(tb)) >= similarity)
+            for ka, kb, ta, tb in zip(*[b.column(c).to_pylist() for c in ("a", "b", "ta", "tb")]):
+                keep.append(weighted_jaccard(*vector(ka, ta), *vector(kb, tb)) >= similarity)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _prefixes(shared, similarity: float):
+    """A row for each shingle of a text's prefix: its rarest ones, without which the rest weighs too little.
+
+    In one order of all shingles, the first that two texts of this similarity share lies in both prefixes.
+    ``rest`` is the weight from a shingle on.
+    """
+
+    def run(batches):
+        counts, docs = shared.value
+        for b in batches:
+            row, f, left = [], [], []
+            for i, t in enumerate(b.column("t").to_pylist()):
+                x, tf, _ = shingles([t])
+                w = weights(x, tf, counts, docs)
+                df = np.minimum.reduce([counts[j][c] for j, c in enumerate(cells(x))])
+                order = np.lexsort([x, df])
+                rest = w.sum() - np.cumsum(w[order])
+                n = int(np.searchsorted(-rest, -(similarity - 1e-9) * w.sum(), side="right")) + 1
+                f.append(x[order[:n]].astype(np.int64))
+                row.append(np.full(len(f[-1]), i))
+                left.append((rest + w[order])[:n])
+            at = pa.array(np.concatenate(row)) if row else pa.array([], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in ("k", "label", "w")], pa.array(np.concatenate(f) if f else np.zeros(0, np.int64)), pa.array(np.concatenate(left) if left else np.zeros(0))], names=["k", "label", "w", "f", "rest"])
+
+    return run
+
+
 def components(links: DataFrame) -> DataFrame:
     """(v, label): the least vertex that each vertex of ``links`` (a, b) is connected with.
 
@@ -139,16 +181,23 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similar
 
     source = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").cast("string").cast("binary").alias("t"))
     shared = spark.sparkContext.broadcast(document_counts(source.select("t")))
-    signed = stage(source.mapInArrow(_sign(shared, rows, n_bands), "k long, digest binary, codes array<long>"), "signed")
+    signed = stage(source.mapInArrow(_sign(shared, rows, n_bands), "k long, digest binary, codes array<long>, w double"), "signed")
 
     # one text of each digest; partial sums come before the shuffle, so copies don't weigh
-    reps = signed.where("k is not null").groupBy("digest").agg(F.min("k").alias("rep"), F.first("codes").alias("codes"))
+    reps = signed.where("k is not null").groupBy("digest").agg(F.min("k").alias("rep"), F.first("codes").alias("codes"), F.first("w").alias("w"))
     reps = stage(reps, "reps")
-    coded = reps.where("codes is not null").select(F.explode("codes").alias("code"), F.col("rep"))
-    order = F.struct(F.xxhash64("rep", F.lit(3)).alias("h"), F.col("rep"))
-    leaders = coded.groupBy("code").agg(F.min(order)["rep"].alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("code", "leader")
-    members = cut(coded.join(leaders, "code"))
-    pairs = cut(members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
+    coded = reps.where("codes is not null").select(F.explode("codes").alias("code"), "rep", "w")
+    sizes = coded.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sized = cut(coded.join(sizes, "code"))
+    # the leader of a code is the text that shares its codes with the most others, so a family's middle
+    centre = sized.groupBy("rep").agg(F.sum("n").alias("company"))
+    sized = cut(sized.drop("n").join(centre, "rep"))
+    order = F.struct(F.col("company"), F.xxhash64("rep", F.lit(3)).alias("h"), F.col("rep").alias("leader"), F.col("w").alias("leader_w"))
+    leaders = sized.groupBy("code").agg(F.max(order).alias("m")).select("code", "m.leader", "m.leader_w")
+    members = cut(sized.drop("company").join(leaders, "code"))
+    # the lesser of two texts' summed weights over the greater bounds their similarity
+    alike = lambda a, b: F.least(a, b) >= F.greatest(a, b) * (similarity - 1e-9)
+    pairs = cut(members.where((F.col("rep") != F.col("leader")) & alike("w", "leader_w")).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
     wanted = members.select(F.col("rep").alias("k")).distinct()
     texts = stage(source.join(wanted, "k").dropDuplicates(["k"]), "texts")
 
@@ -159,10 +208,14 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similar
 
     links = cut(verified(pairs))
     labels = components(links)
-    named = members.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("code", "rep", F.coalesce("label", "rep").alias("label"))
+    named = members.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("code", "rep", "w", F.coalesce("label", "rep").alias("label"))
     mixed = named.groupBy("code").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("code")
-    named = cut(named.join(mixed, "code"))
-    across = named.select("code", F.col("rep").alias("a"), F.col("label").alias("la")).join(named.select("code", F.col("rep").alias("b"), F.col("label").alias("lb")), "code").where("a < b and la != lb").select("a", "b").distinct()
+    named = named.join(mixed, "code").select(F.col("rep").alias("k"), "label", "w").distinct()
+    held = cut(named.join(texts, "k").select("k", "label", "w", "t").mapInArrow(_prefixes(shared, similarity), "k long, label long, w double, f long, rest double"))
+    x, y = (held.select("f", *[F.col(c).alias(f"{c}{i}") for c in ("k", "label", "w", "rest")]) for i in (1, 2))
+    # from the first shingle that both have, what is left of either bounds what they share
+    enough = F.least("rest1", "rest2") >= (F.col("w1") + F.col("w2")) * (similarity / (1 + similarity) - 1e-9)
+    across = x.join(y, "f").where((F.col("k1") < F.col("k2")) & (F.col("label1") != F.col("label2")) & alike("w1", "w2") & enough).select(F.col("k1").alias("a"), F.col("k2").alias("b")).distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = cut(verified(across.join(done, ["a", "b"], "left_anti")))
     links = cut(links.union(more))
