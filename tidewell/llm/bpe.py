@@ -18,11 +18,11 @@ import numpy as np
 import pandas as pd
 
 #: Words that the cache may hold before it starts anew; more than SLICE bytes can have.
-CACHE = 900_000
+CACHE = 500_000
 #: Pieces of words that are remembered.
-PIECES = 300_000
+PIECES = 150_000
 #: Bytes that are cut into words at a time.
-SLICE = 2_000_000
+SLICE = 1_200_000
 #: Latin letters, all of class L, stable under NFC and with one lower-case letter each.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 #: ASCII signs that neither start a contraction nor a special token.

@@ -10,7 +10,7 @@ SIZE = 5
 #: Bits of a fingerprint.
 BITS = 44
 _BASE = 0x9E3779B97F4A7C15
-_SPAN = 2_000_000
+_SPAN = 1_600_000
 _U = np.uint64
 
 
