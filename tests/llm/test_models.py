@@ -95,6 +95,45 @@ def test_cutoffs_are_safe_and_ordered():
     assert some["big"][0] == rules.GRID[4]
 
 
+def test_small_strata_have_cutoffs():
+    none = len(rules.RULES) * [None]
+    cut = rules.choose({}, {"a": 2000, "b": 500, "c": 490, "d": 310, "tiny": 100})
+    assert all(cut[s] == [rules.GRID[-1]] * len(rules.RULES) for s in "abcd") and cut["tiny"] == none
+    # one joint set: rules that fail different good rows share alpha, and the next goes on without the one that stopped
+    cut = rules.choose({("a", 0): {6: 30}, ("a", 1): {9: 150}, ("a", 3): {12: 150}}, {"a": 10_000})["a"]
+    assert cut == [rules.GRID[-1], rules.GRID[8], rules.GRID[-1], rules.GRID[11], rules.GRID[-1], rules.GRID[-1]]
+    cut = rules.choose({("a", r): {3: 50} for r in range(6)}, {"a": 10_000})["a"]
+    assert cut == [rules.GRID[-1]] * 3 + [rules.GRID[2], None, None]  # 150 of 10,000 are safe, 200 aren't
+
+
+def test_all_rules_together_stay_within_alpha():
+    """By simulation: the share of tables on which a set that rejects over alpha of good texts is taken."""
+    rng, wrong, n = np.random.default_rng(5), 0, 400
+    for _ in range(300):
+        fails = {r: rng.random(n) < 0.012 for r in range(3)}  # each rule is safe alone, no two together
+        def failing(places):
+            out = Counter()
+            for i in range(n):
+                at = [places["a"][r * (len(rules.GRID) + 1) + 10] for r in fails if fails[r][i]]
+                out.update([min(x for x in at if x is not None)] if any(x is not None for x in at) else [])
+            return {"a": out}
+        cut = rules.walk({"a": n}, {"a": rules.sequence(list(range(6)), [23] * 6)}, failing, 0.02, 0.05)["a"]
+        wrong += sum(cut[r] is not None and cut[r] <= rules.GRID[10] for r in fails) > 1
+    assert wrong <= 0.05 * 300
+
+
+def test_registered_rules_reject_bad_rows_of_small_strata(spark):
+    """The query with its own alpha and delta: 280 good rows are enough."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[j % 60] for j in range(i % 40, i % 40 + 20)), "fr", "s", 0) for i in range(280)]
+    rows += [(1000 + i, " ".join(f"{w}#$%" for w in words[i : i + 20]), "fr", "s", 0) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(r[0], int(r[0] < 1000), 0) for r in rows if r[0] < 1020], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in rules.contract(docs, labels).collect()}
+    assert {k for k, r in got.items() if r.kept} == {k for k in got if k < 1000}
+    assert all("symbols" in got[k].failed_rules for k in got if k >= 1000)
+
+
 def test_rules(larger):
     docs, labels = larger
     got = {r.doc_id: r for r in rules.contract(docs, labels).collect()}

@@ -1,14 +1,16 @@
 """Quality rules whose cutoffs limit false rejection.
 
 Each rule is a number computed from the whole text; a text fails the rule if the number
-is over the rule's cutoff. For each stratum and rule, the cutoff is the lowest on a fixed
-grid at which the exact (Clopper-Pearson) upper bound of the share of good texts that
-fail, from labelled rows, is at most ``alpha`` over the number of rules, so that all rules
-together falsely reject at most ``alpha`` of a stratum. All tests together hold with confidence
-1 - ``delta``: Bonferroni over strata and rules, and fixed-sequence testing along a grid,
-from its mildest cutoff on, ending at the first that isn't shown to be safe.
-
-Counts are over all labelled rows. A stratum with too few good rows rejects nothing.
+is over the rule's cutoff. In each stratum one joint set is tested, the texts over the cutoff
+of any rule: the exact (Clopper-Pearson) upper bound of the share of good texts in it, from
+labelled rows, is at most ``alpha``. The set grows along a fixed sequence of cutoffs. Rules by which bad
+rows stand out come first, each from its mildest cutoff to the last bad row that it is needed for; then
+all go on. A rule that isn't shown to be safe stays as it is, and the others go on with a share of
+what is left of ``delta``. All tests together hold with confidence 1 - ``delta``: strata that
+can be tested at all share it, and a stratum's share is split over all sequences that could come up.
+
+Counts are over all labelled rows. A stratum with too few good rows (at alpha 0.02 and delta 0.05
+some 255 if four share delta) rejects nothing but by the base rule.
 Null and empty texts have no words and fail the base rule. Missing or unknown strata reject
 nothing but by the base rule. Repeated rows are judged alike; a text labelled twice counts twice.
 """
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -107,24 +110,75 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return high
 
 
-def choose(counts: dict[tuple[str, int], dict[int, int]], totals: dict[str, int], alpha: float = ALPHA, delta: float = DELTA) -> dict[str, list[float | None]]:
-    """stratum -> cutoff of each rule or None. ``counts``: good rows by (stratum, rule) and grid step that they fail from on."""
-    tests = max(1, len(totals) * len(RULES))
-    out: dict[str, list[float | None]] = {}
-    for s, n in totals.items():
-        cut: list[float | None] = []
-        for rule in range(len(RULES)):
-            chosen, failed = None, 0
-            by = counts.get((s, rule), {})
-            for step, value in enumerate(GRID):
-                failed += by.get(step, 0)
-                # more failures than this can't pass, and needn't be bounded exactly
-                if failed > alpha / len(RULES) * n or upper_bound(failed, n, delta / tests) > alpha / len(RULES):
+def shown(k: int, n: int, alpha: float, delta: float) -> bool:
+    """Whether the exact upper bound of k of n at confidence 1 - delta is at most ``alpha``."""
+    if n == 0 or k > alpha * n:
+        return False
+    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(alpha) + (n - i) * math.log1p(-alpha) for i in range(k + 1)]
+    top = max(logs)
+    return top + math.log(sum(math.exp(x - top) for x in logs)) <= math.log(delta)
+
+
+def tested(totals: dict[str, int], alpha: float, delta: float) -> list[str]:
+    """The strata large enough to be tested when they share delta, by their numbers of good rows alone."""
+    by_size = sorted(totals, key=lambda s: (-totals[s], s))
+    return by_size[: max((i for i, s in enumerate(by_size, 1) if shown(0, totals[s], alpha, delta / i / 2)), default=0)]
+
+
+def sequence(order: list[int], ends: list[int]) -> list[tuple[int, int]]:
+    """(rule, step) in the order of tests: each rule to its end (-1: none), then what is left, from the mildest on."""
+    return [(r, i) for r, end in zip(order, ends) for i in range(end + 1)] + [(r, i) for i in range(len(GRID)) for r, end in zip(order, ends) if i > end]
+
+
+def walk(totals: dict[str, int], sequences: dict[str, list[tuple[int, int]]], failing: Callable[[dict[str, list[int | None]]], dict[str, dict[int, int]]], alpha: float, delta: float) -> dict[str, list[float | None]]:
+    """stratum -> cutoff of each rule or None, by tests of all rules' joint set.
+
+    ``failing``: from stratum -> place of each rule and first failing step (None: never, -1: already
+    rejected), the number of good rows by the first place that rejects them. A sequence spends half
+    of its delta and the last one all; the rest is dealt equally to the sequences that go on from each
+    of its possible stops without the rule that stopped it. So the tests of all that could happen add up to delta.
+    """
+    steps = len(GRID)
+    strata = tested(totals, alpha, delta)
+    reached = {s: [-1] * len(RULES) for s in totals}
+    going = {s: (sequences[s], delta / len(strata)) for s in strata}
+    while going:
+        places: dict[str, list[int | None]] = {}
+        for s, (todo, _) in going.items():
+            at = {x: i for i, x in enumerate(todo)}
+            places[s] = [-1 if i <= reached[s][r] else at.get((r, i)) for r in range(len(RULES)) for i in range(steps + 1)]
+        found, after = failing(places), {}
+        for s, (todo, share) in going.items():
+            by = found.get(s, {})
+            failed, level = by.get(-1, 0), share / (2 if len({r for r, _ in todo}) > 1 else 1)
+            safe, of = shown(failed, totals[s], alpha, level), failed
+            for i, (r, step) in enumerate(todo):
+                failed += by.get(i, 0)
+                if failed != of:
+                    safe, of = shown(failed, totals[s], alpha, level), failed
+                if not safe:
+                    left = [x for x in todo[i:] if x[0] != r]
+                    if left:
+                        after[s] = (left, (share - level) / len(todo))
                     break
-                chosen = value
-            cut.append(chosen)
-        out[s] = cut
-    return out
+                reached[s][r] = step
+        going = after
+    return {s: [GRID[i] if i >= 0 else None for i in x] for s, x in reached.items()}
+
+
+def choose(counts: dict[tuple[str, int], dict[int, int]], totals: dict[str, int], alpha: float = ALPHA, delta: float = DELTA) -> dict[str, list[float | None]]:
+    """Cutoffs from ``counts``: good rows that one rule alone fails, by (stratum, rule) and grid step that they fail from on."""
+
+    def failing(places):
+        out: dict[str, dict[int, int]] = {s: defaultdict(int) for s in places}
+        for (s, r), by in counts.items():
+            for step, n in by.items():
+                if s in places and (at := places[s][r * (len(GRID) + 1) + step]) is not None:
+                    out[s][at] += n
+        return out
+
+    plain = sequence(list(range(len(RULES))), [len(GRID) - 1] * len(RULES))
+    return walk(totals, dict.fromkeys(totals, plain), failing, alpha, delta)
 
 
 def calibrate(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", stratum: str = "lang", label: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> dict[str, list[float | None]]:
@@ -135,19 +189,39 @@ def calibrate(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text:
 def cutoffs_of(m: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> dict[str, list[float | None]]:
     """Cutoffs by stratum from measured rows; numbers are joined to labels, not texts.
 
-    The driver gets a count for each stratum, rule and grid step, not rows.
+    The driver gets a count for each stratum and place of a sequence, not rows.
     """
-    good = labels.where(F.col(label) == 1).select(F.col(key).alias("k"))
+    spark, steps = m.sparkSession, len(GRID)
+    judged = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("k"), (F.col(label) == 1).alias("good"))
     # the first grid step whose cutoff a ratio is over
-    steps = F.transform("ratios", lambda x: sum((x <= F.lit(g)).cast("int") for g in GRID))
-    rows = m.where("not base_failed and stratum is not null").select("k", "stratum", steps.alias("steps"))
-    by = rows.join(good, "k").select("stratum", F.posexplode("steps").alias("rule", "step")).groupBy("stratum", "rule", "step").agg(F.count(F.lit(1)).alias("n"))
-    by = cut(by)
-    totals = {r.stratum: r.n for r in by.where("rule = 0").groupBy("stratum").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "stratum").limit(MOST_STRATA).collect()}
-    counts: dict[tuple[str, int], dict[int, int]] = defaultdict(dict)
-    for r in by.where(F.col("stratum").isin(list(totals))).collect():
-        counts[r.stratum, r.rule][r.step] = r.n
-    return choose(counts, totals, alpha, delta)
+    first = F.transform("ratios", lambda x: sum((x <= F.lit(g)).cast("int") for g in GRID))
+    rows = cut(m.where("not base_failed and stratum is not null").select("k", "stratum", first.alias("steps")).join(judged, "k").select("stratum", "good", "steps"))
+    totals = {r.stratum: r.n for r in rows.where("good").groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "stratum").limit(MOST_STRATA).collect()}
+    strata = tested(totals, alpha, delta)
+    if not strata:
+        return {s: [None] * len(RULES) for s in totals}
+
+    # rules that catch bad rows by mild cutoffs come first, and go on to the last bad row that those before them miss;
+    # bad rows say nothing about the good ones that the tests count
+    bad = rows.where(~F.col("good"))
+    mean = {r.stratum: r for r in bad.where(F.col("stratum").isin(strata)).groupBy("stratum").agg(*[F.sum(F.col("steps")[i]).alias(f"r{i}") for i in range(len(RULES))]).collect()}
+    orders = {s: sorted(range(len(RULES)), key=lambda i: (mean[s][f"r{i}"] if s in mean else 0, i)) for s in strata}
+    ends = {s: [-1] * len(RULES) if s in mean else [steps - 1] * len(RULES) for s in strata}
+    by = bad.join(F.broadcast(spark.createDataFrame(list(orders.items()), "stratum string, rules array<int>")), "stratum")
+    by = by.withColumn("at", F.array_position(F.transform("rules", lambda r: F.element_at("steps", r + 1) < steps), True).cast("int")).where("at > 0")
+    for r in by.groupBy("stratum", "at").agg(F.max(F.expr("steps[rules[at - 1]]")).alias("end")).collect():
+        ends[r.stratum][r["at"] - 1] = r.end
+
+    def failing(places):
+        side = F.broadcast(spark.createDataFrame(list(places.items()), "stratum string, places array<int>"))
+        at = F.array_min(F.array(*[F.col("places")[F.lit(i * (steps + 1)) + F.col("steps")[i]] for i in range(len(RULES))]))
+        out: dict[str, dict[int, int]] = defaultdict(dict)
+        for r in rows.where("good").join(side, "stratum").groupBy("stratum", at.alias("at")).agg(F.count(F.lit(1)).alias("n")).collect():
+            if r["at"] is not None:
+                out[r.stratum][r["at"]] = r.n
+        return out
+
+    return walk(totals, {s: sequence(orders[s], ends[s]) for s in strata}, failing, alpha, delta)
 
 
 def passes(cutoffs: dict[str, list[float | None]], stratum: str | None, base_failed: bool, ratios: list[float]) -> bool:
