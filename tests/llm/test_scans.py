@@ -103,6 +103,24 @@ def test_license_expressions():
     assert license.judge(b"lesser general public license")[3] == ["gpl", "lgpl"] and license.judge(b"")[4] == 0.5
 
 
+def test_nested_notices_of_any_number():
+    p = license.PERMISSION
+    for n in (1, 99, 100, 1000):
+        assert license.judge(b"lesser general public license. " * n)[4] == p["lgpl"]
+    assert license.judge(b"lesser general public license. " * 150 + b"general public license")[4] == p["gpl"]
+    spans = [((i * 37) % 50, (i * 37) % 50 + 1 + i * i % 7, "gpl") for i in range(300)]
+    longer = [s for s in spans if not any(o[0] <= s[0] and s[1] <= o[1] and o[1] - o[0] > s[1] - s[0] for o in spans)]
+    assert sorted(license.outermost(spans)) == sorted(longer)
+
+
+def test_license_tags_in_any_case_and_place():
+    for tag in ("SPDX-License-Identifier: MIT", "sPdX-LICENSE-identifier:MIT", "\ufeffSPDX-License-Identifier: MIT", "xSPDX-License-Identifier:\tMIT\r\n", "a license identifier. SPDX-License-Identifier: MIT"):
+        assert license.judge(tag.encode())[3:] == (["mit"], 0.95), tag
+    for other in ("license-identifier: MIT", "SPDX License Identifier: MIT", "SPDX-License-Identifier MIT", "SPDX-License-\nIdentifier: MIT"):
+        assert license.judge(other.encode())[3:] == ([], 0.5), other
+    assert license.judge(b"SPDX-License-Identifier: MIT // SPDX-License-Identifier: GPL-2.0-only")[3:] == (["gpl", "mit"], 0.5)
+
+
 def brute_capacity(sizes, shards):
     def need(c):
         n, a = 1, 0

@@ -1,5 +1,5 @@
 """Licence scan: one word automaton finds identifier tags and notice phrases, and a
-shunting-yard parser evaluates licence expressions.
+shunting-yard parser evaluates licence expressions. Each tag of a line counts.
 
 Words are those of ``arrow.words``. Labels come from three places: base phrases, further
 notice phrases, and ``SPDX-License-Identifier:`` tags, whose expressions (``and``, ``or``,
@@ -35,7 +35,10 @@ PERMISSION = {
     "epl": 0.65, "lgpl": 0.6, "gpl": 0.5, "cc-by-sa": 0.6, "agpl": 0.4, "cc-by-nc": 0.3, "cc-by-nd": 0.3, "reserved": 0.0,
 }
 UNKNOWN = 0.5
+#: The words that a tag is looked for by. What stands before "SPDX" may belong to its word, such as a byte-order mark.
+TAG = (b"license", b"identifier")
 _TAG = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n]*)", re.I)
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
@@ -111,30 +114,52 @@ _machine: list[WordAutomaton] = []
 def machine() -> WordAutomaton:
     if not _machine:
         base = [(tuple(words(p.encode())), (True, v)) for p, v in BASE.items()]
-        _machine.append(WordAutomaton(base + [(tuple(words(p.encode())), (False, v)) for p, v in PHRASES.items()]))
+        _machine.append(WordAutomaton(base + [(tuple(words(p.encode())), (False, v)) for p, v in PHRASES.items()] + [(TAG, (False, None))]))
     return _machine[0]
 
 
+def outermost(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans that don't lie in a longer one.
+
+    A notice inside a longer one ("general public license" in "lesser general public license") doesn't decide the score.
+    """
+    out, reach, last = [], -1, None
+    for s in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if s[:2] == last or s[1] > reach:
+            out.append(s)
+            reach, last = s[1], s[:2]
+    return out
+
+
+def tagged(text: bytes, at: list[int]) -> list[str]:
+    """What follows each identifier tag in its line; ``at``: the numbers of words that TAG begins at."""
+    if not at:
+        return []
+    places = [m.start() for m in _WORD.finditer(text)]
+    found = [_TAG.match(text, max(0, places[i] - len(b"spdx-"))) for i in at]
+    return [m[1].decode("utf-8", "replace") for m in found if m]
+
+
 def judge(text: bytes | None) -> tuple[int, list[int], list[str], list[str], float]:
     """(words, starts of base phrases, base labels, all labels, score) of one text."""
     w = words(text)
     found = machine().find(w)
-    starts, base, spans = [], set(), []
+    starts, base, spans, tags = [], set(), [], []
     for i, n, values in found:
         for is_base, label in values:
+            if label is None:
+                tags.append(i)
+                continue
             spans.append((i, i + n, label))
             if is_base:
                 starts.append(i)
                 base.add(label)
-    # a notice inside a longer one ("general public license" in "lesser general public license") doesn't decide the score
-    outer = [s for s in spans if not any(o[0] <= s[0] and s[1] <= o[1] and o[1] - o[0] > s[1] - s[0] for o in spans)] if len(spans) < 200 else spans
-    labels, score = base | {s[2] for s in spans}, [PERMISSION[s[2]] for s in outer]
-    if b"pdx" in (text or b"") or b"PDX" in (text or b""):
-        for m in _TAG.finditer(text):
-            value, more = evaluate(m[1].decode("utf-8", "replace"))
-            if value is not None:
-                labels.update(more)
-                score.append(value)
+    labels, score = base | {s[2] for s in spans}, [PERMISSION[s[2]] for s in outermost(spans)]
+    for expression in tagged(text, tags):
+        value, more = evaluate(expression)
+        if value is not None:
+            labels.update(more)
+            score.append(value)
     return len(w), starts, sorted(base), sorted(labels), float(min(score)) if score else UNKNOWN
 
 
