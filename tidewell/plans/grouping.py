@@ -25,6 +25,9 @@ query("a9_argmax_of_itself", "select o_custkey, max(o_totalprice) as top from or
 ITEMS = "select l_orderkey, string_agg(cast(l_partkey as varchar), ',' order by l_partkey) as parts from lineitem where l_orderkey < 3000 group by l_orderkey"
 query("a10_array_agg", ITEMS)(lambda t: t.lineitem.where("l_orderkey < 3000").groupBy("l_orderkey").agg(fx.joined(F.array_sort(F.array_agg("l_partkey"))).alias("parts")))
 query("a11_list", ITEMS)(lambda t: t.lineitem.where("l_orderkey < 3000").groupBy("l_orderkey").agg(fx.joined(F.array_sort(F.collect_list("l_partkey"))).alias("parts")))
+ALL_ITEMS = "select l_orderkey, string_agg(cast(l_partkey as varchar), ',' order by l_partkey) as parts from lineitem group by l_orderkey"
+query("a10_array_agg_whole", ALL_ITEMS)(lambda t: t.lineitem.groupBy("l_orderkey").agg(fx.joined(F.array_sort(F.array_agg("l_partkey"))).alias("parts")))
+query("a11_list_whole", ALL_ITEMS)(lambda t: t.lineitem.groupBy("l_orderkey").agg(fx.joined(F.array_sort(F.collect_list("l_partkey"))).alias("parts")))
 query("a12_string_agg", "select n_regionkey, string_agg(n_name, ';' order by n_name) as nations from nation group by n_regionkey")(lambda t: t.sql("select n_regionkey, listagg(n_name, ';') within group (order by n_name) as nations from {nation} group by n_regionkey", "nation"))
 query("a13_map_agg", "select r_name, string_agg(n_name || '=' || n_nationkey, ';' order by n_name || '=' || n_nationkey) as nations from nation join region on n_regionkey = r_regionkey group by r_name")(
     lambda t: ag.map_agg(t.nation.join(t.region, F.expr("n_regionkey = r_regionkey")), ["r_name"], "n_name", "n_nationkey").select("r_name", F.array_join(F.array_sort(F.transform(F.map_entries("map"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ";").alias("nations"))
