@@ -27,6 +27,7 @@ query("p2_star_and_more", "select *, n_nationkey * 10 as ten from nation")(lambd
 query("p3_qualified_star", "select n.*, r.* from nation n join region r on n_regionkey = r_regionkey")(lambda t: t.nation.alias("n").join(t.region.alias("r"), F.expr("n_regionkey = r_regionkey")).select("n.*", "r.*"))
 query("p4_computed_column", "select o_orderkey, round(o_totalprice / 1000.0, 6) as thousands from orders")(lambda t: t.orders.select("o_orderkey", F.round(F.col("o_totalprice") / 1000.0, 6).alias("thousands")))
 query("p5_where", "select o_orderkey, o_totalprice from orders where o_totalprice >= 100000 and o_orderstatus != 'F' and o_custkey < 500")(lambda t: t.orders.where("o_totalprice >= 100000 and o_orderstatus != 'F' and o_custkey < 500").select("o_orderkey", "o_totalprice"))
+query("p5_where_whole", "select o_orderkey, o_totalprice from orders where o_totalprice >= 100000 and o_totalprice < 400000 and o_orderstatus != 'F' and o_orderpriority = '1-URGENT'")(lambda t: t.orders.where("o_totalprice >= 100000 and o_totalprice < 400000 and o_orderstatus != 'F' and o_orderpriority == '1-URGENT'").select("o_orderkey", "o_totalprice"))
 query("p6_or_and", "select c_custkey from customer where (c_mktsegment = 'BUILDING' or c_mktsegment = 'FURNITURE') and c_acctbal > 0")(lambda t: t.customer.where(((F.col("c_mktsegment") == "BUILDING") | (F.col("c_mktsegment") == "FURNITURE")) & (F.col("c_acctbal") > 0)).select("c_custkey"))
 query("p7_guarded_test", "select doc_id from documents where case when text is not null then starts_with(text, 'The') else false end")(lambda t: t.documents.where(F.when(F.col("text").isNotNull(), F.col("text").startswith("The")).otherwise(False)).select("doc_id"))
 query("p8_negation", "select doc_id from documents where not contains(text, 'the')")(lambda t: t.documents.where(~F.col("text").contains("the")).select("doc_id"))
@@ -62,6 +63,7 @@ query("j1_inner_join", "select c_name, o_orderkey from customer join orders on c
 query("j2_left_join", "select c_custkey, o_orderkey from customer left join orders on c_custkey = o_custkey and o_totalprice > 450000")(lambda t: t.customer.join(t.orders, F.expr(CO + " and o_totalprice > 450000"), "left").select("c_custkey", "o_orderkey"))
 query("j3_right_join", "select c_custkey, o_orderkey from (select * from customer where c_acctbal < 0) c right join orders on c_custkey = o_custkey")(lambda t: t.customer.where("c_acctbal < 0").join(t.orders, F.expr(CO), "right").select("c_custkey", "o_orderkey"))
 query("j4_full_join", "select s_suppkey, c_custkey from (select * from supplier where s_acctbal > 5000) s full join (select * from customer where c_custkey < 60) c on s_suppkey = c_custkey")(lambda t: t.supplier.where("s_acctbal > 5000").join(t.customer.where("c_custkey < 60"), F.expr("s_suppkey = c_custkey"), "full").select("s_suppkey", "c_custkey"))
+query("j4_full_join_whole", "select s_suppkey, c_custkey from (select * from supplier where s_acctbal > 5000) s full join (select * from customer where c_mktsegment = 'BUILDING') c on s_suppkey = c_custkey")(lambda t: t.supplier.where("s_acctbal > 5000").join(t.customer.where("c_mktsegment = 'BUILDING'"), F.expr("s_suppkey = c_custkey"), "full").select("s_suppkey", "c_custkey"))
 query("j5_left_semi_join", "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 400000)")(lambda t: t.customer.join(t.orders.where("o_totalprice > 400000"), F.expr(CO), "left_semi").select("c_custkey"))
 query("j6_right_semi_join", "select n_nationkey, n_name from nation where n_nationkey in (select c_nationkey from customer where c_acctbal > 9900)")(lambda t: t.nation.join(t.customer.where("c_acctbal > 9900"), F.expr("c_nationkey = n_nationkey"), "left_semi").select("n_nationkey", "n_name"))
 query("j7_cross_join", "select r_name, s.seg from region cross join (select distinct c_mktsegment as seg from customer) s")(lambda t: t.region.crossJoin(t.customer.select(F.col("c_mktsegment").alias("seg")).distinct()).select("r_name", "seg"))
@@ -108,4 +110,23 @@ _set("x5_except_distinct", "except", lambda a, b: a.subtract(b))
 _set("x6_except_all", "except all", lambda a, b: a.exceptAll(b))
 query("x5_except_distinct_reverse", f"{KEYS['b']} except {KEYS['a']}")(lambda t: t.supplier.where("s_suppkey < 60").select(F.col("s_nationkey").alias("k")).subtract(t.customer.where("c_custkey < 70").select(F.col("c_nationkey").alias("k"))))
 query("x6_except_all_reverse", f"{KEYS['b']} except all {KEYS['a']}")(lambda t: t.supplier.where("s_suppkey < 60").select(F.col("s_nationkey").alias("k")).exceptAll(t.customer.where("c_custkey < 70").select(F.col("c_nationkey").alias("k"))))
+ALL_KEYS = {"a": "select c_nationkey as k from customer", "b": "select s_nationkey as k from supplier"}
+
+
+def _whole_set(name: str, op: str, fn, first: str = "a", second: str = "b"):
+    def run(t):
+        sides = {"a": t.customer.select(F.col("c_nationkey").alias("k")), "b": t.supplier.select(F.col("s_nationkey").alias("k"))}
+        return fn(sides[first], sides[second])
+
+    query(name, f"{ALL_KEYS[first]} {op} {ALL_KEYS[second]}")(run)
+
+
+_whole_set("x1_union_all_whole", "union all", lambda a, b: a.unionAll(b))
+_whole_set("x2_union_distinct_whole", "union", lambda a, b: a.union(b).distinct())
+_whole_set("x3_intersect_distinct_whole", "intersect", lambda a, b: a.intersect(b))
+_whole_set("x4_intersect_all_whole", "intersect all", lambda a, b: a.intersectAll(b))
+_whole_set("x5_except_distinct_whole", "except", lambda a, b: a.subtract(b))
+_whole_set("x6_except_all_whole", "except all", lambda a, b: a.exceptAll(b))
+_whole_set("x5_except_distinct_reverse_whole", "except", lambda a, b: a.subtract(b), "b", "a")
+_whole_set("x6_except_all_reverse_whole", "except all", lambda a, b: a.exceptAll(b), "b", "a")
 query("x7_sparse_union", "select c_custkey, c_name, c_acctbal, 0 as s_suppkey, null as s_name from customer union all select 0, null, 0.0, s_suppkey, s_name from supplier")(lambda t: rs.sparse_union(t.customer.select("c_custkey", "c_name", "c_acctbal"), t.supplier.select("s_suppkey", "s_name")))

@@ -60,6 +60,15 @@ query("g6_combine_names", "select c.c_nationkey as leftk, s.c_nationkey as right
 )
 
 
+def by_nation(df, column: str):
+    return df.groupBy(F.col(column).alias("k")).agg(F.count("*").alias("n"))
+
+
+query("g6_combine_names_whole", "select c.c_nationkey as leftk, s.c_nationkey as rightk, count(*) as n from customer c cross join (select s_nationkey as c_nationkey from supplier) s group by 1, 2")(
+    lambda t: rs.combine(by_nation(t.customer, "c_nationkey"), by_nation(t.supplier, "s_nationkey"), None, left_name="left", right_name="right").select("leftk", "rightk", (F.col("leftn") * F.col("rightn")).alias("n"))
+)
+
+
 def _both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"k": [int((a if len(a) else b)["k"].iloc[0])], "nations": [len(a)], "regions": [len(b)]})
 
