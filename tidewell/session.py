@@ -28,21 +28,26 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir where it is set.
+    """A folder that driver and executors share: this application's own below spark.checkpoint.dir where it is set.
 
-    Unset: a temporary folder for a local master (driver and executors are one
-    process), else a folder in the warehouse, which a cluster shares.
+    Unset: below a temporary folder for a local master (driver and executors are one
+    process), else below the warehouse, which a cluster shares. What is left in the folder
+    when the application ends, and Spark's own folder of checkpoints, goes with it.
     """
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
     if not getattr(sc, "_tidewell_shared", None):
-        if sc.master.startswith("local[") or sc.master == "local":
-            sc._tidewell_shared = "file://" + tempfile.mkdtemp(prefix="spark-tidewell-")
-        else:
-            sc._tidewell_shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tidewell"
-        sc.setCheckpointDir(sc._tidewell_shared)
+        top = sc.getConf().get("spark.checkpoint.dir")
+        if not top:
+            local = sc.master.startswith("local[") or sc.master == "local"
+            top = "file://" + tempfile.mkdtemp(prefix="spark-tidewell-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tidewell"
+            sc.setCheckpointDir(top)
+        sc._tidewell_shared = f"{top.rstrip('/')}/tidewell-{uuid.uuid4().hex}"
+        for path in (sc._tidewell_shared, sc.getCheckpointDir()):
+            if path:
+                p = spark._jvm.org.apache.hadoop.fs.Path(path)
+                fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+                fs.mkdirs(p)
+                fs.deleteOnExit(p)
     return sc._tidewell_shared
 
 
