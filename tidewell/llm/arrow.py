@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,16 +20,40 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(WORD_BYTES).split() if text else []
 
 
-def blocks(texts: list[bytes | None], most: int = BLOCK) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of at most ``most`` bytes, or of one text."""
+def ranges(sizes: list[int], most: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of these sizes, each of at most ``most`` bytes or of one text."""
     first, n = 0, 0
-    for i, t in enumerate(texts):
-        if n and n + len(t or b"") > most:
+    for i, size in enumerate(sizes):
+        if n and n + size > most:
             yield first, i
             first, n = i, 0
-        n += len(t or b"") + 1
+        n += size + 1
     if n:
-        yield first, len(texts)
+        yield first, len(sizes)
+
+
+def blocks(texts: list[bytes | None], most: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most ``most`` bytes, or of one text."""
+    return ranges([len(t or b"") for t in texts], most)
+
+
+def filter_texts(df: DataFrame, text: str, keep: Callable, *also: str) -> DataFrame:
+    """The rows of ``df`` for which ``keep(texts, *lists of the columns also)`` is true, with all their columns.
+
+    Texts are read from blocks of a batch, so no more than a block is held twice.
+    """
+    names = df.columns
+    at, more = names.index(text), [names.index(c) for c in also]
+
+    def run(batches):
+        for b in batches:
+            sizes = [n or 0 for n in pc.binary_length(b.column(at)).to_pylist()]
+            for first, last in ranges(sizes):
+                some = b.slice(first, last - first)
+                texts = some.column(at).cast(pa.binary()).to_pylist()
+                yield some.filter(pa.array(keep(texts, *[some.column(i).to_pylist() for i in more]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def map_texts(df: DataFrame, keys: list[str], text: str, fn: Callable, schema: str) -> DataFrame:
@@ -43,9 +68,9 @@ def map_texts(df: DataFrame, keys: list[str], text: str, fn: Callable, schema: s
     def run(batches):
         out = None
         for b in batches:
-            texts = b.column(n).to_pylist()
-            for first, last in blocks(texts):
-                got = fn([b.column(i).slice(first, last - first) for i in range(n)], texts[first:last])
+            sizes = [x or 0 for x in pc.binary_length(b.column(n)).to_pylist()]
+            for first, last in ranges(sizes):
+                got = fn([b.column(i).slice(first, last - first) for i in range(n)], b.column(n).slice(first, last - first).to_pylist())
                 if out is None:
                     out = arrow_schema
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) and x.type == f.type else pa.array(x, f.type) for x, f in zip(got, out)], schema=out)

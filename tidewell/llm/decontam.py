@@ -4,8 +4,9 @@ Words are runs of letters, digits and characters beyond ASCII, with A-Z in lower
 Each window of ``window`` consecutive words of an item is a pattern; an item with fewer
 words, but not none, is one pattern. A document's word is hit if it lies in any
 occurrence of a pattern. Null and empty texts have no words and are clean. Equal item
-texts both count; an empty benchmark leaves all documents clean; repeated documents are
-judged one by one; extra columns stay.
+texts both count; an item without an id hits words but isn't counted or named, as it has
+no name; an empty benchmark leaves all documents clean; repeated documents, and those with
+the same id or none, are judged row by row; extra columns stay.
 """
 
 from __future__ import annotations
@@ -13,13 +14,12 @@ from __future__ import annotations
 import re
 from hashlib import sha256
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.arrow import map_texts, words
+from tidewell.llm.arrow import filter_texts, map_texts, words
 from tidewell.llm.matching import WordAutomaton
-from tidewell.session import ship
+from tidewell.session import scratch, ship
 
 #: Bytes of item text in one automaton. A benchmark beyond this is scanned for in blocks of items.
 BLOCK_BYTES = 8_000_000
@@ -36,7 +36,7 @@ def windows(text: bytes | None, window: int) -> list[tuple[bytes, ...]]:
 def spans(text: bytes | None, found: list[tuple[int, int, frozenset]]) -> list[tuple[int, int, object]]:
     """(first byte, byte after the last, item) of each occurrence in the original text."""
     at = [m.span() for m in _WORD.finditer(text or b"")]
-    return sorted({(at[i][0], at[i + n - 1][1], v) for i, n, values in found for v in values})
+    return sorted({(at[i][0], at[i + n - 1][1], v) for i, n, values in found for v in values if v is not None})
 
 
 def covered(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -55,7 +55,7 @@ _machines: dict[str, WordAutomaton] = {}
 
 def _machine(items, window: int) -> WordAutomaton:
     """One automaton at a time in each Python process."""
-    name, rows = items.value
+    name, rows = f"{items.value[0]} {window}", items.value[1]
     if name not in _machines:
         _machines.clear()
         _machines[name] = WordAutomaton((w, i) for i, t in rows for w in windows(t, window))
@@ -73,46 +73,71 @@ def _scan(items, window: int):
             n_words.append(len(w))
             first.append([a for a, _ in ranges])
             after.append([b for _, b in ranges])
-            ids.append(sorted({str(x) for _, _, v in found for x in v}))
+            ids.append(sorted({str(x) for _, _, v in found for x in v if x is not None}))
             offsets.append([f"{a}-{b}:{x}" for a, b, x in spans(t, found)] if found else [])
         return [*keys, n_words, first, after, ids, offsets]
 
     return run
 
 
+def _items(benchmark: DataFrame, item: str, item_text: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """(id and text of each item with a text, number of blocks that they are scanned for in)."""
+    rows = benchmark.select(F.col(f"`{item}`").alias("i"), F.col(f"`{item_text}`").cast("string").cast("binary").alias("t")).where("t is not null")
+    total = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+    return rows, -(-(2 * total) // block_bytes) if total > block_bytes else 1
+
+
+def _blocks(rows: DataFrame, blocks: int):
+    """Each block of items as a broadcast (name, rows); no more than some ``block_bytes`` are collected at a time."""
+    for b in range(blocks):
+        some = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
+        held = [(r.i, bytes(r.t)) for r in some.collect()]
+        yield rows.sparkSession.sparkContext.broadcast((sha256(repr(held).encode()).hexdigest(), held))
+
+
+def _row_hits(rows: DataFrame, blocks: int, placed: DataFrame, text: str, window: int) -> DataFrame:
+    """place, n_words, r, items, offsets of each row of ``placed`` that has hits in some block."""
+    hits = None
+    for shared in _blocks(rows, blocks):
+        found = map_texts(placed, ["_place"], text, _scan(shared, window), "place long, n_words long, first array<int>, after array<int>, items array<string>, offsets array<string>").where(F.size("first") > 0)
+        hits = found if hits is None else hits.unionByName(found)
+    ranges = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("first", "after"))))
+    return hits.groupBy("place").agg(F.max("n_words").alias("n_words"), ranges.alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("offsets")))).alias("offsets"))
+
+
+def _n_hit(ranges) -> F.Column:
+    """Words in the union of ascending ranges."""
+    end, n = F.lit(0).cast("int").alias("end"), F.lit(0).cast("long").alias("n")
+    add = lambda a, x: F.struct(F.greatest(a["end"], x["after"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["after"] - F.greatest(a["end"], x["first"]))).alias("n"))
+    return F.aggregate(ranges, F.struct(end, n), add)["n"]
+
+
+def _placed(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with a number each, ``_place``, written to the shared folder so that the numbers stay; they go with the application."""
+    path = scratch(docs.sparkSession, "decontam")
+    docs.select(*[F.col(f"`{c}`") for c in columns], F.monotonically_increasing_id().alias("_place")).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """key, n_words, n_hit, items array<string>, offsets array<string> of each document.
 
     ``offsets``: "first-after:item" bytes of the original text. The items' bytes are summed
     first: up to ``block_bytes`` they are one automaton; beyond, items are dealt into blocks
-    by their ids' hash, each block is scanned for on its own, and hits are merged by document.
+    by a hash, each block is scanned for on its own over numbered rows, and hits are merged
+    by the rows' numbers.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    rows = benchmark.select(F.col(item).alias("i"), F.col(item_text).cast("string").cast("binary").alias("t")).where("t is not null")
-    total, longest = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)), F.coalesce(F.max(F.length("t")), F.lit(0))).first()
-    blocks = max(1, -(-(2 * total) // block_bytes)) if total > block_bytes else 1
+    ship(docs.sparkSession)
+    rows, blocks = _items(benchmark, item, item_text, block_bytes)
+    if blocks > 1:
+        placed = _placed(docs, [key, text])
+        hits = _row_hits(rows, blocks, placed, text, window)
+        count = map_texts(placed, ["_place", key], text, lambda keys, texts: [*keys, [len(words(t)) for t in texts]], f"place long, k {docs.schema[key].dataType.simpleString()}, n long")
+        none = F.array().cast("array<string>")
+        out = count.join(hits, "place", "left")
+        return out.select(F.col("k").alias(key), F.col("n").alias("n_words"), F.coalesce(_n_hit("r"), F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("offsets", none).alias("offsets"))
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"k {kind}, h long, n_words long, first array<int>, after array<int>, items array<string>, offsets array<string>"
-    docs = docs.withColumn("_h", F.xxhash64(F.col(text)))
-    parts = []
-    for b in range(blocks):
-        some = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
-        held = [(r.i, bytes(r.t)) for r in some.collect()]
-        name = sha256(repr(held).encode()).hexdigest() + str(window)
-        parts.append(map_texts(docs, [key, "_h"], text, _scan(spark.sparkContext.broadcast((name, held)), window), schema))
-    if blocks == 1:
-        out = parts[0]
-    else:
-        hits = parts[0].select("k", "h", "n_words", "first", "after", "items", "offsets")
-        for p in parts[1:]:
-            hits = hits.unionByName(p.where(F.size("items") > 0))
-        merged = hits.groupBy("k", "h").agg(F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list(F.arrays_zip("first", "after")))).alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_distinct(F.flatten(F.collect_list("offsets"))).alias("offsets"))
-        same = docs.select(F.col(key).alias("k"), F.col("_h").alias("h")).alias("d").join(merged.alias("m"), F.expr("d.k <=> m.k and d.h <=> m.h"))
-        out = same.select("d.k", "m.n_words", "m.r", "m.items", "m.offsets")
-        end, n = F.lit(0).cast("int").alias("end"), F.lit(0).cast("long").alias("n")
-        add = lambda a, x: F.struct(F.greatest(a["end"], x["after"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["after"] - F.greatest(a["end"], x["first"]))).alias("n"))
-        return out.select(F.col("k").alias(key), "n_words", F.aggregate("r", F.struct(end, n), add)["n"].alias("n_hit"), "items", "offsets")
+    out = map_texts(docs, [key], text, _scan(next(_blocks(rows, 1)), window), f"k {kind}, n_words long, first array<int>, after array<int>, items array<string>, offsets array<string>")
     n_hit = F.aggregate(F.arrays_zip("first", "after"), F.lit(0).cast("long"), lambda a, x: a + x["after"] - x["first"])
     return out.select(F.col("k").alias(key), "n_words", n_hit.alias("n_hit"), "items", "offsets")
 
@@ -122,38 +147,30 @@ def judged(scanned: DataFrame) -> DataFrame:
     return scanned.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with their columns.
 
-    Texts go through the automaton beside their rows, so nothing is joined or shuffled;
-    a benchmark of many blocks goes through once a block.
+    Texts go through the automaton beside their rows, so nothing is joined or shuffled. For a
+    benchmark of many blocks, rows are numbered and written once, each block is scanned for, and
+    the numbers of the contaminated rows are taken away.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    window, text = options.get("window", 13), options.get("text", "text")
-    item, item_text = options.get("item", "item_id"), options.get("item_text", "text")
-    rows = benchmark.select(F.col(item).alias("i"), F.col(item_text).cast("string").cast("binary").alias("t")).where("t is not null")
-    total = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    if total > options.get("block_bytes", BLOCK_BYTES):
-        key = options.get("key", "doc_id")
-        bad = judged(scan(docs, benchmark, **options)).where("contaminated").select(F.col(key).alias("_bad")).distinct()
-        return docs.join(bad, docs[key].eqNullSafe(bad["_bad"]), "left_anti")
-    held = [(r.i, bytes(r.t)) for r in rows.collect()]
-    shared = spark.sparkContext.broadcast((sha256(repr(held).encode()).hexdigest() + str(window), held))
-    names = docs.columns
-
-    def run(batches):
-        m = _machine(shared, window)
-        at = names.index(text)
-        for b in batches:
-            keep = []
-            for t in b.column(at).to_pylist():
-                w = words(t.encode() if t is not None else None)
-                n = sum(e - s for s, e in covered([(i, k) for i, k, _ in m.find(w)]))
-                keep.append(not (n and 20 * n >= len(w)))
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    ship(docs.sparkSession)
+    rows, blocks = _items(benchmark, item, item_text, block_bytes)
+    if blocks > 1:
+        placed = _placed(docs, docs.columns)
+        bad = judged(_row_hits(rows, blocks, placed, text, window).withColumn("n_hit", _n_hit("r"))).where("contaminated").select(F.col("place").alias("_place"))
+        return placed.join(bad, "_place", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    shared = next(_blocks(rows, 1))
+
+    def clean(texts):
+        m, keep = _machine(shared, window), []
+        for t in texts:
+            w = words(t)
+            n = sum(e - s for s, e in covered([(i, k) for i, k, _ in m.find(w)]))
+            keep.append(not (n and 20 * n >= len(w)))
+        return keep
+
+    return filter_texts(docs, text, clean)
 
 
 def contract(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
