@@ -15,21 +15,22 @@ verified by weighted Jaccard similarity.
    a large family that have only its common shingles in common.
 5. Classes are the components after both.
 
-A class is named by its least id. Null and empty texts, and texts without words, are like
-their exact copies only. Rows without an id count but are in no class. Repeated ids are
-allowed. An empty table gives no rows. Extra columns don't matter.
+Texts are told apart by 128 bits of their SHA-256, never by ids. A class is named by its least
+id; one whose rows all lack ids has no name. Null and empty texts, and texts without words, are like
+their exact copies only. Ids of any type that has an order, and repeated ones, are allowed: rows with
+the same id and unlike texts are in classes of their own, which may then have the same name. An
+empty table gives no rows. Extra columns don't matter.
 """
 
 from __future__ import annotations
 
-from hashlib import blake2b
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.arrow import blocks
+from tidewell.llm.arrow import ranges
 from tidewell.llm.shingles import DEPTH, WIDTH, bands, cells, samples, shingles, weighted_jaccard, weights
 from tidewell.session import cut, delete, scratch, ship
 
@@ -41,10 +42,10 @@ def _add_up(batches):
     """(slice, counts) of the texts of a task. The table has a fixed size."""
     table, docs = np.zeros((DEPTH, WIDTH), np.int32), 0
     for b in batches:
-        texts = b.column(0).to_pylist()
+        texts = b.column(0)
         docs += len(texts)
-        for first, last in blocks(texts, _BLOCK):
-            x, _, _ = shingles(texts[first:last])
+        for first, last in ranges([n or 0 for n in pc.binary_length(texts).to_pylist()], _BLOCK):
+            x, _, _ = shingles(texts.slice(first, last - first).to_pylist())
             for row, c in zip(table, cells(x)):
                 row += np.bincount(c, minlength=WIDTH).astype(np.int32)
     if docs:
@@ -75,21 +76,25 @@ def document_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
     return np.minimum(table, 2**31 - 1).astype(np.int32), int(by[-1][0])
 
 
+def _digest(text) -> F.Column:
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
 def _sign(shared, rows: int, n_bands: int):
     def run(batches):
         counts, docs = shared.value
         for b in batches:
-            texts = [t or b"" for t in b.column(1).to_pylist()]
+            texts = b.column(2)
             codes: list[list[int] | None] = []
             total: list[float] = []
-            for first, last in blocks(texts, _BLOCK):
-                x, tf, n = shingles(texts[first:last])
+            for first, last in ranges([n or 0 for n in pc.binary_length(texts).to_pylist()], _BLOCK):
+                x, tf, n = shingles(texts.slice(first, last - first).to_pylist())
                 w = weights(x, tf, counts, docs)
                 got = bands(samples(x, w, n, rows * n_bands), rows).tolist() if n.any() else []
                 total += np.bincount(np.repeat(np.arange(len(n)), n), w, len(n)).tolist()
                 each = iter(got)
                 codes += [next(each) if m else None for m in n.tolist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([blake2b(t, digest_size=16).digest() for t in texts], pa.binary()), pa.array(codes, pa.list_(pa.int64())), pa.array(total, pa.float64())], names=["k", "digest", "codes", "w"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.list_(pa.int64())), pa.array(total, pa.float64())], names=["k", "digest", "codes", "w"])
 
     return run
 
@@ -168,8 +173,11 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, rows: int = ROWS, n_bands: int = BANDS) -> DataFrame:
-    """key, class_id, n_links of each row: its class and the links of its text with other texts."""
+def _classes(docs: DataFrame, key: str, text: str, similarity: float = SIMILARITY, rows: int = ROWS, n_bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
+    """((k, digest) of each row, (digest, rep, label, n_edges) of each distinct text).
+
+    ``rep`` is the text's least id and ``label`` numbers its class. Both stand in the shared folder.
+    """
     spark = docs.sparkSession
     ship(spark)
     kept: list[str] = []
@@ -179,64 +187,87 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similar
         df.write.option("compression", "zstd").parquet(kept[-1])
         return spark.read.parquet(kept[-1])
 
-    source = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").cast("string").cast("binary").alias("t"))
-    shared = spark.sparkContext.broadcast(document_counts(source.select("t")))
-    signed = stage(source.mapInArrow(_sign(shared, rows, n_bands), "k long, digest binary, codes array<long>, w double"), "signed")
-
-    # one text of each digest; partial sums come before the shuffle, so copies don't weigh
-    reps = signed.where("k is not null").groupBy("digest").agg(F.min("k").alias("rep"), F.first("codes").alias("codes"), F.first("w").alias("w"))
-    reps = stage(reps, "reps")
-    coded = reps.where("codes is not null").select(F.explode("codes").alias("code"), "rep", "w")
-    sizes = coded.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = cut(coded.join(sizes, "code"))
-    # the leader of a code is the text that shares its codes with the most others, so a family's middle
-    centre = sized.groupBy("rep").agg(F.sum("n").alias("company"))
-    sized = cut(sized.drop("n").join(centre, "rep"))
-    order = F.struct(F.col("company"), F.xxhash64("rep", F.lit(3)).alias("h"), F.col("rep").alias("leader"), F.col("w").alias("leader_w"))
-    leaders = sized.groupBy("code").agg(F.max(order).alias("m")).select("code", "m.leader", "m.leader_w")
-    members = cut(sized.drop("company").join(leaders, "code"))
-    # the lesser of two texts' summed weights over the greater bounds their similarity
-    alike = lambda a, b: F.least(a, b) >= F.greatest(a, b) * (similarity - 1e-9)
-    pairs = cut(members.where((F.col("rep") != F.col("leader")) & alike("w", "leader_w")).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
-    wanted = members.select(F.col("rep").alias("k")).distinct()
-    texts = stage(source.join(wanted, "k").dropDuplicates(["k"]), "texts")
-
-    def verified(some: DataFrame) -> DataFrame:
-        with_b = some.join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
-        with_both = with_b.join(texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a")
-        return with_both.select("a", "b", "ta", "tb").mapInArrow(_compare(shared, similarity), "a long, b long")
-
-    links = cut(verified(pairs))
-    labels = components(links)
-    named = members.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("code", "rep", "w", F.coalesce("label", "rep").alias("label"))
-    mixed = named.groupBy("code").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("code")
-    named = named.join(mixed, "code").select(F.col("rep").alias("k"), "label", "w").distinct()
-    held = cut(named.join(texts, "k").select("k", "label", "w", "t").mapInArrow(_prefixes(shared, similarity), "k long, label long, w double, f long, rest double"))
-    x, y = (held.select("f", *[F.col(c).alias(f"{c}{i}") for c in ("k", "label", "w", "rest")]) for i in (1, 2))
-    # from the first shingle that both have, what is left of either bounds what they share
-    enough = F.least("rest1", "rest2") >= (F.col("w1") + F.col("w2")) * (similarity / (1 + similarity) - 1e-9)
-    across = x.join(y, "f").where((F.col("k1") < F.col("k2")) & (F.col("label1") != F.col("label2")) & alike("w1", "w2") & enough).select(F.col("k1").alias("a"), F.col("k2").alias("b")).distinct()
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut(verified(across.join(done, ["a", "b"], "left_anti")))
-    links = cut(links.union(more))
-    labels = components(links)
-    degree = links.select(F.col("a").alias("v")).union(links.select("b")).groupBy("v").agg(F.count(F.lit(1)).alias("n_links"))
-    found = reps.select("digest", "rep").join(labels.withColumnRenamed("v", "rep"), "rep", "left").join(degree.withColumnRenamed("v", "rep"), "rep", "left")
-    found = found.select("digest", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    kind = docs.schema[key].dataType.simpleString()
+    whole = F.coalesce(F.col(f"`{text}`").cast("string").cast("binary"), F.lit("").cast("binary"))
+    source = docs.select(F.col(f"`{key}`").alias("k"), whole.alias("t"))
+    try:
+        shared = spark.sparkContext.broadcast(document_counts(source.select("t")))
+        signed = source.select("k", _digest("t").alias("digest"), "t").mapInArrow(_sign(shared, rows, n_bands), f"k {kind}, digest binary, codes array<long>, w double")
+        signed = stage(signed, "signed")
+
+        # one text of each digest, with a number v; partial sums come before the shuffle, so copies don't weigh
+        reps = signed.groupBy("digest").agg(F.min("k").alias("rep"), F.first("codes").alias("codes"), F.first("w").alias("w"))
+        reps = stage(reps.withColumn("v", F.monotonically_increasing_id()), "reps")
+        coded = reps.where("codes is not null").select(F.explode("codes").alias("code"), "v", "w", F.xxhash64("digest").alias("h"))
+        sizes = coded.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        sized = cut(coded.join(sizes, "code"))
+        # the leader of a code is the text that shares its codes with the most others, so a family's middle
+        centre = sized.groupBy("v").agg(F.sum("n").alias("company"))
+        sized = cut(sized.drop("n").join(centre, "v"))
+        order = F.struct(F.col("company"), F.col("h"), F.col("v").alias("leader"), F.col("w").alias("leader_w"))
+        leaders = sized.groupBy("code").agg(F.max(order).alias("m")).select("code", "m.leader", "m.leader_w")
+        members = cut(sized.drop("company", "h").join(leaders, "code"))
+        # the lesser of two texts' summed weights over the greater bounds their similarity
+        alike = lambda a, b: F.least(a, b) >= F.greatest(a, b) * (similarity - 1e-9)
+        pairs = cut(members.where((F.col("v") != F.col("leader")) & alike("w", "leader_w")).select(F.col("leader").alias("a"), F.col("v").alias("b")).distinct())
+        # the text of each number: from the rows with its least id, of which one stays
+        wanted = reps.join(members.select("v").distinct(), "v", "left_semi").select("v", F.col("digest").alias("d"), "rep")
+        texts = source.withColumn("d", _digest("t")).join(wanted, "d").where(F.col("k").eqNullSafe(F.col("rep")))
+        texts = stage(texts.select("v", "t").dropDuplicates(["v"]), "texts")
+
+        def verified(some: DataFrame) -> DataFrame:
+            with_b = some.join(texts.select(F.col("v").alias("b"), F.col("t").alias("tb")), "b")
+            with_both = with_b.join(texts.select(F.col("v").alias("a"), F.col("t").alias("ta")), "a")
+            return with_both.select("a", "b", "ta", "tb").mapInArrow(_compare(shared, similarity), "a long, b long")
+
+        links = cut(verified(pairs))
+        labels = components(links)
+        named = members.join(labels, "v", "left").select("code", "v", "w", F.coalesce("label", "v").alias("label"))
+        mixed = named.groupBy("code").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("code")
+        named = named.join(mixed, "code").select(F.col("v").alias("k"), "label", "w").distinct()
+        held = cut(named.join(texts.withColumnRenamed("v", "k"), "k").select("k", "label", "w", "t").mapInArrow(_prefixes(shared, similarity), "k long, label long, w double, f long, rest double"))
+        x, y = (held.select("f", *[F.col(c).alias(f"{c}{i}") for c in ("k", "label", "w", "rest")]) for i in (1, 2))
+        # from the first shingle that both have, what is left of either bounds what they share
+        enough = F.least("rest1", "rest2") >= (F.col("w1") + F.col("w2")) * (similarity / (1 + similarity) - 1e-9)
+        across = x.join(y, "f").where((F.col("k1") < F.col("k2")) & (F.col("label1") != F.col("label2")) & alike("w1", "w2") & enough).select(F.col("k1").alias("a"), F.col("k2").alias("b")).distinct()
+        done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = cut(verified(across.join(done, ["a", "b"], "left_anti")))
+        links = cut(links.union(more))
+        labels = components(links)
+        degree = links.select(F.col("a").alias("v")).union(links.select("b")).groupBy("v").agg(F.count(F.lit(1)).alias("n_edges"))
+        found = reps.select("digest", "rep", "v").join(labels, "v", "left").join(degree, "v", "left")
+        found = cut(found.select("digest", "rep", F.coalesce("label", "v").alias("label"), F.coalesce("n_edges", F.lit(0)).alias("n_edges")))
+        return cut(signed.select("k", "digest")), found
+    finally:
+        for path in kept:
+            delete(spark, path)
+
+
+def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """key, class_id, n_edges of each row: its class, and the verified edges that its text takes part in.
+
+    The edges are those that the class was built of, at least one a text in a class of several texts. They aren't all
+    pairs that are alike enough: texts of one class are compared with its leaders only.
+    """
+    rows, found = _classes(docs, key, text, **options)
+    names = found.groupBy("label").agg(F.min("rep").alias("class_id"))
     # a digest that many rows share is a skewed key on one side only, which Spark splits
-    out = signed.select("k", "digest").join(found, "digest", "left").select(F.col("k").alias(key), F.when(F.col("k").isNotNull(), F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = cut(out)
-    for path in kept:
-        delete(spark, path)
-    return out
+    return rows.join(found.join(names, "label"), "digest", "left").select(F.col("k").alias(key), "class_id", "n_edges")
 
 
-def dedup(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that give their class its name, once each, and rows without an id."""
-    names = classes(docs, key=key, **options).where(F.col(key) == F.col("class_id")).select(key).distinct()
-    return docs.join(names, key, "left_semi").dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))
+def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of ``docs`` of each class: that of the least id, without an id only if none has one.
+
+    Of rows with the same id and text one stays, whichever; of unlike texts with one id each class keeps its own row.
+    """
+    _, found = _classes(docs, key, text, **options)
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep"), F.col("digest")))
+    kept = found.groupBy("label").agg(first.alias("m")).select(F.col("m.digest").alias("_d"), F.col("m.rep").alias("_rep"))
+    whole = F.coalesce(F.col(f"`{text}`").cast("string").cast("binary"), F.lit("").cast("binary"))
+    out = docs.withColumn("_d", _digest(whole)).join(kept, "_d").where(F.col(f"`{key}`").eqNullSafe(F.col("_rep")))
+    return out.dropDuplicates(["_d"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def contract(docs: DataFrame) -> DataFrame:
     out = classes(docs)
-    return out.select("doc_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return out.select("doc_id", "class_id", "n_edges", (F.col("doc_id") == F.col("class_id")).alias("kept"))

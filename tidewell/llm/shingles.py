@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 from tidewell.llm.arrow import WORD_BYTES
@@ -29,7 +31,13 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
+#: Words of more bytes are hashed by a cryptographic hash, as the polynomial one has long words in common.
+_LONG = 64
+
+
 def _word_hash(word: bytes) -> int:
+    if len(word) > _LONG:
+        return int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
     h, p = 0, 1
     for b in word:
         h = (h + (b + 1) * p) & (1 << 64) - 1
@@ -60,7 +68,10 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros(len(a) + 1, np.uint64)
     np.cumsum((a.astype(np.uint64) + _U(1)) * up[: len(a)], out=sums[1:])
     doc = np.searchsorted(np.cumsum(np.fromiter(map(len, low), np.int64, len(low)) + 1), starts, side="right")
-    return (sums[ends] - sums[starts]) * down[starts], np.bincount(doc, minlength=len(texts)).astype(np.int64)
+    h = (sums[ends] - sums[starts]) * down[starts]
+    for i in np.flatnonzero(ends - starts > _LONG).tolist():
+        h[i] = _word_hash(a[starts[i] : ends[i]].tobytes())
+    return h, np.bincount(doc, minlength=len(texts)).astype(np.int64)
 
 
 def shingles(texts: list[bytes | None], size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,9 +104,10 @@ def shingles(texts: list[bytes | None], size: int = SIZE) -> tuple[np.ndarray, n
 
 #: Rows and columns of the table of document counts.
 DEPTH, WIDTH = 2, 1 << 19
-#: By how much the rarest shingle outweighs one that all texts have. Small, so that the shingles
-#: that a large family of near copies shares aren't outweighed by their few differences.
-IDF_SHARE = 0.25
+#: Inverse document frequency is that of shares of all documents. Shingles that fewer than this share have
+#: all weigh the same, twice as much as one that all texts have, so weights don't change with the number of
+#: documents: the table counts a share too high by the mean number of a text's shingles over WIDTH at most.
+RAREST = 1 / 256
 
 
 def cells(x: np.ndarray) -> list[np.ndarray]:
@@ -104,9 +116,9 @@ def cells(x: np.ndarray) -> list[np.ndarray]:
 
 
 def weights(x: np.ndarray, tf: np.ndarray, counts: np.ndarray, docs: int) -> np.ndarray:
-    """(1 + ln tf) * (1 + IDF_SHARE * ln(docs / df) / ln docs), df from the table's least cell."""
+    """(1 + ln tf) * (1 + ln(1 / share) / ln(1 / RAREST)), the share of documents from the table's least cell."""
     df = np.minimum.reduce([counts[i][c] for i, c in enumerate(cells(x))])
-    return (1 + np.log(tf)) * (1 + IDF_SHARE * np.clip(np.log(docs / np.clip(df, 1, docs)) / np.log(max(docs, 2)), 0, 1))
+    return (1 + np.log(tf)) * (1 + np.log(np.clip(df / max(docs, 1), RAREST, 1)) / np.log(RAREST))
 
 
 def weighted_jaccard(xa: np.ndarray, wa: np.ndarray, xb: np.ndarray, wb: np.ndarray) -> float:
