@@ -9,7 +9,7 @@ all go on. A rule that isn't shown to be safe stays as it is, and the others go
 what is left of ``delta``. All tests together hold with confidence 1 - ``delta``: strata that
 can be tested at all share it, and a stratum's share is split over all sequences that could come up.
 
-Counts are over all labelled rows. A stratum with too few good rows (at alpha 0.02 and delta 0.05
+Counts are over all labelled rows, and of any number of strata. A stratum with too few good rows (at alpha 0.02 and delta 0.05
 some 255 if four share delta) rejects nothing but by the base rule.
 Null and empty texts have no words and fail the base rule. Missing or unknown strata reject
 nothing but by the base rule. Repeated rows are judged alike; a text labelled twice counts twice.
@@ -22,19 +22,16 @@ from collections import defaultdict
 from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.arrow import map_texts
+from tidewell.llm.arrow import filter_texts, map_texts
 from tidewell.session import cut, ship
 
 ALPHA, DELTA = 0.02, 0.05
 #: Cutoffs of a ratio, from the mildest on.
 GRID = [1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02, 0.015, 0.01, 0.0075, 0.005, 0.003, 0.002, 0.001]
 RULES = ("symbols", "dup_lines", "repeats", "shouting", "signs", "same_word")
-#: Strata that counts are kept for; the most frequent ones first.
-MOST_STRATA = 1000
 _SYMBOLS = bytes(b for b in range(256) if b not in b"#*$%&|<>")
 _SIGNS = bytes(b for b in range(256) if b not in b"!?;:=+~^_@{}[]\\/")
 _CONTINUED = bytes(range(0x80, 0xC0))
@@ -186,6 +183,16 @@ def calibrate(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text:
     return cutoffs_of(measured(docs, key=key, text=text, stratum=stratum), labels, key=key, label=label, alpha=alpha, delta=delta)
 
 
+#: Rows about strata up to which they are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_STRATA = 50_000
+
+
+def _side(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """A table about strata, to be joined to all rows."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= BROADCAST_STRATA else df
+
+
 def cutoffs_of(m: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> dict[str, list[float | None]]:
     """Cutoffs by stratum from measured rows; numbers are joined to labels, not texts.
 
@@ -196,7 +203,9 @@ def cutoffs_of(m: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: s
     # the first grid step whose cutoff a ratio is over
     first = F.transform("ratios", lambda x: sum((x <= F.lit(g)).cast("int") for g in GRID))
     rows = cut(m.where("not base_failed and stratum is not null").select("k", "stratum", first.alias("steps")).join(judged, "k").select("stratum", "good", "steps"))
-    totals = {r.stratum: r.n for r in rows.where("good").groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "stratum").limit(MOST_STRATA).collect()}
+    # strata of fewer good rows can't be tested even if they alone spend delta; so what the driver gets has a bound by the number of labelled rows
+    least = math.ceil(math.log(delta / 2) / math.log1p(-alpha)) - 1
+    totals = {r.stratum: r.n for r in rows.where("good").groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).collect()}
     strata = tested(totals, alpha, delta)
     if not strata:
         return {s: [None] * len(RULES) for s in totals}
@@ -204,16 +213,16 @@ def cutoffs_of(m: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: s
     # rules that catch bad rows by mild cutoffs come first, and go on to the last bad row that those before them miss;
     # bad rows say nothing about the good ones that the tests count
     bad = rows.where(~F.col("good"))
-    mean = {r.stratum: r for r in bad.where(F.col("stratum").isin(strata)).groupBy("stratum").agg(*[F.sum(F.col("steps")[i]).alias(f"r{i}") for i in range(len(RULES))]).collect()}
+    mean = {r.stratum: r for r in bad.join(_side(spark, [(x,) for x in strata], "stratum string"), "stratum").groupBy("stratum").agg(*[F.sum(F.col("steps")[i]).alias(f"r{i}") for i in range(len(RULES))]).collect()}
     orders = {s: sorted(range(len(RULES)), key=lambda i: (mean[s][f"r{i}"] if s in mean else 0, i)) for s in strata}
     ends = {s: [-1] * len(RULES) if s in mean else [steps - 1] * len(RULES) for s in strata}
-    by = bad.join(F.broadcast(spark.createDataFrame(list(orders.items()), "stratum string, rules array<int>")), "stratum")
+    by = bad.join(_side(spark, list(orders.items()), "stratum string, rules array<int>"), "stratum")
     by = by.withColumn("at", F.array_position(F.transform("rules", lambda r: F.element_at("steps", r + 1) < steps), True).cast("int")).where("at > 0")
     for r in by.groupBy("stratum", "at").agg(F.max(F.expr("steps[rules[at - 1]]")).alias("end")).collect():
         ends[r.stratum][r["at"] - 1] = r.end
 
     def failing(places):
-        side = F.broadcast(spark.createDataFrame(list(places.items()), "stratum string, places array<int>"))
+        side = _side(spark, list(places.items()), "stratum string, places array<int>")
         at = F.array_min(F.array(*[F.col("places")[F.lit(i * (steps + 1)) + F.col("steps")[i]] for i in range(len(RULES))]))
         out: dict[str, dict[int, int]] = defaultdict(dict)
         for r in rows.where("good").join(side, "stratum").groupBy("stratum", at.alias("at")).agg(F.count(F.lit(1)).alias("n")).collect():
@@ -230,28 +239,21 @@ def passes(cutoffs: dict[str, list[float | None]], stratum: str | None, base_fai
 
 def verdicts(m: DataFrame, cutoffs: dict[str, list[float | None]], key: str = "doc_id") -> DataFrame:
     """key, the base numbers, base_failed, failed_rules, kept of each measured row."""
-    failed = F.array().cast("array<string>")
-    for s, values in cutoffs.items():
-        over = [F.when(F.col("ratios")[i] > F.lit(c), F.lit(RULES[i])) for i, c in enumerate(values) if c is not None]
-        failed = F.when(F.col("stratum") == s, F.array_compact(F.array(*over)) if over else F.array().cast("array<string>")).otherwise(failed)
-    out = m.withColumn("failed_rules", failed)
+    side = _side(m.sparkSession, [(s, values) for s, values in cutoffs.items() if any(c is not None for c in values)], "stratum string, cutoffs array<double>")
+    over = F.array(*[F.when(F.col("ratios")[i] > F.col("cutoffs")[i], F.lit(name)) for i, name in enumerate(RULES)])
+    out = m.join(side, "stratum", "left").withColumn("failed_rules", F.array_compact(over))
     return out.select(F.col("k").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rules", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"))
 
 
 def keep_passing(docs: DataFrame, cutoffs: dict[str, list[float | None]], *, text: str = "text", stratum: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns."""
+    """The rows of ``docs`` that pass, with their columns. The cutoffs are a row a stratum that can be tested."""
     ship(docs.sparkSession)
-    at, by = docs.columns.index(text), docs.columns.index(stratum)
+    shared = docs.sparkSession.sparkContext.broadcast(cutoffs)
 
-    def run(batches):
-        for b in batches:
-            keep = []
-            for t, s in zip(b.column(at).to_pylist(), b.column(by).to_pylist()):
-                m = measure(t.encode() if t is not None else None)
-                keep.append(passes(cutoffs, s, m[5], m[6]))
-            yield b.filter(pa.array(keep, pa.bool_()))
+    def keep(texts, strata):
+        return [passes(shared.value, s, m[5], m[6]) for m, s in zip(map(measure, texts), strata)]
 
-    return docs.mapInArrow(run, docs.schema)
+    return filter_texts(docs, text, keep, stratum)
 
 
 def contract(docs: DataFrame, labels: DataFrame) -> DataFrame:
