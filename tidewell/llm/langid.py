@@ -12,8 +12,10 @@ out side by side. A text's language has the greatest sum of word marginals; ``sc
 their mean. Null texts and texts without a letter are ``und`` with score 0, as is
 everything if there is nothing to learn from. Equal texts get equal results.
 
-At most ``per_language`` documents of each of the ``most_languages`` most frequent languages
-are learned from; those with the least hashes of their ids.
+Every language of the learnable documents can be predicted. At most ``per_language`` documents of
+each are learned from, those with the least hashes of their ids, and of them at most ``words_per_language``
+words in runs; of a document no more than its share of these or ``RUN_WORDS``, as runs from all over it.
+So what the driver gets, and the model, have a size for each language, whatever the length of texts.
 """
 
 from __future__ import annotations
@@ -21,15 +23,20 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.arrow import blocks, map_texts, words
 from tidewell.session import ship
 
-PER_LANGUAGE, MOST_LANGUAGES, MOST_WORDS = 300, 100, 240_000
+#: Documents and words of each language that are learned from, and the longest run of a document's words.
+PER_LANGUAGE, WORDS_PER_LANGUAGE, RUN_WORDS = 300, 60_000, 50
 GRAMS, LEXICON = 1 << 16, 1 << 14
-RUN, CHAIN, CACHE = 256, 60, 400_000
+RUN, CHAIN = 256, 60
+#: Numbers that a worker's table of potentials may hold; words of as many languages as there are share them.
+CACHE = 1_600_000
+#: Languages up to which runs of a chain are multiplied out side by side; beyond, texts are side by side. Both are exact.
+SIDE_BY_SIDE = 12
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -74,6 +81,8 @@ def posteriors(e: np.ndarray, first: np.ndarray, move: np.ndarray, start: np.nda
     n, k = e.shape
     if not n:
         return e
+    if k > SIDE_BY_SIDE:
+        return _by_text(e, first, move, start)
     blocks_, pad = -(-n // run), -n % run
     e = np.vstack([e, np.ones((pad, k))]).reshape(blocks_, run, k)
     first = np.concatenate([first, np.ones(pad, bool)]).reshape(blocks_, run)
@@ -115,28 +124,85 @@ def posteriors(e: np.ndarray, first: np.ndarray, move: np.ndarray, start: np.nda
     return gamma.reshape(-1, k)[:n]
 
 
-def _chains(texts: list[list[bytes]], labels: list[int], rng: np.random.Generator, most: int) -> tuple[list[bytes], np.ndarray]:
-    """Words and labels of runs from different documents, in random order, in all a multiple of CHAIN."""
-    runs = []
-    for w, y in zip(texts, labels):
-        at = 0
-        while at < len(w):
-            n = int(rng.integers(6, 50))
-            runs.append((w[at : at + n], y))
-            at += n
-    out, y = [], []
+def _by_text(e: np.ndarray, first: np.ndarray, move: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Marginals by a pass over places, in which all texts that are long enough take a step."""
+    at = np.flatnonzero(np.append(True, first[1:]))
+    size = np.diff(at, append=len(e))
+    order = np.argsort(-size, kind="stable")
+    at, size = at[order], size[order]
+    alpha, gamma = np.empty_like(e), np.empty_like(e)
+    going = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")  # texts of more words than each place
+    a = start * e[at]
+    alpha[at] = a = a / a.sum(1, keepdims=True)
+    for t in range(1, size[0]):
+        here = at[: going[t]] + t
+        a = (a[: going[t]] @ move) * e[here]
+        alpha[here] = a = a / a.sum(1, keepdims=True)
+    z = np.ones((0, e.shape[1]))
+    for t in range(size[0] - 1, -1, -1):
+        z = np.vstack([z, np.ones((going[t] - len(z), e.shape[1]))])
+        here = at[: going[t]] + t
+        g = alpha[here] * z
+        gamma[here] = g / g.sum(1, keepdims=True)
+        z = (e[here] * z) @ move.T
+        z /= z.sum(1, keepdims=True)
+    return gamma
+
+
+def _runs(words: list[bytes], most: int, seed: int) -> list[list[bytes]]:
+    """Runs of 6 to RUN_WORDS words that a text is cut into; of more than ``most`` words, some from all over it."""
+    rng, runs, at = np.random.default_rng(seed), [], 0
+    while at < len(words):
+        n = int(rng.integers(6, RUN_WORDS))
+        runs.append(words[at : at + n])
+        at += n
+    out, n = [], 0
     for i in rng.permutation(len(runs)).tolist():
-        if len(out) >= most:
+        if n >= most:
             break
-        out += runs[i][0]
-        y += [runs[i][1]] * len(runs[i][0])
+        out.append(runs[i])
+        n += len(runs[i])
+    return out
+
+
+def _chains(runs: list[list[bytes]], labels: list[int], rng: np.random.Generator, most: int) -> tuple[list[bytes], np.ndarray]:
+    """Words and labels of runs in random order, of each label at most ``most`` words, in all a multiple of CHAIN."""
+    out, y, n = [], [], {}
+    for i in rng.permutation(len(runs)).tolist():
+        had = n.get(labels[i], 0)
+        if had < most:
+            n[labels[i]] = had + len(runs[i])
+            out += runs[i]
+            y += [labels[i]] * len(runs[i])
     n = len(out) // CHAIN * CHAIN
     return out[:n], np.array(y[:n])
 
 
-def fit(texts: list[list[bytes]], labels: list[int], languages: list[str], epochs: int = 6, batch: int = 150, rate: float = 0.3) -> Model | None:
+def expectations(e: np.ndarray, move: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(marginals of each word of each chain, expected number of each transition in all) by forward-backward."""
+    rows, n, k = e.shape
+    alpha, beta = np.empty_like(e), np.empty_like(e)
+    a = begin * e[:, 0]
+    alpha[:, 0] = a = a / a.sum(1, keepdims=True)
+    for i in range(1, n):
+        a = (a @ move) * e[:, i]
+        alpha[:, i] = a = a / a.sum(1, keepdims=True)
+    beta[:, -1] = b = np.ones((rows, k))
+    expected = np.zeros((k, k))
+    for i in range(n - 1, 0, -1):
+        x = e[:, i] * b
+        both = ((alpha[:, i - 1] @ move) * x).sum(1, keepdims=True)
+        expected += (alpha[:, i - 1] / both).T @ x
+        b = x @ move.T
+        beta[:, i - 1] = b = b / b.sum(1, keepdims=True)
+    gamma = alpha * beta
+    return gamma / gamma.sum(2, keepdims=True), expected * move
+
+
+def fit(runs: list[list[bytes]], labels: list[int], languages: list[str], words: int = WORDS_PER_LANGUAGE, epochs: int = 6, batch: int = 150, rate: float = 0.3) -> Model | None:
+    """The model of most conditional likelihood of runs of words, each of one language."""
     k, rng = len(languages), np.random.default_rng(7)
-    seq, gold = _chains(texts, labels, rng, MOST_WORDS)
+    seq, gold = _chains(runs, labels, rng, words)
     if not seq:
         return None
     number: dict[bytes, int] = {}
@@ -163,22 +229,7 @@ def fit(texts: list[list[bytes]], labels: list[int], languages: list[str], epoch
             e[has] += weights[GRAMS + own[w][has]]
             e = np.exp(e - e.max(1, keepdims=True))[inverse].reshape(len(rows), CHAIN, k)
             t = np.exp(move - move.max(1, keepdims=True))
-            alpha, beta = np.empty_like(e), np.empty_like(e)
-            a = begin * e[:, 0]
-            alpha[:, 0] = a = a / a.sum(1, keepdims=True)
-            for i in range(1, CHAIN):
-                a = (a @ t) * e[:, i]
-                alpha[:, i] = a = a / a.sum(1, keepdims=True)
-            beta[:, -1] = b = np.ones((len(rows), k))
-            expected = np.zeros((k, k))
-            for i in range(CHAIN - 1, 0, -1):
-                x = e[:, i] * b
-                pair = alpha[:, i - 1, :, None] * t * x[:, None, :]
-                expected += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
-                b = x @ t.T
-                beta[:, i - 1] = b = b / b.sum(1, keepdims=True)
-            gamma = alpha * beta
-            gamma /= gamma.sum(2, keepdims=True)
+            gamma, expected = expectations(e, t, begin)
             y = gold[rows]
             g = -gamma.reshape(-1, k)
             g[np.arange(len(g)), y.ravel()] += 1
@@ -196,25 +247,33 @@ def fit(texts: list[list[bytes]], labels: list[int], languages: list[str], epoch
     return Model(languages, weights, lexicon, t / t.sum(), begin)
 
 
-def train(docs: DataFrame, learnable: F.Column, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model | None:
-    """The model, fitted on rows for which ``learnable`` holds; None if there are none."""
-    known = docs.where(learnable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+def train(docs: DataFrame, learnable: F.Column, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, words_per_language: int = WORDS_PER_LANGUAGE) -> Model | None:
+    """The model, fitted on rows for which ``learnable`` holds; None if there are none.
+
+    Few texts pass a threshold of their ids' hash by language; of them each task sends at most ``per_language`` rows of
+    each, however often an id repeats, and only their runs of words come to the driver.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    known = docs.where(learnable & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.xxhash64(F.col(f"`{key}`"), F.lit(53)).alias("h"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").cast("binary").alias("t"))
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
-    h, wanted = F.xxhash64("k", F.lit(53)), F.lit(False)
-    for r in counts:
-        share = min(1.0, 2 * per_language / r.n)
-        wanted = wanted | ((F.col("lang") == r.lang) & (h <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63)).cast("long")))
-    rows = sorted(known.where(wanted).select("lang", h.alias("h"), F.col("text").cast("binary").alias("text")).collect(), key=lambda r: (r.h, bytes(r.text)))
-    languages = sorted(r.lang for r in counts)
-    texts, labels, n = [], [], dict.fromkeys(languages, 0)
-    for r in rows:
-        if n[r.lang] < per_language:
-            n[r.lang] += 1
-            texts.append(words(bytes(r.text)))
-            labels.append(languages.index(r.lang))
-    return fit(texts, labels, languages)
+    below = [(x, min(2**63 - 1, int(min(1.0, 2 * per_language / n) * 2**64) - 2**63)) for x, n in counts.items()]
+    some = known.join(F.broadcast(spark.createDataFrame(below, "lang string, below long")), "lang").where("h <= below")
+    first = Window.partitionBy("lang").orderBy("h", F.xxhash64("t"))
+    some = some.withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_language)
+    share = max(RUN_WORDS, 2 * words_per_language // per_language)
+
+    def cut(keys, texts):
+        return [keys[0], [h & 0x7FFFFFFF for h in keys[1].to_pylist()], [[b" ".join(x) for x in _runs(words(t), share, h & 0x7FFFFFFF)] for t, h in zip(texts, keys[1].to_pylist())]]
+
+    rows = map_texts(some, ["lang", "h"], "t", cut, "lang string, h long, runs array<binary>").collect()
+    languages, runs, labels = sorted(counts), [], []
+    for r in sorted(rows, key=lambda r: (r.h, r.lang, r.runs)):
+        runs += [bytes(x).split() for x in r.runs]
+        labels += [languages.index(r.lang)] * len(r.runs)
+    return fit(runs, labels, languages, words_per_language)
 
 
 def has_letter(text: bytes | None) -> bool:
@@ -233,7 +292,7 @@ class Labeller:
         self.table = np.empty((0, len(self.model.languages)))
 
     def marginals(self, texts: list[list[bytes]]) -> np.ndarray:
-        if len(self.number) > CACHE:
+        if len(self.number) * len(self.model.languages) > CACHE:
             self.clear()
         number, known = self.number, len(self.number)
         new = [w for w in dict.fromkeys(w for t in texts for w in t) if w not in number]
@@ -284,7 +343,7 @@ def _spread(spark, model):
 
 
 def predict(docs: DataFrame, model: Model | None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, lang_pred, score of each row. The model's size is fixed but for its number of languages."""
+    """key, lang_pred, score of each row. The model has a size for each language."""
     ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return map_texts(docs, [key], text, _predict(_spread(docs.sparkSession, model)), f"k {kind}, lang_pred string, score double").withColumnRenamed("k", key)
