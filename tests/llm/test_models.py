@@ -42,9 +42,53 @@ def test_risk_is_non_negative_and_beats_chance():
     rng = np.random.default_rng(0)
     good, bad = rng.normal(1, 1, (800, 3)), rng.normal(-1, 1, (800, 3))
     one = lambda x: np.hstack([x, np.ones((len(x), 1))])
-    w, mean, scale = quality.fit(one(good[:400]), one(np.vstack([good[400:], bad])), 1 / 3)
-    f = lambda x: (one(x) - mean) / scale @ w
-    assert (f(good) > 0).mean() > 0.8 and (f(bad) < 0).mean() > 0.8
+    positive, unlabelled = one(good[:400]), one(np.vstack([good[400:], bad]))
+    w, mean, scale = quality.fit(positive, unlabelled, 1 / 3)
+    f = lambda x: (x - mean) / scale @ w
+    assert (f(one(good)) > 0).mean() > 0.8 and (f(one(bad)) < 0).mean() > 0.8
+
+    def brute(w):
+        """The risk row by row, from its definition."""
+        loss = lambda z: math.log1p(math.exp(-z))
+        score = lambda rows: [sum(a * b for a, b in zip((r - mean) / scale, w)) for r in rows]
+        fp, fu = score(positive), score(unlabelled)
+        negative = sum(loss(-z) for z in fu) / len(fu) - sum(loss(-z) for z in fp) / len(fp) / 3
+        return sum(loss(z) for z in fp) / len(fp) / 3 + max(0.0, negative)
+
+    least = brute(w)
+    assert abs(least - quality.risk(f(positive), f(unlabelled), 1 / 3)) < 1e-9 and least >= 0
+    assert all(least <= brute(w + d) + 2e-3 for d in rng.normal(0, 0.3, (20, 4))) and least < brute(0 * w)
+    assert quality.negative_risk(np.full(9, 5.0), np.full(9, -5.0), 0.9) < 0 and quality.risk(np.full(9, 5.0), np.full(9, -5.0), 0.9) >= 0
+
+
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.85])
+def test_prior_from_positives_and_unlabelled_rows(share):
+    rng = np.random.default_rng(1)
+    draw = lambda n, at: np.hstack([rng.normal(at, 1, (n, 3)), np.ones((n, 1))])
+    n = 6000
+    got = quality.estimate_prior(draw(n, 1.3), np.vstack([draw(int(n * share), 1.3), draw(n - int(n * share), -1.3)])[rng.permutation(n)])
+    assert share - 0.1 < got < share + 0.02
+
+
+def test_features_of_a_text():
+    text = b"Ab ab ab, 12\n\nxy xy.\nxy xy."
+    x = quality.features(text)
+    kinds = [quality._KINDS[b] for b in text]
+    assert np.allclose(x[: quality.N_KINDS] ** 2, [kinds.count(k) / len(text) for k in range(quality.N_KINDS)])
+    w = text.split()
+    same, second = sum(a == b for a, b in zip(w, w[1:])), sum(a == b for a, b in zip(w, w[2:]))
+    sizes = [len(a) for a in w]
+    expected = [math.sqrt(same / 8), math.sqrt(second / 8), len(set(w)) / 8, len(set(w)) / 8**0.8, math.sqrt(1 - 2 / 3), np.mean(sizes) / 6, np.std(sizes) / 6, math.log1p(8) / 10, 0, 1, 1, 1]
+    assert len(w) == 8 and np.allclose(x[quality.N_KINDS :], expected)
+    assert quality.features(None).tolist() == quality.features(b"").tolist() == [0] * (quality.N - 1) + [1]
+
+
+def test_classifier_of_repeated_and_named_ids(spark):
+    rows = [(f"d{i % 50}" if i % 3 else "hot", f"text {i} of some words" if i % 2 else "## $$ ##") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2, 0) for i in range(50)] + [("hot", 1, 0)], "doc_id string, quality int, toxic int")
+    got = quality.contract(docs, labels).collect()
+    assert len(got) == 900 and quality.train(docs, labels, F.lit(True), most_rows=30) is not None
 
 
 def test_classifier_of_odd_rows(spark, odd_docs, no_docs, labels):
@@ -158,6 +202,27 @@ def test_rules_of_odd_rows(odd_docs, no_docs, labels):
     assert rules.keep_passing(odd_docs, {}).columns == odd_docs.columns
 
 
+def test_rules_of_many_strata(spark):
+    """Over 2,000 strata: three can be tested, and cutoffs of as many as there are can be applied."""
+    import time
+
+    good, bad = " ".join(f"w{i}" for i in range(20)), " ".join(f"w{i}#" for i in range(20))
+    docs = spark.range(60_000).selectExpr("id as doc_id", f"if(id % 7 = 0, '{bad}', '{good}') as text", "case when id % 10 < 6 then 'a' when id % 10 = 6 then 'b' when id % 10 = 7 then 'c' else concat('s', id % 2003) end as lang")
+    labels = docs.selectExpr("doc_id", "cast(if(doc_id % 7 = 0, 0, 1) as int) as quality", "0 as toxic")
+    assert docs.select("lang").distinct().count() > 2000
+    began = time.time()
+    m = rules.measured(docs).cache()
+    cutoffs = rules.cutoffs_of(m, labels)
+    assert set(cutoffs) == set("abc")
+    lost = [r.doc_id for r in rules.verdicts(m, cutoffs).where("not kept").collect()]
+    assert sorted(lost) == [i for i in range(0, 60_000, 7) if i % 10 < 8] and time.time() - began < 40
+    many = {f"s{i}": [0.1] * len(rules.RULES) for i in range(2003)}
+    began = time.time()
+    lost = [r.doc_id for r in rules.verdicts(m, many).where("not kept").collect()]
+    assert sorted(lost) == [i for i in range(0, 60_000, 7) if i % 10 >= 8] and time.time() - began < 30
+    assert sorted(r.doc_id for r in docs.select("doc_id").join(rules.keep_passing(docs, many), "doc_id", "left_anti").collect()) == sorted(lost)
+
+
 # languages
 
 
@@ -182,6 +247,58 @@ def test_forward_backward():
     assert np.allclose(got, np.concatenate([brute_posteriors(e[a:b], move, start) for a, b in zip(cuts, cuts[1:])]))
 
 
+def test_forward_backward_by_text():
+    rng = np.random.default_rng(4)
+    k = langid.SIDE_BY_SIDE + 3
+    e, move, start = rng.random((83, k)) + 0.02, rng.random((k, k)), np.full(k, 1 / k)
+    cuts = [0, 1, 30, 31, 64, 83]
+    first = np.zeros(83, bool)
+    first[cuts[:-1]] = True
+    assert np.allclose(langid.posteriors(e, first, move, start), np.concatenate([brute_posteriors(e[a:b], move, start) for a, b in zip(cuts, cuts[1:])]))
+
+
+def test_expectations_are_those_of_all_paths():
+    """The parts of the gradient against sums over all label paths."""
+    from itertools import product
+
+    rng = np.random.default_rng(6)
+    e, move, begin = rng.random((2, 4, 3)) + 0.05, rng.random((3, 3)) + 0.05, np.full(3, 1 / 3)
+    gamma, pairs, total = np.zeros((2, 4, 3)), np.zeros((3, 3)), np.zeros(2)
+    for c in range(2):
+        weight = {}
+        for path in product(range(3), repeat=4):
+            w = begin[path[0]] * e[c, 0, path[0]]
+            for i in range(1, 4):
+                w *= move[path[i - 1], path[i]] * e[c, i, path[i]]
+            weight[path] = w
+        total[c] = sum(weight.values())
+        for path, w in weight.items():
+            for i, y in enumerate(path):
+                gamma[c, i, y] += w / total[c]
+            for a, b in zip(path, path[1:]):
+                pairs[a, b] += w / total[c]
+    got = langid.expectations(e, move, begin)
+    assert np.allclose(got[0], gamma) and np.allclose(got[1], pairs)
+
+
+def test_any_number_of_languages(spark):
+    """150 languages, a third of the rows under one id, and a text of 120,000 words."""
+    rows = []
+    for x in range(150):
+        own = [f"{chr(97 + x % 26)}{chr(97 + x // 26)}{i}q" for i in range(12)]
+        rows += [(7 if i == 0 else 1000 * x + i, " ".join(own[(i + j) % 12] for j in range(12)), f"l{x}") for i in range(9)]
+    rows += [(7, rows[0][1], "l0")] * 700 + [(9, " ".join([rows[0][1]] * 10_000), "l0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, F.lit(True), per_language=20, words_per_language=400)
+    assert len(model.languages) == 150
+    got = langid.predict(docs, model).collect()
+    lang = {}
+    for r in rows:
+        lang.setdefault(r[0], set()).add(r[2])
+    right = [r.lang_pred in lang[r.doc_id] for r in got]
+    assert len(got) == len(rows) and sum(right) >= 0.97 * len(right) and len({r.lang_pred for r in got}) > 140
+
+
 def test_languages_of_held_out_rows(larger):
     docs, _ = larger
     got = {r.doc_id: r for r in langid.contract(docs).collect()}

@@ -4,24 +4,25 @@ Rows labelled 1 are trusted positives, web text with other or no labels is unlab
 A linear model over the shape of a text minimises the non-negative unbiased risk
 (Kiryo and others, 2017): with prior p, positives P, unlabelled U and logistic loss l,
     p * mean_P l(f) + max(0, mean_U l(-f) - p * mean_P l(-f)).
-The prior is the share of label 1 among the labelled rows that may be learned from, all
-of which are counted. Features are ratios of kinds of characters, lines and words in the
+The prior is estimated from positives and unlabelled rows alone, by the best bin (Garg and
+others, 2021): a classifier that tells P from U is fitted on half of both, and of the cutoffs on
+its scores of the other half the one is taken above which the ratio of U's share to P's, with a
+bound of its error, is least. Features are ratios of kinds of characters, lines and words in the
 whole text; no feature knows the language, source, id or label of a row.
 
 At most ``most_rows`` rows of each kind are learned from, those with the least hashes of
-their ids; everything is scored. Null and empty texts have the features of no words and
+their ids, however often an id repeats; everything is scored. Ids may be of any type. Null and empty texts have the features of no words and
 get a score as any other. Labels without a document are ignored; a document labelled twice
-counts twice. Without a positive row to learn from, all scores are 1.
+counts once. Without a positive row to learn from, all scores are 1.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.arrow import map_texts
+from tidewell.llm.arrow import filter_texts, map_texts
 from tidewell.session import ship
 
 #: Rows of each kind that the model is fitted on.
@@ -60,26 +61,75 @@ def features(text: bytes | None) -> np.ndarray:
     return out
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _adam(gradient, n: int, steps: int, rate: float) -> np.ndarray:
+    """Weights from zero, by steps down ``gradient``."""
+    w, m, v = np.zeros(n), np.zeros(n), np.zeros(n)
+    for t in range(1, steps + 1):
+        g = gradient(w)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+def _scaled(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    both = np.vstack([positive, unlabelled]).astype(np.float64)
+    mean, scale = both.mean(0), both.std(0) + 1e-3
+    mean[-1], scale[-1] = 0, 1
+    return (positive - mean) / scale, (unlabelled - mean) / scale, mean, scale
+
+
+def negative_risk(fp: np.ndarray, fu: np.ndarray, prior: float) -> float:
+    """Estimated risk of the negatives, by the scores of positives and unlabelled rows; by chance it may be below zero."""
+    return float(np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean())
+
+
+def risk(fp: np.ndarray, fu: np.ndarray, prior: float) -> float:
+    """The non-negative risk."""
+    return float(prior * np.logaddexp(0, -fp).mean()) + max(0.0, negative_risk(fp, fu, prior))
+
+
+def best_bin(sp: np.ndarray, su: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """The share of positives in U, less its error's bound, from scores of P and U that no classifier was fitted on.
+
+    With a prior that is too high, bad texts pass, as the risk of negatives is held at zero; one too low by the
+    error changes little. So the bound is taken off.
+    """
+    cutoffs = np.unique(np.concatenate([sp, su]))
+    share = lambda s: 1 - np.searchsorted(np.sort(s), cutoffs) / len(s)
+    p, u = share(sp), share(su)
+    error = np.sqrt(np.log(4 / delta) / 2 / len(su)) + np.sqrt(np.log(4 / delta) / 2 / len(sp))
+    ok = p > 0
+    best = np.argmin((u[ok] + (1 + gamma) * error) / p[ok])
+    return float(np.clip((u[ok][best] - error) / p[ok][best], 0.0, 1.0))
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400) -> float:
+    """The share of positives among unlabelled rows; halves are dealt in turn, as rows come in the order of hashes."""
+    p, u, _, _ = _scaled(positive, unlabelled)
+    (p, hp), (u, hu) = (p[::2], p[1::2]), (u[::2], u[1::2])
+    if not len(hp) or not len(hu):
+        return 0.5
+    w = _adam(lambda w: u.T @ _sigmoid(u @ w) / len(u) - p.T @ _sigmoid(-(p @ w)) / len(p) + 1e-3 * w, p.shape[1], steps, 0.05)
+    return float(np.clip(best_bin(hp @ w, hu @ w), 0.02, 0.98))
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(weights, mean, scale) that minimise the non-negative risk, by Adam over the whole sample.
 
     Where the estimated risk of negatives falls below zero, the step goes up that part alone.
     """
-    both = np.vstack([positive, unlabelled]).astype(np.float64)
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    mean[-1], scale[-1] = 0, 1
-    p, u = (positive - mean) / scale, (unlabelled - mean) / scale
-    w, m, v = np.zeros(both.shape[1]), np.zeros(both.shape[1]), np.zeros(both.shape[1])
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    for t in range(1, steps + 1):
+    p, u, mean, scale = _scaled(positive, unlabelled)
+
+    def gradient(w):
         fp, fu = p @ w, u @ w
-        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        g_negative = u.T @ sig(fu) / len(u) - prior * (p.T @ sig(fp)) / len(p)
-        g = -g_negative if negative < 0 else -prior * (p.T @ sig(-fp)) / len(p) + g_negative
-        g = g + decay * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w, mean, scale
+        g = u.T @ _sigmoid(fu) / len(u) - prior * (p.T @ _sigmoid(fp)) / len(p)
+        return (-g if negative_risk(fp, fu, prior) < 0 else g - prior * (p.T @ _sigmoid(-fp)) / len(p)) + decay * w
+
+    return _adam(gradient, p.shape[1], steps, rate), mean, scale
 
 
 def _featurise(keys, texts):
@@ -102,21 +152,20 @@ def train(docs: DataFrame, labels: DataFrame, learnable: F.Column, *, key: str =
     Labels are joined to keys first, so only the texts of the sample are read by Python.
     """
     ship(docs.sparkSession)
-    known = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where("k is not null and y is not null").withColumn(key, F.col("k")).where(learnable).drop(key)
-    n1, n = known.agg(F.count(F.when(F.col("y") == 1, 1)), F.count(F.lit(1))).first()
-    if not n1:
-        return None
-    prior = min(0.98, n1 / n)
-    texts = docs.where(learnable).select(F.col(key).alias("k"), F.col(text).alias("text"))
-    positive_keys = _sample(known.where("y = 1").select("k"), most_rows)
+    known = labels.where(F.col(label) == 1).select(F.col(key).alias("k")).where("k is not null").withColumn(key, F.col("k")).where(learnable).drop(key)
+    texts = docs.where(learnable).select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("text"))
+    positive_keys = _sample(known.distinct(), most_rows)
     unlabelled_keys = _sample(texts.select("k").where("k is not null"), most_rows)
-    wanted = positive_keys.withColumn("positive", F.lit(1)).union(unlabelled_keys.withColumn("positive", F.lit(0)))
+    wanted = positive_keys.withColumn("positive", F.lit(1)).union(unlabelled_keys.distinct().withColumn("positive", F.lit(0)))
     rows = texts.join(F.broadcast(wanted), "k")  # at most 2 * most_rows keys
-    got = map_texts(rows, ["k", "positive"], "text", _featurise, "k long, positive int, x array<float>").orderBy("k", "positive").toPandas()
+    # an id that many rows share counts no more often than the bound; each task sends no more than that
+    first = Window.partitionBy("positive").orderBy(F.xxhash64("k", F.lit(41)), F.xxhash64("text"))
+    rows = rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= most_rows)
+    got = map_texts(rows, ["place", "positive"], "text", _featurise, "place int, positive int, x array<float>").orderBy("positive", "place").toPandas()
     x, positive = np.array(got["x"].tolist(), np.float64).reshape(-1, N), got["positive"].to_numpy() == 1
     if not positive.any() or positive.all():
         return None
-    return fit(x[positive], x[~positive], prior)
+    return fit(x[positive], x[~positive], estimate_prior(x[positive], x[~positive]))
 
 
 def _score(model):
@@ -139,15 +188,8 @@ def score(docs: DataFrame, model, *, key: str = "doc_id", text: str = "text") ->
 def keep_good(docs: DataFrame, model, threshold: float = 0.3, *, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, with their columns."""
     ship(docs.sparkSession)
-    at, run = docs.columns.index(text), _score(model)
-
-    def keep(batches):
-        for b in batches:
-            if b.num_rows:
-                s = run([], [t.encode() if t is not None else None for t in b.column(at).to_pylist()])[0]
-                yield b.filter(pa.array(np.asarray(s) >= threshold))
-
-    return docs.mapInArrow(keep, docs.schema)
+    run = _score(model)
+    return filter_texts(docs, text, lambda texts: np.asarray(run([], texts)[0]) >= threshold if texts else [])
 
 
 def held_out(key: str = "doc_id") -> F.Column:
