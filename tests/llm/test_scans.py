@@ -64,6 +64,23 @@ def test_decontamination_of_odd_rows(spark, odd_docs, no_docs):
     assert decontam.decontaminate(odd_docs, items).columns == odd_docs.columns
 
 
+def test_rows_are_judged_one_by_one_in_any_number_of_blocks(spark):
+    """Repeated and null ids, equal texts, and items without an id or a text."""
+    bad, ok = " ".join(f"q{i}" for i in range(14)), " ".join(f"clean{i}" for i in range(30))
+    rows = [(1, bad), (1, ok), (2, ok), (None, bad), (None, ok), (None, None), (3, bad + " " + ok), (3, bad + " " + ok), (4, "other item words"), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    items = [(1, bad), (None, "Other item WORDS"), (7, "x" * 3000), (8, None), (None, None), (1, "other item words here not there")] + [(100 + i, f"filler {i} words") for i in range(40)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    expected = sorted(((k, t) for k, t in rows if t not in (bad, bad + " " + ok, "other item words")), key=str)
+    for block_bytes in (8_000_000, 900, 60):
+        kept = sorted(((r.doc_id, r.text) for r in decontam.decontaminate(docs, benchmark, block_bytes=block_bytes).collect()), key=str)
+        assert kept == expected, block_bytes
+        got = sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"]), list(r.offsets)) for r in decontam.scan(docs, benchmark, block_bytes=block_bytes).collect()), key=str)
+        one = sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"]), list(r.offsets)) for r in decontam.scan(docs, benchmark).collect()), key=str)
+        assert got == one and len(got) == len(rows)
+    assert (4, 3, 3, [], []) in one  # an item without an id hits words but isn't named
+
+
 def test_offsets_are_of_the_original(spark):
     docs = spark.createDataFrame([(1, "É! One,  two?")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "one two")], "item_id long, text string")
@@ -202,6 +219,31 @@ def test_main_text_rules(page, text):
     assert html.extract(page) == text
 
 
+@pytest.mark.parametrize("name", ["content no-sidebar", "post-content has-sidebar", "article-body ad-free", "entry share-enabled", "related-content", "main-widget", "post social promo", "newsletter"])
+def test_names_alone_drop_no_article(name):
+    for start, end in (("<div>", "</div>"), ("", ""), ("<div><div>", "</div></div>")):
+        page = f"<body><div id=nav><a href=/>Home</a></div>{start}<div class='{name}'><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div>{end}<p>Copyright line here.</p></body>"
+        assert html.extract(page).startswith(f"T\n\n{LONG.strip()}\n\n{LONG.strip()}"), name
+
+
+@pytest.mark.parametrize("name", ["sidebar", "cookie-notice", "ad", "promo box", "related", "share", "comments", "comment-list", "newsletterSignup"])
+def test_noise_beside_and_inside_the_article_goes(name):
+    noise = f"<div class='{name}'><p>{LONG}{LONG}</p></div>"
+    body = f"<h1>T</h1><p>{LONG}</p>" + f"<p>{LONG}</p>" * 3
+    text = "\n\n".join(["T", *[LONG.strip()] * 4])
+    assert html.extract(f"<div id=x>{body}{noise}</div>") == html.extract(f"<div>{body}</div>{noise}") == html.extract(f"<article>{body}{noise}</article>") == text
+    comments = "".join(f"<div class='comment'><p>{LONG}{LONG}</p></div>" for _ in range(40))
+    assert html.extract(f"<div id=x>{body}<div id=comments>{comments}</div></div>") == text
+
+
+@pytest.mark.parametrize("page", ["<span>" * 8000 + "</b>" * 8000, "<div>" * 8000, "<b><div>" + "<span>" * 8000 + "</b>" * 8000, "</i>" * 50_000, "<p>" * 50_000, "<table>" + "<tr><td>" * 8000, "<a>" * 20_000, "<h1>" * 8000 + "</h2>" * 8000, "<div><span>" * 8000 + "</p>" * 8000])
+def test_many_tags_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    assert html.extract(page + LONG) == LONG.strip() and time.process_time() - began < 1
+
+
 def test_main_text_of_odd_rows(spark):
     df = spark.createDataFrame([(None, None, None, 1), (1, "u", "<p>x", 2), (1, "u", "<p>x", 2)], "page_id long, url string, html string, k int")
     assert sorted(r.n_chars for r in html.contract(df).collect()) == [0, 1, 1] and html.contract(df.where("false")).count() == 0

@@ -1,10 +1,15 @@
 """Main text of web pages by tree scoring.
 
-A page is read into a tree with HTML's rules for tags that close themselves. Parts that are
-never main text (menus, forms, scripts, notices, adverts, reader comments, hidden parts) are
-left out. Each paragraph passes points for its length and commas to its ancestors, half as
-many to each farther one, discounted by its share of linked text. The best container and
-those of its siblings that read like it are kept, with all their blocks, short ones too.
+A page is read into a tree with HTML's rules for tags that close themselves, in time linear
+in its tags. Elements that are never main text (menus, forms, scripts, hidden parts) are left
+out. Each paragraph passes points for its length and commas to its ancestors, half as many to
+each farther one, discounted by its share of linked text, and if an element around it is named
+as noise (adverts, sidebars, notices, reader comments). The best container and those of its
+siblings that read like it are kept, with all their blocks, short ones too, but for noise
+inside them. A name alone never drops the best container: noise that holds most of its text
+stays, unless it is named as reader comments or stands in an article element, and names of states
+such as ``no-sidebar`` and ``ad-free`` are no noise. If an article element outside noise has text,
+the best container isn't looked for in noise.
 
 Blocks are joined by two line ends, white space inside a block is one space. Null and empty
 pages, and pages without text, have empty text. Equal pages get equal texts; extra columns
@@ -31,12 +36,19 @@ BLOCK = frozenset(
 DROPPED = frozenset("aside button canvas datalist dialog embed footer form head iframe input map menu nav noscript object script search select style svg template textarea title".split())
 #: Words of a class or id that name no main text.
 NOISE = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr "
-    "masthead menu modal nav navbar navigation newsletter notice outbrain overlay pager pagination popup promo promotion related replies reply respond share sharing "
+    "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies footer gdpr "
+    "masthead menu modal nav navbar navigation newsletter notice outbrain overlay pager pagination popup promo promotion related share sharing "
     "sidebar skip social sponsor sponsored subscribe subscription taboola toolbar topbar widget widgets".split()
 )
+#: Words that name reader comments.
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
+#: Words of a name that tell how a part is laid out or what it may have, not what it is.
+STATES = frozenset("no not non has have with without free enabled disabled open closed layout is less aware".split())
+#: What is left of a paragraph's points inside noise, and of a container's text beside noise for the noise to go.
+IN_NOISE, BESIDE_NOISE = 0.2, 0.25
 PARAGRAPHS = frozenset("p pre blockquote li td th dd dt h1 h2 h3 h4 h5 h6 figcaption caption summary".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ARTICLE = frozenset({"article", "main"})
 NEVER_DROPPED = frozenset("html body article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 #: What a start tag closes if it is open, and the elements beyond which it closes nothing.
@@ -53,20 +65,33 @@ LEAST, LEVELS = 25, 5
 
 
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "block", "score", "chars", "linked", "kept")
+    __slots__ = ("tag", "parent", "dropped", "noise", "block", "score", "chars", "linked", "kept")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped, self.block = tag, parent, dropped, tag in BLOCK
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, noise: int):
+        self.tag, self.parent, self.dropped, self.noise, self.block = tag, parent, dropped, noise, tag in BLOCK
         self.score, self.chars, self.linked, self.kept = 0.0, 0, 0, False
 
 
+def noise_of(names: str) -> int:
+    """0: a class or id that names no noise, 1: noise, 2: reader comments."""
+    most = 0
+    for name in names.split():
+        tokens = {t.lower() for t in _TOKENS.findall(name)}
+        if not tokens & STATES:
+            most = max(most, 2 if tokens & COMMENTS else 1 if tokens & NOISE else 0)
+    return most
+
+
 class Page(HTMLParser):
     """The nodes of a page in page order, and its blocks as (node, text, linked characters)."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        root = Node("html", None, False)
+        root = Node("html", None, False, 0)
         self.nodes, self.open, self.blocks = [root], [root], []
+        #: depths of the open elements of each tag, and of all open blocks, in order
+        self.at: dict[str, list[int]] = {"html": [0]}
+        self.block_at = [0]
         self.pieces: list[str] = []
         self.links, self.linked, self.article = 0, 0, 0
         last = html.rfind("<!--")
@@ -79,21 +104,27 @@ class Page(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.pieces).split())
         if text:
-            node = next(n for n in reversed(self.open) if n.block)
-            self.blocks.append((node, text, min(self.linked, len(text))))
+            self.blocks.append((self.open[self.block_at[-1]], text, min(self.linked, len(text))))
         self.pieces, self.linked = [], 0
 
+    def depth(self, tags) -> int:
+        """The depth of the innermost open element of these tags, or -1."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
     def leave(self, depth: int) -> None:
         """Close all open elements from ``depth`` on."""
+        if self.block_at[-1] >= depth:
+            self.flush()
         for n in self.open[depth:]:
             self.links -= n.tag == "a"
-            self.article -= n.tag in ("article", "main")
-        if any(n.block for n in self.open[depth:]):
-            self.flush()
+            self.article -= n.tag in ARTICLE
+            self.at[n.tag].pop()
+        while self.block_at[-1] >= depth:
+            self.block_at.pop()
         del self.open[depth:]
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("html", "body") and any(n.tag == tag for n in self.open):
+        if tag in ("html", "body") and self.at.get(tag):
             return
         if tag in VOID:
             if tag == "hr":
@@ -109,40 +140,46 @@ class Page(HTMLParser):
         parent = self.open[-1]
         if tag in BLOCK:
             self.flush()
-        self.open.append(Node(tag, parent, parent.dropped or self.noise(tag, dict(attrs))))
+            self.block_at.append(len(self.open))
+        self.at.setdefault(tag, []).append(len(self.open))
+        self.open.append(Node(tag, parent, parent.dropped or self.never(tag, attrs), self.named(tag, attrs)))
         self.nodes.append(self.open[-1])
         self.links += tag == "a"
-        self.article += tag in ("article", "main")
+        self.article += tag in ARTICLE
 
     handle_startendtag = handle_starttag
 
-    def noise(self, tag: str, attrs: dict) -> bool:
+    def never(self, tag: str, attrs: list) -> bool:
+        """Whether an element is no main text whatever stands in it."""
         if tag in NEVER_DROPPED:
             return False
         if tag in DROPPED or tag == "header" and not self.article:
             return True
-        if "hidden" in attrs or attrs.get("aria-hidden") == "true" or (attrs.get("role") or "").lower() in ROLES or _HIDDEN.search(attrs.get("style") or ""):
-            return True
-        names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-        return names != " " and any(t.lower() in NOISE for t in _TOKENS.findall(names))
+        if not attrs:
+            return False
+        attrs = dict(attrs)
+        return "hidden" in attrs or attrs.get("aria-hidden") == "true" or (attrs.get("role") or "").lower() in ROLES or bool(_HIDDEN.search(attrs.get("style") or ""))
+
+    def named(self, tag: str, attrs: list) -> int:
+        return noise_of(" ".join(v for k, v in attrs if v and k in ("class", "id"))) if attrs and tag not in NEVER_DROPPED else 0
 
-    def close_up(self, tags: set[str], bound) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in tags:
-                return self.leave(i)
-            if self.open[i].tag in bound:
-                return None
-        return None
+    def close_up(self, tags, bound) -> None:
+        i = self.depth(tags)
+        if i > max(0, self.depth(bound)):
+            self.leave(i)
 
     def handle_endtag(self, tag):
         if tag in ("html", "body") or tag in VOID:
-            self.pieces.append(" ") if tag == "br" else None
+            if tag == "br":
+                self.pieces.append(" ")
             return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag or tag in HEADINGS and self.open[i].tag in HEADINGS:
-                return self.leave(i)
-            if tag not in BLOCK and self.open[i].block or self.open[i].tag in ("table", "article", "main") and tag not in ("article", "main", "section", "div", "table"):
-                return
+        i = self.depth(HEADINGS if tag in HEADINGS else (tag,))
+        if tag not in BLOCK:
+            bound = self.block_at[-1]
+        else:
+            bound = -1 if tag in ("article", "main", "section", "div", "table") else self.depth(("table", "article", "main"))
+        if i > 0 and i >= bound:
+            self.leave(i)
 
     def handle_data(self, data):
         if not self.open[-1].dropped:
@@ -152,13 +189,17 @@ class Page(HTMLParser):
 
 
 def best(page: Page) -> Node:
-    """The container with the most points, less its share of linked text."""
+    """The container with the most points, less its share of linked text and those that noise is named for."""
+    inside = {None: False}
+    for n in page.nodes:
+        inside[n] = n.noise > 0 or inside[n.parent]
     for node, text, linked in page.blocks:
         node.chars += len(text)
         node.linked += linked
         if len(text) < LEAST:
             continue
         points = (1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3)) * (1 - linked / len(text))
+        points *= IN_NOISE if inside[node] else 1
         at = node.parent if node.tag in PARAGRAPHS and node.parent else node
         for _ in range(LEVELS):
             if at is None:
@@ -170,16 +211,15 @@ def best(page: Page) -> Node:
         if n.parent:
             n.parent.chars += n.chars
             n.parent.linked += n.linked
+    named = [n for n in page.nodes if n.tag in ARTICLE and n.chars and not n.dropped]
+    plain = [n for n in named if not inside[n]]
     top, most = None, 0.0
     for n in page.nodes:
-        if n.score > 0 and n.block:
-            score = (n.score + (25 if n.tag in ("article", "main") else 0)) * (1 - n.linked / max(1, n.chars))
+        if n.score > 0 and n.block and not (plain and inside[n]):
+            score = (n.score + (25 if n.tag in ARTICLE else 0)) * (1 - n.linked / max(1, n.chars))
             if score > most:
                 top, most = n, score
-    if top is None:
-        named = [n for n in page.nodes if n.tag in ("article", "main") and n.chars and not n.dropped]
-        top = named[0] if named else page.nodes[0]
-    return top
+    return top or next(iter(plain or named), page.nodes[0])
 
 
 def extract(html: str | None) -> str:
@@ -190,9 +230,21 @@ def extract(html: str | None) -> str:
     top = best(page)
     least = max(10.0, top.score / 5)
     top.kept = True
+    # text of the best container that no noise inside it has: noise goes only if enough is left
+    noisy, beside = {None: False, top: False}, 0
+    for n in page.nodes:
+        noisy.setdefault(n, noisy[n.parent] or n.noise > 0 and n is not top)
+    below = {top}
+    for n in page.nodes:
+        if n.parent in below:
+            below.add(n)
+    for node, text, _ in page.blocks:
+        beside += len(text) if node in below and not noisy[node] else 0
     for n in page.nodes:
         if n is top or n.parent is None or n.dropped:
             pass
+        elif n.noise == 2 or n.noise and (n.parent not in below or beside >= (1 if top.tag in ARTICLE else BESIDE_NOISE * n.chars)):
+            pass
         elif n.parent.kept:
             n.kept = True
         elif n.parent is top.parent and n.chars and n.linked < n.chars / 4:
