@@ -1,10 +1,11 @@
 """Packing token streams into sequences: first-fit decreasing in randomised groups.
 
-A document's ids are cut into pieces of a full sequence and a rest. Pieces are dealt by a
-hash into groups of about ``group_rows`` documents' share, and each group is packed on its
-own: pieces in descending order go to the first bin with room, found in a tournament tree
-of the bins' free room; a full piece fills a bin. Only (key, start, length, checksum) of
-a piece is shuffled, never ids.
+A document's ids are cut into pieces of a full sequence and a rest. A full piece is a
+sequence by itself. Rests are dealt by a hash of their places into groups of about
+``group_rows``, and each group is packed on its own: pieces in descending order go to the
+first bin with room, found in a tournament tree of the bins' free room. Only (key, start,
+length, checksum) of a rest is shuffled, never ids. Groups are dealt by places, not by
+keys, so a key, null or a text that many rows share is spread over all groups.
 
 A null or empty text is its end id alone. Documents with the same key are packed one by
 one. An empty table gives no rows; extra columns are ignored.
@@ -21,9 +22,11 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.arrow import map_texts
 from tidewell.llm.bpe import encoder, with_end
-from tidewell.session import ship
+from tidewell.session import cut, ship
 
 GROUP_ROWS = 4096
+#: Sequence ids of full pieces begin here; those of groups are less.
+_FULL = 1 << 62
 
 
 class Tournament:
@@ -85,19 +88,23 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int, length: int = 2048, gr
     """
     spark = docs.sparkSession
     ship(spark)
-    groups = max(1, docs.count() // group_rows)
     kind = docs.schema[key].dataType.simpleString()
-    pieces = map_texts(docs, [key], text, _pieces(tokenizer, end_id, length), f"k {kind}, start long, length long, crc long, n long")
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("k", "start", "n", F.lit(17)), F.lit(groups)).cast("int"))
+    # pieces are kept in the shared folder, so their places don't change if a task runs again
+    pieces = cut(map_texts(docs, [key], text, _pieces(tokenizer, end_id, length), f"k {kind}, start long, length long, crc long, n long"))
+    full = F.col("length") == length
+    groups = max(1, pieces.where(~full).count() // group_rows)
+    place = F.monotonically_increasing_id()
+    dealt = pieces.withColumn("place", place).where(~full).withColumn("g", F.pmod(F.xxhash64("place", F.lit(17)), F.lit(groups)).cast("int"))
 
     def fill(group, rows):
-        order = np.lexsort([rows[c].to_numpy() for c in ("crc", "start")] + ([rows["k"].to_numpy()] if not rows["k"].null_count and kind in ("bigint", "int") else []))
-        rows = rows.take(pa.array(order))
+        rows = rows.take(pa.array(np.argsort(rows["place"].to_numpy(), kind="stable")))
         at = first_fit_decreasing(rows["length"].to_pylist(), length)
         base = group[0].as_py() << 32
         return pa.table({"k": rows["k"], "start": rows["start"], "length": rows["length"], "crc": rows["crc"], "n": rows["n"], "sequence_id": pa.array([base + b for b, _ in at], pa.int64()), "offset": pa.array([o for _, o in at], pa.int64())})
 
     out = dealt.groupBy("g").applyInArrow(fill, f"k {kind}, start long, length long, crc long, n long, sequence_id long, offset long")
+    alone = pieces.withColumn("sequence_id", place + F.lit(_FULL)).where(full).withColumn("offset", F.lit(0).cast("long"))
+    out = out.unionByName(alone)
     return out.select(F.col("k").alias(key), "start", "length", F.col("crc").alias("ids_crc32"), F.col("n").alias("doc_tokens"), "sequence_id", "offset")
 
 
