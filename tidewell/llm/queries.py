@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewell.llm import decontam, html, langid, license, neardup, pack, quality, rules, shard, store
 from tidewell.llm.bpe import vocabulary_path
@@ -51,7 +52,53 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.contract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_decontamination, op3_minimax_shards, op4_quality_classifier, op5_near_duplicates, op6_quality_rules, op7_license_scan, op8_language_id, op9_packing, op10_main_text)}
-
-#: SQL can't express these operators on whole tables; tests/llm holds them against brute force.
-ORACLES: dict[str, str] = {}
+def rules_base_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``op6_quality_rules`` measures, without the learned verdict, so that SQL can say it too."""
+    m = rules.measured(table(spark, sf_dir, "documents"))
+    return m.select(F.col("k").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base places and labels of ``op7_license_scan``, without the method's own labels."""
+    return license.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+_OPERATORS = (op1_token_store, op2_decontamination, op3_minimax_shards, op4_quality_classifier, op5_near_duplicates, op6_quality_rules, op7_license_scan, op8_language_id, op9_packing, op10_main_text)
+QUERIES = {f.__name__: f for f in (*_OPERATORS, rules_base_numbers, license_base_places)}
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: SQL can't express the other operators on whole tables; tests/llm holds them against brute force.
+ORACLES: dict[str, str] = {
+    "op2_decontamination": f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+i as (select item_id, {_WORDS} as w from benchmark),
+windows as (
+  select distinct item_id, 13 as n, array_to_string(w[pos : pos + 12], ' ') as p from (select item_id, w, unnest(generate_series(1, len(w) - 12)) as pos from i where len(w) >= 13)
+  union select item_id, len(w), array_to_string(w, ' ') from i where len(w) between 1 and 12),
+sizes as (select distinct n from windows),
+places as (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as pos from d, sizes where len(w) >= n),
+hits as (select doc_id, pos, places.n, item_id from places join windows on places.n = windows.n and array_to_string(w[pos : pos + places.n - 1], ' ') = p),
+hit as (select doc_id, count(distinct word) as n_hit from (select doc_id, unnest(generate_series(pos, pos + n - 1)) as word from hits) group by doc_id),
+named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from hits where item_id is not null) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join hit using (doc_id) left join named using (doc_id)""",
+    "rules_base_numbers": r"""
+with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (select doc_id, pos, array_to_string(w[pos : pos + 4], ' ') as p from (select doc_id, w, unnest(generate_series(1, len(w) - 4)) as pos from d where len(w) >= 5)),
+often as (select doc_id, pos from windows join (select doc_id, p from windows group by doc_id, p having count(*) > 1) using (doc_id, p)),
+repeats as (select doc_id, count(distinct word) as n from (select doc_id, unnest(generate_series(pos, pos + 4)) as word from often) group by doc_id),
+lines as (select doc_id, unnest(string_split(text, chr(10))) as line from d),
+dups as (select doc_id, count(*) - count(distinct line) as n from lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars, cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+  coalesce(dups.n, 0) as n_dup_lines, coalesce(repeats.n, 0) as n_repeat_words, len(w) < 10 or 100 * coalesce(repeats.n, 0) > 20 * len(w) as base_failed
+from d left join repeats using (doc_id) left join dups using (doc_id)""",
+    "license_base_places": f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+phrases as (select * from (values ('cc by', 2, 'cc-by'), ('general public license', 3, 'gpl'), ('all rights reserved', 3, 'reserved')) v(p, n, label)),
+hits as (select doc_id, pos - 1 as pos, label from (select doc_id, w, unnest(generate_series(1, len(w))) as pos from d), phrases where array_to_string(w[pos : pos + n - 1], ' ') = p),
+found as (select doc_id, count(*) as n_base, min(pos) as first_word, max(pos) as last_word, string_agg(distinct label, ',' order by label) as base_labels from hits group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels from d left join found using (doc_id)""",
+}
