@@ -175,6 +175,16 @@ def test_packing(docs, odd_docs, no_docs):
     assert pack.pack(no_docs, tokenizer=BYTE, end_id=1).count() == 0
 
 
+def test_a_hot_key_is_spread_over_groups(spark):
+    """Rows without an id and with the same text: half of all, in many groups, none of them large."""
+    rows = [(None, "one text that many rows share")] * 1500 + [(i, f"row {i} " * (1 + i % 40)) for i in range(1500)] + [(9, "long " * 9000)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = pack.pack(docs, tokenizer=BYTE, end_id=1, group_rows=100).where("length < 2048")
+    groups = {r.g: r.n for r in got.selectExpr("sequence_id >> 32 as g").groupBy("g").count().withColumnRenamed("count", "n").collect()}
+    assert len(groups) == 30 and max(groups.values()) < 200
+    check_packing(docs, 100)
+
+
 def test_packed_sequences_hold_the_ids(docs):
     some = docs.limit(30)
     pieces = pack.pack(some, tokenizer=BYTE, end_id=1)
@@ -184,3 +194,65 @@ def test_packed_sequences_hold_the_ids(docs):
     for p in pieces.collect():
         assert by[p.sequence_id][p.offset : p.offset + p.length] == text[p.doc_id][p.start : p.start + p.length]
     assert all(len(x) == 2048 or len(x) & (len(x) - 1) == 0 for x in by.values())
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_words_of_one_hash_keep_their_own_ids(path, monkeypatch):
+    a = thue_morse(1024)
+    texts = [a, a.translate(str.maketrans("ab", "ba")), "x " + a, a + "a", "word " * 3, "other\nwords, in (all)  cases\n"]
+    expected = [whole(path, t) for t in texts]
+
+    def got(e):
+        ids, n = e.encode([t.encode() for t in texts])
+        return [p.tolist() for p in np.split(ids, np.cumsum(n)[:-1])]
+
+    assert got(bpe.Encoder(path)) == expected
+    monkeypatch.setattr(bpe, "_hashes", lambda a, starts, length, mark: np.full(len(starts), 7, np.uint64))
+    e = bpe.Encoder(path)
+    assert got(e) == expected and got(e) == expected
+
+
+@pytest.mark.parametrize("path", [BYTE])
+def test_runs_of_white_space(path):
+    texts = [f"{a}{s}{b}" for a in ("", "one", "one.") for s in (" ", "  ", "\n", "\n\n", " \n ", "\n \n\n", "   \n") for b in ("", "two", "<|endoftext|>", "7")]
+    ids, n = bpe.Encoder(path).encode([t.encode() for t in texts])
+    assert [p.tolist() for p in np.split(ids, np.cumsum(n)[:-1])] == [whole(path, t) for t in texts]
+
+
+def test_width_belongs_to_the_chunk():
+    """Equal chunks have one digest, whatever ids stand beside them; equal bytes of other widths have two."""
+
+    class Fixed:
+        def encode(self, texts):
+            return np.concatenate(texts), np.array([len(t) for t in texts])
+
+    rng = np.random.default_rng(3)
+    shared = rng.integers(0, 60_000, 3000).astype(np.uint32)
+    store_encoder = store.encoder
+    store.encoder = lambda path: Fixed()
+    try:
+        alone = store._encode("", 2)([None], [shared])
+        beside = store._encode("", 2)([None], [shared, np.full(500, 70_000, np.uint32)])
+    finally:
+        store.encoder = store_encoder
+    assert alone[4][0] == beside[4][0] and {c["width"] for c in beside[6][1]} == {4} and {c["width"] for c in beside[6][0]} == {2}
+    assert store.name_of(b"\1\0\0\0", 2) != store.name_of(b"\1\0\0\0", 4)
+
+
+def test_damaged_manifest_is_found(spark, docs):
+    path, _ = check_store(spark, docs.limit(20))
+    bad = f"{path}-manifest"
+    for t in ("recipes", "chunks"):
+        spark.read.parquet(f"{path}/{t}").write.parquet(f"{bad}/{t}")
+    m = spark.read.parquet(f"{path}/manifest")
+    m.selectExpr("part", "n_docs", "n_tokens", "cast('x' as binary) as root").write.parquet(f"{bad}/manifest")
+    with pytest.raises(Exception, match="manifest"):
+        store.summarise(spark, bad).collect()
+    m.limit(0).write.mode("overwrite").parquet(f"{bad}/manifest")
+    with pytest.raises(Exception, match="manifest"):
+        store.summarise(spark, bad).collect()
+    assert not any(r.path.find("_staged") >= 0 for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}").select("path").collect())

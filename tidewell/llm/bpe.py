@@ -2,43 +2,57 @@
 
 A byte-pair tokenizer first cuts a text into pieces and then merges inside each
 piece, so a piece has the same ids wherever it stands. ``Encoder`` cuts texts only
-at single spaces and line ends, where the tokenizer's own rule cuts too, sends each
-new word through the library once, and gathers cached ids with numpy. A text with
-other white space goes to the library whole, so ids equal those of ``encode``.
+at spaces and line ends, where the tokenizer's own rule cuts too, sends each new word's
+pieces through the library's merges once, and gathers cached ids with numpy. Words are
+found in the cache by a hash and then compared byte by byte, so two words of one hash
+are told apart. A text with other white space or a special token goes to the library
+whole, so ids equal those of ``encode``.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 
 #: Words that the cache may hold before it starts anew; more than SLICE bytes can have.
 CACHE = 500_000
-#: Pieces of words that are remembered.
-PIECES = 150_000
+#: Pieces without letters, and words that only the library can cut, that are remembered.
+PIECES = 50_000
 #: Bytes that are cut into words at a time.
 SLICE = 1_200_000
 #: Latin letters, all of class L, stable under NFC and with one lower-case letter each.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 #: ASCII signs that neither start a contraction nor a special token.
 _SIGNS = r"!-&(-/:;=?-@\[-`{}~"
-_PLAIN = re.compile(rf"( ?)([{_SIGNS}]*)([{_LETTERS}]+)([{_SIGNS}]*)")
-#: White space that a byte-level pattern groups by more than one character.
-_ODD = re.compile(r"[^\S \n]|\x00|  | \n|\n[ \n]|\A | \Z")
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: A line of letters with one sign at most, of characters whose classes cut it, or of others.
+_LINE = re.compile(rf"^(?:([{_LETTERS}]+)([{_SIGNS}]?)|([{_LETTERS}0-9{_SIGNS}]+)|(.+))$", re.M)
+#: Pieces of such a word; a word tokenizer takes digits one by one.
+_CUT = {"word": re.compile(rf"[{_LETTERS}]+|[0-9]|[{_SIGNS}]+"), "byte": re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+| ?[{_SIGNS}]+")}
+#: Bytes that white space other than spaces and line ends, or a zero byte, begins with.
+_SUSPECT = re.compile(rb"[\x00\x09\x0b-\x0d\x1c-\x1f\xc2\xe1-\xe3]")
+_ODD = re.compile(r"[^\S \n]|\x00")
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+#: Marks of what stands before a word: 0 the text's start, 1 a space, 2 a line end; 3: the word is a run of white space.
+_RUN = 3
+#: The first bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+def _eights(a: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as a number; the last seven bytes have none."""
+    return np.ndarray((len(a) - 7,), "<u8", a, strides=(1,))
+
+
+def _spread(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """at, at + 1, ... for the n places of each range."""
+    stop = np.cumsum(n)
+    return np.repeat(at - stop + n, n) + np.arange(stop[-1] if len(stop) else 0)
 
 
 class Encoder:
@@ -52,31 +66,48 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             conf = json.load(f)
         self.kind = _kind(conf)
+        self.special = [a["content"].encode() for a in conf.get("added_tokens", [])]
+        self.merge = self.tok.model.tokenize
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         #: the printable letter that stands for each byte in byte-level vocabularies
         self.letters = str.maketrans({b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)})
-        self.up, self.down = _powers(_BASE, SLICE + 1), _powers(_INVERSE, SLICE + 1)
         self._restart()
 
     def _restart(self) -> None:
         self.slot: dict[int, int] = {}
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.at = np.zeros(CACHE + 1, np.int64)
-        self.size = np.zeros(CACHE + 1, np.int32)
-        self.end = 0
+        self.flat, self.end = np.zeros(1 << 20, np.uint32), 0
+        self.at, self.size = np.zeros(CACHE + 1, np.int64), np.zeros(CACHE + 1, np.int32)
+        #: the bytes of the cached words, and what stands before each
+        self.held, self.stop = np.zeros(1 << 22, np.uint8), 0
+        self.first, self.length, self.mark = np.zeros(CACHE + 1, np.int64), np.zeros(CACHE + 1, np.int64), np.zeros(CACHE + 1, np.uint8)
         self.pieces: dict[str, list[int]] = {}
 
     def library(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
+    def _whole(self, t: bytes) -> bool:
+        """Whether only the library's own rules can cut a text."""
+        if self.kind == "whole" and t or len(t) > SLICE - 2:
+            return True
+        return self.kind == "byte" and (any(s in t for s in self.special) or bool(_SUSPECT.search(t)) and bool(_ODD.search(t.decode("utf-8", "replace"))))
+
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, one after the other; the number of ids of each text) of UTF-8 texts."""
+        collects = gc.isenabled()
+        gc.disable()  # many small lists are made here, none of them in a cycle
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         own: dict[int, list[int]] = {}
         plain: list[bytes] = []
         for i, t in enumerate(texts):
             t = t or b""
-            if self.kind == "whole" and t or len(t) > SLICE - 2 or self.kind == "byte" and _ODD.search(t.decode("utf-8", "replace")):
+            if self._whole(t):
                 own[i] = self.library(t.decode("utf-8", "replace"))
                 t = b""
             plain.append(t)
@@ -101,32 +132,37 @@ class Encoder:
             flat = np.concatenate(parts)
         return flat, count
 
-    def _some(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _words(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first byte, byte after the last, what stands before) of each word; texts end with a zero or a line end."""
         byte = self.kind == "byte"
-        raw = (b"\0" if byte else b"\n").join([*texts, b""])
-        a = np.frombuffer(raw, np.uint8)
         ends = np.flatnonzero((a == 32) | (a == 10) | (a == 0) if byte else (a == 32) | (a == 10))
         starts = np.empty_like(ends)
         starts[0], starts[1:] = 0, ends[:-1] + 1
-        flag = None
+        mark = np.zeros(len(starts), np.uint8)
+        keep = ends > starts
         if byte:
-            flag = np.zeros(len(starts), np.uint8)
             before = a[starts[1:] - 1]
-            flag[1:] = (before == 32) + 2 * (before == 10)
-        keep = (ends > starts) | (flag == 2) if byte else ends > starts
-        starts, ends = starts[keep], ends[keep]
+            mark[1:] = (before == 32) + 2 * (before == 10)
+            # white space that no word follows at once is one piece with what stands next to it
+            run = np.flatnonzero(~keep & (mark > 0))
+            if len(run):
+                head = np.append(True, np.diff(run) != 1)
+                tail = np.append(head[1:], True)
+                ends[run[head]] = starts[run[tail]]
+                starts[run[head]] -= 1
+                mark[run[head]] = _RUN
+                keep[run[head]] = True
+        return starts[keep], ends[keep], mark[keep]
+
+    def _some(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        raw = (b"\0" if self.kind == "byte" else b"\n").join([*texts, b""])
+        starts, ends, mark = self._words(np.frombuffer(raw, np.uint8))
+        raw += bytes(8)
+        a = np.frombuffer(raw, np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         doc = np.searchsorted(np.cumsum(sizes), starts, side="right")
-        total = np.empty(len(a) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum((a.astype(np.uint64) + np.uint64(1)) * self.up[: len(a)], out=total[1:])
-        h = (total[ends] - total[starts]) * self.down[starts]
-        h ^= h >> np.uint64(29)
-        h = h * _MIX + (ends - starts).astype(np.uint64)
-        if byte:
-            flag = flag[keep]
-            h = h * _MIX + flag
-        code, unique = pd.factorize(h)
+        length = ends - starts
+        code, unique = pd.factorize(_hashes(a, starts, length, mark))
         slots = np.fromiter(map(self.slot.get, unique.tolist(), repeat(-1)), np.int64, len(unique))
         new = np.flatnonzero(slots < 0)
         if len(self.slot) + len(new) > CACHE:
@@ -136,61 +172,120 @@ class Encoder:
             where = np.empty(len(unique), np.int64)
             where[code[::-1]] = np.arange(len(code) - 1, -1, -1)
             where = where[new]
-            lead = ("", " ", "\n")
-            marks = flag[where].tolist() if byte else [0] * len(new)
-            words = [lead[f] + raw[s:e].decode("utf-8", "replace") for f, s, e in zip(marks, starts[where].tolist(), ends[where].tolist())]
-            slots[new] = self._learn(words, unique[new].tolist())
+            slots[new] = self._remember(raw, starts[where], ends[where], mark[where], unique[new].tolist())
         slot = slots[code]
-        n = self.size[slot].astype(np.int64)
-        stop = np.cumsum(n)
-        ids = self.flat[np.repeat(self.at[slot] - stop + n, n) + np.arange(stop[-1] if len(stop) else 0)]
+        n, at = self.size[slot].astype(np.int64), self.at[slot]
+        other = self._unlike(a, slot, starts, length, mark)
+        if not len(other):
+            ids = self.flat[_spread(at, n)]
+        else:
+            more, n[other] = self._learn([raw[s:e] for s, e in zip(starts[other].tolist(), ends[other].tolist())], mark[other])
+            at[other] = self.end + np.cumsum(n[other]) - n[other]
+            ids = np.concatenate([self.flat[: self.end], more])[_spread(at, n)]
         return ids, np.bincount(doc, weights=n, minlength=len(texts)).astype(np.int64)
 
-    def _learn(self, words: list[str], keys: list[int]) -> np.ndarray:
-        found: list[list[int]] = [self._ids(w) for w in words]
+    def _unlike(self, a: np.ndarray, slot: np.ndarray, starts: np.ndarray, length: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """The words that aren't those of their slots, though their hashes are."""
+        same = (self.length[slot] == length) & (self.mark[slot] == mark)
+        here, there, first = _eights(a), _eights(self.held), self.first[slot]
+        rest, k = np.flatnonzero(same), 0
+        while len(rest):
+            part = _FIRST[np.minimum(length[rest] - k, 8)]
+            same[rest[(here[starts[rest] + k] ^ there[first[rest] + k]) & part != 0]] = False
+            k += 8
+            rest = rest[length[rest] > k]
+        return np.flatnonzero(~same)
+
+    def _remember(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, mark: np.ndarray, keys: list[int]) -> np.ndarray:
+        """Slots of new words."""
+        words = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
+        ids, n = self._learn(words, mark)
         first = len(self.slot)
         self.slot.update(zip(keys, range(first, first + len(keys))))
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        stop = self.end + int(n.sum())
-        if stop > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), stop), np.uint32)])
-        self.flat[self.end : stop] = [x for ids in found for x in ids]
         at = slice(first, first + len(keys))
-        self.size[at] = n
-        self.at[at] = self.end + np.cumsum(n) - n
-        self.end = stop
+        self.size[at], self.at[at] = n, self.end + np.cumsum(n) - n
+        self.flat, self.end = _extended(self.flat, self.end, ids)
+        length = ends - starts
+        self.length[at], self.first[at], self.mark[at] = length, self.stop + np.cumsum(length) - length, mark
+        self.held, self.stop = _extended(self.held, self.stop, np.frombuffer(b"".join(words), np.uint8))
         return np.arange(at.start, at.stop)
 
-    def _ids(self, chunk: str) -> list[int]:
-        """Ids of a word with the white space before it; signs around a Latin word are pieces of their own."""
-        if self.kind == "word":
-            if chunk.isascii():
-                if chunk.isalpha():
-                    return self._piece(chunk.lower())
-                if chunk[-1] in ".," and chunk[:-1].isalpha():
-                    return self._piece(chunk[:-1].lower()) + self._piece(chunk[-1])
-        elif chunk[:1] == "\n":
-            return self._piece("\n") + (self._ids(chunk[1:]) if chunk[1:] else [])
-        m = _PLAIN.fullmatch(chunk)
-        if m is None:
-            return self.library(chunk)
-        space, before, letters, after = m.groups()
-        if self.kind == "word":
-            letters = letters.lower()
-        out = self._piece(space + before) + self._piece(letters) if before else self._piece(space + letters)
-        return out + self._piece(after) if after else out
-
-    def _piece(self, piece: str) -> list[int]:
+    def _learn(self, words: list[bytes], marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word) of words with the white space before them, which belongs to a byte-level piece."""
+        cut, merged, rest, byte = _CUT[self.kind], self._merged, self._rest, self.kind == "byte"
+        found: list[list[int]] = []
+        last: list[int] = []
+        marks = marks.tolist()
+        lines = iter(_LINE.findall(b"\n".join([w for w, m in zip(words, marks) if m != _RUN] if byte else words).decode("utf-8", "replace")))
+        for w, m in zip(words, marks):
+            if m == _RUN:
+                found.append(rest(w.decode()))
+                last.append(len(found))
+                continue
+            letters, sign, mixed, other = next(lines)
+            if byte:
+                if m == 2:
+                    found.append(rest("\n"))
+                lead = " " if m == 1 else ""
+            else:
+                letters, mixed, lead = letters.lower(), mixed.lower(), ""
+            if letters:
+                found.append(merged(lead + letters))
+                if sign:
+                    found.append(rest(sign))
+            elif mixed:
+                for p in cut.findall(lead + mixed):
+                    found.append(merged(p) if p[-1].isalpha() else rest(p))
+            else:
+                found.append(self._other(lead + other))
+            last.append(len(found))
+        n = np.zeros(len(found) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, found), np.int64, len(found)), out=n[1:])
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(n[-1])), np.diff(n[last], prepend=0)
+
+    def _merged(self, piece: str) -> list[int]:
         """Ids of one piece by the library's merges alone."""
+        raw = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.merge(raw)]
+
+    def _rest(self, piece: str) -> list[int]:
+        """Ids of a piece without letters; such pieces are often seen."""
+        return self._kept(piece, self._merged)
+
+    def _other(self, word: str) -> list[int]:
+        """Ids of a word that only the library's own rules can cut."""
+        return self._kept("\0" + word, lambda w: self.library(w[1:]))
+
+    def _kept(self, piece: str, make) -> list[int]:
         out = self.pieces.get(piece)
         if out is None:
             if len(self.pieces) >= PIECES:
                 self.pieces.clear()
-            raw = piece.encode().decode("latin-1").translate(self.letters)
-            out = self.pieces[piece] = [t.id for t in self.tok.model.tokenize(raw)]
+            out = self.pieces[piece] = make(piece)
         return out
 
 
+def _hashes(a: np.ndarray, starts: np.ndarray, length: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """A hash of each word with its mark, eight bytes at a time."""
+    eights = _eights(a)
+    h = length.astype(np.uint64) * np.uint64(4) + mark
+    rest, k = np.arange(len(starts)), 0
+    while len(rest):
+        x = (h[rest] + (eights[starts[rest] + k] & _FIRST[np.minimum(length[rest] - k, 8)])) * _MIX
+        h[rest] = x ^ (x >> np.uint64(29))
+        k += 8
+        rest = rest[length[rest] > k]
+    return h
+
+
+def _extended(held: np.ndarray, end: int, more: np.ndarray) -> tuple[np.ndarray, int]:
+    """An array that holds ``more`` from ``end`` on, and the new end."""
+    if end + len(more) > len(held):
+        held = np.concatenate([held, np.zeros(max(len(held), len(more)), held.dtype)])
+    held[end : end + len(more)] = more
+    return held, end + len(more)
+
+
 def _kind(conf: dict) -> str:
     """word: white space is dropped between words; byte: byte-level with its own pattern; whole: neither."""
     pre = conf.get("pre_tokenizer") or {}

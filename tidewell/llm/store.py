@@ -4,7 +4,7 @@
 the last ids says so, so that equal passages give equal chunks wherever they stand.
 A store is a folder of Parquet tables:
 
-* ``chunks``   digest binary(16), width int, payload binary: each distinct chunk once;
+* ``chunks``   digest binary(16), width int, payload binary: each distinct chunk once; ``width`` is 2 bytes an id if all ids of the chunk fit, else 4, and is part of what the digest covers;
 * ``recipes``  part, key, start_in_part, n_tokens, digests, sizes, root, crc32: one row per document in ascending key order; ``root`` is the Merkle root of its digests;
 * ``manifest`` part, n_docs, n_tokens, root: one row per recipe file, ``root`` the Merkle root of its documents' roots.
 
@@ -37,6 +37,11 @@ def digest(data: bytes) -> bytes:
     return blake2b(data, digest_size=16).digest()
 
 
+def name_of(payload: bytes, width: int) -> bytes:
+    """The digest of a chunk. The width is in it, as the same bytes are other ids under another one."""
+    return blake2b(payload, digest_size=16, salt=bytes([width])).digest()
+
+
 def merkle(leaves: list[bytes]) -> bytes:
     """Root of a binary tree; an odd node at the end of a level moves up as it is."""
     level = leaves or [digest(b"")]
@@ -69,14 +74,14 @@ class Tree:
 
 def cuts(ids: np.ndarray) -> np.ndarray:
     """Positions after which the rolling hash allows a cut."""
-    x = (ids.astype(np.uint64) + np.uint64(1)) * _MULT
-    x ^= x >> np.uint64(31)
-    h = x.copy()
-    weight = 1
-    for k in range(1, min(WINDOW, len(x))):
-        weight = weight * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
-        h[k:] += x[:-k] * np.uint64(weight)
-    return np.flatnonzero(h >> np.uint64(64 - MASK_BITS) == 0) + 1
+    h = (ids.astype(np.uint64) + np.uint64(1)) * _MULT
+    h ^= h >> np.uint64(31)
+    weight, n = 0xBF58476D1CE4E5B9, 1
+    while n < WINDOW:  # sums over twice as many ids in each turn
+        if n < len(h):
+            h[n:] = h[n:] + h[:-n] * np.uint64(weight)
+        weight, n = weight * weight & (1 << 64) - 1, 2 * n
+    return np.flatnonzero(h < np.uint64(1 << 64 - MASK_BITS)) + 1
 
 
 def bounds(length: int, allowed: np.ndarray) -> list[int]:
@@ -106,17 +111,17 @@ def _encode(path: str, end: int):
         allowed = cuts(ids)
         split = np.searchsorted(allowed, stops)
         raw, seen = memoryview(ids.astype("<u4")).cast("B"), set()
-        wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
-        small = memoryview(ids.astype("<u4" if wide else "<u2")).cast("B")
-        width = 4 if wide else 2
+        small = memoryview(ids.astype("<u2")).cast("B")
+        large = np.flatnonzero(ids > 0xFFFF)
         crcs, roots, digests, sizes, fresh = [], [], [], [], []
         first, low = 0, 0
         for stop, high in zip(stops.tolist(), split.tolist()):
             ends = bounds(stop - first, allowed[low:high] - first)
             names, mine, at = [], [], first
             for e in ends:
-                payload = small[at * width : (first + e) * width]
-                name = digest(payload)
+                wide = len(large) and np.searchsorted(large, at) < np.searchsorted(large, first + e)
+                payload, width = (raw[4 * at : 4 * (first + e)], 4) if wide else (small[2 * at : 2 * (first + e)], 2)
+                name = name_of(payload, width)
                 names.append(name)
                 if name not in seen:
                     seen.add(name)
@@ -167,26 +172,35 @@ def write_store(docs: DataFrame, path: str, *, tokenizer: str, end_id: int, key:
     """Encode ``docs`` and write its store below ``path``, a folder that all executors share.
 
     Texts are encoded once, into a staging table whose columns feed both the recipes and
-    the chunks. A task sends each chunk once, so a chunk that many documents share is
-    shuffled once a task; a window on the digest keeps one.
+    the chunks; it goes when the store stands, or on a failure. A block of texts (8 MB) sends each
+    chunk once, so a chunk that many documents share is shuffled once a block; of a digest's
+    rows, which one sort brings together, the first stays.
     """
     spark = docs.sparkSession
     ship(spark)
     staged = f"{path}/_staged"
-    map_texts(docs.withColumn(key, F.col(f"`{key}`").cast("long")), [key], text, _encode(tokenizer, end_id), _STAGED).write.option("compression", "zstd").parquet(staged)
-    rows = spark.read.parquet(staged)
-    one = Window.partitionBy("digest").orderBy("width")
-    fresh = rows.select(F.explode("fresh").alias("c")).select("c.*")
-    fresh.withColumn("n", F.row_number().over(one)).where("n = 1").drop("n").write.option("compression", "zstd").parquet(f"{path}/chunks")
-    recipe = rows.drop("fresh").repartitionByRange("key").sortWithinPartitions("key", "crc32", "root")
-    recipe.mapInArrow(_recipes, "part int, key long, start_in_part long, n_tokens long, crc32 long, root binary, digests array<binary>, sizes array<int>").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    delete(spark, staged)
+    try:
+        map_texts(docs.withColumn(key, F.col(f"`{key}`").cast("long")), [key], text, _encode(tokenizer, end_id), _STAGED).write.option("compression", "zstd").parquet(staged)
+        rows = spark.read.parquet(staged)
+        fresh = rows.select(F.explode("fresh").alias("c")).select("c.*")
+        before = F.lag("width").over(Window.partitionBy("digest").orderBy("width"))
+        fresh.withColumn("b", before).where("b is null").drop("b").write.option("compression", "zstd").parquet(f"{path}/chunks")
+        recipe = rows.drop("fresh").repartitionByRange("key").sortWithinPartitions("key", "crc32", "root")
+        recipe.mapInArrow(_recipes, "part int, key long, start_in_part long, n_tokens long, crc32 long, root binary, digests array<binary>, sizes array<int>").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    finally:
+        delete(spark, staged)
     _roots(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
 
 
 def starts(spark: SparkSession, path: str) -> DataFrame:
-    """Recipes with ``start``, the ids before them in the store. The manifest has a row per recipe file."""
-    m = spark.read.parquet(f"{path}/manifest")
+    """Recipes with ``start``, the ids before them in the store. The manifest has a row per recipe file.
+
+    A row of the manifest that the recipes don't bear out, or a part that it lacks, is an error.
+    """
+    found = _roots(spark.read.parquet(f"{path}/recipes")).select("part", F.struct("n_docs", "n_tokens", "root").alias("found"))
+    m = spark.read.parquet(f"{path}/manifest").join(F.broadcast(found), "part", "full")
+    borne = F.struct("n_docs", "n_tokens", "root").eqNullSafe(F.col("found"))
+    m = m.withColumn("n_tokens", F.when(borne, F.col("n_tokens")).otherwise(F.raise_error(F.concat(F.lit("the manifest isn't that of the recipes, part "), F.col("part").cast("string")))))
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     m = m.select("part", before.alias("before"))
     r = spark.read.parquet(f"{path}/recipes")
@@ -198,7 +212,7 @@ def _check_chunks(batches):
     for b in batches:
         n, crc = [], []
         for name, width, payload in zip(*[b.column(i).to_pylist() for i in range(3)]):
-            if digest(payload) != name:
+            if name_of(payload, width) != name:
                 raise ValueError(f"chunk {name.hex()} is damaged")
             ids = np.frombuffer(payload, f"<u{width}")
             n.append(len(ids))
@@ -245,7 +259,7 @@ def summarise(spark: SparkSession, path: str) -> DataFrame:
     """key, start, n_tokens, ids_crc32 of each document, from the files alone.
 
     Every chunk is read once and checked against its digest, every recipe against its
-    Merkle root. A document's checksum is made of those of its chunks, so payloads aren't
+    Merkle root, every root of the manifest against those of its recipes. A document's checksum is made of those of its chunks, so payloads aren't
     shuffled; only digests are. A digest that many recipes name is a skewed join key, whose
     partitions Spark splits, as the other side has each digest once.
     """
