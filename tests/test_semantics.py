@@ -126,7 +126,7 @@ def test_process_errors_surface(spark):
             raise RuntimeError("broken helper")
 
     with pytest.raises(Exception, match="broken helper"):
-        rs.process(spark.range(3).toDF("x"), fails, "x long").collect()
+        rs.process(spark.range(3).toDF("x").coalesce(1), fails, "x long").collect()  # an empty partition would fail in another way, as it may come first
     assert rs.process(spark.range(3).toDF("x"), lambda b: b, "x long").count() == 3
 
 
@@ -213,3 +213,82 @@ def test_bucketed_tables_group_without_exchange(spark):
     sinks.save_bucketed(df, "tidewell_test_bucketed", "k", 4, "k")
     plan = spark.table("tidewell_test_bucketed").groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_ranks_of_few_groups_are_those_of_windows(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tidewell.operators import windows as wi
+
+    rows = [(None if i % 5 == 0 else i % 3, None if i % 11 == 0 else (i * 7) % 13, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, v int, id int").repartition(7)
+    w, u = Window.partitionBy("g").orderBy("v"), Window.partitionBy("g").orderBy("v", "id")
+    expected = df.select("g", "v", "id", F.rank().over(w).alias("r"), F.dense_rank().over(w).alias("d"), F.cume_dist().over(w).alias("c"), F.percent_rank().over(w).alias("p"), F.row_number().over(u).alias("n"), F.ntile(7).over(u).alias("q"))
+    got = wi.ranked(wi.ranked(df, ["g"], ["v"], r="rank", d="dense_rank", c="cume_dist", p="percent_rank"), ["g"], ["v", "id"], n="row_number", q="ntile(7)")
+    plain = lambda x: sorted((tuple(r) for r in x.select("g", "v", "id", "r", "d", "c", "p", "n", "q").collect()), key=str)
+    assert plain(got) == plain(expected)
+    assert wi.ranked(df.where("false"), ["g"], ["v"], r="rank").count() == 0
+    for share in (0.0, 0.25, 0.5, 1.0):
+        both = df.groupBy("g").agg(F.expr(f"percentile_cont({share}) within group (order by v)").alias("c"), F.expr(f"percentile_disc({share}) within group (order by v)").alias("d"))
+        found = wi.over_percentile(wi.over_percentile(df, ["g"], "v", share, "c"), ["g"], "v", share, "d", True).select("g", "c", "d").distinct()
+        assert sorted(map(str, map(tuple, found.selectExpr("g", "double(c)", "double(d)").collect()))) == sorted(map(str, map(tuple, both.selectExpr("g", "double(c)", "double(d)").collect())))
+
+
+def test_escapes_are_read_from_the_left(spark):
+    from pyspark.sql import functions as F
+
+    from tidewell.sources import text as tx
+
+    values = ["\x00", "a\x00b\\", "\\t", "\\\\t\t", "\\", "\\\\", "\n\\n\r\\r\\", "", "\\\t\\\\\t", None]
+    df = spark.createDataFrame([(v,) for v in values], "s string")
+    got = df.select("s", tx.unescaped(tx.escaped(F.col("s"))).alias("b"), tx.escaped(F.col("s")).alias("e")).collect()
+    assert all(r.s == r.b and not set("\t\n\r") & set(r.e or "") for r in got)
+
+
+def test_client_rows_raise_beyond_the_bound(spark):
+    from tidewell.sources import sinks
+
+    df = spark.range(30)
+    assert [r.id for r in sinks.client_rows(df, 30)] == list(range(30))
+    seen = []
+    with pytest.raises(ValueError, match="more than 29"):
+        for r in sinks.client_rows(df, 29):
+            seen.append(r.id)
+    assert len(seen) == 29
+
+
+def test_table_rows_of_a_page(spark):
+    from tidewell.operators import pages as pg
+
+    html = "<table><tr><th>Name<th> A|B </tr><tr><td>x <b>y</b></td><td></td></tr><tr><td>1<td>2</table><p>no"
+    got = pg.table_rows(spark.createDataFrame([(4, html), (5, None), (6, "<p>none")], "page_id long, html string")).collect()
+    assert sorted(map(tuple, got)) == [(4, 0, "th", "Name|AB"), (4, 1, "td", "x y|"), (4, 2, "td", "1|2")]
+
+
+def test_sets_of_members_are_written_in_one_job(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidewell.sources import fileset as fs
+
+    df = spark.range(100).selectExpr("id", "id % 4 as n", "case id % 3 when 0 then 'a' when 1 then 'b' else 'z' end as s")
+    template, parts = "x-<S>-<N>.parquet", {"S": "enum:a;b", "N": "intrange:0...5"}
+    folder = f"file://{tmp_path}/set"
+    fs.write_set(df, folder, template, parts, {"S": F.col("s"), "N": F.col("n")}, ["id"], lambda w, p: w.parquet(p))
+    read = lambda paths: spark.read.schema("id long").parquet(*paths)
+    got = sorted((r.id, r.S, r.N) for r in fs.read_set(spark, folder, template, parts, read).collect())
+    assert got == sorted((r.id, r.s, r.n) for r in df.where("s <> 'z'").collect())
+    with pytest.raises(Exception):
+        fs.read_set(spark, folder, template, {"S": "enum:a;b;c", "N": "intrange:0...5"}, read).collect()
+    sparse = fs.read_set(spark, folder, template, {"S": "enum:a;b;c", "N": "intrange:0...9"}, read, sparse=True)
+    assert sparse.count() == len(got)
+
+
+def test_all_pairs_need_a_small_side(spark, monkeypatch):
+    from tidewell.operators import rowsets as rs
+
+    monkeypatch.setattr(rs, "PAIRED_ROWS", 5)
+    a, b = spark.range(9).withColumnRenamed("id", "x"), spark.range(4).withColumnRenamed("id", "y")
+    assert rs.combine(a, b, None).count() == rs.combine(b, a, None).count() == 36
+    with pytest.raises(ValueError, match="all pairs"):
+        rs.combine(a, a.withColumnRenamed("x", "z"), None)

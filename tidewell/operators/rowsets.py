@@ -14,22 +14,34 @@ from pyspark.sql import types as T
 from tidewell.session import ship
 
 
+#: Rows of the smaller side of a combination without keys.
+PAIRED_ROWS = 100_000
+
+
 def process(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str | T.StructType) -> DataFrame:
     """A stream of batches in, a stream of batches out."""
     ship(df.sparkSession)
     return df.mapInPandas(fn, schema)
 
 
-def reduce(df: DataFrame, on: list[str], fn: Callable, schema: str | T.StructType) -> DataFrame:
-    """``fn`` once a key; with an iterator of batches as its argument, a key needn't fit in memory."""
+def reduce(df: DataFrame, on: list[str], fn: Callable, schema: str | T.StructType, merge: Callable | None = None, salts: int = 64) -> DataFrame:
+    """``fn`` once a key; with an iterator of batches as its argument, a key needn't fit in memory.
+
+    With ``merge``, which makes one result of several, ``fn`` runs on up to ``salts`` parts of each key, so that
+    few large keys are spread over as many tasks, and ``merge`` on the parts' results.
+    """
     ship(df.sparkSession)
-    return df.groupBy(*on).applyInPandas(fn, schema)
+    if merge is None:
+        return df.groupBy(*on).applyInPandas(fn, schema)
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts))
+    return df.withColumn("_salt", salt).groupBy(*on, "_salt").applyInPandas(fn, schema).groupBy(*on).applyInPandas(merge, schema)
 
 
 def combine(left: DataFrame, right: DataFrame, on: list[str] | None, fn: Callable | None = None, schema: str | None = None, left_name: str = "", right_name: str = "") -> DataFrame:
     """Rows of both sides together: a join on keys, all pairs without keys, or ``fn`` on both sides of a key.
 
-    A column name of both sides gets its side's name before it.
+    A column name of both sides gets its side's name before it. Without keys one side may have at most ``PAIRED_ROWS``
+    rows, which are counted first and broadcast; of two larger sides all pairs are an error.
     """
     if fn is not None:
         ship(left.sparkSession)
@@ -38,7 +50,11 @@ def combine(left: DataFrame, right: DataFrame, on: list[str] | None, fn: Callabl
     a = left.select(*[F.col(f"`{c}`").alias(f"{left_name}{c}" if c in same else c) for c in left.columns])
     b = right.select(*[F.col(f"`{c}`").alias(f"{right_name}{c}" if c in same else c) for c in right.columns])
     if not on:
-        return a.crossJoin(b)
+        if b.limit(PAIRED_ROWS + 1).count() <= PAIRED_ROWS:
+            return a.crossJoin(F.broadcast(b))
+        if a.limit(PAIRED_ROWS + 1).count() <= PAIRED_ROWS:
+            return F.broadcast(a).crossJoin(b)
+        raise ValueError(f"all pairs of two sides of more than {PAIRED_ROWS} rows each; give keys")
     return a.join(b, [a[f"{left_name}{c}" if c in same else c] == b[f"{right_name}{c}" if c in same else c] for c in on])
 
 
@@ -54,7 +70,6 @@ def having(df: DataFrame, condition: Column | str) -> DataFrame:
     return df.where(condition)
 
 
-
 def _default(kind: T.DataType) -> Column:
     if isinstance(kind, T.NumericType):
         return F.lit(0).cast(kind)

@@ -22,9 +22,8 @@ query("a7_stdev", "select l_returnflag, round(stddev_samp(l_quantity), 6) as sd
 query("a8_argmax", "select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey desc) as r from orders) where r = 1")(lambda t: t.orders.groupBy("o_custkey").agg(ag.argmax(F.col("o_totalprice"), F.col("o_orderkey")).alias("o_orderkey")))
 query("a8_argmax_global", "select o_orderkey from orders order by o_totalprice desc, o_orderkey desc limit 1")(lambda t: t.orders.agg(ag.argmax(F.col("o_totalprice"), F.col("o_orderkey")).alias("o_orderkey")))
 query("a9_argmax_of_itself", "select o_custkey, max(o_totalprice) as top from orders group by o_custkey")(lambda t: t.orders.groupBy("o_custkey").agg(ag.argmax(F.col("o_totalprice"), F.col("o_totalprice")).alias("top")))
-ITEMS = "select l_orderkey, string_agg(cast(l_partkey as varchar), ',' order by l_partkey) as parts from lineitem where l_orderkey < 3000 group by l_orderkey"
-query("a10_array_agg", ITEMS)(lambda t: t.lineitem.where("l_orderkey < 3000").groupBy("l_orderkey").agg(fx.joined(F.array_sort(F.array_agg("l_partkey"))).alias("parts")))
-query("a11_list", ITEMS)(lambda t: t.lineitem.where("l_orderkey < 3000").groupBy("l_orderkey").agg(fx.joined(F.array_sort(F.collect_list("l_partkey"))).alias("parts")))
+query("a10_array_agg", "select user_id, string_agg(cast(event_id as varchar), ',' order by event_id) as events from events group by user_id")(lambda t: t.events.groupBy("user_id").agg(fx.joined(F.array_sort(F.array_agg("event_id"))).alias("events")))
+query("a11_list", "select o_custkey, string_agg(cast(o_orderkey as varchar), ',' order by o_orderkey) as orders from orders group by o_custkey")(lambda t: t.orders.groupBy("o_custkey").agg(fx.joined(F.array_sort(F.collect_list("o_orderkey"))).alias("orders")))
 ALL_ITEMS = "select l_orderkey, string_agg(cast(l_partkey as varchar), ',' order by l_partkey) as parts from lineitem group by l_orderkey"
 query("a10_array_agg_whole", ALL_ITEMS)(lambda t: t.lineitem.groupBy("l_orderkey").agg(fx.joined(F.array_sort(F.array_agg("l_partkey"))).alias("parts")))
 query("a11_list_whole", ALL_ITEMS)(lambda t: t.lineitem.groupBy("l_orderkey").agg(fx.joined(F.array_sort(F.collect_list("l_partkey"))).alias("parts")))
@@ -45,7 +44,7 @@ query("u2_label_and_total", "select c_nationkey, max(c_mktsegment) || ' ' || cas
 query("u3_element_sums", "select label, pos - 1 as pos, round(sum(x), 4) as s from (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as pos from embeddings) group by label, pos")(
     lambda t: ag.element_sums(t.embeddings.withColumn("e", F.col("embedding").cast("array<double>")), ["label"], "e").select("label", F.posexplode("sums").alias("pos", "x")).select("label", "pos", F.round("x", 4).alias("s"))
 )
-query("u4_array_total", "select l_orderkey, round(sum(l_quantity), 2) as s from lineitem group by l_orderkey")(lambda t: t.lineitem.groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("q")).select("l_orderkey", F.round(ag.array_total(F.col("q")), 2).alias("s")))
+query("u4_array_total", "select l_orderkey, round(sum(l_quantity), 2) as s from lineitem group by l_orderkey")(lambda t: t.lineitem.groupBy("l_orderkey").agg(F.round(F.sum(ag.array_total(F.array("l_quantity"))), 2).alias("s")))
 
 
 def version_of():
@@ -61,22 +60,17 @@ query("u8_population_deviation", "select c_nationkey, round(stddev_pop(c_acctbal
 # windows
 
 
-def by_value():
-    return Window.partitionBy("event_type").orderBy("value", "event_id")
-
-
-def tied():
-    return Window.partitionBy("l_returnflag").orderBy("l_quantity")
-
-
-query("w1_row_number", "select event_id, row_number() over (partition by event_type order by value, event_id) as rn from events")(lambda t: t.events.select("event_id", F.row_number().over(by_value()).alias("rn")))
+query("w1_row_number", "select event_id, row_number() over (partition by event_type order by value, event_id) as rn from events")(lambda t: wi.ranked(t.events.select("event_id", "event_type", "value"), ["event_type"], ["value", "event_id"], rn="row_number").select("event_id", "rn"))
 query("w2_global_row_number", "select o_orderkey, row_number() over (order by o_orderkey) as number from orders")(lambda t: wi.numbered(t.orders.select("o_orderkey"), "o_orderkey"))
-for name, sql, fn in (("w3_rank", "rank()", F.rank), ("w4_dense_rank", "dense_rank()", F.dense_rank), ("w6_cume_dist", "cume_dist()", F.cume_dist), ("w7_percent_rank", "percent_rank()", F.percent_rank)):
-    query(name, f"select l_orderkey, l_linenumber, l_partkey, round({sql} over (partition by l_returnflag order by l_quantity), 9) as r from lineitem")(lambda t, fn=fn: t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.round(fn().over(tied()), 9).alias("r")))
-query("w5_ntile", "select event_id, ntile(4) over (partition by event_type order by value, event_id) as q from events")(lambda t: t.events.select("event_id", F.ntile(4).over(by_value()).alias("q")))
-for name, fn in (("w8_percentile_cont", "percentile_cont"), ("w9_percentile_disc", "percentile_disc")):
-    query(name, f"select e.event_id, round(m, 6) as m from events e join (select event_type, {'quantile_cont' if 'cont' in fn else 'quantile_disc'}(value, 0.5) as m from events group by event_type) x using (event_type)")(
-        lambda t, fn=fn: t.sql(f"select event_id, round({fn}(0.5) within group (order by value) over (partition by event_type), 6) as m from {{events}}", "events")
+LINE = ["l_orderkey", "l_linenumber", "l_partkey"]
+for name, kind in (("w3_rank", "rank"), ("w4_dense_rank", "dense_rank"), ("w6_cume_dist", "cume_dist"), ("w7_percent_rank", "percent_rank")):
+    query(name, f"select l_orderkey, l_linenumber, l_partkey, round({kind}() over (partition by l_returnflag order by l_quantity), 9) as r from lineitem")(
+        lambda t, kind=kind: wi.ranked(t.lineitem.select(*LINE, "l_returnflag", "l_quantity"), ["l_returnflag"], ["l_quantity"], r=kind).select(*LINE, F.round("r", 9).alias("r"))
+    )
+query("w5_ntile", "select event_id, ntile(4) over (partition by event_type order by value, event_id) as q from events")(lambda t: wi.ranked(t.events.select("event_id", "event_type", "value"), ["event_type"], ["value", "event_id"], q="ntile(4)").select("event_id", "q"))
+for name, fn, discrete in (("w8_percentile_cont", "quantile_cont", False), ("w9_percentile_disc", "quantile_disc", True)):
+    query(name, f"select e.event_id, round(m, 6) as m from events e join (select event_type, {fn}(value, 0.5) as m from events group by event_type) x using (event_type)")(
+        lambda t, discrete=discrete: wi.over_percentile(t.events.select("event_id", "event_type", "value"), ["event_type"], "value", 0.5, "m", discrete).select("event_id", F.round("m", 6).alias("m"))
     )
 query("w10_total_over_all", "select o_orderkey, round(100 * o_totalprice / (select sum(o_totalprice) from orders), 9) as pct from orders")(lambda t: wi.with_total(t.orders.select("o_orderkey", "o_totalprice"), total=F.sum("o_totalprice")).select("o_orderkey", F.round(100 * F.col("o_totalprice") / F.col("total"), 9).alias("pct")))
 query("w11_sum_by_partition", "select o_orderkey, round(sum(o_totalprice) over (partition by o_custkey), 2) as s from orders")(lambda t: t.orders.select("o_orderkey", F.round(F.sum("o_totalprice").over(Window.partitionBy("o_custkey")), 2).alias("s")))
@@ -87,8 +81,11 @@ query("w15_count_over_all", "select event_id, (select count(value) from events)
 query("w16_min_max", "select event_id, min(value) over (partition by user_id) as low, max(value) over (partition by user_id) as high from events")(lambda t: t.events.select("event_id", F.min("value").over(Window.partitionBy("user_id")).alias("low"), F.max("value").over(Window.partitionBy("user_id")).alias("high")))
 ALL = "rank() over w as r, dense_rank() over w as d, row_number() over (partition by l_returnflag order by l_quantity, l_orderkey, l_linenumber, l_partkey, l_extendedprice) as n"
 query("w17_several_rankings", f"select l_orderkey, l_linenumber, l_partkey, {ALL} from lineitem window w as (partition by l_returnflag order by l_quantity)")(
-    lambda t: t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.rank().over(tied()).alias("r"), F.dense_rank().over(tied()).alias("d"), F.row_number().over(Window.partitionBy("l_returnflag").orderBy("l_quantity", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")).alias("n"))
-)
+    lambda t: wi.ranked(
+        wi.ranked(t.lineitem.select(*LINE, "l_returnflag", "l_quantity", "l_extendedprice"), ["l_returnflag"], ["l_quantity"], r="rank", d="dense_rank"),
+        ["l_returnflag"], ["l_quantity", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], n="row_number",
+    ).select(*LINE, "r", "d", "n")
+)
 for name, sql, fn, order in (("w18_top_by_rank", "rank()", F.rank, "o_totalprice desc"), ("w18_top_by_dense_rank", "dense_rank()", F.dense_rank, "o_totalprice desc"), ("w18_top_by_row_number", "row_number()", F.row_number, "o_totalprice desc, o_orderkey")):
     query(name, f"select o_custkey, o_orderkey from (select *, {sql} over (partition by o_custkey order by {order}) as r from orders) where r <= 3")(lambda t, fn=fn, order=order: wi.top_in_group(t.orders.select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), *([F.col("o_orderkey")] if "key" in order else [])], 3, fn).drop("o_totalprice"))
 query("w19_top_in_two_steps", "select c_nationkey, c_custkey from (select *, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as rn from customer) where rn < 4")(

@@ -23,6 +23,25 @@ def _foo(batches):
 query("g1_process", "select c_custkey, 'foo ' || c_mktsegment as s from customer")(lambda t: rs.process(t.customer.select("c_custkey", "c_mktsegment"), _foo, "c_custkey long, s string"))
 
 
+def _throwing(batches):
+    for b in batches:
+        raise ValueError(f"the helper failed on {b.columns[0]}")
+        yield b
+
+
+def failed_process(t):
+    """The error that a failing helper surfaces as, beside the number of rows; a processor that passes rows through has them all."""
+    try:
+        rs.process(t.customer.select("c_custkey"), _throwing, "c_custkey long").collect()
+    except Exception as e:  # noqa: BLE001  the kind of error is Spark's, the message the helper's
+        passed = rs.process(t.customer.select("c_custkey"), lambda batches: batches, "c_custkey long")
+        return passed.agg(F.count("*").alias("n")).select(F.lit("the helper failed on c_custkey" in str(e)).alias("surfaced"), "n")
+    raise AssertionError("the helper must fail")
+
+
+query("g3_failing_helper", "select true as surfaced, count(*) as n from customer")(failed_process)
+
+
 def renamed_processor(source: str, dest: str, table: dict[str, str]):
     """A processor with arguments: looks ``source`` up into ``dest``."""
     if source == dest:
@@ -44,26 +63,33 @@ def _total(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
     s = 0.0
     for b in batches:
         s += float(b["o_totalprice"].sum())
-    yield pd.DataFrame({"o_orderpriority": [key[0]], "s": [round(s, 2)]})
+    yield pd.DataFrame({"o_orderpriority": [key[0]], "s": [s]})
 
 
 query("g4_reduce_native", "select o_orderpriority, round(sum(o_totalprice), 2) as s from orders group by o_orderpriority")(lambda t: t.orders.groupBy("o_orderpriority").agg(F.round(F.sum("o_totalprice"), 2).alias("s")))
-query("g4_reduce_hook", "select o_orderpriority, round(sum(o_totalprice), 2) as s from orders group by o_orderpriority")(lambda t: rs.reduce(t.orders.select("o_orderpriority", "o_totalprice"), ["o_orderpriority"], _total, "o_orderpriority string, s double"))
+
+
+def _totals(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One total of a key's parts."""
+    yield pd.DataFrame({"o_orderpriority": [key[0]], "s": [round(sum(float(p["s"].sum()) for p in parts), 2)]})
+
+
+query("g4_reduce_hook", "select o_orderpriority, round(sum(o_totalprice), 2) as s from orders group by o_orderpriority")(lambda t: rs.reduce(t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice"), ["o_orderpriority"], _total, "o_orderpriority string, s double", merge=_totals))
 
 
 query("o6_presorted_groups", 'select user_id, min_by(event_id, ts) as "first", max_by(event_id, ts) as "last" from events group by user_id')(
-    lambda t: t.events.select("user_id", "ts", "event_id").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("e")).select("user_id", F.col("e")[0]["event_id"].alias("first"), F.element_at("e", -1)["event_id"].alias("last"))
+    lambda t: t.events.groupBy("user_id").agg(F.min(F.struct("ts", "event_id"))["event_id"].alias("first"), F.max(F.struct("ts", "event_id"))["event_id"].alias("last"))
 )
 query("g5_combine_all_pairs", "select r_name, seg from region cross join (select distinct c_mktsegment as seg from customer)")(lambda t: rs.combine(t.region.select("r_name"), t.customer.select(F.col("c_mktsegment").alias("seg")).distinct(), None))
-query("g6_combine_names", "select c.c_nationkey as leftk, s.c_nationkey as rightk, count(*) as n from (select c_nationkey from customer where c_custkey < 50) c cross join (select s_nationkey as c_nationkey from supplier where s_suppkey < 5) s group by 1, 2")(
-    lambda t: rs.combine(t.customer.where("c_custkey < 50").select(F.col("c_nationkey").alias("k")), t.supplier.where("s_suppkey < 5").select(F.col("s_nationkey").alias("k")), None, left_name="left", right_name="right").groupBy("leftk", "rightk").agg(F.count("*").alias("n"))
-)
 
 
 def by_nation(df, column: str):
     return df.groupBy(F.col(column).alias("k")).agg(F.count("*").alias("n"))
 
 
+query("g6_combine_names", "select c.c_nationkey as leftk, s.c_nationkey as rightk, count(*) as n from (select c_nationkey from customer where c_acctbal > 0) c cross join (select s_nationkey as c_nationkey from supplier) s group by 1, 2")(
+    lambda t: rs.combine(by_nation(t.customer.where("c_acctbal > 0"), "c_nationkey"), by_nation(t.supplier, "s_nationkey"), None, left_name="left", right_name="right").select("leftk", "rightk", (F.col("leftn") * F.col("rightn")).alias("n"))
+)
 query("g6_combine_names_whole", "select c.c_nationkey as leftk, s.c_nationkey as rightk, count(*) as n from customer c cross join (select s_nationkey as c_nationkey from supplier) s group by 1, 2")(
     lambda t: rs.combine(by_nation(t.customer, "c_nationkey"), by_nation(t.supplier, "s_nationkey"), None, left_name="left", right_name="right").select("leftk", "rightk", (F.col("leftn") * F.col("rightn")).alias("n"))
 )
@@ -124,6 +150,11 @@ def lines():
     return F.explode(F.split("text", "\n")).alias("line")
 
 
+def sampled(key, below: str):
+    """Whether a row is in a sample by its key, the same one whenever it is drawn: its digest is less than some hexadecimal digits."""
+    return F.md5(key.cast("string").cast("binary")) < below
+
+
 LINES_SQL = "(select doc_id, unnest(string_split(text, chr(10))) as line from documents)"
 query("l1_line_cleanup", f"select doc_id, replace(replace(replace(line, chr(9), '|'), ',', ''), '\"', '') as line from {LINES_SQL} where not contains(line, '###') and line <> ''")(
     lambda t: t.documents.select("doc_id", lines()).where(~F.col("line").contains("###") & (F.col("line") != "")).select("doc_id", F.replace(F.replace(F.replace("line", F.lit("\t"), F.lit("|")), F.lit(","), F.lit("")), F.lit('"'), F.lit("")).alias("line"))
@@ -134,12 +165,21 @@ query("l2_pick_fields", f"select doc_id, split_part(line, ' ', 3) as third, subs
 query("l4_text_profile", "select count(*) as lines, max(length(text)) as chars, (select strlen(text) from documents order by length(text) desc, doc_id limit 1) as bytes, (select doc_id from documents order by length(text) desc, doc_id limit 1) as at from documents")(
     lambda t: t.documents.agg(F.count("*").alias("lines"), F.max(F.struct(F.length("text").alias("chars"), (-F.col("doc_id")).alias("at"), F.octet_length("text").alias("bytes"))).alias("m")).select("lines", "m.chars", "m.bytes", (-F.col("m.at")).alias("at"))
 )
-query("l5_links")(lambda t: pg.links(t.pages))
-query("l6_table_rows")(lambda t: pg.table_rows(t.pages.withColumn("html", F.concat(F.lit("<table><tr><th>Page</th><th>Site</th></tr><tr><td>"), F.col("page_id").cast("string"), F.lit("</td><td>"), "url", F.lit("</td></tr></table>")))))
-query("l7_log_slice", "select doc_id, source from documents where lang in ('en', 'de') and n_chars > 200 and (contains(lower(text), 'license') or contains(lower(text), 'rights')) and source <> 'src0'")(
+_ENTITIES = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&')"
+_ANCHORS = "(select page_id, generate_subscripts(a, 1) - 1 as n, unnest(a) as a from (select page_id, regexp_extract_all(html, '<a\\s[^>]*href=\"[^\"]*\"[^>]*>.*?</a>') as a from pages))"
+_TEXT, _HREF = "trim(regexp_replace(regexp_extract(a, '>(.*)</a>$', 1), '<[^>]*>', '', 'g'))", "regexp_extract(a, 'href=\"([^\"]*)\"', 1)"
+query("l5_links", f"select page_id, cast(n as integer) as n, {_ENTITIES.format(_TEXT)} as text, {_ENTITIES.format(_HREF)} as href from {_ANCHORS}")(lambda t: pg.links(t.pages))
+_ROWS = "(select page_id, generate_subscripts(r, 1) - 1 as n, unnest(r) as r from (select page_id, regexp_extract_all(html, '(?s)<tr[^>]*>.*?</tr>') as r from pages))"
+_CELLS = "regexp_extract_all(r, case when contains(r, '<th') then '(?s)<th[^>]*>(.*?)</th>' else '(?s)<td[^>]*>(.*?)</td>' end, 1)"
+_CELL = "replace(trim(regexp_replace(regexp_replace(c, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')), '|', '')"
+query("l6_table_rows", f"select page_id, cast(n as integer) as n, case when contains(r, '<th') then 'th' else 'td' end as tag, array_to_string(list_transform({_CELLS}, lambda c: {_CELL}), '|') as line from {_ROWS}")(lambda t: pg.table_rows(t.pages))
+query("l7_log_slice", "select event_id, user_id, event_type from events where md5(cast(event_id as varchar)) < '40' and ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-20' and event_type in ('click', 'view', 'purchase') and value > 20 and (contains(lower(props), '\"k\": 1') or contains(lower(props), '\"k\": 2'))")(
+    lambda t: t.events.where(sampled(F.col("event_id"), "40") & F.expr("ts >= timestamp_ntz '2024-01-05 00:00:00' and ts < timestamp_ntz '2024-01-20 00:00:00'") & F.col("event_type").isin("click", "view", "purchase") & (F.col("value") > 20) & fx.contains_one_of(F.col("props"), ['"k": 1', '"K": 2'])).select("event_id", "user_id", "event_type")
+)
+query("l7_document_slice", "select doc_id, source from documents where lang in ('en', 'de') and n_chars > 200 and (contains(lower(text), 'license') or contains(lower(text), 'rights')) and source <> 'src0'")(
     lambda t: t.documents.where(F.col("lang").isin("en", "de") & (F.col("n_chars") > 200) & fx.contains_one_of(F.col("text"), ["license", "rights"]) & (F.col("source") != "src0")).select("doc_id", "source")
 )
-query("l7_sample")(lambda t: t.events.sample(fraction=0.1, seed=7).select("event_id"))
+query("l7_sample", "select event_id from events where md5(cast(event_id as varchar)) < '19'")(lambda t: t.events.where(sampled(F.col("event_id"), "19")).select("event_id"))
 query("l8_never_clicked", "select s_suppkey, count(*) as n from supplier join lineitem on l_suppkey = s_suppkey where s_suppkey not in (select l_suppkey from lineitem where l_quantity > 49.5 and l_discount > 0.09) group by s_suppkey")(
     lambda t: t.supplier.select("s_suppkey").join(t.lineitem.select("l_suppkey", "l_quantity"), F.expr("l_suppkey = s_suppkey")).join(t.lineitem.where("l_quantity > 49.5 and l_discount > 0.09").select(F.col("l_suppkey").alias("k")), F.expr("s_suppkey = k"), "left_anti").groupBy("s_suppkey").agg(F.count("*").alias("n"))
 )
@@ -149,5 +189,17 @@ query("l9_totals_by_two_keys", "select 'supp' as by_key, l_suppkey as k, round(s
 
 # metadata
 
+
+def filled(df):
+    """The number of values of each column that aren't null, a row a column."""
+    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in df.columns])
+    return counts.unpivot([], counts.columns, "name", "n_values")
+
+
 query("e1_row_count", "select count(*) as n from lineitem")(lambda t: t.lineitem.agg(F.count("*").alias("n")))
-query("e2_schema_rows")(lambda t: sinks.schema_rows(t.orders))
+_KINDS = "case data_type when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'DOUBLE' then 'double' when 'VARCHAR' then 'string' else 'timestamp_ntz' end"
+_PROVIDERS = "case data_type when 'BIGINT' then 'LongType' when 'INTEGER' then 'IntegerType' when 'DOUBLE' then 'DoubleType' when 'VARCHAR' then 'StringType' else 'TimestampNTZType' end"
+_FILLED = " union all ".join(f"select '{c}' as name, count({c}) as n_values from orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
+query("e2_schema_rows", f"select cast(ordinal_position - 1 as integer) as ordinal, column_name as name, {_KINDS} as type, {_PROVIDERS} as provider, true as nullable, n_values from information_schema.columns join ({_FILLED}) on name = column_name where table_name = 'orders'")(
+    lambda t: sinks.schema_rows(t.orders).join(filled(t.orders), "name").select("ordinal", "name", "type", "provider", "nullable", "n_values")
+)

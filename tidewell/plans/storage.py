@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
-from itertools import product
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.functions import text as fx
 from tidewell.operators.windows import numbered as row_numbers
 from tidewell.plans.registry import query
-from tidewell.session import exists, scratch, shared_dir
+from tidewell.session import scratch, shared_dir
 from tidewell.sources import fileset as fs
 from tidewell.sources import sinks
 from tidewell.sources import text as tx
@@ -58,12 +58,28 @@ def lines(t):
 query("s5_whole_lines", "select line, count(*) as n from (select unnest(string_split(text, chr(10))) as line from documents) group by line")(lines)
 query("s6_table_scan", "select l_orderkey, l_linenumber, l_quantity from lineitem")(lambda t: t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity"))
 query("s17_requested_columns", "select l_partkey, l_shipdate from lineitem where l_quantity > 49")(lambda t: t.lineitem.where("l_quantity > 49").select("l_partkey", "l_shipdate"))
-query("s18_line_parser", "select p_partkey, p_name, p_size from part")(lambda t: tx.parse_lines(tx.format_lines(t.part.select("p_partkey", "p_name", "p_size")).withColumnRenamed("value", "line"), "p_partkey:long, p_name, p_size:int"))
+
+
+def line_trip(t, df, columns: str, **options):
+    """Rows formatted as lines, written, and parsed from the files."""
+    path = place(t, "parsed")
+    tx.format_lines(df).write.text(path)
+    return tx.parse_lines(tx.read_lines(t.spark, path), columns, **options)
+
+
+def written_lines(t, df):
+    """The lines of the files that a formatter wrote."""
+    path = place(t, "formatted")
+    tx.format_lines(df).write.text(path)
+    return tx.read_lines(t.spark, path).withColumnRenamed("line", "value")
+
+
+query("s18_line_parser", "select p_partkey, p_name, p_size from part")(lambda t: line_trip(t, t.part.select("p_partkey", "p_name", "p_size"), "p_partkey:long, p_name, p_size:int"))
 query("s19_parser_with_argument", "select c_custkey, upper(c_name) as c_name, upper(c_mktsegment) as c_mktsegment from customer")(
-    lambda t: tx.parse_lines(tx.format_lines(t.customer.select("c_custkey", "c_name", "c_mktsegment")).withColumnRenamed("value", "line"), "c_custkey:long, c_name, c_mktsegment", upper=True)
+    lambda t: line_trip(t, t.customer.select("c_custkey", "c_name", "c_mktsegment"), "c_custkey:long, c_name, c_mktsegment", upper=True)
 )
 query("s20_parser_of_versions", "select p_partkey, p_partkey % 9 || '.' || p_size as v from part")(
-    lambda t: tx.parse_lines(tx.format_lines(t.part.select("p_partkey", F.concat_ws(".", (F.col("p_partkey") % 9).cast("string"), F.col("p_size").cast("string")))).withColumnRenamed("value", "line"), "p_partkey:long, v").select("p_partkey", fx.version_text(fx.version(F.col("v"))).alias("v"))
+    lambda t: line_trip(t, t.part.select("p_partkey", F.concat_ws(".", (F.col("p_partkey") % 9).cast("string"), F.col("p_size").cast("string"))), "p_partkey:long, v").select("p_partkey", fx.version_text(fx.version(F.col("v"))).alias("v"))
 )
 query("k1_text_round_trip", "select c_custkey, case when c_custkey % 5 = 0 then '' when c_custkey % 7 = 0 then ' \"' || c_name || '\" ' else c_name end as name from customer")(
     lambda t: text_trip(t, t.customer.select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, "").when(F.col("c_custkey") % 7 == 0, F.concat(F.lit(' "'), "c_name", F.lit('" '))).otherwise(F.col("c_name")).alias("name")), "c_custkey:long, name")
@@ -78,9 +94,9 @@ def escaped_trip(t):
 
 
 query("k3_escaped_text", "select doc_id, md5(text || chr(9) || '\\t end\\') as m from documents")(escaped_trip)
-query("k13_formatted_lines", "select n_nationkey || chr(9) || n_name || chr(9) || n_regionkey as value from nation")(lambda t: tx.format_lines(t.nation))
+query("k13_formatted_lines", "select n_nationkey || chr(9) || n_name || chr(9) || n_regionkey as value from nation")(lambda t: written_lines(t, t.nation))
 query("k14_version_lines", "select p_partkey || chr(9) || '1.' || (p_partkey % 9) || '.' || p_size as value from part")(
-    lambda t: tx.format_lines(t.part.select("p_partkey", fx.version_text(fx.version(F.concat_ws(".", F.lit("1"), (F.col("p_partkey") % 9).cast("string"), F.lpad(F.col("p_size").cast("string"), 3, "0")))).alias("v")))
+    lambda t: written_lines(t, t.part.select("p_partkey", fx.version_text(fx.version(F.concat_ws(".", F.lit("1"), (F.col("p_partkey") % 9).cast("string"), F.lpad(F.col("p_size").cast("string"), 3, "0")))).alias("v")))
 )
 
 # structured
@@ -93,7 +109,7 @@ def nested(t):
 
 query("k4_table_round_trip", "select p_partkey, replace(p_name, ' ', ';') as a, 'size=' || p_size as m, p_brand as b from part")(lambda t: sinks.flat(parquet_trip(t, nested(t)).select("p_partkey", "a", "m", F.col("s.p_brand").alias("b"))))
 query("n3_struct_round_trip", "select p_partkey, p_brand, p_type from part")(lambda t: parquet_trip(t, nested(t)).select("p_partkey", "s.p_brand", "s.p_type"))
-query("k15_flat_collections", "select p_partkey, replace(p_name, ' ', ';') as a, 'size=' || p_size as m from part")(lambda t: sinks.flat(nested(t).select("p_partkey", "a", "m")))
+query("k15_flat_collections", "select p_partkey, replace(p_name, ' ', ';') as a, 'size=' || p_size as m from part")(lambda t: text_trip(t, sinks.flat(nested(t).select("p_partkey", "a", "m")), "p_partkey:long, a, m"))
 
 
 def clustered(t, sort=None):
@@ -160,57 +176,31 @@ query("l3_cleaned_copies", "select n_nationkey, n_name from nation union all sel
 # sets of files
 
 
-def shards(t, df, template: str, names):
-    """One folder of Parquet a member, named by the template."""
-    path = place(t, "set")
-    df = df.persist()
-    try:
-        for values, condition in names:
-            df.where(condition).write.parquet(f"{path}/{fs.fill(template, values)}")
-    finally:
-        df.unpersist()
-    return path
-
-
-SERIAL = "input_<serial>.parquet"
+SERIAL = "input_%n.parquet"
 
 
 def numbered_set(t, numbers):
-    df = t.orders.select("o_orderkey", "o_orderstatus", F.pmod("o_orderkey", F.lit(6)).alias("m"))
-    return shards(t, df, SERIAL, [({"serial": n}, f"m = {n}") for n in numbers])
+    """A set of Parquet members by the remainder of the key, without the numbers that aren't given."""
+    path, rest = place(t, "set"), F.pmod("o_orderkey", F.lit(6))
+    for low, high in numbers:
+        part = t.orders.select("o_orderkey", rest.alias("m"))
+        fs.write_set(part, path, SERIAL.replace("%n", "<serial>"), {"serial": f"intrange:{low}...{high}"}, {"serial": F.col("m")}, ["o_orderkey"], lambda w, p: w.parquet(p))
+    return path
 
 
 def read_numbered(t, path: str, low: int, high: int, sparse: bool = False):
-    """Members are folders here, so the number stands in the folder's name."""
-    template = SERIAL
-    paths = [f"{path}/{m}" for m in fs.members(template, {"serial": f"intrange:{low}...{high}"})]
-    if sparse:
-        paths = [p for p in paths if exists(t.spark, p)]
-    df = t.spark.read.parquet(*paths)
-    return df.select("o_orderkey", F.regexp_extract("_metadata.file_path", r"input_(\d+)\.parquet", 1).cast("int").alias("serial"))
+    return fs.numbered(t.spark, path, SERIAL, low, high, lambda paths: t.spark.read.parquet(*paths), sparse).select("o_orderkey", "serial")
 
 
-query("s7_dense_set", "select o_orderkey, cast(o_orderkey % 6 as integer) as serial from orders where o_orderkey % 6 between 1 and 3")(lambda t: read_numbered(t, numbered_set(t, range(6)), 1, 3))
-query("s8_sparse_set", "select o_orderkey, cast(o_orderkey % 6 as integer) as serial from orders where o_orderkey % 6 in (1, 2, 4)")(lambda t: read_numbered(t, numbered_set(t, [1, 2, 4]), 1, 5, sparse=True))
+query("s7_dense_set", "select o_orderkey, cast(o_orderkey % 6 as integer) as serial from orders where o_orderkey % 6 between 1 and 3")(lambda t: read_numbered(t, numbered_set(t, [(0, 5)]), 1, 3))
+query("s8_sparse_set", "select o_orderkey, cast(o_orderkey % 6 as integer) as serial from orders where o_orderkey % 6 in (1, 2, 4)")(lambda t: read_numbered(t, numbered_set(t, [(1, 2), (4, 4)]), 1, 5, sparse=True))
 
 
 def text_set(t, df, template: str, expansions: dict[str, str], keys: dict[str, object]):
-    """Writes one text file a member, as its template says, and reads the set with its parts."""
+    """Writes a set of text members in one job, as its template says, and reads the set with its parts."""
     path = place(t, "files")
-    df = df.persist()
-    names = list(expansions)
-    try:
-        for combo in product(*[fs.expand(expansions[n]) for n in names]):
-            values = dict(zip(names, combo))
-            condition = F.lit(True)
-            for n, v in values.items():
-                condition = condition & (keys[n] == F.lit(v))
-            df.where(condition).select("id").write.csv(f"{path}/{fs.fill(template, values)}")
-    finally:
-        df.unpersist()
-    members = [f"{path}/{m}" for m in fs.members(template, expansions)]
-    scan = tx.read_text(t.spark, members, "id:long").select("id", F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("_file"))
-    return fs.with_parts(scan, template, expansions)
+    fs.write_set(df, path, template, expansions, keys, ["id"], lambda w, p: w.csv(p))
+    return fs.read_set(t.spark, path, template, expansions, lambda paths: tx.read_text(t.spark, paths, "id:long"))
 
 
 query("s9_templated_set", 'select o_orderkey as id, o_orderstatus as "Status" from orders where o_orderstatus in (\'F\', \'O\')')(lambda t: text_set(t, t.orders.select(F.col("o_orderkey").alias("id"), "o_orderstatus"), "orders-<Status>.txt", {"Status": "enum:F;O"}, {"Status": F.col("o_orderstatus")}))
@@ -228,7 +218,7 @@ query("s13_virtual_columns", "select date_part('day', ts) as d, count(*) as n fr
 query("s12_combined_parts", 'select o_orderkey as id, o_orderstatus as "S", cast(o_orderkey % 3 as integer) as "N" from orders where o_orderstatus in (\'F\', \'P\') and o_orderkey % 3 in (1, 2)')(
     lambda t: text_set(t, t.orders.select(F.col("o_orderkey").alias("id"), "o_orderstatus", F.pmod("o_orderkey", F.lit(3)).alias("n")), "o-<S>-<N>.txt", {"S": "enum:F;P", "N": "intrange:1...2"}, {"S": F.col("o_orderstatus"), "N": F.col("n")})
 )
-query("x8_union_of_members", "select o_orderkey, cast(o_orderkey % 6 as integer) as serial from orders")(lambda t: read_numbered(t, numbered_set(t, range(6)), 0, 5))
+query("x8_union_of_members", "select o_orderkey, cast(o_orderkey % 6 as integer) as serial from orders")(lambda t: read_numbered(t, numbered_set(t, [(0, 5)]), 0, 5))
 
 
 def latest(t):
@@ -260,13 +250,9 @@ query("s16_view_with_parameters", "select event_id, event_type from events where
 
 
 def zipped(t):
-    path = place(t, "gz")
-    df = t.events.select("event_id", F.to_date("ts").alias("d")).where("d between date'2024-01-08' and date'2024-01-10'").persist()
-    try:
-        for day in fs.expand("daterange:2024-01-08...2024-01-10"):
-            df.where(F.col("d") == F.lit(day)).select(F.col("event_id").cast("string")).write.option("compression", "gzip").text(f"{path}/counts-{day:%Y%m%d}")
-    finally:
-        df.unpersist()
+    path, days = place(t, "gz"), {"Day": "daterange:2024-01-08...2024-01-10"}
+    df = t.events.select(F.col("event_id").cast("string"), F.to_date("ts").alias("d"))
+    fs.write_set(df, path, "counts-<Day.Year><Day.Month><Day.Day>", days, {"Day": F.col("d")}, ["event_id"], lambda w, p: w.option("compression", "gzip").text(p))
     name = F.regexp_extract("_metadata.file_path", r"counts-(\d{8})", 1)
     return t.spark.read.text(f"{path}/*").select(F.col("value").cast("long").alias("event_id"), *[F.substring(name, a, n).cast("int").alias(c) for c, a, n in (("y", 1, 4), ("m", 5, 2), ("d", 7, 2))])
 
@@ -274,15 +260,21 @@ def zipped(t):
 query("s22_zipped_text", "select event_id, cast(year(ts) as integer) as y, cast(month(ts) as integer) as m, cast(day(ts) as integer) as d from events where ts >= timestamp '2024-01-08' and ts < timestamp '2024-01-11'")(zipped)
 
 
-def backfill(t):
-    """One job over a range of days, one folder a day."""
-    path = place(t, "days")
-    days = t.events.where("value is not null and event_type != '' and event_type in ('click', 'view')").select("event_id", F.to_date("ts").cast("string").alias("day"))
-    sinks.write_by(days, path, "day")
+def backfill(t, first: str = "2024-01-03", last: str = "2024-01-28"):
+    """One job over a range of days, one folder a day; a rerun of a day replaces its folder only."""
+    path, day = place(t, "days"), F.to_date("ts")
+    wanted = F.col("value").isNotNull() & (F.col("event_type") != "") & F.col("event_type").isin("click", "view") & day.between(F.lit(first).cast("date"), F.lit(last).cast("date"))
+    sinks.write_by(t.events.where(wanted).select("event_id", day.cast("string").alias("day")), path, "day")
     return t.spark.read.schema("event_id long, day string").parquet(path)
 
 
-query("l10_backfill", "select event_id, strftime(ts, '%Y-%m-%d') as day from events where event_type in ('click', 'view')")(backfill)
+def newest_first(days):
+    """Rows by day, the newest day first, with the day's place in that order."""
+    order = days.select("day").distinct().withColumn("place", F.row_number().over(Window.orderBy(F.desc("day"))))  # a row a day
+    return days.join(F.broadcast(order), "day").orderBy("place", "event_id")
+
+
+query("l10_backfill", "select event_id, day, dense_rank() over (order by day desc) as place from (select event_id, strftime(ts, '%Y-%m-%d') as day from events where value is not null and event_type in ('click', 'view') and ts >= timestamp '2024-01-03' and ts < timestamp '2024-01-29') order by place, event_id")(lambda t: newest_first(backfill(t)))
 query("e4_partition_read", "select event_id from events where event_type in ('click', 'view') and strftime(ts, '%Y-%m-%d') = '2024-01-09'")(lambda t: backfill(t).where("day = '2024-01-09'").select("event_id"))
 
 

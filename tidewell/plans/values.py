@@ -37,8 +37,8 @@ query("r10_remove_items_by_rows", KEPT)(lambda t: t.part.select("p_partkey", F.e
 query("r11_remove_items_by_lambda", KEPT)(lambda t: t.part.select("p_partkey", F.array_sort(F.filter(words(), lambda w: w.startswith("s") | w.startswith("r"))).alias("k")).where(F.size("k") > 0).select("p_partkey", F.array_join("k", ",").alias("a")))
 query("r12_flatten", "select doc_id, w, count(*) as n from (select doc_id, unnest(string_split(text, ' ')) as w from documents) group by doc_id, w")(lambda t: t.documents.select("doc_id", F.explode(F.split("text", " ")).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n")))
 query("r13_apply_split", f"select p_partkey, unnest({SQL_WORDS}) as w from part")(lambda t: t.sql("select p_partkey, w from {part} lateral view explode(split(p_name, ' ')) x as w", "part"))
-query("r14_break_and_merge", "select w, string_agg(cast(p_partkey as varchar), ';' order by p_partkey) as parts from (select p_partkey, unnest(string_split(p_name, ' ')) as w from part) group by w")(
-    lambda t: t.part.select("p_partkey", F.explode(words()).alias("w")).groupBy("w").agg(fx.joined(F.array_sort(F.collect_list("p_partkey")), ";").alias("parts"))
+query("r14_break_and_merge", "select p_partkey, string_agg(w, ';' order by w) as words, count(*) as n from (select p_partkey, unnest(string_split(p_name, ' ')) as w from part) group by p_partkey")(
+    lambda t: t.part.select("p_partkey", F.explode(words()).alias("w")).groupBy("p_partkey").agg(F.array_join(F.array_sort(F.collect_list("w")), ";").alias("words"), F.count("*").alias("n"))
 )
 query("r15_digits", "select o_orderkey, array_to_string(list_transform(string_split(bin(o_orderkey), ''), lambda c: case when c = '0' then 0 else 1 end), ',') as d from orders")(lambda t: t.orders.select("o_orderkey", fx.joined(fx.digits(F.bin("o_orderkey"))).alias("d")))
 query("r16_ints_as_text", "select p_partkey, p_partkey || ',' || p_size || ',' || (p_size * 2) as a from part")(lambda t: t.part.select("p_partkey", fx.joined(F.array(F.col("p_partkey"), F.col("p_size").cast("long"), F.col("p_size").cast("long") * 2)).alias("a")))
@@ -110,11 +110,16 @@ query("n5_numbers_from_text", "select p_partkey, p_partkey + 3 * p_size as s fro
 
 
 def results():
-    return F.concat_ws(";", F.col("l_returnflag"), F.lit("NULL"), F.col("l_linestatus"), F.col("l_linenumber").cast("string"))
+    """Four results in one of two orders, a null token among them."""
+    low, high = (F.col("l_partkey") % 7 + 10).cast("string"), (F.col("l_suppkey") % 5 + 20).cast("string")
+    line = F.col("l_linenumber").cast("string")
+    return F.when(F.col("l_orderkey") % 2 == 0, F.concat_ws(";", line, F.lit("NULL"), low, high)).otherwise(F.concat_ws(";", high, line, F.lit("NULL"), low))
 
 
 def clicks():
-    return F.concat_ws(";", F.col("l_linenumber").cast("string"), F.lit("NULL"))
+    """Two clicks; the first is a null token or absent from the results in some rows, the second in others."""
+    first = F.when(F.col("l_partkey") % 4 == 0, "NULL").when(F.col("l_partkey") % 4 == 1, "99").otherwise((F.col("l_suppkey") % 5 + 20).cast("string"))
+    return F.concat_ws(";", first, (F.col("l_partkey") % 9 + 10).cast("string"))
 
 
 def view():
@@ -122,9 +127,15 @@ def view():
 
 
 LINE = "l_orderkey, l_linenumber, l_partkey"
-query("n6_page_view", f"select {LINE}, l_returnflag || ',' || l_linestatus || ',' || l_linenumber as results, cast(l_linenumber as varchar) as clicks from lineitem")(lambda t: t.lineitem.select(*LINE.split(", "), view().alias("v")).select(*LINE.split(", "), F.array_join("v.results", ",").alias("results"), F.array_join("v.clicks", ",").alias("clicks")))
-query("n7_click_position", f"select {LINE}, 3 as pos, 0 as legacy from lineitem")(lambda t: t.lineitem.select(*LINE.split(", "), view().alias("v")).select(*LINE.split(", "), fx.click_position(F.col("v.results"), F.col("v.clicks"), 1).alias("pos"), fx.click_position(F.col("v.results"), F.col("v.clicks"), 1, True).alias("legacy")))
-query("n8_first_click", f"select {LINE}, 4 as pos from lineitem")(lambda t: t.lineitem.select(*LINE.split(", "), F.array_position(fx.tokens(results(), ";"), fx.token(clicks(), ";", 0)).alias("pos")))
+_LOW, _HIGH, _NUMBER = "cast(l_partkey % 7 + 10 as varchar)", "cast(l_suppkey % 5 + 20 as varchar)", "cast(l_linenumber as varchar)"
+_FIRST = f"case l_partkey % 4 when 0 then 'NULL' when 1 then '99' else {_HIGH} end"
+_SEEN = f"(select {LINE}, case when l_orderkey % 2 = 0 then [{_NUMBER}, 'NULL', {_LOW}, {_HIGH}] else [{_HIGH}, {_NUMBER}, 'NULL', {_LOW}] end as raw, {_FIRST} as first, [{_FIRST}, cast(l_partkey % 9 + 10 as varchar)] as pair from lineitem)"
+_VIEW = f"(select {LINE}, first, raw, list_filter(raw, lambda x: x <> 'NULL') as results, list_filter(pair, lambda x: x <> 'NULL') as clicks from {_SEEN})"
+query("n6_page_view", f"select {LINE}, array_to_string(results, ',') as results, array_to_string(clicks, ',') as clicks from {_VIEW}")(lambda t: t.lineitem.select(*LINE.split(", "), view().alias("v")).select(*LINE.split(", "), F.array_join("v.results", ",").alias("results"), F.array_join("v.clicks", ",").alias("clicks")))
+query("n7_click_position", f"select {LINE}, coalesce(list_position(results, clicks[1]), 0) as pos, coalesce(list_position(results, clicks[2]), 0) as second, coalesce(list_position(results[1 : len(clicks)], clicks[1]), 0) as legacy from {_VIEW}")(
+    lambda t: t.lineitem.select(*LINE.split(", "), view().alias("v")).select(*LINE.split(", "), *[fx.click_position(F.col("v.results"), F.col("v.clicks"), n, legacy).alias(name) for name, n, legacy in (("pos", 1, False), ("second", 2, False), ("legacy", 1, True))])
+)
+query("n8_first_click", f"select {LINE}, coalesce(list_position(raw, first), 0) as pos from {_VIEW}")(lambda t: t.lineitem.select(*LINE.split(", "), F.array_position(fx.tokens(results(), ";"), fx.token(clicks(), ";", 0)).alias("pos")))
 DOMAIN_SQL = "array_to_string(list_slice(string_split(split_part(regexp_replace(url, '^[a-z]+://', ''), '/', 1), '.'), -2, -1), '.')"
 query("n9_domain_counts", f"select {DOMAIN_SQL} as domain, count(*) as n from pages group by 1")(lambda t: t.pages.select(F.explode(F.array("url")).alias("u")).groupBy(fx.domain(F.col("u")).alias("domain")).agg(F.count("*").alias("n")))
 query("n10_domain", f"select page_id, {DOMAIN_SQL} as domain from pages")(lambda t: t.pages.select("page_id", fx.domain(F.col("url")).alias("domain")))

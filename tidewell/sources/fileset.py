@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Callable
 from itertools import product
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.session import exists
+from tidewell.session import delete, exists
 
 _PART = re.compile(r"<(\w+)(?:\.(Year|Month|Day))?>")
 _WIDTH = {"Year": 4, "Month": 2, "Day": 2}
@@ -69,7 +70,8 @@ def _pattern(template: str, expansions: dict[str, str]) -> tuple[str, list[tuple
         out += f"(\\d{{{_WIDTH[m[2]]}}})" if m[2] else r"(\d+)" if kind == "intrange" else r"(\d{4}-\d{2}-\d{2})" if kind == "daterange" else "(" + "|".join(map(re.escape, expand(expansions[m[1]]))) + ")"
         groups.append((m[1], m[2]))
         at = m.end()
-    return out + re.escape(template[at:]) + "$", groups
+    # a member is a file, or a folder of part files
+    return "(?:^|/)" + out + re.escape(template[at:]) + "(?:/[^/]*)?$", groups
 
 
 def with_parts(df: DataFrame, template: str, expansions: dict[str, str]) -> DataFrame:
@@ -94,6 +96,28 @@ def with_parts(df: DataFrame, template: str, expansions: dict[str, str]) -> Data
     return df.select("*", *columns).drop("_file")
 
 
+def write_set(df: DataFrame, folder: str, template: str, expansions: dict[str, str], keys: dict[str, Column], columns: list[str], write: Callable) -> None:
+    """Writes ``columns`` of the rows of each member as a folder of its name, all in one job; ``write(writer, path)`` chooses the format.
+
+    ``keys`` are the values of the parts. Rows of no member aren't written, members without rows have an empty folder.
+    """
+    spark, names = df.sparkSession, members(template, expansions)
+    pieces, at = [], 0
+    for m in _PART.finditer(template):
+        pieces.append(F.lit(template[at : m.start()]))
+        value = keys[m[1]]
+        pieces.append(F.date_format(value, {"Year": "yyyy", "Month": "MM", "Day": "dd"}[m[2]]) if m[2] else value.cast("string"))
+        at = m.end()
+    rows = df.withColumn("_member", F.concat(*pieces, F.lit(template[at:]))).where(F.col("_member").isin(names)).select(*columns, "_member")
+    write(rows.write.partitionBy("_member"), f"{folder}/_all")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in names:
+        old = path(f"{folder}/_all/_member={name}")
+        fs.rename(old, path(f"{folder}/{name}")) if fs.exists(old) else fs.mkdirs(path(f"{folder}/{name}"))
+    delete(spark, f"{folder}/_all")
+
+
 def read_set(spark: SparkSession, folder: str, template: str, expansions: dict[str, str], read, sparse: bool = False) -> DataFrame:
     """The rows of all members, with the parts as columns. ``read(paths)`` makes one scan.
 

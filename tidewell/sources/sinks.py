@@ -16,8 +16,9 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def write_clustered(df: DataFrame, path: str, keys: list[str], sort: list[Column] | None = None) -> None:
-    """Files in which the rows of a key stand together, sorted inside a file if asked."""
-    out = df.repartition(*keys)
+    """Files in which the rows of a key stand together, sorted if asked; a large key goes on over several files."""
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    out = df.repartitionByRange(*keys, *(sort or []), spread)
     out.sortWithinPartitions(*keys, *(sort or [])).write.parquet(path)
 
 
@@ -87,11 +88,14 @@ def export_csv(df: DataFrame, path: str, columns: list[str] | None = None, top:
 
 
 def schema_rows(df: DataFrame) -> DataFrame:
-    """ordinal, name, type, nullable of each column."""
-    rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema)]
-    return df.sparkSession.createDataFrame(rows, "ordinal int, name string, type string, nullable boolean")
+    """ordinal, name, type, provider (the class of the type), nullable of each column."""
+    rows = [(i, f.name, f.dataType.simpleString(), type(f.dataType).__name__, f.nullable) for i, f in enumerate(df.schema)]
+    return df.sparkSession.createDataFrame(rows, "ordinal int, name string, type string, provider string, nullable boolean")
 
 
 def client_rows(df: DataFrame, most: int = 10_000):
-    """An iterator of at most ``most`` rows for the client, a partition at a time."""
-    return df.limit(most).toLocalIterator()
+    """An iterator of all rows for the client, a partition at a time; more than ``most`` are an error after the last of them."""
+    for n, row in enumerate(df.limit(most + 1).toLocalIterator()):
+        if n == most:
+            raise ValueError(f"more than {most} rows")
+        yield row

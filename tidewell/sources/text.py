@@ -54,11 +54,14 @@ def escaped(c: Column) -> Column:
 
 
 def unescaped(c: Column) -> Column:
-    """The inverse of ``escaped``; a doubled backslash is kept apart while the others are read."""
-    c = F.replace(c, F.lit("\\\\"), F.lit("\u0000"))
-    for raw, name in (("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
-        c = F.replace(c, F.lit(name), F.lit(raw))
-    return F.replace(c, F.lit("\u0000"), F.lit("\\"))
+    """The inverse of ``escaped``: doubled backslashes, found from the left, cut the text; the others are read between them."""
+
+    def part(x: Column) -> Column:
+        for raw, name in (("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+            x = F.replace(x, F.lit(name), F.lit(raw))
+        return x
+
+    return F.array_join(F.transform(F.split(c, r"\\\\", -1), part), "\\")
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
