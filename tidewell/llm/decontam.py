@@ -21,8 +21,8 @@ from tidewell.llm.arrow import filter_texts, map_texts, words
 from tidewell.llm.matching import WordAutomaton
 from tidewell.session import scratch, ship
 
-#: Bytes of item text in one automaton. A benchmark beyond this is scanned for in blocks of items.
-BLOCK_BYTES = 8_000_000
+#: Bytes of item text in one automaton, which takes some 200 bytes of memory for each. A benchmark beyond this is scanned for in blocks of items.
+BLOCK_BYTES = 1_000_000
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
