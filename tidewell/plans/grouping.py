@@ -27,9 +27,10 @@ query("a11_list", "select o_custkey, string_agg(cast(o_orderkey as varchar), ','
 ALL_ITEMS = "select l_orderkey, string_agg(cast(l_partkey as varchar), ',' order by l_partkey) as parts from lineitem group by l_orderkey"
 query("a10_array_agg_whole", ALL_ITEMS)(lambda t: t.lineitem.groupBy("l_orderkey").agg(fx.joined(F.array_sort(F.array_agg("l_partkey"))).alias("parts")))
 query("a11_list_whole", ALL_ITEMS)(lambda t: t.lineitem.groupBy("l_orderkey").agg(fx.joined(F.array_sort(F.collect_list("l_partkey"))).alias("parts")))
-query("a12_string_agg", "select n_regionkey, string_agg(n_name, ';' order by n_name) as nations from nation group by n_regionkey")(lambda t: t.sql("select n_regionkey, listagg(n_name, ';') within group (order by n_name) as nations from {nation} group by n_regionkey", "nation"))
-query("a13_map_agg", "select r_name, string_agg(n_name || '=' || n_nationkey, ';' order by n_name || '=' || n_nationkey) as nations from nation join region on n_regionkey = r_regionkey group by r_name")(
-    lambda t: ag.map_agg(t.nation.join(t.region, F.expr("n_regionkey = r_regionkey")), ["r_name"], "n_name", "n_nationkey").select("r_name", F.array_join(F.array_sort(F.transform(F.map_entries("map"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ";").alias("nations"))
+query("a12_string_agg", "select o_custkey, string_agg(o_orderpriority, ';' order by o_orderpriority) as priorities from orders group by o_custkey")(lambda t: t.sql("select o_custkey, listagg(o_orderpriority, ';') within group (order by o_orderpriority) as priorities from {orders} group by o_custkey", "orders"))
+LAST = "(select o_custkey, o_orderstatus || '=' || max(o_orderkey) as e from orders group by o_custkey, o_orderstatus)"
+query("a13_map_agg", f"select o_custkey, string_agg(e, ';' order by e) as last from {LAST} group by o_custkey")(
+    lambda t: ag.map_agg(t.orders, ["o_custkey"], "o_orderstatus", "o_orderkey").select("o_custkey", F.array_join(F.array_sort(F.transform(F.map_entries("map"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ";").alias("last"))
 )
 query("a14_implicit_grouping", "select c_mktsegment, count(*) as n from customer group by c_mktsegment")(lambda t: t.sql("select c_mktsegment, count(*) as n from {customer} group by all", "customer"))
 query("a15_having_after_order", "select c_nationkey, count(*) as n from customer group by c_nationkey having count(*) > 60")(lambda t: t.customer.groupBy("c_nationkey").agg(F.count("*").alias("n")).orderBy(F.desc("n")).where("n > 60"))

@@ -96,10 +96,12 @@ query("g6_combine_names_whole", "select c.c_nationkey as leftk, s.c_nationkey as
 
 
 def _both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"k": [int((a if len(a) else b)["k"].iloc[0])], "nations": [len(a)], "regions": [len(b)]})
+    return pd.DataFrame({"k": [int((a if len(a) else b)["k"].iloc[0])], "items": [len(a)], "suppliers": [len(b)]})
 
 
-query("g7_combine_by_key", "select r_regionkey as k, count(*) as nations, 1 as regions from nation join region on n_regionkey = r_regionkey group by 1")(lambda t: rs.combine(t.nation.select(F.col("n_regionkey").alias("k")), t.region.select(F.col("r_regionkey").alias("k")), ["k"], _both, "k int, nations int, regions int"))
+query("g7_combine_by_key", "select k, cast(sum(a) as integer) as items, cast(sum(b) as integer) as suppliers from (select l_suppkey as k, 1 as a, 0 as b from lineitem union all select s_suppkey, 0, 1 from supplier) group by k")(
+    lambda t: rs.combine(t.lineitem.select(F.col("l_suppkey").alias("k")), t.supplier.select(F.col("s_suppkey").alias("k")), ["k"], _both, "k long, items int, suppliers int")
+)
 
 
 class _Words:
@@ -135,11 +137,11 @@ query("d2_function", "select p_partkey from part where p_name like 'small%'")(la
 query("d3_two_results", "select case when o_orderstatus = 'F' then 'done' else 'open' end as part, count(*) as n from orders group by 1")(lambda t: split_orders(t.orders)["done"].agg(F.count("*").alias("n")).select(F.lit("done").alias("part"), "n").unionAll(split_orders(t.orders)["open"].agg(F.count("*").alias("n")).select(F.lit("open").alias("part"), "n")))
 query("d4_delete_columns", "select c_name, c_acctbal, c_mktsegment from customer")(lambda t: rs.delete(t.customer, "c_*key"))
 query("d5_keep_columns", "select o_orderkey, o_orderstatus, o_orderpriority from orders")(lambda t: rs.keep(t.orders, "o_order*").drop("o_orderdate"))
-query("d6_rename_columns", "select n_nationkey as id, n_name as name, n_regionkey from nation")(lambda t: rs.rename(t.nation, "n_nationkey>id, n_name>name, none>x"))
-query("d7_replace_in_names", 'select n_nationkey as "n.nationKEY", n_name, n_regionkey as "n.regionKEY" from nation')(lambda t: rs.replace_in_names(t.nation, "n_*key", "key>KEY,_>."))
-query("d8_identity", "select * from region")(lambda t: t.region.transform(lambda d: d))
-query("d9_composition", "select n_name from nation")(lambda t: t.nation.transform(lambda d: rs.keep(d, "*n*")).transform(lambda d: rs.delete(d, "*key")))
-query("d10_reverse_columns", "select n_regionkey, n_name, n_nationkey from nation")(lambda t: rs.reverse_columns(t.nation))
+query("d6_rename_columns", "select s_suppkey as id, s_name as name, s_nationkey, s_acctbal from supplier")(lambda t: rs.rename(t.supplier, "s_suppkey>id, s_name>name, none>x"))
+query("d7_replace_in_names", 'select s_suppkey as "s.suppKEY", s_name, s_nationkey as "s.nationKEY", s_acctbal from supplier')(lambda t: rs.replace_in_names(t.supplier, "s_*key", "key>KEY,_>."))
+query("d8_identity", "select * from customer")(lambda t: t.customer.transform(lambda d: d))
+query("d9_composition", "select c_name, c_mktsegment from customer")(lambda t: t.customer.transform(lambda d: rs.keep(d, "c_n*,*seg*")).transform(lambda d: rs.delete(d, "*key")))
+query("d10_reverse_columns", "select c_mktsegment, c_acctbal, c_nationkey, c_name, c_custkey from customer")(lambda t: rs.reverse_columns(t.customer))
 query("d11_typed_view", "select p_partkey, p_partkey as h from part")(lambda t: rs.typed_or_not(t.part.select("p_partkey", F.hex("p_partkey").alias("h")), "h", "typed", fx.hex_number))
 query("d11_untyped_view", "select p_partkey, hex(p_partkey) as h from part")(lambda t: rs.typed_or_not(t.part.select("p_partkey", F.hex("p_partkey").alias("h")), "h", "untyped", fx.hex_number))
 

@@ -40,13 +40,13 @@ def parquet(t):
 
 # text
 
-NATION = "n_nationkey:int, n_name, n_regionkey:int"
-query("s1_text_scan", "select * from nation")(lambda t: text_trip(t, t.nation, NATION))
+CUSTOMER = "c_custkey:long, c_name, c_nationkey:int, c_acctbal:double, c_mktsegment"
+query("s1_text_scan", "select * from customer")(lambda t: text_trip(t, t.customer, CUSTOMER))
 query("s2_delimiter", "select * from supplier")(lambda t: text_trip(t, t.supplier, "s_suppkey:long, s_name, s_nationkey:int, s_acctbal:double", "|"))
 query("s3_nullable_columns", "select p_partkey, case when p_size < 25 then p_size end as size, case when p_size > 10 then p_retailprice end as price from part")(
     lambda t: text_trip(t, t.part.select("p_partkey", F.when(F.col("p_size") < 25, F.col("p_size")).alias("size"), F.when(F.col("p_size") > 10, F.col("p_retailprice")).alias("price")), "p_partkey:long, size:int?, price:double?")
 )
-query("s4_untyped_columns", "select cast(r_regionkey as varchar) as a, r_name as b from region")(lambda t: text_trip(t, t.region, "a, b"))
+query("s4_untyped_columns", "select cast(o_orderkey as varchar) as a, o_orderpriority as b from orders")(lambda t: text_trip(t, t.orders.select("o_orderkey", "o_orderpriority"), "a, b"))
 
 
 def lines(t):
@@ -84,7 +84,7 @@ query("s20_parser_of_versions", "select p_partkey, p_partkey % 9 || '.' || p_siz
 query("k1_text_round_trip", "select c_custkey, case when c_custkey % 5 = 0 then '' when c_custkey % 7 = 0 then ' \"' || c_name || '\" ' else c_name end as name from customer")(
     lambda t: text_trip(t, t.customer.select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, "").when(F.col("c_custkey") % 7 == 0, F.concat(F.lit(' "'), "c_name", F.lit('" '))).otherwise(F.col("c_name")).alias("name")), "c_custkey:long, name")
 )
-query("k2_csv_round_trip", "select * from region")(lambda t: text_trip(t, t.region, "r_regionkey:int, r_name", ","))
+query("k2_csv_round_trip", "select p_partkey, p_name, p_size from part")(lambda t: text_trip(t, t.part.select("p_partkey", "p_name", "p_size"), "p_partkey:long, p_name, p_size:int", ","))
 
 
 def escaped_trip(t):
@@ -94,7 +94,7 @@ def escaped_trip(t):
 
 
 query("k3_escaped_text", "select doc_id, md5(text || chr(9) || '\\t end\\') as m from documents")(escaped_trip)
-query("k13_formatted_lines", "select n_nationkey || chr(9) || n_name || chr(9) || n_regionkey as value from nation")(lambda t: written_lines(t, t.nation))
+query("k13_formatted_lines", "select c_custkey || chr(9) || c_name || chr(9) || c_nationkey as value from customer")(lambda t: written_lines(t, t.customer.select("c_custkey", "c_name", "c_nationkey")))
 query("k14_version_lines", "select p_partkey || chr(9) || '1.' || (p_partkey % 9) || '.' || p_size as value from part")(
     lambda t: written_lines(t, t.part.select("p_partkey", fx.version_text(fx.version(F.concat_ws(".", F.lit("1"), (F.col("p_partkey") % 9).cast("string"), F.lpad(F.col("p_size").cast("string"), 3, "0")))).alias("v")))
 )
@@ -151,7 +151,7 @@ def side_lines(t):
 
 query("k10_side_output", "select 'Line ' || (row_number() over (order by c_custkey) - 1) || ': ' || c_name as \"Content\" from customer")(side_lines)
 query("s21_read_side_output", "select count(*) as n, count(*) as lines from customer")(lambda t: side_lines(t).agg(F.count("*").alias("n"), F.sum(F.col("Content").startswith("Line ").cast("int")).alias("lines")))
-query("k11_console", "select * from region order by r_regionkey limit 3")(lambda t: t.region.orderBy("r_regionkey").limit(3))
+query("k11_console", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 3")(lambda t: t.orders.select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(3))
 
 
 def several(t):
@@ -165,13 +165,13 @@ query("k12_several_outputs", "select o_orderkey, o_orderstatus from orders")(sev
 
 def two_copies(t):
     path = place(t, "copies")
-    sinks.write_both(t.nation, path)
-    a, b = t.spark.read.parquet(f"{path}.ss"), tx.read_text(t.spark, f"{path}.tsv", NATION)
+    sinks.write_both(t.customer, path)
+    a, b = t.spark.read.parquet(f"{path}.ss"), tx.read_text(t.spark, f"{path}.tsv", CUSTOMER)
     return a.unionAll(b)
 
 
-query("k16_two_copies", "select * from nation union all select * from nation")(two_copies)
-query("l3_cleaned_copies", "select n_nationkey, n_name from nation union all select n_nationkey, n_name from nation")(lambda t: two_copies(t).drop("n_regionkey"))
+query("k16_two_copies", "select * from customer union all select * from customer")(two_copies)
+query("l3_cleaned_copies", "select c_custkey, c_name from customer union all select c_custkey, c_name from customer")(lambda t: two_copies(t).drop("c_nationkey", "c_acctbal", "c_mktsegment"))
 
 # sets of files
 
@@ -223,12 +223,12 @@ query("x8_union_of_members", "select o_orderkey, cast(o_orderkey % 6 as integer)
 
 def latest(t):
     path = place(t, "snapshots")
-    t.nation.write.parquet(f"{path}/0")
-    t.nation.where("n_nationkey < 10").write.parquet(f"{path}/1")
+    t.customer.write.parquet(f"{path}/0")
+    t.customer.where("c_acctbal > 0").write.parquet(f"{path}/1")
     return t.spark.read.parquet(fs.most_recent(t.spark, [f"{path}/2", f"{path}/1", f"{path}/0"]))
 
 
-query("s14_most_recent", "select * from nation where n_nationkey < 10")(latest)
+query("s14_most_recent", "select * from customer where c_acctbal > 0")(latest)
 
 
 def revenue(t):

@@ -17,8 +17,8 @@ def words():
 
 
 SQL_WORDS = "string_split(p_name, ' ')"
-query("r1_array_literal", "select n_nationkey, '1,2,3' as a from nation")(lambda t: t.nation.select("n_nationkey", F.array_join(F.array(F.lit("1"), F.lit("2"), F.lit("3")), ",").alias("a")))
-query("r2_empty_array", "select n_nationkey, 0 as n from nation")(lambda t: t.nation.select("n_nationkey", F.size(F.array().cast("array<string>")).alias("n")))
+query("r1_array_literal", "select p_partkey, '1,2,3' as a from part")(lambda t: t.part.select("p_partkey", F.array_join(F.array(F.lit("1"), F.lit("2"), F.lit("3")), ",").alias("a")))
+query("r2_empty_array", "select p_partkey, 0 as n from part")(lambda t: t.part.select("p_partkey", F.size(F.array().cast("array<string>")).alias("n")))
 query("r3_array_copy", f"select p_partkey, array_to_string({SQL_WORDS}, ',') as a from part")(lambda t: t.part.withColumn("w", words()).withColumn("c", F.col("w")).select("p_partkey", F.array_join("c", ",").alias("a")))
 query("r4_array_from_split", f"select p_partkey, array_to_string({SQL_WORDS}, ';') as a from part")(lambda t: t.part.select("p_partkey", F.array_join(words(), ";").alias("a")))
 query("r5_append_items", f"select p_partkey, array_to_string(list_concat({SQL_WORDS}, ['Foo', 'Bar']), ',') as a from part")(lambda t: t.part.select("p_partkey", F.array_join(F.concat(words(), F.array(F.lit("Foo"), F.lit("Bar"))), ",").alias("a")))
@@ -47,42 +47,45 @@ query("r16_ints_as_text", "select p_partkey, p_partkey || ',' || p_size || ',' |
 
 
 def members(t):
-    """region -> map of nation name to key."""
-    return map_agg(t.nation.join(t.region, F.expr("n_regionkey = r_regionkey")), ["r_name"], "n_name", "n_nationkey", "m")
+    """user -> map of event type to number of events."""
+    counts = t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return map_agg(counts, ["user_id"], "event_type", "n", "m")
 
 
 def shown(m):
     return F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ";")
 
 
-NATIONS = "(select r_name, n_name, n_nationkey from nation join region on n_regionkey = r_regionkey)"
-ENTRY = "n_name || '=' || n_nationkey"
-query("m1_map_literal", "select r_regionkey, 'a=1;b=2' as m from region")(lambda t: t.region.select("r_regionkey", shown(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2))).alias("m")))
+COUNTS = "(select user_id, event_type, count(*) as n from events where event_type is not null group by user_id, event_type)"
+ENTRY = "event_type || '=' || n"
+query("m1_map_literal", "select c_custkey, 'a=1;b=2' as m from customer")(lambda t: t.customer.select("c_custkey", shown(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2))).alias("m")))
 
 
 def empty_map():
     return F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
 
 
-query("m2_empty_map", "select r_regionkey, 0 as n from region")(lambda t: t.region.select("r_regionkey", F.size(empty_map()).alias("n")))
-query("m3_map_copy", "select r_regionkey, 0 as n from region")(lambda t: t.region.withColumn("m", empty_map()).withColumn("c", F.col("m")).select("r_regionkey", F.size("c").alias("n")))
+query("m2_empty_map", "select c_custkey, 0 as n from customer")(lambda t: t.customer.select("c_custkey", F.size(empty_map()).alias("n")))
+query("m3_map_copy", f"select user_id, string_agg({ENTRY}, ';' order by {ENTRY}) as m from {COUNTS} group by user_id")(lambda t: members(t).withColumn("c", F.col("m")).select("user_id", shown("c").alias("m")))
 BAG = T.MapType(T.StringType(), T.ArrayType(T.IntegerType()))
-query("m4_property_bags", "select r_regionkey, 'map<string,array<int>>' as kind, null as v from region")(lambda t: t.region.select("r_regionkey", F.create_map().cast(BAG).alias("b")).select("r_regionkey", F.typeof("b").alias("kind"), F.element_at("b", "x").cast("string").alias("v")))
-query("m5_map_lookup", "select r_name, max(n_nationkey) filter (n_name = 'NATION_7') as v from " + NATIONS + " group by r_name")(lambda t: members(t).select("r_name", F.element_at("m", "NATION_7").alias("v")))
-query("m6_map_lookup_missing", "select r_name, cast(null as integer) as v from region")(lambda t: members(t).select("r_name", F.element_at("m", "none").alias("v")))
-query("m7_contains_key", f"select distinct r_name from {NATIONS} where n_name = 'NATION_3'")(lambda t: members(t).where(F.map_contains_key("m", "NATION_3")).select("r_name"))
-query("m8_contains_value", f"select distinct r_name from {NATIONS} where n_nationkey = 4")(lambda t: members(t).where(F.array_contains(F.map_values("m"), 4)).select("r_name"))
-query("m9_guarded_contains", f"select distinct r_name from {NATIONS} where n_name = 'NATION_8'")(lambda t: members(t).where(F.col("m").isNotNull() & F.map_contains_key("m", "NATION_8")).select("r_name"))
-query("m10_map_size", f"select r_name, count(*) as n from {NATIONS} group by r_name having count(*) > 4")(lambda t: members(t).where(F.size("m") > 4).select("r_name", F.size("m").alias("n")))
-query("m11_any_entry", f"select distinct r_name from {NATIONS} where n_name like '%1%'")(lambda t: members(t).where(F.exists(F.map_keys("m"), lambda k: k.contains("1"))).select("r_name"))
-query("m12_override", f"select r_name, string_agg(e, ';' order by e) as m from (select r_name, {ENTRY} as e from {NATIONS} where n_name <> 'NATION_2' union all select r_name, 'NATION_2=-1' from region) group by r_name")(
-    lambda t: members(t).select("r_name", shown(F.map_concat(F.map_filter("m", lambda k, v: k != "NATION_2"), F.create_map(F.lit("NATION_2"), F.lit(-1)))).alias("m"))
+query("m4_property_bags", "select c_custkey, 'map<string,array<int>>' as kind, cast(c_nationkey as varchar) as v, cast(null as varchar) as missing from customer")(
+    lambda t: t.customer.select("c_custkey", F.create_map(F.lit("nation"), F.array("c_nationkey")).cast(BAG).alias("b")).select("c_custkey", F.typeof("b").alias("kind"), F.element_at("b", "nation")[0].cast("string").alias("v"), F.element_at("b", "x").cast("string").alias("missing"))
 )
-query("m13_override_if_there", f"select r_name, string_agg(e, ';' order by e) as m from (select r_name, case when n_name = 'NATION_2' then 'NATION_2=-1' else {ENTRY} end as e from {NATIONS}) group by r_name")(
-    lambda t: members(t).select("r_name", shown(F.transform_values("m", lambda k, v: F.when(k == "NATION_2", F.lit(-1)).otherwise(v))).alias("m"))
+query("m5_map_lookup", f"select user_id, max(n) filter (event_type = 'click') as v from {COUNTS} group by user_id")(lambda t: members(t).select("user_id", F.element_at("m", "click").alias("v")))
+query("m6_map_lookup_missing", f"select user_id, cast(null as bigint) as v from {COUNTS} group by user_id")(lambda t: members(t).select("user_id", F.element_at("m", "none").alias("v")))
+query("m7_contains_key", f"select user_id from {COUNTS} where event_type = 'error'")(lambda t: members(t).where(F.map_contains_key("m", "error")).select("user_id"))
+query("m8_contains_value", f"select distinct user_id from {COUNTS} where n = 13")(lambda t: members(t).where(F.array_contains(F.map_values("m"), 13)).select("user_id"))
+query("m9_guarded_contains", f"select user_id from {COUNTS} where event_type = 'signup'")(lambda t: members(t).where(F.col("m").isNotNull() & F.map_contains_key("m", "signup")).select("user_id"))
+query("m10_map_size", f"select user_id, cast(count(*) as integer) as n from {COUNTS} group by user_id having count(*) > 4")(lambda t: members(t).where(F.size("m") > 4).select("user_id", F.size("m").alias("n")))
+query("m11_any_entry", f"select distinct user_id from {COUNTS} where contains(event_type, 'ig') and n > 12")(lambda t: members(t).where(F.size(F.map_filter("m", lambda k, v: k.contains("ig") & (v > 12))) > 0).select("user_id"))
+query("m12_override", f"select user_id, string_agg(e, ';' order by e) as m from (select user_id, {ENTRY} as e from {COUNTS} where event_type <> 'view' union all select distinct user_id, 'view=-1' from {COUNTS}) group by user_id")(
+    lambda t: members(t).select("user_id", shown(F.map_concat(F.map_filter("m", lambda k, v: k != "view"), F.create_map(F.lit("view"), F.lit(-1).cast("long")))).alias("m"))
 )
-query("m14_remove_item", f"select r_name, string_agg({ENTRY}, ';' order by {ENTRY}) as m from {NATIONS} where n_name <> 'NATION_2' group by r_name")(lambda t: members(t).select("r_name", F.map_filter("m", lambda k, v: k != "NATION_2").alias("k")).where(F.size("k") > 0).select("r_name", shown("k").alias("m")))
-query("m15_flatten_map", f'select r_name, n_name as "Key", n_nationkey as "Value" from {NATIONS}')(lambda t: members(t).select("r_name", F.explode("m").alias("Key", "Value")))
+query("m13_override_if_there", f"select user_id, string_agg(e, ';' order by e) as m from (select user_id, case when event_type = 'view' then 'view=-1' else {ENTRY} end as e from {COUNTS}) group by user_id")(
+    lambda t: members(t).select("user_id", shown(F.transform_values("m", lambda k, v: F.when(k == "view", F.lit(-1).cast("long")).otherwise(v))).alias("m"))
+)
+query("m14_remove_item", f"select user_id, string_agg({ENTRY}, ';' order by {ENTRY}) as m from {COUNTS} where event_type <> 'view' group by user_id")(lambda t: members(t).select("user_id", F.map_filter("m", lambda k, v: k != "view").alias("k")).where(F.size("k") > 0).select("user_id", shown("k").alias("m")))
+query("m15_flatten_map", f'select user_id, event_type as "Key", n as "Value" from {COUNTS}')(lambda t: members(t).select("user_id", F.explode("m").alias("Key", "Value")))
 
 # structs and user types
 
@@ -159,7 +162,7 @@ query("f11_join", f"select p_partkey, array_to_string({SQL_WORDS}, '+') as s fro
 query("f12_length", "select doc_id, length(text) as n from documents")(lambda t: t.documents.select("doc_id", F.length("text").alias("n")))
 query("f13_token_count", "select o_orderkey, case when o_orderstatus = 'F' then 0 else 2 end as n from orders")(lambda t: t.orders.select("o_orderkey", fx.token_count(F.when(F.col("o_orderstatus") == "F", "NULL").otherwise("a;b")).alias("n")))
 query("f14_concat", "select c_custkey, 'foo ' || c_mktsegment as s from customer")(lambda t: t.customer.select("c_custkey", F.concat(F.lit("foo "), "c_mktsegment").alias("s")))
-query("f15_trim", "select n_nationkey, n_name as s from nation")(lambda t: t.nation.select("n_nationkey", F.trim(F.concat(F.lit("  "), "n_name", F.lit(" "))).alias("s")))
+query("f15_trim", "select s_suppkey, s_name as s from supplier")(lambda t: t.supplier.select("s_suppkey", F.trim(F.concat(F.lit("  "), "s_name", F.lit(" "))).alias("s")))
 query("f16_regex", "select p_partkey from part where regexp_matches(p_brand, '^Brand#1[0-9]$')")(lambda t: t.part.where(F.col("p_brand").rlike("^Brand#1[0-9]$")).select("p_partkey"))
 
 
