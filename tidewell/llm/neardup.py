@@ -36,6 +36,8 @@ from tidewell.session import cut, delete, scratch, ship
 
 ROWS, BANDS, SIMILARITY = 4, 14, 0.8
 _SLICES, _BLOCK = 64, 1_500_000
+#: Parts that the texts of a code are dealt into; as many as a long has bits.
+_SALTS = 64
 
 
 def _add_up(batches):
@@ -153,6 +155,12 @@ def _prefixes(shared, similarity: float):
     return run
 
 
+def _by_salt(codes: DataFrame, *columns: str) -> DataFrame:
+    """A row for each salt that a code's texts have, from one row a code, so that what joins it is spread over tasks."""
+    has = F.filter(F.sequence(F.lit(0), F.lit(_SALTS - 1)), lambda s: F.call_function("shiftright", F.col("salts"), s).bitwiseAND(F.lit(1).cast("long")) == 1)
+    return codes.select("code", F.explode(has).alias("salt"), *columns)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(v, label): the least vertex that each vertex of ``links`` (a, b) is connected with.
 
@@ -198,15 +206,17 @@ def _classes(docs: DataFrame, key: str, text: str, similarity: float = SIMILARIT
         # one text of each digest, with a number v; partial sums come before the shuffle, so copies don't weigh
         reps = signed.groupBy("digest").agg(F.min("k").alias("rep"), F.first("codes").alias("codes"), F.first("w").alias("w"))
         reps = stage(reps.withColumn("v", F.monotonically_increasing_id()), "reps")
-        coded = reps.where("codes is not null").select(F.explode("codes").alias("code"), "v", "w", F.xxhash64("digest").alias("h"))
-        sizes = coded.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        sized = cut(coded.join(sizes, "code"))
+        coded = reps.where("codes is not null").select(F.explode("codes").alias("code"), "v", "w", F.xxhash64("digest").alias("h")).withColumn("salt", F.pmod("h", F.lit(_SALTS)).cast("int"))
+        # a code that a third of all texts have is met by its partial sums, and joined by (code, salt)
+        salts = F.expr("bit_or(shiftleft(1L, salt))").alias("salts")
+        sizes = coded.groupBy("code").agg(F.count(F.lit(1)).alias("n"), salts).where("n > 1")
+        sized = cut(coded.join(_by_salt(sizes, "n"), ["code", "salt"]))
         # the leader of a code is the text that shares its codes with the most others, so a family's middle
         centre = sized.groupBy("v").agg(F.sum("n").alias("company"))
         sized = cut(sized.drop("n").join(centre, "v"))
         order = F.struct(F.col("company"), F.col("h"), F.col("v").alias("leader"), F.col("w").alias("leader_w"))
-        leaders = sized.groupBy("code").agg(F.max(order).alias("m")).select("code", "m.leader", "m.leader_w")
-        members = cut(sized.drop("company", "h").join(leaders, "code"))
+        leaders = _by_salt(sized.groupBy("code").agg(F.max(order).alias("m"), salts), "m.leader", "m.leader_w")
+        members = cut(sized.drop("company", "h").join(leaders, ["code", "salt"]))
         # the lesser of two texts' summed weights over the greater bounds their similarity
         alike = lambda a, b: F.least(a, b) >= F.greatest(a, b) * (similarity - 1e-9)
         pairs = cut(members.where((F.col("v") != F.col("leader")) & alike("w", "leader_w")).select(F.col("leader").alias("a"), F.col("v").alias("b")).distinct())
@@ -222,9 +232,9 @@ def _classes(docs: DataFrame, key: str, text: str, similarity: float = SIMILARIT
 
         links = cut(verified(pairs))
         labels = components(links)
-        named = members.join(labels, "v", "left").select("code", "v", "w", F.coalesce("label", "v").alias("label"))
-        mixed = named.groupBy("code").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("code")
-        named = named.join(mixed, "code").select(F.col("v").alias("k"), "label", "w").distinct()
+        named = members.join(labels, "v", "left").select("code", "salt", "v", "w", F.coalesce("label", "v").alias("label"))
+        mixed = _by_salt(named.groupBy("code").agg(F.min("label").alias("x"), F.max("label").alias("y"), salts).where("x != y"))
+        named = named.join(mixed, ["code", "salt"]).select(F.col("v").alias("k"), "label", "w").distinct()
         held = cut(named.join(texts.withColumnRenamed("v", "k"), "k").select("k", "label", "w", "t").mapInArrow(_prefixes(shared, similarity), "k long, label long, w double, f long, rest double"))
         x, y = (held.select("f", *[F.col(c).alias(f"{c}{i}") for c in ("k", "label", "w", "rest")]) for i in (1, 2))
         # from the first shingle that both have, what is left of either bounds what they share
