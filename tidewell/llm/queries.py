@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontam, html, langid, license, neardup, pack, quality, rules, shard, store
+from tidewell.llm import decontam, fim, hardneg, html, langid, license, neardup, pack, quality, rules, shard, simhash, store
 from tidewell.llm.bpe import vocabulary_path
 from tidewell.session import scratch, table
 
@@ -52,6 +52,18 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.contract(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.contract(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.contract(table(spark, sf_dir, "documents"))
+
+
+def op13_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.contract(table(spark, sf_dir, "documents"))
+
+
 def rules_base_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What ``op6_quality_rules`` measures, without the learned verdict, so that SQL can say it too."""
     m = rules.measured(table(spark, sf_dir, "documents"))
@@ -63,7 +75,7 @@ def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
 
 
-_OPERATORS = (op1_token_store, op2_decontamination, op3_minimax_shards, op4_quality_classifier, op5_near_duplicates, op6_quality_rules, op7_license_scan, op8_language_id, op9_packing, op10_main_text)
+_OPERATORS = (op1_token_store, op2_decontamination, op3_minimax_shards, op4_quality_classifier, op5_near_duplicates, op6_quality_rules, op7_license_scan, op8_language_id, op9_packing, op10_main_text, op11_hard_negatives, op12_fill_in_middle, op13_simhash_classes)
 QUERIES = {f.__name__: f for f in (*_OPERATORS, rules_base_numbers, license_base_places)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -85,6 +97,26 @@ named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join hit using (doc_id) left join named using (doc_id)""",
+    "op11_hard_negatives": """
+with v as (
+  select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (select a.id as anchor, b.id, a.label = b.label as alike, cast(list_inner_product(a.q, b.q) as bigint) as s from v a join v b on a.id <> b.id where a.id % 100 = 0),
+positives as (select anchor, id, s from (select *, row_number() over (partition by anchor order by s desc, id) as place from scores where alike) where place <= 5),
+windows as (
+  select p.anchor, p.id as positive, p.s as ps, n.id as negative, n.s as ns, row_number() over (partition by p.anchor, p.id order by n.s desc, n.id) as place
+  from positives p join scores n on p.anchor = n.anchor where not n.alike and 30 * p.s <= 100 * n.s and 100 * n.s <= 90 * p.s)
+select anchor as anchor_id, positive as positive_id, cast(place as integer) as rank, negative as negative_id, ps as positive_score, ns as negative_score from windows where place <= 10""",
+    "op12_fill_in_middle": r"""
+with d as (select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+t as (select *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as w from d),
+n as (select *, len(w) as n, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2, cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4 from t),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form from n),
+p as (select doc_id, n, form, text, array_to_string(w[1 : a], '') as pre, array_to_string(w[a + 1 : b], '') as mid, array_to_string(w[b + 1 :], '') as suf from c)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then cast(length(pre) as bigint) end as prefix_chars, case when form <> 'plain' then cast(length(mid) as bigint) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(text) as restored_sha256
+from p""",
     "rules_base_numbers": r"""
 with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 windows as (select doc_id, pos, array_to_string(w[pos : pos + 4], ' ') as p from (select doc_id, w, unnest(generate_series(1, len(w) - 4)) as pos from d where len(w) >= 5)),
