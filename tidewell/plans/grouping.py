@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as fx
 from tidewell.operators import aggregates as ag
+from tidewell.operators import hooks
 from tidewell.operators import windows as wi
 from tidewell.plans.registry import query
 
@@ -40,12 +42,84 @@ query("a18_share_unlike", "select user_id, round(100.0 * sum(case when event_typ
 
 # user aggregates
 
-query("u1_user_sum", "select c_mktsegment, sum(c_nationkey) as s from customer group by c_mktsegment")(lambda t: t.customer.groupBy("c_mktsegment").agg(F.sum("c_nationkey").alias("s")))
-query("u2_label_and_total", "select c_nationkey, max(c_mktsegment) || ' ' || cast(sum(c_custkey) as varchar) as s from customer group by c_nationkey")(lambda t: t.customer.groupBy("c_nationkey").agg(ag.label_and_total(F.col("c_mktsegment"), F.col("c_custkey")).alias("s")))
+class Total(hooks.Aggregate):
+    """A user's sum, by whole columns."""
+
+    def start(self):
+        return None
+
+    def add_batch(self, state, x):
+        return self.merge(state, pc.sum(x).as_py())
+
+    def merge(self, a, b):
+        return b if a is None else a if b is None else a + b
+
+    def finish(self, state):
+        return (state,)
+
+
+class LabelAndTotal(hooks.Aggregate):
+    """ "label total" by rows; as rows come in no order, the greatest label stands for the group."""
+
+    def start(self):
+        return "", 0
+
+    def add(self, state, x, label):
+        return max(state[0], label or ""), state[1] + (x or 0)
+
+    def merge(self, a, b):
+        return max(a[0], b[0]), a[1] + b[1]
+
+    def finish(self, state):
+        return (f"{state[0]} {state[1]}",)
+
+
+class ElementSums(hooks.Aggregate):
+    """Sums of arrays element by element, as long as the first one; another length is an error."""
+
+    def start(self):
+        return None
+
+    def add_batch(self, state, arrays):
+        arrays = arrays.drop_null()
+        if not len(arrays):
+            return state
+        n = len(arrays[0])
+        if set(arrays.value_lengths().to_pylist()) != {n}:
+            raise ValueError("arrays of different lengths")
+        return self.merge(state, arrays.flatten().to_numpy(zero_copy_only=False).reshape(len(arrays), n).sum(axis=0))
+
+    def merge(self, a, b):
+        if a is None or b is None:
+            return b if a is None else a
+        if len(a) != len(b):
+            raise ValueError("arrays of different lengths")
+        return a + b
+
+    def finish(self, state):
+        return (None if state is None else state.tolist(),)
+
+
+class ArrayTotal(Total):
+    """The sum of all elements of arrays."""
+
+    def add_batch(self, state, arrays):
+        return super().add_batch(state, arrays.flatten())
+
+
+query("u1_user_sum", "select c_mktsegment, sum(c_nationkey) as s from customer group by c_mktsegment")(lambda t: hooks.aggregate(t.customer, ["c_mktsegment"], ["c_nationkey"], Total(), "s long"))
+query("u1_user_sum_of_all", "select sum(l_orderkey) as s, count(*) as n from lineitem")(lambda t: hooks.aggregate(t.lineitem, [], ["l_orderkey"], Total(), "s long").join(t.lineitem.agg(F.count("*").alias("n"))))
+query("u2_label_and_total", "select c_nationkey, max(c_mktsegment) || ' ' || cast(sum(c_custkey) as varchar) as s from customer group by c_nationkey")(lambda t: hooks.aggregate(t.customer, ["c_nationkey"], ["c_custkey", "c_mktsegment"], LabelAndTotal(), "s string"))
+query("u2_label_and_total_of_lines", "select l_returnflag, max(l_linestatus) || ' ' || cast(sum(l_orderkey) as varchar) as s from lineitem group by l_returnflag")(
+    lambda t: hooks.aggregate(t.lineitem, ["l_returnflag"], ["l_orderkey", "l_linestatus"], LabelAndTotal(), "s string")
+)
+query("u3_user_element_sums", "select l_returnflag, l_linestatus, sum(cast(l_quantity as bigint)) as q, sum(l_orderkey) as o, sum(l_linenumber) as n from lineitem group by l_returnflag, l_linestatus")(
+    lambda t: hooks.aggregate(t.lineitem, ["l_returnflag", "l_linestatus"], [F.array(*[F.col(c).cast("long") for c in ("l_quantity", "l_orderkey", "l_linenumber")])], ElementSums(), "e array<long>").select("l_returnflag", "l_linestatus", *[F.col("e")[i].alias(c) for i, c in enumerate("qon")])
+)
 query("u3_element_sums", "select label, pos - 1 as pos, round(sum(x), 4) as s from (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as pos from embeddings) group by label, pos")(
     lambda t: ag.element_sums(t.embeddings.withColumn("e", F.col("embedding").cast("array<double>")), ["label"], "e").select("label", F.posexplode("sums").alias("pos", "x")).select("label", "pos", F.round("x", 4).alias("s"))
 )
-query("u4_array_total", "select l_orderkey, round(sum(l_quantity), 2) as s from lineitem group by l_orderkey")(lambda t: t.lineitem.groupBy("l_orderkey").agg(F.round(F.sum(ag.array_total(F.array("l_quantity"))), 2).alias("s")))
+query("u4_array_total", "select l_orderkey, round(sum(l_quantity), 2) as s from lineitem group by l_orderkey")(lambda t: hooks.aggregate(t.lineitem, ["l_orderkey"], [F.array("l_quantity")], ArrayTotal(), "s double").withColumn("s", F.round("s", 2)))
 
 
 def version_of():

@@ -1,5 +1,6 @@
 """Hooks for user functions, functions on row sets, text and page jobs, metadata."""
 
+import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from tidewell.functions import text as fx
+from tidewell.operators import hooks
 from tidewell.operators import pages as pg
 from tidewell.operators import rowsets as rs
 from tidewell.plans.registry import query
@@ -77,9 +79,68 @@ def _totals(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 query("g4_reduce_hook", "select o_orderpriority, round(sum(o_totalprice), 2) as s from orders group by o_orderpriority")(lambda t: rs.reduce(t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice"), ["o_orderpriority"], _total, "o_orderpriority string, s double", merge=_totals))
 
 
+def _ends(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+    """The first and last event of a user."""
+    first = last = next(rows)
+    for last in rows:
+        pass
+    yield key[0], first.event_id, last.event_id
+
+
 query("o6_presorted_groups", 'select user_id, min_by(event_id, ts) as "first", max_by(event_id, ts) as "last" from events group by user_id')(
-    lambda t: t.events.groupBy("user_id").agg(F.min(F.struct("ts", "event_id"))["event_id"].alias("first"), F.max(F.struct("ts", "event_id"))["event_id"].alias("last"))
+    lambda t: hooks.reduce_ordered(t.events.select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"], _ends, "user_id long, first long, last long")
 )
+
+
+class Sessions:
+    """Sessions of a key's events in order: a pause of more than ``gap`` ends one."""
+
+    def __init__(self, gap: dt.timedelta):
+        self.gap = gap
+
+    def joined(self, found: Iterator[tuple]) -> Iterator[tuple]:
+        """Sessions (start, end, first, last, n) in order, put together where no pause is between them."""
+        now = None
+        for s in found:
+            if now is not None and s[0] - now[1] <= self.gap:
+                now = (now[0], s[1], now[2], s[3], now[4] + s[4])
+                continue
+            if now is not None:
+                yield now
+            now = tuple(s)
+        if now is not None:
+            yield now
+
+    def piece(self, key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        return self.joined((r.ts, r.ts, r.event_id, r.event_id, 1) for r in rows)
+
+    def whole(self, key: tuple, parts: Iterator[tuple]) -> Iterator[tuple]:
+        for number, s in enumerate(self.joined(parts), 1):
+            yield (*key, number, *s[2:])
+
+    def at_once(self, key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        return self.whole(key, self.piece(key, rows))
+
+
+def session_sql(key: str, gap: str) -> str:
+    return f"""with n as (select {key}, event_id, ts, case when ts - lag(ts) over w > interval {gap} then 1 else 0 end as pause from events window w as (partition by {key} order by ts, event_id)),
+s as (select *, sum(pause) over (partition by {key} order by ts, event_id) + 1 as session from n)
+select {key}, cast(session as bigint) as session, min_by(event_id, ts) as first_event, max_by(event_id, ts) as last_event, count(*) as n from s group by {key}, session"""
+
+
+query("g4_user_sessions", session_sql("user_id", "1 day"))(
+    lambda t: hooks.reduce_ordered(t.events.select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"], Sessions(dt.timedelta(days=1)).at_once, "user_id long, session long, first_event long, last_event long, n long")
+)
+
+
+def type_sessions(t):
+    """Few keys that all tasks share: pieces of a key follow each other, and sessions are put together where pieces meet."""
+    s = Sessions(dt.timedelta(minutes=40))
+    parts = "start timestamp_ntz, stop timestamp_ntz, first_event long, last_event long, n long"
+    return hooks.reduce_ordered(t.events.select("event_type", "ts", "event_id"), ["event_type"], ["ts", "event_id"], s.piece, "event_type string, session long, first_event long, last_event long, n long", merge=s.whole, parts=parts)
+
+
+query("g4_type_sessions", session_sql("event_type", "40 minutes"))(type_sessions)
 query("g5_combine_all_pairs", "select r_name, seg from region cross join (select distinct c_mktsegment as seg from customer)")(lambda t: rs.combine(t.region.select("r_name"), t.customer.select(F.col("c_mktsegment").alias("seg")).distinct(), None))
 
 
@@ -95,12 +156,35 @@ query("g6_combine_names_whole", "select c.c_nationkey as leftk, s.c_nationkey as
 )
 
 
-def _both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"k": [int((a if len(a) else b)["k"].iloc[0])], "items": [len(a)], "suppliers": [len(b)]})
+def _counted(key: tuple, left: Iterator[tuple], right: Iterator[tuple], cell: tuple[int, int]) -> Iterator[tuple]:
+    """How many rows either side has; a part of a side is counted in its first cell only."""
+    suppliers = sum(1 for _ in right)
+    items = sum(1 for _ in left)
+    yield key[0], items if cell[1] == 0 else 0, suppliers if cell[0] == 0 else 0
+
+
+def _counts(key: tuple, parts: Iterator[tuple]) -> Iterator[tuple]:
+    items = suppliers = 0
+    for p in parts:
+        items, suppliers = items + p.items, suppliers + p.suppliers
+    yield key[0], items, suppliers
 
 
 query("g7_combine_by_key", "select k, cast(sum(a) as integer) as items, cast(sum(b) as integer) as suppliers from (select l_suppkey as k, 1 as a, 0 as b from lineitem union all select s_suppkey, 0, 1 from supplier) group by k")(
-    lambda t: rs.combine(t.lineitem.select(F.col("l_suppkey").alias("k")), t.supplier.select(F.col("s_suppkey").alias("k")), ["k"], _both, "k long, items int, suppliers int")
+    lambda t: hooks.combine_streams(t.lineitem.select(F.col("l_suppkey").alias("k"), "l_orderkey", "l_linenumber"), t.supplier.select(F.col("s_suppkey").alias("k")), ["k"], _counted, "k long, items int, suppliers int", cell_rows=1_000_000, merge=_counts)
+)
+
+
+def _pairs(key: tuple, left: Iterator[tuple], right: Iterator[tuple], cell: tuple[int, int]) -> Iterator[tuple]:
+    """Each order beside its customer: the right rows are kept, the left ones read as a stream."""
+    kept = [r.c_name for r in right]
+    for row in left:
+        for name in kept:
+            yield row.o_orderkey, name
+
+
+query("g7_combine_pairs", "select o_orderkey, c_name from orders join customer on o_custkey = c_custkey")(
+    lambda t: hooks.combine_streams(t.orders.select(F.col("o_custkey").alias("k"), "o_orderkey"), t.customer.select(F.col("c_custkey").alias("k"), "c_name"), ["k"], _pairs, "o_orderkey long, c_name string", cell_rows=1_000_000)
 )
 
 
@@ -111,10 +195,10 @@ class _Words:
 
 
 def _applied(t):
-    """A Python table function beside each row."""
+    """A Python table function beside each row, called as an object: nothing is registered in the session."""
     words = udtf(_Words, returnType="i int, w string")
-    t.spark.udtf.register("tidewell_words", words)
-    return t.sql("select p_partkey, x.i, x.w from {part} p, lateral tidewell_words(p.p_name) x", "part")
+    parts = t.part.select("p_partkey", "p_name")
+    return parts.lateralJoin(words(F.col("p_name").outer())).select("p_partkey", "i", "w")
 
 
 query("g8_table_function", "select p_partkey, i - 1 as i, w from (select p_partkey, unnest(string_split(p_name, ' ')) as w, generate_subscripts(string_split(p_name, ' '), 1) as i from part)")(_applied)
