@@ -13,6 +13,7 @@ from tidewell.operators.windows import numbered as row_numbers
 from tidewell.plans.registry import query
 from tidewell.session import scratch, shared_dir
 from tidewell.sources import fileset as fs
+from tidewell.sources import records as rec
 from tidewell.sources import sinks
 from tidewell.sources import text as tx
 
@@ -81,6 +82,79 @@ query("s19_parser_with_argument", "select c_custkey, upper(c_name) as c_name, up
 query("s20_parser_of_versions", "select p_partkey, p_partkey % 9 || '.' || p_size as v from part")(
     lambda t: line_trip(t, t.part.select("p_partkey", F.concat_ws(".", (F.col("p_partkey") % 9).cast("string"), F.col("p_size").cast("string"))), "p_partkey:long, v").select("p_partkey", fx.version_text(fx.version(F.col("v"))).alias("v"))
 )
+# records of the user's own
+
+
+class Tabbed(rec.Format):
+    """Fields as text between tabs, null as a backslash and N; ``capitalise`` makes strings upper case when read."""
+
+    def codec(self, field):
+        if isinstance(field.dataType, T.StringType):
+            upper = self.arguments.get("capitalise") == "true"
+            return rec.Made(self.escaped, lambda raw: self.plain(raw).upper() if upper else self.plain(raw))
+        kind = float if isinstance(field.dataType, (T.FloatType, T.DoubleType)) else int
+        return rec.Made(lambda v: repr(v).encode(), lambda raw: kind(bytes(raw)))
+
+    def escaped(self, v: str) -> bytes:
+        return v.replace("\\", "\\\\").replace("\t", "\\t").encode()
+
+    def plain(self, raw: bytes) -> str:
+        return bytes(raw).decode().replace("\\\\", "\0").replace("\\t", "\t").replace("\0", "\\")
+
+    def join(self, fields):
+        return b"\t".join(rb"\N" if f is None else f for f in fields)
+
+    def split(self, record):
+        return [None if f == rb"\N" else f for f in bytes(record).split(b"\t")]
+
+
+class Version:
+    """A user's type: numbers compared one after the other."""
+
+    def __init__(self, numbers: list[int]):
+        self.numbers = numbers
+
+    @classmethod
+    def parse(cls, text: str) -> Version:
+        return cls([int(x) for x in text.split(".")])
+
+    def __str__(self) -> str:
+        return ".".join(map(str, self.numbers))
+
+
+class WithVersions(rec.Format):
+    """Columns named in ``versions`` hold a user's type, kept as its text."""
+
+    def codec(self, field):
+        if field.name in self.arguments["versions"].split(","):
+            return rec.Made(lambda v: str(Version(v)).encode(), lambda raw: Version.parse(bytes(raw).decode()).numbers)
+        return super().codec(field)
+
+
+#: Bytes of a split in queries, small so that small tables have several.
+SPLIT = "65536"
+
+
+def record_trip(t, df, fmt: type[rec.Format], columns: list[str] | None = None, **arguments: str):
+    """Rows written in a user's format and read back by several splits."""
+    path, name = place(t, "records"), rec.register(t.spark, fmt, f"tidewell_{fmt.__name__.lower()}")
+    rec.write(df, path, name, block_bytes="16384", **arguments)
+    return rec.read(t.spark, path, name, columns, split_bytes=SPLIT, **arguments)
+
+
+query("s17_user_source", "select l_partkey, l_returnflag from lineitem where l_quantity > 49 and l_returnflag in ('A', 'R')")(
+    lambda t: record_trip(t, t.lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag"), rec.Format, ["l_partkey", "l_returnflag", "l_quantity"]).where("l_quantity > 49 and l_returnflag in ('A', 'R')").drop("l_quantity")
+)
+query("s18_user_extractor", "select p_partkey, p_name, p_size, p_retailprice from part")(lambda t: record_trip(t, t.part.select("p_partkey", "p_name", "p_size", "p_retailprice"), rec.Format))
+query("s19_user_extractor_with_argument", "select c_custkey, upper(c_name) as c_name, upper(c_mktsegment) as c_mktsegment, c_acctbal from customer")(
+    lambda t: record_trip(t, t.customer.select("c_custkey", "c_name", "c_mktsegment", "c_acctbal"), Tabbed, capitalise="true")
+)
+query("s20_user_type", "select p_partkey, p_partkey % 9 || '.' || p_size as v from part")(
+    lambda t: record_trip(t, t.part.select("p_partkey", F.array(F.col("p_partkey") % 9, F.col("p_size").cast("long")).alias("v")), WithVersions, versions="v").select("p_partkey", fx.version_text(F.col("v")).alias("v"))
+)
+query("k15_user_collections", "select p_partkey, replace(p_name, ' ', ';') as a, 'size=' || p_size as m, p_brand as b from part")(
+    lambda t: sinks.flat(record_trip(t, nested(t), rec.Format).select("p_partkey", "a", "m", F.col("s.p_brand").alias("b")))
+)
 query("k1_text_round_trip", "select c_custkey, case when c_custkey % 5 = 0 then '' when c_custkey % 7 = 0 then ' \"' || c_name || '\" ' else c_name end as name from customer")(
     lambda t: text_trip(t, t.customer.select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, "").when(F.col("c_custkey") % 7 == 0, F.concat(F.lit(' "'), "c_name", F.lit('" '))).otherwise(F.col("c_name")).alias("name")), "c_custkey:long, name")
 )
