@@ -108,9 +108,11 @@ class Heaps:
         size = self.score.shape[1]
         last, last_id = self.score[rows, -1:], self.id[rows, -1:]
         enters = allowed & ((scores > last) | (scores == last) & (ids < last_id))
-        if scores.shape[1] > size and np.count_nonzero(enters) > 4 * size * len(rows):
-            # few can stay: those as great as the last that would, if all were offered
-            enters &= scores >= np.partition(np.where(enters, scores, _LEAST), -size, axis=1)[:, -size:][:, :1]
+        if np.count_nonzero(enters) > 4 * size * len(rows):
+            # few can stay: those as great as the last that would, if all were offered; repeats of an id may be one entry
+            most = size * int(np.unique(ids, return_counts=True)[1].max())
+            if scores.shape[1] > most:
+                enters &= scores >= np.partition(np.where(enters, scores, _LEAST), -most, axis=1)[:, -most, None]
         r, c = np.nonzero(enters)
         self.offer(rows[r], scores[r, c], ids[c])
 
