@@ -6,6 +6,8 @@ import re
 import zlib
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tidewell.llm import decontam, html, license, shard
 from tidewell.llm.queries import table
@@ -247,3 +249,140 @@ def test_many_tags_take_linear_time(page):
 def test_main_text_of_odd_rows(spark):
     df = spark.createDataFrame([(None, None, None, 1), (1, "u", "<p>x", 2), (1, "u", "<p>x", 2)], "page_id long, url string, html string, k int")
     assert sorted(r.n_chars for r in html.contract(df).collect()) == [0, 1, 1] and html.contract(df.where("false")).count() == 0
+
+
+ARTICLE = "".join(f"<p>Paragraph {i} of this text, with some words in it, and a few more of them to read.</p>" for i in range(5))
+PLAIN = "\n\n".join(f"Paragraph {i} of this text, with some words in it, and a few more of them to read." for i in range(5))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<head><script>var s="<!--";</script></head><body><article>%s</article></body>', '<body><div title="<!--"><div>%s</div></div></body>', "<body><style>a:after{content:'<!--'}</style><main>%s</main>",
+        '<body><form id="aspnetForm"><input name="q"><label>Search</label><div>%s</div></form></body>', "<form><div>%s</div><select><option>one</select><button>Go</button></form>", "<body><form><article>%s</article></form><div>short</div>",
+        "<body><div>%s</div><form><p>Your address will not be published. Required fields are marked with a star, always.</p><label>Name</label></form>", "<div>%s</div><!-- never ends <p>gone</p>", "<div>%s</div><b never ends",
+        '<div>%s<section class="user-responses"><p>First! I liked this one very much, thank you for writing it.</p></section></div>', "<div><!-->%s<!---></div>", "<div><!-- a > b -- c --!>%s</div>", '<div data-x="a>b" title=\'<p>\'>%s</div>', "<DIV CLASS=x>%s</DIV>",
+        "<div><?php echo 1 ?>%s<![CDATA[x]]></div>", "<div>%s<textarea><p>no</p></textarea><iframe><p>no</p></iframe></div>", "<title><!-- </title><div>%s</div>",
+    ],
+)
+def test_pages_keep_their_article(page):
+    assert html.extract(page % ARTICLE) == PLAIN
+
+
+@pytest.mark.parametrize("piece", ["<a", "<a ", '<a x="', "<!--", "<!", "</", "</a", "<?", "&#", "&#1", "<div>", "<p>", "<b><i>", "<form>", "<form>x</form>", "<ul><li>x", "</p>", "<a>", "<table><tr><td>", "<a x='\">'", "<script>", "<a =", "<x/ y"])
+def test_any_bytes_take_linear_time(piece):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        html.extract(piece * n)
+        return time.process_time() - began
+
+    n = 400_000 // len(piece)
+    once = max(took(n // 4), 0.05)
+    assert took(n) < 10 * once
+
+
+def test_character_references():
+    assert html.extract("<p>&lt;b&gt; &amp;amp; &#65;&#x42;&#0000000000067;&#99999999999999;&#x0000000000044; &nosuch; a&b " + "&#" + "1" * 5000 + ";" + "&#" + "0" * 5000 + "69;</p>") == "<b> &amp; ABC�D &nosuch; a&b �E"
+
+
+def brute_tokens(page):
+    """Text, start and end tags by walking character by character."""
+    out, i, n = [], 0, len(page)
+    space = "\t\n\f\r "
+
+    def tag(i):
+        name = ""
+        while i < n and page[i] not in space + "/>":
+            name += page[i]
+            i += 1
+        attrs = []
+        while True:
+            while i < n and page[i] in space + "/":
+                i += 1
+            if i >= n:
+                return None
+            if page[i] == ">":
+                return name.lower(), attrs, i + 1
+            key = page[i]
+            i += 1
+            while i < n and page[i] not in space + "/>=":
+                key += page[i]
+                i += 1
+            j = i
+            while j < n and page[j] in space:
+                j += 1
+            value = ""
+            if j < n and page[j] == "=":
+                i = j + 1
+                while i < n and page[i] in space:
+                    i += 1
+                if i < n and page[i] in "\"'":
+                    end = page.find(page[i], i + 1)
+                    if end < 0:
+                        return None
+                    value, i = page[i + 1 : end], end + 1
+                else:
+                    while i < n and page[i] not in space + ">":
+                        value += page[i]
+                        i += 1
+            attrs.append((key.lower(), value))
+
+    def letter(i):
+        return i < n and page[i].isascii() and page[i].isalpha()
+
+    text = ""
+    while i < n:
+        found = None
+        if page[i] == "<" and (letter(i + 1) or page[i + 1 : i + 2] == "/" and letter(i + 2)):
+            start = letter(i + 1)
+            found = tag(i + 1 if start else i + 2)
+            out.append(text)
+            text = ""
+            if found is None:
+                return out
+            out.append(("start", *found[:2]) if start else ("end", found[0]))
+            i = found[2]
+        elif page[i] == "<" and page[i + 1 : i + 2] and page[i + 1] in "/!?":
+            out.append(text)
+            text = ""
+            if page.startswith("<!--", i) and not page.startswith(("<!-->", "<!--->"), i):
+                ends = [e + len(m) for m in ("-->", "--!>") if (e := page.find(m, i + 4)) >= 0]
+                if not ends:
+                    return out
+                i = min(ends)
+            else:
+                end = page.find(">", i)
+                if end < 0:
+                    return out
+                i = end + 1
+        else:
+            text += page[i]
+            i += 1
+    return [*out, text]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["<", ">", "/", "!", "--", "-", "?", "a", "B1", "=", '"', "'", " ", "\n", "x y", "é", "<b>", "</b>", "<!--", "-->"]), max_size=14).map("".join))
+def test_tokens_are_those_of_a_plain_walk(page):
+    got, text = [], ""
+    for kind, value, attrs in html.tokens(page):
+        if kind == "text":
+            text += value
+        else:
+            got += [text, ("start", value, attrs) if kind == "start" else ("end", value)]
+            text = ""
+    expected = brute_tokens(page)
+    flat = lambda x: [t for t in x if t != ""]
+
+    def joined(x):
+        out = []
+        for t in flat(x):
+            if isinstance(t, str) and out and isinstance(out[-1], str):
+                out[-1] += t
+            else:
+                out.append(t)
+        return out
+
+    assert joined([*got, text]) == joined(expected)

@@ -1,8 +1,10 @@
 """Main text of web pages by tree scoring.
 
 A page is read into a tree with HTML's rules for tags that close themselves, in time linear
-in its tags. Elements that are never main text (menus, forms, scripts, hidden parts) are left
-out. Each paragraph passes points for its length and commas to its ancestors, half as many to
+in its length, whatever its bytes are: comments begin where markup is expected, not in scripts or attributes, and
+what a tag or comment that never ends would take is left out. Elements that are never main text (menus, scripts,
+hidden parts) are left out, and forms too, but for a form around the page: one that holds an article, or most of the text
+that stands in long blocks, or paragraphs if there is no text beside it. Each paragraph passes points for its length and commas to its ancestors, half as many to
 each farther one, discounted by its share of linked text, and if an element around it is named
 as noise (adverts, sidebars, notices, reader comments). The best container and those of its
 siblings that read like it are kept, with all their blocks, short ones too, but for noise
@@ -19,7 +21,9 @@ are ignored.
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from collections import Counter
+from collections.abc import Iterator
+from html import unescape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +37,7 @@ BLOCK = frozenset(
     "hgroup html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 #: Elements whose text is no main text wherever they stand.
-DROPPED = frozenset("aside button canvas datalist dialog embed footer form head iframe input map menu nav noscript object script search select style svg template textarea title".split())
+DROPPED = frozenset("aside button canvas datalist dialog embed footer head iframe input label legend map menu nav noscript object script search select style svg template textarea title".split())
 #: Words of a class or id that name no main text.
 NOISE = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies footer gdpr "
@@ -41,7 +45,7 @@ NOISE = frozenset(
     "sidebar skip social sponsor sponsored subscribe subscription taboola toolbar topbar widget widgets".split()
 )
 #: Words that name reader comments.
-COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
+COMMENTS = frozenset("comment comments commentlist discussion disqus guestbook livefyre replies reply respond responses talkback".split())
 #: Words of a name that tell how a part is laid out or what it may have, not what it is.
 STATES = frozenset("no not non has have with without free enabled disabled open closed layout is less aware".split())
 #: What is left of a paragraph's points inside noise, and of a container's text beside noise for the noise to go.
@@ -60,8 +64,94 @@ KEEPS_P = frozenset({"li", "dt", "dd", "td", "th", "tr", "tbody", "thead", "tfoo
 BOUND = frozenset({"table", "td", "th", "button", "html"})
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_BROKEN = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")
-LEAST, LEVELS = 25, 5
+LEAST, LEVELS, LONG = 25, 5, 80
+#: Elements whose content is text up to their end tag.
+RAW = frozenset("iframe noembed noframes script style textarea title xmp".split())
+_NAME = re.compile(r"[a-zA-Z][^\t\n\f\r />]*")
+_ATTRIBUTE = re.compile(r"[\t\n\f\r /]*(?:([^\t\n\f\r />][^\t\n\f\r />=]*)(?:[\t\n\f\r ]*=[\t\n\f\r ]*(?:([\"'])|([^\t\n\f\r >\"'][^\t\n\f\r >]*)?))?)?")
+_COMMENT_END = re.compile(r"--!?>")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\t\n\f\r />])", re.I) for t in RAW}
+_LONG_NUMBER = re.compile(r"&#(?:0*[1-9]\d{7,}|[xX]0*[1-9a-fA-F][0-9a-fA-F]{7,})")
+_ZEROS = re.compile(r"&#(?:0{9,}(?=\d)|([xX])0{9,}(?=[0-9a-fA-F]))")
+
+
+def decoded(text: str) -> str:
+    """Text with its character references decoded; numbers beyond all characters are replacement characters."""
+    return unescape(_ZEROS.sub(r"&#\1", _LONG_NUMBER.sub("&#65533", text))) if "&" in text else text
+
+
+def tag_at(html: str, at: int) -> tuple[str, list[tuple[str, str]], int] | None:
+    """(name, attributes, place after it) of a tag whose name begins at a place, or None if it never ends."""
+    m = _NAME.match(html, at)
+    name, attrs, at = m[0].lower(), [], m.end()
+    while True:
+        m = _ATTRIBUTE.match(html, at)
+        at = m.end()
+        if m[1]:
+            value = m[3] or ""
+            if m[2]:
+                end = html.find(m[2], at)
+                if end < 0:
+                    return None
+                value, at = html[at:end], end + 1
+            attrs.append((m[1].lower(), decoded(value)))
+        elif at < len(html) and html[at] == ">":
+            return name, attrs, at + 1
+        if at >= len(html):
+            return None
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, list]]:
+    """("text", text, []), ("start", name, attributes) and ("end", name, []) in page order.
+
+    Each byte is looked at once or twice: a tag or comment that never ends ends the page.
+    """
+    at = 0
+    while True:
+        lt = html.find("<", at)
+        if lt < 0:
+            break
+        c = html[lt + 1 : lt + 2]
+        if c.isascii() and c.isalpha():
+            if lt > at:
+                yield "text", decoded(html[at:lt]), []
+            found = tag_at(html, lt + 1)
+            if found is None:
+                return
+            name, attrs, at = found
+            yield "start", name, attrs
+            if name in RAW:
+                end = _RAW_END[name].search(html, at)
+                text = html[at : end.start() if end else len(html)]
+                yield "text", decoded(text) if name in ("textarea", "title") else text, []
+                if end is None:
+                    return
+                at = end.start()
+        elif c in ("/", "!", "?") and c:
+            if lt > at:
+                yield "text", decoded(html[at:lt]), []
+            if c == "/" and _NAME.match(html, lt + 2):
+                found = tag_at(html, lt + 2)
+                if found is None:
+                    return
+                yield "end", found[0], []
+                at = found[2]
+            elif html.startswith("<!--", lt):
+                short = 5 if html.startswith("<!-->", lt) else 6 if html.startswith("<!--->", lt) else 0
+                m = None if short else _COMMENT_END.search(html, lt + 4)
+                if not short and m is None:
+                    return
+                at = lt + short if short else m.end()
+            else:
+                end = html.find(">", lt)
+                if end < 0:
+                    return
+                at = end + 1
+        else:
+            yield "text", decoded(html[at : lt + 1]), []
+            at = lt + 1
+    if at < len(html):
+        yield "text", decoded(html[at:]), []
 
 
 class Node:
@@ -82,11 +172,10 @@ def noise_of(names: str) -> int:
     return most
 
 
-class Page(HTMLParser):
+class Page:
     """The nodes of a page in page order, and its blocks as (node, text, linked characters)."""
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
         root = Node("html", None, False, 0)
         self.nodes, self.open, self.blocks = [root], [root], []
         #: depths of the open elements of each tag, and of all open blocks, in order
@@ -94,12 +183,34 @@ class Page(HTMLParser):
         self.block_at = [0]
         self.pieces: list[str] = []
         self.links, self.linked, self.article = 0, 0, 0
-        last = html.rfind("<!--")
-        if last >= 0 and html.find("-->", last) < 0:
-            html = html[:last]
-        self.feed(_BROKEN.sub("", html))
-        self.close()
+        for kind, name, attrs in tokens(html):
+            if kind == "text":
+                self.text(name)
+            elif kind == "start":
+                self.start(name, attrs)
+            else:
+                self.end(name)
         self.flush()
+        self.drop_forms()
+
+    def drop_forms(self) -> None:
+        """Drops the blocks of all forms but those around the page."""
+        outer: dict[Node | None, Node | None] = {None: None}
+        for n in self.nodes:
+            outer[n] = outer[n.parent] or (n if n.tag == "form" else None)
+        articles = {outer[n] for n in self.nodes if n.tag in ARTICLE and not n.dropped}
+        long, blocks, paragraphs = Counter(), Counter(), set()
+        for node, text, _ in self.blocks:
+            long[outer[node]] += len(text) if len(text) >= LONG else 0
+            blocks[outer[node]] += 1
+            if len(text) >= LEAST and node.tag in PARAGRAPHS:
+                paragraphs.add(outer[node])
+        half, n_blocks = long.total() / 2, len(self.blocks)
+
+        def stays(f: Node | None) -> bool:
+            return f is None or f in articles or long[f] > half or blocks[f] == n_blocks and f in paragraphs
+
+        self.blocks = [b for b in self.blocks if stays(outer[b[0]])]
 
     def flush(self) -> None:
         text = " ".join("".join(self.pieces).split())
@@ -123,7 +234,7 @@ class Page(HTMLParser):
             self.block_at.pop()
         del self.open[depth:]
 
-    def handle_starttag(self, tag, attrs):
+    def start(self, tag: str, attrs: list) -> None:
         if tag in ("html", "body") and self.at.get(tag):
             return
         if tag in VOID:
@@ -147,8 +258,6 @@ class Page(HTMLParser):
         self.links += tag == "a"
         self.article += tag in ARTICLE
 
-    handle_startendtag = handle_starttag
-
     def never(self, tag: str, attrs: list) -> bool:
         """Whether an element is no main text whatever stands in it."""
         if tag in NEVER_DROPPED:
@@ -168,7 +277,7 @@ class Page(HTMLParser):
         if i > max(0, self.depth(bound)):
             self.leave(i)
 
-    def handle_endtag(self, tag):
+    def end(self, tag: str) -> None:
         if tag in ("html", "body") or tag in VOID:
             if tag == "br":
                 self.pieces.append(" ")
@@ -181,7 +290,7 @@ class Page(HTMLParser):
         if i > 0 and i >= bound:
             self.leave(i)
 
-    def handle_data(self, data):
+    def text(self, data: str) -> None:
         if not self.open[-1].dropped:
             self.pieces.append(data)
             if self.links:
