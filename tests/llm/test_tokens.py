@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidewell.llm import bpe, pack, store
+from tidewell.llm.bpe import vocabulary_path
 from tidewell.session import scratch
 
 WORD, BYTE = bpe.vocabulary_path("word_bpe_49k.json"), bpe.vocabulary_path("byte_bpe_50k.json")
@@ -256,3 +258,43 @@ def test_damaged_manifest_is_found(spark, docs):
     with pytest.raises(Exception, match="manifest"):
         store.summarise(spark, bad).collect()
     assert not any(r.path.find("_staged") >= 0 for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}").select("path").collect())
+
+
+@pytest.mark.parametrize(
+    "column,change",
+    [
+        ("sizes", "transform(sizes, (x, i) -> case when i = 0 and size(sizes) > 1 then x - 1 when i = 1 then x + 1 else x end)"), ("crc32", "cast(0 as bigint)"), ("digests", "reverse(digests)"), ("sizes", "slice(sizes, 1, size(sizes) - 1)"),
+        ("digests", "transform(digests, x -> cast('0123456789abcdef' as binary))"), ("n_tokens", "n_tokens + 1"), ("root", "cast('x' as binary)"),
+    ],
+)
+def test_damaged_recipes_are_found(spark, docs, tmp_path, column, change):
+    """Whatever column of a recipe is changed, reading it is an error, even if the manifest is made anew."""
+    good, bad = f"file://{tmp_path}/good", f"file://{tmp_path}/bad"
+    store.write_store(docs, good, tokenizer=vocabulary_path("word_bpe_49k.json"), end_id=2)
+    assert store.summarise(spark, good).count() == docs.count()
+    r = spark.read.parquet(f"{good}/recipes")
+    assert r.where("size(sizes) > 1").count() > 10
+    r.withColumn(column, F.expr(change)).write.parquet(f"{bad}/recipes")
+    spark.read.parquet(f"{good}/chunks").write.parquet(f"{bad}/chunks")
+    store._roots(spark.read.parquet(f"{bad}/recipes")).write.parquet(f"{bad}/manifest")
+    with pytest.raises(Exception, match="damaged|aren't those|is missing"):
+        store.summarise(spark, bad).collect()
+
+
+def test_one_long_text_is_read_in_proportion(spark, tmp_path):
+    import time
+    import zlib
+
+    def took(n):
+        words = " ".join(f"word{i * i % 9973}" for i in range(n))
+        path = f"file://{tmp_path}/long{n}"
+        store.write_store(spark.createDataFrame([(1, words)], "doc_id long, text string"), path, tokenizer=vocabulary_path("word_bpe_49k.json"), end_id=2)
+        began = time.time()
+        row = store.summarise(spark, path).first()
+        ids = store.read_documents(spark, path).first().ids
+        assert row.n_tokens == len(ids) and row.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+        return time.time() - began
+
+    took(2000)
+    once = took(100_000)
+    assert took(800_000) < 8 * once + 4

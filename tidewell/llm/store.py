@@ -5,7 +5,7 @@ the last ids says so, so that equal passages give equal chunks wherever they sta
 A store is a folder of Parquet tables:
 
 * ``chunks``   digest binary(16), width int, payload binary: each distinct chunk once; ``width`` is 2 bytes an id if all ids of the chunk fit, else 4, and is part of what the digest covers;
-* ``recipes``  part, key, start_in_part, n_tokens, digests, sizes, root, crc32: one row per document in ascending key order; ``root`` is the Merkle root of its digests;
+* ``recipes``  part, key, start_in_part, n_tokens, digests, sizes, root, crc32: one row per document in ascending key order; ``root`` is the Merkle root of its chunks, each leaf being a digest and its number of ids;
 * ``manifest`` part, n_docs, n_tokens, root: one row per recipe file, ``root`` the Merkle root of its documents' roots.
 
 Null and empty texts have only the end id. Rows with the same key keep their own
@@ -42,6 +42,11 @@ def name_of(payload: bytes, width: int) -> bytes:
     return blake2b(payload, digest_size=16, salt=bytes([width])).digest()
 
 
+def leaf(name: bytes, size: int) -> bytes:
+    """A chunk of a recipe: its digest and how many ids it has."""
+    return digest(b"\0" + name + size.to_bytes(4, "little"))
+
+
 def merkle(leaves: list[bytes]) -> bytes:
     """Root of a binary tree; an odd node at the end of a level moves up as it is."""
     level = leaves or [digest(b"")]
@@ -128,9 +133,10 @@ def _encode(path: str, end: int):
                     mine.append({"digest": name, "width": width, "payload": bytes(payload)})
                 at = first + e
             crcs.append(zlib.crc32(raw[4 * first : 4 * stop]))
-            roots.append(merkle(names))
+            counted = np.diff(ends, prepend=0).tolist()
+            roots.append(merkle(list(map(leaf, names, counted))))
             digests.append(names)
-            sizes.append(np.diff(ends, prepend=0).tolist())
+            sizes.append(counted)
             fresh.append(mine)
             first, low = stop, high
         return [keys[0], counts, crcs, roots, digests, sizes, fresh]
@@ -172,9 +178,8 @@ def write_store(docs: DataFrame, path: str, *, tokenizer: str, end_id: int, key:
     """Encode ``docs`` and write its store below ``path``, a folder that all executors share.
 
     Texts are encoded once, into a staging table whose columns feed both the recipes and
-    the chunks; it goes when the store stands, or on a failure. A block of texts (8 MB) sends each
-    chunk once, so a chunk that many documents share is shuffled once a block; of a digest's
-    rows, which one sort brings together, the first stays.
+    the chunks; it goes when the store stands, or on a failure. A block of texts (8 MB) has each
+    chunk once, and a task sends each once, as one row of a digest stays before the shuffle and after it.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -183,8 +188,7 @@ def write_store(docs: DataFrame, path: str, *, tokenizer: str, end_id: int, key:
         map_texts(docs.withColumn(key, F.col(f"`{key}`").cast("long")), [key], text, _encode(tokenizer, end_id), _STAGED).write.option("compression", "zstd").parquet(staged)
         rows = spark.read.parquet(staged)
         fresh = rows.select(F.explode("fresh").alias("c")).select("c.*")
-        before = F.lag("width").over(Window.partitionBy("digest").orderBy("width"))
-        fresh.withColumn("b", before).where("b is null").drop("b").write.option("compression", "zstd").parquet(f"{path}/chunks")
+        fresh.dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
         recipe = rows.drop("fresh").repartitionByRange("key").sortWithinPartitions("key", "crc32", "root")
         recipe.mapInArrow(_recipes, "part int, key long, start_in_part long, n_tokens long, crc32 long, root binary, digests array<binary>, sizes array<int>").write.option("compression", "zstd").parquet(f"{path}/recipes")
     finally:
@@ -241,35 +245,71 @@ def shift_crc(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
     return crc
 
 
+#: A place of a chunk in its document: the ids after it, and in the lowest bits its own number of ids.
+_SIZE_BITS = 11
+
+
 def _shift(batches):
+    """Each chunk's share of its document's CRC-32; a chunk that isn't as long as the recipe says is an error."""
     for b in batches:
-        crc, after = (b.column(c).to_numpy(zero_copy_only=False) for c in ("crc", "after"))
-        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("start"), pa.array(shift_crc(crc, after).astype(np.int64)), b.column("n")], names=["key", "start", "crc", "n"])
+        crc, place, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("crc", "place", "n"))
+        wrong = np.flatnonzero(n != (place & (1 << _SIZE_BITS) - 1))
+        if len(wrong):
+            raise ValueError(f"the recipe of {b.column('key')[int(wrong[0])].as_py()} is damaged: a chunk has another size")
+        share = shift_crc(crc, 4 * (place >> _SIZE_BITS)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("start"), pa.array(share), b.column("n"), b.column("all_crc"), b.column("all_n")], names=["key", "start", "crc", "n", "all_crc", "all_n"])
 
 
-def _check_roots(batches):
+_PLACED = "key long, start long, i int, digest binary, place long, all_crc long, all_n long"
+
+
+def _placed(batches):
+    """A row for each chunk of a recipe whose root is borne out; running sums are made once a recipe.
+
+    The document's own checksum and length stand in the row of its first chunk, zeros in the others.
+    """
     for b in batches:
-        for key, names, root in zip(*[b.column(c).to_pylist() for c in ("key", "digests", "root")]):
-            if merkle(names) != root:
+        names, sizes, n = b.column("digests"), b.column("sizes"), []
+        for key, d, z, root, total in zip(*[b.column(c).to_pylist() for c in ("key", "digests", "sizes", "root", "n_tokens")]):
+            if len(d) != len(z) or merkle(list(map(leaf, d, z))) != root:
                 raise ValueError(f"the recipe of {key} is damaged")
-        yield b.drop_columns(["root"])
+            if sum(z) != total:
+                raise ValueError(f"the recipe of {key} is damaged: it has another length")
+            n.append(len(d))
+        n = np.array(n, np.int64)
+        row = np.repeat(np.arange(len(b)), n)
+        size = sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        upto = np.cumsum(size)
+        last = np.cumsum(n) - 1
+        after = upto[last][row] - upto
+        first = np.zeros(len(row), bool)
+        first[last - n + 1] = True
+        take = lambda c: b.column(c).take(pa.array(row))
+        only = lambda c: pa.array(np.where(first, take(c).to_numpy(zero_copy_only=False), 0))
+        i = np.arange(len(row)) - (last - n + 1)[row]
+        yield pa.RecordBatch.from_arrays([take("key"), take("start"), pa.array(i, pa.int32()), names.flatten(), pa.array(after << _SIZE_BITS | size), only("crc32"), only("n_tokens")], names=["key", "start", "i", "digest", "place", "all_crc", "all_n"])
+
+
+def _chunks_of(spark: SparkSession, path: str) -> DataFrame:
+    return starts(spark, path).select("key", "start", "n_tokens", "crc32", "digests", "sizes", "root").mapInArrow(_placed, _PLACED)
 
 
 def summarise(spark: SparkSession, path: str) -> DataFrame:
     """key, start, n_tokens, ids_crc32 of each document, from the files alone.
 
-    Every chunk is read once and checked against its digest, every recipe against its
-    Merkle root, every root of the manifest against those of its recipes. A document's checksum is made of those of its chunks, so payloads aren't
-    shuffled; only digests are. A digest that many recipes name is a skewed join key, whose
+    Every chunk is read once and checked against its digest, every recipe against its Merkle root, every root of the manifest
+    against those of its recipes, every chunk's length against the recipes that name it, and each document's length and checksum,
+    put together from its chunks', against those that its recipe has from the encoder. Any difference is an error. Payloads
+    aren't shuffled; only digests are. A digest that many recipes name is a skewed join key, whose
     partitions Spark splits, as the other side has each digest once.
     """
     ship(spark)
     chunks = spark.read.parquet(f"{path}/chunks").select("digest", "width", "payload").mapInArrow(_check_chunks, "digest binary, n long, crc long")
-    r = starts(spark, path).select("key", "start", "n_tokens", "digests", "sizes", "root").mapInArrow(_check_roots, "key long, start long, n_tokens long, digests array<binary>, sizes array<int>")
-    parts = r.select("key", "start", "n_tokens", F.posexplode("digests").alias("i", "digest"), F.col("sizes"))
-    parts = parts.select("key", "start", "digest", (4 * (F.col("n_tokens") - F.aggregate(F.slice("sizes", 1, F.col("i") + 1), F.lit(0).cast("long"), lambda a, x: a + x))).alias("after"))
-    whole = parts.join(chunks, "digest", "left").withColumn("crc", F.when(F.col("crc").isNull(), F.raise_error(F.lit("a chunk is missing"))).otherwise(F.col("crc")))
-    return whole.mapInArrow(_shift, "key long, start long, crc long, n long").groupBy("key", "start").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
+    whole = _chunks_of(spark, path).drop("i").join(chunks, "digest", "left").withColumn("crc", F.when(F.col("crc").isNull(), F.raise_error(F.lit("a chunk is missing"))).otherwise(F.col("crc")))
+    found = whole.mapInArrow(_shift, "key long, start long, crc long, n long, all_crc long, all_n long").groupBy("key", "start").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"), F.sum("all_crc").alias("all_crc"), F.sum("all_n").alias("all_n"))
+    same = (F.col("ids_crc32") == F.col("all_crc")) & (F.col("n_tokens") == F.col("all_n"))
+    wrong = F.raise_error(F.concat(F.lit("the chunks of "), F.coalesce(F.col("key").cast("string"), F.lit("null")), F.lit(" aren't those of its checksum")))
+    return found.select("key", "start", "n_tokens", F.when(same, F.col("ids_crc32")).otherwise(wrong).alias("ids_crc32"))
 
 
 def _decode(batches):
@@ -282,9 +322,11 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """key, start, ids array<int> of each document, put together from its chunks in order."""
     ship(spark)
     chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(_decode, "digest binary, ids array<int>")
-    parts = starts(spark, path).select("key", "start", F.posexplode("digests").alias("i", "digest"))
-    whole = parts.join(chunks, "digest").groupBy("key", "start").agg(F.sort_array(F.collect_list(F.struct("i", "ids"))).alias("c"))
-    return whole.select("key", "start", F.flatten("c.ids").alias("ids"))
+    parts = _chunks_of(spark, path).select("key", "start", "i", "digest", "all_n")
+    whole = parts.join(chunks, "digest", "left").groupBy("key", "start").agg(F.sort_array(F.collect_list(F.struct("i", "ids"))).alias("c"), F.sum("all_n").alias("n"))
+    ids = F.flatten("c.ids")
+    wrong = F.raise_error(F.concat(F.lit("chunks are missing of "), F.coalesce(F.col("key").cast("string"), F.lit("null"))))
+    return whole.select("key", "start", F.when(F.size(ids) == F.col("n"), ids).otherwise(wrong).alias("ids"))
 
 
 def verify_manifest(spark: SparkSession, path: str) -> DataFrame:
