@@ -325,6 +325,15 @@ def test_languages_of_odd_rows(odd_docs, no_docs):
     got = langid.contract(odd_docs).collect()
     assert len(got) == odd_docs.count()
     for r in got:
-        assert r.lang_pred in ("und", "en", "fr", "xx") and (r.doc_id not in (1, 2, 9) or r.lang_pred == "und")
+        assert (r.lang_pred == "und") == (r.doc_id in (1, 2, 9)) and r.lang_pred in ("und", "en", "fr", "xx")
     assert langid.contract(no_docs).count() == 0
     assert {r.lang_pred for r in langid.contract(odd_docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_few_words_are_enough_to_learn_from(spark):
+    """``und`` is for texts without letters only, however few words there are to learn from."""
+    rows = [(4, "the cat and the dog", "en"), (5, "le chat et le chien", "fr"), (8, "the house and the tree", "en"), (9, "le jardin et la maison", "fr"), (2, "the dog and the house", "en"), (6, "le chien et la maison", "fr"), (10, "123 -- 4", "en"), (14, None, None), (18, "Ö", None)]
+    got = {r.doc_id: r.lang_pred for r in langid.contract(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {k for k, x in got.items() if x == "und"} == {10, 14} and set(got.values()) == {"en", "fr", "und"}
+    one = spark.createDataFrame([(k, t, x) for k, t, x in rows if k == 4 or k > 8], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in langid.contract(one).collect()}[4] != "und"

@@ -166,7 +166,7 @@ def _runs(words: list[bytes], most: int, seed: int) -> list[list[bytes]]:
 
 
 def _chains(runs: list[list[bytes]], labels: list[int], rng: np.random.Generator, most: int) -> tuple[list[bytes], np.ndarray]:
-    """Words and labels of runs in random order, of each label at most ``most`` words, in all a multiple of CHAIN."""
+    """Words and labels of runs in random order, of each label at most ``most`` words; the last chain is filled up with the first words."""
     out, y, n = [], [], {}
     for i in rng.permutation(len(runs)).tolist():
         had = n.get(labels[i], 0)
@@ -174,8 +174,10 @@ def _chains(runs: list[list[bytes]], labels: list[int], rng: np.random.Generator
             n[labels[i]] = had + len(runs[i])
             out += runs[i]
             y += [labels[i]] * len(runs[i])
-    n = len(out) // CHAIN * CHAIN
-    return out[:n], np.array(y[:n])
+    n = -(-len(out) // CHAIN) * CHAIN
+    while 0 < len(out) < n:
+        out, y = out + out[: n - len(out)], y + y[: n - len(y)]
+    return out, np.array(y)
 
 
 def expectations(e: np.ndarray, move: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
