@@ -249,3 +249,17 @@ def test_registered(name):
     import __spark_entry__ as e
 
     assert name in e.queries() and "pipeline" in e.queries()
+
+
+def test_columns_of_any_name_stay(spark):
+    """Columns that are named as helpers were or are stay as they are, in stages and operators."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(k, base if k < 4 else f"{base} {k} unlike {k * 7}" * 2, *[f"{n}{k}" for n in ("a", "b", "c", "D", "R", "P")]) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _d string, _rep string, _place string, Digest string, REP string, place string")
+    kept = sorted(map(tuple, neardup.dedup(docs).collect()))
+    assert [r for r in rows if r[0] in {k[0] for k in kept}] == kept and 0 < len(kept) < 8 and kept[0][0] == 0
+    bench = spark.createDataFrame([(k, " ".join(f"q{k}x{i}" for i in range(20))) for k in range(40)], "item_id long, text string")
+    dirty = docs.union(spark.createDataFrame([(99, bench.first().text, *"abcdef")], docs.schema))
+    for size in (200, 1 << 20):
+        assert sorted(map(tuple, decontam.decontaminate(dirty, bench, block_bytes=size).collect())) == rows
+        assert {r.doc_id: r.n_hit for r in decontam.scan(dirty, bench, block_bytes=size).collect()} == {**{k: 0 for k in range(8)}, 99: 20}

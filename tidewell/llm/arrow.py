@@ -20,6 +20,14 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(WORD_BYTES).split() if text else []
 
 
+def unused(columns: list[str], stem: str) -> str:
+    """A column name that isn't there, whatever cases are told apart."""
+    taken = {c.lower() for c in columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
 def ranges(sizes: list[int], most: int = BLOCK) -> Iterator[tuple[int, int]]:
     """Ranges of texts of these sizes, each of at most ``most`` bytes or of one text."""
     first, n = 0, 0

@@ -17,7 +17,7 @@ from hashlib import sha256
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.arrow import filter_texts, map_texts, words
+from tidewell.llm.arrow import filter_texts, map_texts, unused, words
 from tidewell.llm.matching import WordAutomaton
 from tidewell.session import scratch, ship
 
@@ -95,11 +95,11 @@ def _blocks(rows: DataFrame, blocks: int):
         yield rows.sparkSession.sparkContext.broadcast((sha256(repr(held).encode()).hexdigest(), held))
 
 
-def _row_hits(rows: DataFrame, blocks: int, placed: DataFrame, text: str, window: int) -> DataFrame:
+def _row_hits(rows: DataFrame, blocks: int, placed: DataFrame, place: str, text: str, window: int) -> DataFrame:
     """place, n_words, r, items, offsets of each row of ``placed`` that has hits in some block."""
     hits = None
     for shared in _blocks(rows, blocks):
-        found = map_texts(placed, ["_place"], text, _scan(shared, window), "place long, n_words long, first array<int>, after array<int>, items array<string>, offsets array<string>").where(F.size("first") > 0)
+        found = map_texts(placed, [place], text, _scan(shared, window), "place long, n_words long, first array<int>, after array<int>, items array<string>, offsets array<string>").where(F.size("first") > 0)
         hits = found if hits is None else hits.unionByName(found)
     ranges = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("first", "after"))))
     return hits.groupBy("place").agg(F.max("n_words").alias("n_words"), ranges.alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("offsets")))).alias("offsets"))
@@ -112,11 +112,11 @@ def _n_hit(ranges) -> F.Column:
     return F.aggregate(ranges, F.struct(end, n), add)["n"]
 
 
-def _placed(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows with a number each, ``_place``, written to the shared folder so that the numbers stay; they go with the application."""
-    path = scratch(docs.sparkSession, "decontam")
-    docs.select(*[F.col(f"`{c}`") for c in columns], F.monotonically_increasing_id().alias("_place")).write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+def _placed(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, str]:
+    """(rows with a number each, its column), written to the shared folder so that the numbers stay; they go with the application."""
+    path, place = scratch(docs.sparkSession, "decontam"), unused(columns, "place")
+    docs.select(*[F.col(f"`{c}`") for c in columns], F.monotonically_increasing_id().alias(place)).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.parquet(path), place
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -130,9 +130,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: st
     ship(docs.sparkSession)
     rows, blocks = _items(benchmark, item, item_text, block_bytes)
     if blocks > 1:
-        placed = _placed(docs, [key, text])
-        hits = _row_hits(rows, blocks, placed, text, window)
-        count = map_texts(placed, ["_place", key], text, lambda keys, texts: [*keys, [len(words(t)) for t in texts]], f"place long, k {docs.schema[key].dataType.simpleString()}, n long")
+        placed, place = _placed(docs, [key, text])
+        hits = _row_hits(rows, blocks, placed, place, text, window)
+        count = map_texts(placed, [place, key], text, lambda keys, texts: [*keys, [len(words(t)) for t in texts]], f"place long, k {docs.schema[key].dataType.simpleString()}, n long")
         none = F.array().cast("array<string>")
         out = count.join(hits, "place", "left")
         return out.select(F.col("k").alias(key), F.col("n").alias("n_words"), F.coalesce(_n_hit("r"), F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("offsets", none).alias("offsets"))
@@ -157,9 +157,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     ship(docs.sparkSession)
     rows, blocks = _items(benchmark, item, item_text, block_bytes)
     if blocks > 1:
-        placed = _placed(docs, docs.columns)
-        bad = judged(_row_hits(rows, blocks, placed, text, window).withColumn("n_hit", _n_hit("r"))).where("contaminated").select(F.col("place").alias("_place"))
-        return placed.join(bad, "_place", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+        placed, place = _placed(docs, docs.columns)
+        bad = judged(_row_hits(rows, blocks, placed, place, text, window).withColumn("n_hit", _n_hit("r"))).where("contaminated").select(F.col("place").alias(place))
+        return placed.join(bad, place, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     shared = next(_blocks(rows, 1))
 
     def clean(texts):

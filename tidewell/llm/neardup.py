@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.arrow import ranges
+from tidewell.llm.arrow import ranges, unused
 from tidewell.llm.shingles import DEPTH, WIDTH, bands, cells, samples, shingles, weighted_jaccard, weights
 from tidewell.session import cut, delete, scratch, ship
 
@@ -271,11 +271,12 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options
     Of rows with the same id and text one stays, whichever; of unlike texts with one id each class keeps its own row.
     """
     _, found = _classes(docs, key, text, **options)
+    d, r = unused(docs.columns, "digest"), unused(docs.columns, "rep")
     first = F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep"), F.col("digest")))
-    kept = found.groupBy("label").agg(first.alias("m")).select(F.col("m.digest").alias("_d"), F.col("m.rep").alias("_rep"))
+    kept = found.groupBy("label").agg(first.alias("m")).select(F.col("m.digest").alias(d), F.col("m.rep").alias(r))
     whole = F.coalesce(F.col(f"`{text}`").cast("string").cast("binary"), F.lit("").cast("binary"))
-    out = docs.withColumn("_d", _digest(whole)).join(kept, "_d").where(F.col(f"`{key}`").eqNullSafe(F.col("_rep")))
-    return out.dropDuplicates(["_d"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = docs.withColumn(d, _digest(whole)).join(kept, d).where(F.col(f"`{key}`").eqNullSafe(F.col(r)))
+    return out.dropDuplicates([d]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def contract(docs: DataFrame) -> DataFrame:
