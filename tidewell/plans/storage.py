@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from tidewell.functions import text as fx
 from tidewell.operators.windows import numbered as row_numbers
 from tidewell.plans.registry import query
-from tidewell.session import scratch, shared_dir
+from tidewell.session import delete, scratch, shared_dir
+from tidewell.sources import backfill, copies
 from tidewell.sources import fileset as fs
 from tidewell.sources import records as rec
 from tidewell.sources import sinks
@@ -197,14 +198,28 @@ query("k7_clustered_sorted", "select event_id, event_type, value from events")(l
 
 
 def bucketed(t, key: str):
-    path = place(t, "bucketed")
-    name = path.rpartition("/")[2].replace("-", "_")
-    sinks.save_bucketed(t.lineitem.select("l_orderkey", "l_suppkey", "l_quantity"), name, key, 8, key, path)
-    return t.spark.table(name)
+    path, rows = place(t, "bucketed"), t.lineitem.select("l_orderkey", "l_suppkey", "l_quantity")
+    sinks.write_bucketed(rows, path, key, 8, key)
+    return sinks.read_bucketed(t.spark, path, rows.schema, key, 8, key)
 
 
 query("k6_bucketed", "select l_orderkey, round(sum(l_quantity), 2) as s from lineitem group by l_orderkey")(lambda t: bucketed(t, "l_orderkey").groupBy("l_orderkey").agg(F.round(F.sum("l_quantity"), 2).alias("s")))
-query("k9_second_copy", "select l_suppkey, round(sum(l_quantity), 2) as s from lineitem group by l_suppkey")(lambda t: bucketed(t, "l_suppkey").groupBy("l_suppkey").agg(F.round(F.sum("l_quantity"), 2).alias("s")))
+
+
+def followed(t):
+    """A copy of a base whose files change after it was made: rows are taken away, others come, and the copy follows."""
+    base, copy = place(t, "base"), place(t, "copy")
+    rows = t.lineitem.select("l_orderkey", "l_suppkey", "l_quantity")
+    for name, part in (("a", "l_orderkey % 3 = 0"), ("b", "l_orderkey % 3 = 1"), ("twice", "l_orderkey % 3 = 1")):
+        rows.where(part).write.parquet(f"{base}/{name}")
+    copies.create(t.spark, f"{base}/*", copy, "l_suppkey", rows.columns, 8)
+    delete(t.spark, f"{base}/twice")
+    rows.where("l_orderkey % 3 = 2").write.parquet(f"{base}/c")
+    copies.refresh(t.spark, copy)
+    return copies.read(t.spark, copy)
+
+
+query("k9_second_copy", "select l_suppkey, round(sum(l_quantity), 2) as s from lineitem group by l_suppkey")(lambda t: followed(t).groupBy("l_suppkey").agg(F.round(F.sum("l_quantity"), 2).alias("s")))
 
 
 def ordered(t):
@@ -217,21 +232,38 @@ query("k8_ordered", "select o_orderkey, o_totalprice from orders")(ordered)
 
 
 def side_lines(t):
+    """The lines that a scan puts out beside its rows, in the same pass."""
     path = place(t, "side")
     rows = row_numbers(t.customer.select("c_custkey", "c_name"), "c_custkey")
-    sinks.tee(rows, path, F.format_string("Line %d: %s", F.col("number") - 1, F.col("c_name")))
-    return t.spark.read.parquet(path)
+    line = F.format_string("Line %d: %s", F.col("number") - 1, F.col("c_name")).alias("Content")
+    sinks.write_routed(rows, path, {"rows": (F.lit(True), [F.col("c_custkey")]), "lines": (F.lit(True), [line])})
+    return sinks.read_routed(t.spark, path, ["rows", "lines"], "lines", "Content string")
+
+
+def counted_scan(t):
+    """Counters of a scan that puts out rows and a side output, as they come back from the one pass."""
+    path, price = place(t, "counted"), F.col("o_totalprice")
+    wrong = F.col("o_orderpriority").startswith("1")
+    counts = sinks.write_routed(
+        t.orders, path, {"rows": (~wrong, [F.col("o_orderkey"), price]), "urgent": (wrong, [F.concat_ws(": ", "o_orderkey", "o_orderpriority").alias("Content")])},
+        {"n_rows": F.count("*"), "n_urgent": F.count_if(wrong), "most": F.max(price)},
+    )
+    read = [sinks.read_routed(t.spark, path, ["rows", "urgent"], n, k).agg(F.count("*").alias(f"{n}_out")) for n, k in (("rows", "o_orderkey long, o_totalprice double"), ("urgent", "Content string"))]
+    return read[0].join(read[1]).select(F.lit(counts["n_rows"]).alias("n_rows"), F.lit(counts["n_urgent"]).alias("n_urgent"), F.lit(counts["most"]).alias("most"), "rows_out", "urgent_out")
 
 
+query("k10_counters", "select count(*) as n_rows, count(case when o_orderpriority like '1%' then 1 end) as n_urgent, max(o_totalprice) as most, count(case when o_orderpriority not like '1%' then 1 end) as rows_out, count(case when o_orderpriority like '1%' then 1 end) as urgent_out from orders")(counted_scan)
 query("k10_side_output", "select 'Line ' || (row_number() over (order by c_custkey) - 1) || ': ' || c_name as \"Content\" from customer")(side_lines)
 query("s21_read_side_output", "select count(*) as n, count(*) as lines from customer")(lambda t: side_lines(t).agg(F.count("*").alias("n"), F.sum(F.col("Content").startswith("Line ").cast("int")).alias("lines")))
 query("k11_console", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 3")(lambda t: t.orders.select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(3))
 
 
 def several(t):
-    path, shared = place(t, "several"), t.orders.select("o_orderkey", "o_orderstatus")
-    sinks.write_all([(shared.where(f"o_orderstatus = '{s}'"), lambda d, s=s: d.write.parquet(f"{path}/{s}")) for s in "FOP"], shared)
-    return t.spark.read.parquet(*[f"{path}/{s}" for s in "FOP"])
+    """Three outputs of one scan, in one job."""
+    path, outputs = place(t, "several"), list("FOP")
+    sinks.write_routed(t.orders, path, {s: (F.col("o_orderstatus") == s, [F.col("o_orderkey"), F.col("o_orderstatus")]) for s in outputs})
+    each = [sinks.read_routed(t.spark, path, outputs, s, "o_orderkey long, o_orderstatus string") for s in outputs]
+    return each[0].union(each[1]).union(each[2])
 
 
 query("k12_several_outputs", "select o_orderkey, o_orderstatus from orders")(several)
@@ -334,12 +366,15 @@ def zipped(t):
 query("s22_zipped_text", "select event_id, cast(year(ts) as integer) as y, cast(month(ts) as integer) as m, cast(day(ts) as integer) as d from events where ts >= timestamp '2024-01-08' and ts < timestamp '2024-01-11'")(zipped)
 
 
-def backfill(t, first: str = "2024-01-03", last: str = "2024-01-28"):
-    """One job over a range of days, one folder a day; a rerun of a day replaces its folder only."""
+def filled(t, first: str = "2024-01-03", last: str = "2024-01-28"):
+    """A range of days, filled in by two runs: the second one finds some days finished, and does one of them again."""
     path, day = place(t, "days"), F.to_date("ts")
-    wanted = F.col("value").isNotNull() & (F.col("event_type") != "") & F.col("event_type").isin("click", "view") & day.between(F.lit(first).cast("date"), F.lit(last).cast("date"))
-    sinks.write_by(t.events.where(wanted).select("event_id", day.cast("string").alias("day")), path, "day")
-    return t.spark.read.schema("event_id long, day string").parquet(path)
+    wanted = F.col("value").isNotNull() & (F.col("event_type") != "") & F.col("event_type").isin("click", "view")
+    rows = lambda days: t.events.where(wanted & F.col("ts").between(F.lit(min(days)), F.lit(max(days) + dt.timedelta(days=1)))).select("event_id", day.alias("day"))
+    days = backfill.days_between(dt.date.fromisoformat(first), dt.date.fromisoformat(last))
+    backfill.run(t.spark, rows, path, days[:9])
+    backfill.run(t.spark, rows, path, days, again=days[4:5])
+    return backfill.read(t.spark, path, "event_id long, day date").select("event_id", F.col("day").cast("string").alias("day"))
 
 
 def newest_first(days):
@@ -348,8 +383,8 @@ def newest_first(days):
     return days.join(F.broadcast(order), "day").orderBy("place", "event_id")
 
 
-query("l10_backfill", "select event_id, day, dense_rank() over (order by day desc) as place from (select event_id, strftime(ts, '%Y-%m-%d') as day from events where value is not null and event_type in ('click', 'view') and ts >= timestamp '2024-01-03' and ts < timestamp '2024-01-29') order by place, event_id")(lambda t: newest_first(backfill(t)))
-query("e4_partition_read", "select event_id from events where event_type in ('click', 'view') and strftime(ts, '%Y-%m-%d') = '2024-01-09'")(lambda t: backfill(t).where("day = '2024-01-09'").select("event_id"))
+query("l10_backfill", "select event_id, day, dense_rank() over (order by day desc) as place from (select event_id, strftime(ts, '%Y-%m-%d') as day from events where value is not null and event_type in ('click', 'view') and ts >= timestamp '2024-01-03' and ts < timestamp '2024-01-29') order by place, event_id")(lambda t: newest_first(filled(t)))
+query("e4_partition_read", "select event_id from events where event_type in ('click', 'view') and strftime(ts, '%Y-%m-%d') = '2024-01-09'")(lambda t: filled(t).where("day = '2024-01-09'").select("event_id"))
 
 
 def exported(t):

@@ -62,15 +62,62 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a path by Hadoop's file system, whatever store it is in."""
+def hadoop(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop, whatever store the path is in."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = hadoop(spark, path)
+    fs.delete(p, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+    fs, p = hadoop(spark, path)
+    return bool(fs.exists(p))
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Gives a file or folder a name that nothing has yet; a file system does that at once or not at all."""
+    fs, a = hadoop(spark, old)
+    b = spark._jvm.org.apache.hadoop.fs.Path(new)
+    if fs.exists(b) or not fs.rename(a, b):
+        raise FileExistsError(f"{old} can't be renamed to {new}")
+
+
+def names(spark: SparkSession, folder: str) -> set[str]:
+    """The names in a folder, by one listing; none if it isn't there."""
+    fs, p = hadoop(spark, folder)
+    if not fs.exists(p):
+        return set()
+    jvm = spark._jvm
+    paths = jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(fs.listStatus(p))
+    # as one text, so that it is a few calls of the JVM, not some for each name
+    plain = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, len(paths))
+    jvm.java.lang.System.arraycopy(paths, 0, plain, 0, len(paths))
+    return {x.rpartition("/")[2] for x in jvm.org.apache.commons.lang3.StringUtils.join(plain, "\n").split("\n") if x}
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that appears at once under a name that nothing has yet."""
+    temporary = f"{path}.{uuid.uuid4().hex}"
+    fs, p = hadoop(spark, temporary)
+    out = fs.create(p, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    rename(spark, temporary, path)
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    fs, p = hadoop(spark, path)
+    file = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+    finally:
+        file.close()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.session import delete, exists
+from tidewell.session import delete, exists, hadoop, names, rename
 
 _PART = re.compile(r"<(\w+)(?:\.(Year|Month|Day))?>")
 _WIDTH = {"Year": 4, "Month": 2, "Day": 2}
@@ -96,39 +98,80 @@ def with_parts(df: DataFrame, template: str, expansions: dict[str, str]) -> Data
     return df.select("*", *columns).drop("_file")
 
 
-def write_set(df: DataFrame, folder: str, template: str, expansions: dict[str, str], keys: dict[str, Column], columns: list[str], write: Callable) -> None:
+def _in_set(keys: dict[str, Column], expansions: dict[str, str]) -> Column:
+    """Whether a row's parts are values of the set, part by part, so that no list of members is needed."""
+    every = F.lit(True)
+    for name, c in keys.items():
+        values = expand(expansions[name])
+        kind = expansions[name].partition(":")[0]
+        every = every & (c.cast("string").isin(values) if kind == "enum" else c.cast("int" if kind == "intrange" else "date").between(values[0], values[-1]))
+    return every
+
+
+def write_set(df: DataFrame, folder: str, template: str, expansions: dict[str, str], keys: dict[str, Column], columns: list[str], write: Callable, threads: int = 16) -> None:
     """Writes ``columns`` of the rows of each member as a folder of its name, all in one job; ``write(writer, path)`` chooses the format.
 
-    ``keys`` are the values of the parts. Rows of no member aren't written, members without rows have an empty folder.
+    ``keys`` are the values of the parts. Rows of no member aren't written, members without rows have an empty folder; a member with many rows
+    is dealt over several tasks. The set is put together in a folder beside: a new set appears by one
+    rename; members of a set that is there already are moved in one by one and taken out again if one of them can't be.
+    A write that fails leaves no member.
     """
-    spark, names = df.sparkSession, members(template, expansions)
+    spark, wanted = df.sparkSession, members(template, expansions)
     pieces, at = [], 0
     for m in _PART.finditer(template):
         pieces.append(F.lit(template[at : m.start()]))
         value = keys[m[1]]
         pieces.append(F.date_format(value, {"Year": "yyyy", "Month": "MM", "Day": "dd"}[m[2]]) if m[2] else value.cast("string"))
         at = m.end()
-    rows = df.withColumn("_member", F.concat(*pieces, F.lit(template[at:]))).where(F.col("_member").isin(names)).select(*columns, "_member")
-    write(rows.write.partitionBy("_member"), f"{folder}/_all")
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    for name in names:
-        old = path(f"{folder}/_all/_member={name}")
-        fs.rename(old, path(f"{folder}/{name}")) if fs.exists(old) else fs.mkdirs(path(f"{folder}/{name}"))
-    delete(spark, f"{folder}/_all")
+    there = names(spark, folder)
+    if clash := sorted(there & set(wanted)):
+        raise FileExistsError(f"members are there already: {clash[:3]}")
+    rows = df.where(_in_set(keys, expansions)).withColumn("_member", F.concat(*pieces, F.lit(template[at:]))).select(*columns, "_member")
+    rows = rows.repartitionByRange("_member", F.xxhash64(*columns)).sortWithinPartitions("_member")
+    beside = f"{folder}-{uuid.uuid4().hex}"
+    try:
+        write(rows.write.partitionBy("_member"), f"{beside}/all")
+        fs, _ = hadoop(spark, beside)
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        written = names(spark, f"{beside}/all")
+        target = folder if there else f"{beside}/set"
+        moved = []
+
+        def put(name: str) -> None:
+            new = path(f"{target}/{name}")
+            if not (fs.rename(path(f"{beside}/all/_member={name}"), new) if f"_member={name}" in written else fs.mkdirs(new)):
+                raise OSError(f"member {name} can't be put in place")
+            moved.append(name)
+
+        if not there:
+            fs.mkdirs(path(target))
+        with ThreadPoolExecutor(threads) as pool:
+            try:
+                list(pool.map(put, wanted))
+            except BaseException:
+                pool.shutdown(wait=True, cancel_futures=True)
+                for name in moved if there else []:
+                    delete(spark, f"{target}/{name}")
+                raise
+        if not there:
+            delete(spark, folder)  # an empty folder is no set
+            rename(spark, target, folder)
+    finally:
+        delete(spark, beside)
 
 
 def read_set(spark: SparkSession, folder: str, template: str, expansions: dict[str, str], read, sparse: bool = False) -> DataFrame:
     """The rows of all members, with the parts as columns. ``read(paths)`` makes one scan.
 
-    A dense set fails if a member is missing; a sparse one leaves missing members out.
+    A dense set fails if a member is missing; a sparse one leaves missing members out. Each folder is listed once.
     """
-    paths = [f"{folder}/{m}" for m in members(template, expansions)]
-    if sparse:
-        paths = [p for p in paths if exists(spark, p)]
-        if not paths:
-            raise FileNotFoundError(f"no member of {folder}/{template} exists")
-    df = read(paths)
+    wanted = members(template, expansions)
+    listed = {x: names(spark, f"{folder}/{x}".rstrip("/")) for x in {m.rpartition("/")[0] for m in wanted}}
+    there = [m for m in wanted if m.rpartition("/")[2] in listed[m.rpartition("/")[0]]]
+    if not there or len(there) < len(wanted) and not sparse:
+        missing = sorted(set(wanted) - set(there))
+        raise FileNotFoundError(f"members of {folder}/{template} are missing: {missing[:3]}{' ...' if len(missing) > 3 else ''}")
+    df = read([f"{folder}/{m}" for m in there])
     return with_parts(df.select("*", F.col("_metadata.file_path").alias("_file")), template, expansions)
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,49 +22,82 @@ def write_clustered(df: DataFrame, path: str, keys: list[str], sort: list[Column
     out.sortWithinPartitions(*keys, *(sort or [])).write.parquet(path)
 
 
-def save_bucketed(df: DataFrame, name: str, key: str, buckets: int, sort: str | None = None, path: str | None = None) -> None:
-    """A table whose joins and groupings by ``key`` need no exchange; at ``path``, or else in the warehouse."""
+def save_bucketed(df: DataFrame, name: str, key: str, buckets: int, sort: str | None = None) -> None:
+    """A table of the warehouse whose joins and groupings by ``key`` need no exchange."""
     w = df.write.mode("overwrite").format("parquet").bucketBy(buckets, key)
-    w = w.option("path", path) if path else w
     (w.sortBy(sort) if sort else w).saveAsTable(name)
 
 
-def write_ordered(df: DataFrame, path: str, *order) -> None:
-    """Part files in a global order: ranges are dealt, each sorted; no single task."""
-    df.orderBy(*order).write.parquet(path)
-
-
-def write_by(df: DataFrame, path: str, *columns: str) -> None:
-    """One folder for each value, all in one job."""
-    df.repartition(*columns).write.partitionBy(*columns).parquet(path)
-
-
-def write_both(df: DataFrame, path: str) -> None:
-    """A structured and a text copy under derived names, computed once."""
-    df = df.persist()
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int, sort: str | None = None) -> None:
+    """Files at ``path`` whose joins and groupings by ``key`` need no exchange, if read by ``read_bucketed``."""
+    name = f"bucketed_{uuid.uuid4().hex}"
+    w = df.write.format("parquet").option("path", path).bucketBy(buckets, key)
     try:
-        df.write.parquet(f"{path}.ss")
-        write_text(df, f"{path}.tsv")
+        (w.sortBy(sort) if sort else w).saveAsTable(name)
     finally:
-        df.unpersist()
+        # the files stay; the catalogue, which may outlive them, keeps nothing
+        df.sparkSession.sql(f"drop table if exists {name}")
 
 
-def write_all(outputs: list[tuple[DataFrame, Callable[[DataFrame], None]]], shared: DataFrame | None = None) -> None:
-    """Several outputs of one job; their shared input is kept while they are written."""
-    if shared is not None:
-        shared.persist()
+def read_bucketed(spark: SparkSession, path: str, schema: T.StructType, key: str, buckets: int, sort: str | None = None) -> DataFrame:
+    name = f"bucketed_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    order = f"sorted by (`{sort}`)" if sort else ""
+    spark.sql(f"create table {name} ({columns}) using parquet clustered by (`{key}`) {order} into {buckets} buckets location '{path}'")
     try:
-        for df, write in outputs:
-            write(df)
+        return spark.table(name)
     finally:
-        if shared is not None:
-            shared.unpersist()
+        spark.sql(f"drop table {name}")
+
 
+def write_ordered(df: DataFrame, path: str, *order) -> None:
+    """Part files in a global order: ranges are dealt, each sorted; no single task."""
+    df.orderBy(*order).write.parquet(path)
+
+
+def write_by(df: DataFrame, path: str, *columns: str, mode: str = "error") -> None:
+    """One folder for each value, all in one job; a value with many rows goes on over several files and tasks.
 
-def tee(df: DataFrame, path: str, content: Column) -> DataFrame:
-    """Writes ``content`` of each row as a side table with the column Content, and gives df back."""
-    df.select(content.alias("Content")).write.parquet(path)
-    return df
+    ``mode``: ``error`` if there is something, or ``replace`` the folders of the values that the rows have, and no others.
+    """
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    w = df.repartitionByRange(*columns, spread).sortWithinPartitions(*columns).write.partitionBy(*columns)
+    w = w.mode("overwrite").option("partitionOverwriteMode", "dynamic") if mode == "replace" else w
+    w.parquet(path)
+
+
+def write_both(df: DataFrame, path: str) -> None:
+    """A structured and a text copy under derived names; the text is made from the structured copy, so rows are computed once."""
+    df.write.parquet(f"{path}.ss")
+    write_text(df.sparkSession.read.schema(df.schema).parquet(f"{path}.ss"), f"{path}.tsv")
+
+
+def write_routed(df: DataFrame, path: str, outputs: dict[str, tuple[Column, list[Column]]], counters: dict[str, Column] | None = None) -> dict[str, object]:
+    """Several outputs and counters of one pass over ``df``, in one write job.
+
+    ``outputs``: for each name a condition and named columns. A row goes to every output whose condition holds. Each output has a
+    folder of its own below ``path``, which ``read_routed`` reads. ``counters`` are aggregates over all rows of ``df``, and come back
+    when the outputs stand; they cost no pass of their own.
+    """
+    watch = Observation()
+    if counters:
+        df = df.observe(watch, *[c.alias(n) for n, c in counters.items()])
+    kinds = {n: df.select(*columns).schema for n, (_, columns) in outputs.items()}
+    empty = {n: F.lit(None).cast(k) for n, k in kinds.items()}
+    routed = []
+    for n, (condition, columns) in outputs.items():
+        values = [F.struct(*columns).cast(kinds[n]).alias(f"o{i}") if m == n else empty[m].alias(f"o{i}") for i, m in enumerate(outputs)]
+        routed.append(F.when(condition, F.struct(F.lit(n).alias("output"), *values)))
+    one = df.select(F.explode(F.array_compact(F.array(*routed))).alias("r")).select("r.*")
+    one.write.partitionBy("output").parquet(path)
+    return watch.get if counters else {}
+
+
+def read_routed(spark: SparkSession, path: str, outputs: list[str], name: str, schema: str | T.StructType) -> DataFrame:
+    """The rows of one output; ``outputs``: the names of all, in their order."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    fields = T.StructType([T.StructField(f"o{outputs.index(name)}", schema), T.StructField("output", T.StringType())])
+    return spark.read.schema(fields).parquet(path).where(F.col("output") == name).select(f"o{outputs.index(name)}.*")
 
 
 def flat(df: DataFrame, item: str = ";", pair: str = "=") -> DataFrame:
