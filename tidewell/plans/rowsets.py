@@ -11,6 +11,7 @@ from tidewell.functions import text as fx
 from tidewell.operators import hooks
 from tidewell.operators import pages as pg
 from tidewell.operators import rowsets as rs
+from tidewell.operators import tables
 from tidewell.plans.registry import query
 from tidewell.sources import sinks
 
@@ -228,6 +229,11 @@ query("d9_composition", "select c_name, c_mktsegment from customer")(lambda t: t
 query("d10_reverse_columns", "select c_mktsegment, c_acctbal, c_nationkey, c_name, c_custkey from customer")(lambda t: rs.reverse_columns(t.customer))
 query("d11_typed_view", "select p_partkey, p_partkey as h from part")(lambda t: rs.typed_or_not(t.part.select("p_partkey", F.hex("p_partkey").alias("h")), "h", "typed", fx.hex_number))
 query("d11_untyped_view", "select p_partkey, hex(p_partkey) as h from part")(lambda t: rs.typed_or_not(t.part.select("p_partkey", F.hex("p_partkey").alias("h")), "h", "untyped", fx.hex_number))
+query("d11_typed_function", "select p_partkey, p_partkey as h from part")(lambda t: tables.typed_view(t.part.select("p_partkey", F.concat(F.lit("#"), F.hex("p_partkey")).alias("h")), "h", "typed"))
+query("d11_untyped_function", "select p_partkey, '#' || hex(p_partkey) as h from part")(lambda t: tables.typed_view(t.part.select("p_partkey", F.concat(F.lit("#"), F.hex("p_partkey")).alias("h")), "h", "untyped"))
+query("g8_first_of_each", "select * from (select o_custkey, o_orderkey, o_totalprice, cast(row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as integer) as place from orders) where place <= 2")(
+    lambda t: tables.first_of_each(t.orders.select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], ["-o_totalprice", "o_orderkey"], 2)
+)
 
 # jobs
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.functions import text as fx
+from tidewell.functions.user import Scalar, scalar
 from tidewell.operators.aggregates import map_agg
 from tidewell.plans.registry import query
 
@@ -172,6 +175,19 @@ def normalised(name):
 
 
 query("f17_user_function", "select c_custkey, regexp_replace(lower(c_name), '^[a-z]+#0*', '') as s from customer")(lambda t: t.customer.select("c_custkey", normalised(F.col("c_name")).alias("s")))
+
+
+class Normalised(Scalar):
+    """A user's own function: a name without its prefix and leading zeros."""
+
+    def setup(self):
+        self.prefix = re.compile("^[a-z]+#0*")
+
+    def call(self, name):
+        return self.prefix.sub("", name.lower())
+
+
+query("f17_user_scalar", "select c_custkey, regexp_replace(lower(c_name), '^[a-z]+#0*', '') as s from customer")(lambda t: t.customer.select("c_custkey", scalar(Normalised(), "string")("c_name").alias("s")))
 query("f18_parse_time", "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M') as d from orders")(lambda t: t.orders.select("o_orderkey", F.date_format("o_orderdate", "M/d/yyyy h:mm:ss a").alias("s")).select("o_orderkey", F.date_format(F.to_timestamp("s", "M/d/yyyy h:mm:ss a"), "yyyy-MM-dd HH:mm").alias("d")))
 query("f19_end_day_inclusive", "select event_id from events where ts >= timestamp '2024-01-03' and ts < timestamp '2024-01-05' + interval 1 day")(lambda t: t.events.where(F.expr("ts >= timestamp_ntz '2024-01-03 00:00:00' and ts < timestamp_ntz '2024-01-05 00:00:00' + interval 1 day")).select("event_id"))
 query("f20_month", "select month(o_orderdate) as m, count(*) as n from orders group by 1")(lambda t: t.orders.groupBy(F.month("o_orderdate").alias("m")).agg(F.count("*").alias("n")))

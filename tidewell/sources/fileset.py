@@ -171,7 +171,14 @@ def read_set(spark: SparkSession, folder: str, template: str, expansions: dict[s
     if not there or len(there) < len(wanted) and not sparse:
         missing = sorted(set(wanted) - set(there))
         raise FileNotFoundError(f"members of {folder}/{template} are missing: {missing[:3]}{' ...' if len(missing) > 3 else ''}")
-    df = read([f"{folder}/{m}" for m in there])
+    # Spark lists members in tasks, one each unless told otherwise
+    tasks = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(tasks)
+    spark.conf.set(tasks, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        df = read([f"{folder}/{m}" for m in there])
+    finally:
+        spark.conf.set(tasks, before)
     return with_parts(df.select("*", F.col("_metadata.file_path").alias("_file")), template, expansions)
 
 
