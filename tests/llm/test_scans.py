@@ -386,3 +386,32 @@ def test_tokens_are_those_of_a_plain_walk(page):
         return out
 
     assert joined([*got, text]) == joined(expected)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=16), max_size=5), st.lists(st.sampled_from("abcd"), max_size=40), st.integers(1, 7))
+def test_runs_are_all_windows(items, text, window):
+    """Hit words, items and places of windows are those of all windows one by one, in texts of few words that repeat."""
+    rows = [(k, " ".join(w).encode()) for k, w in enumerate(items)]
+    found = decontam.Items(rows, window).find([w.encode() for w in text])
+    hit = {i for a, n, _ in found for i in range(a, a + n)}
+    expected, places = set(), set()
+    for k, w in enumerate(items):
+        size = min(window, len(w))
+        for j in range(len(w) - size + 1 if size else 0):
+            for i in range(len(text) - size + 1):
+                if text[i : i + size] == w[j : j + size]:
+                    expected |= set(range(i, i + size))
+                    places.add((2 * i, 2 * (i + size) - 1, k))
+    assert hit == expected
+    assert decontam.spans(" ".join(text).encode(), found, window) == sorted(places)
+
+
+def test_a_long_passage_is_walked_once():
+    import time
+
+    text = " ".join(f"w{i % 5000}" for i in range(60_000)).encode()
+    m = decontam.Items([(1, text), (2, text[: len(text) // 2])], 13)
+    began = time.process_time()
+    found = m.find(text.split())
+    assert (0, 60_000, 1) in found and time.process_time() - began < 5

@@ -1,9 +1,9 @@
 """Benchmark decontamination: one automaton over normalised test items, texts scanned once.
 
 Words are runs of letters, digits and characters beyond ASCII, with A-Z in lower case.
-Each window of ``window`` consecutive words of an item is a pattern; an item with fewer
-words, but not none, is one pattern. A document's word is hit if it lies in any
-occurrence of a pattern. Null and empty texts have no words and are clean. Equal item
+A window is ``window`` consecutive words of an item; an item with fewer
+words, but not none, is one window. A document's word is hit if it lies in any
+occurrence of a window. Null and empty texts have no words and are clean. Equal item
 texts both count; an item without an id hits words but isn't counted or named, as it has
 no name; an empty benchmark leaves all documents clean; repeated documents, and those with
 the same id or none, are judged row by row; extra columns stay.
@@ -12,31 +12,98 @@ the same id or none, are judged row by row; extra columns stay.
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_right
+from collections.abc import Iterable
 from hashlib import sha256
 
+import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.arrow import filter_texts, map_texts, unused, words
-from tidewell.llm.matching import WordAutomaton
 from tidewell.session import scratch, ship
 
-#: Bytes of item text in one automaton, which takes some 200 bytes of memory for each. A benchmark beyond this is scanned for in blocks of items.
-BLOCK_BYTES = 1_000_000
+#: Bytes of item text in one automaton, which takes some 18 bytes of memory for each, so 220 MB. A benchmark beyond this is scanned for in blocks of items.
+BLOCK_BYTES = 12_000_000
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
-def windows(text: bytes | None, window: int) -> list[tuple[bytes, ...]]:
-    w = words(text)
-    if len(w) <= window:
-        return [tuple(w)] if w else []
-    return [tuple(w[i : i + window]) for i in range(len(w) - window + 1)]
+class Items:
+    """One Aho-Corasick automaton that finds all windows of all items.
 
+    Its patterns are the items' blocks: every seventh run of seven words for windows of thirteen, as any thirteen words in a row hold a
+    whole block. Where a block occurs, the words before and after it are compared with the item's, so each occurrence gives the
+    longest run of words that document and item have in common there; from ``window`` words on it is the union of the item's windows.
+    An item of fewer words is one pattern. So the automaton has about one state for each word of an item, not one for each word of each
+    window. A run that several blocks lie in is walked once.
+    """
 
-def spans(text: bytes | None, found: list[tuple[int, int, frozenset]]) -> list[tuple[int, int, object]]:
-    """(first byte, byte after the last, item) of each occurrence in the original text."""
+    def __init__(self, rows: Iterable[tuple[object, bytes | None]], window: int):
+        self.window, self.block = window, (window + 1) // 2
+        self.numbers: dict[bytes, int] = {}
+        #: the items' words by number, each item between marks that no word has
+        self.flat, self.starts, self.ids = array("i", [-1]), [], []
+        groups: dict[tuple[int, ...], int] = {}
+        self.places: list[int | list[int]] = []
+        for item, text in rows:
+            numbered = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words(text)]
+            if not numbered:
+                continue
+            first = len(self.flat)
+            self.starts.append(first)
+            self.ids.append(item)
+            self.flat.extend(numbered)
+            self.flat.append(-1)
+            n = len(numbered) if len(numbered) < window else self.block
+            for at in range(0, len(numbered) - n + 1, n):
+                g = groups.setdefault(tuple(numbered[at : at + n]), len(self.places))
+                if g == len(self.places):
+                    self.places.append(first + at)
+                elif isinstance(self.places[g], int):
+                    self.places[g] = [self.places[g], first + at]
+                else:
+                    self.places[g].append(first + at)
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for key, g in groups.items():
+            self.machine.add_word(key, g)
+        if groups:
+            self.machine.make_automaton()
+
+    def find(self, found: list[bytes]) -> list[tuple[int, int, object]]:
+        """(first word, number of words, item) of each run of a text that an item has, of ``window`` words at least or a whole short item."""
+        get = self.numbers.get
+        text = tuple([get(w, 0) for w in found]) if self.starts else ()
+        if not any(text):
+            return []
+        flat, window, out = self.flat, self.window, []
+        walked: dict[int, int] = {}  # the last word of the run at each alignment of text and items
+        for end, g in self.machine.iter(text):
+            places = self.places[g]
+            for p in (places,) if isinstance(places, int) else places:
+                k = bisect_right(self.starts, p) - 1
+                size = (self.starts[k + 1] if k + 1 < len(self.starts) else len(flat)) - 1 - self.starts[k]
+                if size < window:
+                    out.append((end - size + 1, size, self.ids[k]))
+                    continue
+                a, b = end - self.block + 1, end + 1
+                shift = p - a
+                if walked.get(shift, -1) >= end:
+                    continue
+                while a and flat[a - 1 + shift] == text[a - 1]:
+                    a -= 1
+                while b < len(text) and flat[b + shift] == text[b]:
+                    b += 1
+                walked[shift] = b - 1
+                if b - a >= window:
+                    out.append((a, b - a, self.ids[k]))
+        return out
+
+
+def spans(text: bytes | None, found: list[tuple[int, int, object]], window: int) -> list[tuple[int, int, object]]:
+    """(first byte, byte after the last, item) of each occurrence of a window in the original text."""
     at = [m.span() for m in _WORD.finditer(text or b"")]
-    return sorted({(at[i][0], at[i + n - 1][1], v) for i, n, values in found for v in values if v is not None})
+    return sorted({(at[i][0], at[i + min(n, window) - 1][1], item) for first, n, item in found if item is not None for i in range(first, first + max(1, n - window + 1))})
 
 
 def covered(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -50,15 +117,15 @@ def covered(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_machines: dict[str, WordAutomaton] = {}
+_machines: dict[str, Items] = {}
 
 
-def _machine(items, window: int) -> WordAutomaton:
+def _machine(items, window: int) -> Items:
     """One automaton at a time in each Python process."""
     name, rows = f"{items.value[0]} {window}", items.value[1]
     if name not in _machines:
         _machines.clear()
-        _machines[name] = WordAutomaton((w, i) for i, t in rows for w in windows(t, window))
+        _machines[name] = Items(rows, window)
     return _machines[name]
 
 
@@ -73,8 +140,8 @@ def _scan(items, window: int):
             n_words.append(len(w))
             first.append([a for a, _ in ranges])
             after.append([b for _, b in ranges])
-            ids.append(sorted({str(x) for _, _, v in found for x in v if x is not None}))
-            offsets.append([f"{a}-{b}:{x}" for a, b, x in spans(t, found)] if found else [])
+            ids.append(sorted({str(x) for _, _, x in found if x is not None}))
+            offsets.append([f"{a}-{b}:{x}" for a, b, x in spans(t, found, window)] if found else [])
         return [*keys, n_words, first, after, ids, offsets]
 
     return run
