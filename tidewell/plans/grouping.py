@@ -173,5 +173,5 @@ def by_size():
 
 
 query("w20_three_rankings_on_ties", "select p_partkey, rank() over w as r, dense_rank() over w as d, row_number() over (partition by p_brand order by p_size, p_partkey) as n from part window w as (partition by p_brand order by p_size)")(
-    lambda t: t.part.select("p_partkey", F.rank().over(by_size()).alias("r"), F.dense_rank().over(by_size()).alias("d"), F.row_number().over(Window.partitionBy("p_brand").orderBy("p_size", "p_partkey")).alias("n"))
+    lambda t: wi.ranked(wi.ranked(t.part.select("p_partkey", "p_brand", "p_size"), ["p_brand"], ["p_size"], r="rank", d="dense_rank"), ["p_brand"], ["p_size", "p_partkey"], n="row_number").select("p_partkey", "r", "d", "n")
 )

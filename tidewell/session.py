@@ -28,15 +28,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: this application's own below spark.checkpoint.dir where it is set.
+    """A folder that driver and executors share: this application's own below spark.checkpoint.dir where it is set, or
+    below the folder of checkpoints that the context was given.
 
-    Unset: below a temporary folder for a local master (driver and executors are one
+    Neither: below a temporary folder for a local master (driver and executors are one
     process), else below the warehouse, which a cluster shares. What is left in the folder
     when the application ends, and Spark's own folder of checkpoints, goes with it.
     """
     sc = spark.sparkContext
     if not getattr(sc, "_tidewell_shared", None):
-        top = sc.getConf().get("spark.checkpoint.dir")
+        top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
         if not top:
             local = sc.master.startswith("local[") or sc.master == "local"
             top = "file://" + tempfile.mkdtemp(prefix="spark-tidewell-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tidewell"
