@@ -415,3 +415,45 @@ def test_a_long_passage_is_walked_once():
     began = time.process_time()
     found = m.find(text.split())
     assert (0, 60_000, 1) in found and time.process_time() - began < 5
+
+
+NOTICES = {
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": ("mit", 0.95), "Redistribution and use in source and binary forms, with or without modification, are permitted": ("bsd", 0.95),
+    "Licensed under the GNU GPL v3": ("gpl", 0.5), "Licensed under the GNU LGPL, version 2.1": ("lgpl", 0.6), "GPLv2 or later": ("gpl", 0.5), "AGPL v3": ("agpl", 0.4), "Licensed under the Apache Licence, Version 2.0": ("apache", 0.9),
+    "you can redistribute it and/or modify\n it under the terms of the GNU Lesser General Public License": ("gpl,lgpl", 0.6), "Creative Commons Attribution-ShareAlike 4.0": ("cc-by,cc-by-sa,creative-commons", 0.6),
+    "This is free and unencumbered software released into the public domain.": ("public-domain,unlicense", 1.0), "SPDX-License-Identifier: MIT OR GPL-2.0-only": ("gpl,mit", 0.95), "a gpl, a mit and an apache": ("", 0.5),
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license": ("boost", 0.95),
+}
+
+
+@pytest.mark.parametrize("text", NOTICES)
+def test_notices_of_common_licences(text):
+    assert (",".join(license.judge(text.encode())[3]), license.judge(text.encode())[4]) == NOTICES[text]
+
+
+def brute_judgement(text):
+    """(labels, score) by looking for each phrase at each word, and for tags line by line."""
+    w, spans = low(text), []
+    for phrase, label in {**license.BASE, **license.PHRASES}.items():
+        p = low(phrase)
+        spans += [(j, j + len(p), label) for j in range(len(w) - len(p) + 1) if w[j : j + len(p)] == p]
+    labels = {s[2] for s in spans}
+    scores = [license.PERMISSION[s[2]] for s in spans if not any(o[0] <= s[0] and s[1] <= o[1] and o[:2] != s[:2] for o in spans)]
+    for line in re.split(r"[\r\n]", text or ""):
+        for at in re.finditer("spdx-license-identifier:", line, re.I):
+            value, more = license.evaluate(line[at.end() :].split("\n")[0])
+            if value is not None:
+                labels |= set(more)
+                scores.append(value)
+    return ",".join(sorted(labels)), min(scores, default=0.5)
+
+
+def test_labels_and_scores_are_those_of_brute_force(spark, docs, odd_docs):
+    phrases = [*license.BASE, *license.PHRASES, "SPDX-License-Identifier: MIT OR GPL-3.0", "spdx-license-identifier: (Apache-2.0 AND MIT) WITH x", "\n", "gnu", "license", "public", "creative", "some words"]
+    import random
+
+    r = random.Random(8)
+    made = spark.createDataFrame([(k, " ".join(r.choice(phrases) if r.random() < 0.7 else r.choice(r.choice(phrases).split() or ["x"]) for _ in range(r.randrange(9)))) for k in range(400)], "doc_id long, text string")
+    for df in (docs, odd_docs, made):
+        expected = sorted([(r.doc_id, *brute_judgement(r.text)) for r in df.collect()], key=repr)
+        assert sorted([(r.doc_id, r.labels, r.score) for r in license.contract(df).collect()], key=repr) == expected

@@ -22,18 +22,41 @@ from tidewell.session import ship
 
 #: Fixed by the query's contract.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Further phrases and the label of each.
-PHRASES = {
-    "apache license": "apache", "mit license": "mit", "bsd license": "bsd", "mozilla public license": "mpl",
-    "lesser general public license": "lgpl", "affero general public license": "agpl", "cc by sa": "cc-by-sa",
-    "cc by nc": "cc-by-nc", "cc by nd": "cc-by-nd", "cc0": "cc0", "public domain": "public-domain",
-    "creative commons": "creative-commons", "eclipse public license": "epl", "isc license": "isc",
+#: Further names of licences and the label of each; with "licence" for "license" too.
+NAMES = {
+    "apache license": "apache", "mit license": "mit", "bsd license": "bsd", "mozilla public license": "mpl", "lesser general public license": "lgpl", "library general public license": "lgpl",
+    "affero general public license": "agpl", "eclipse public license": "epl", "isc license": "isc", "boost software license": "boost", "zlib license": "zlib", "artistic license": "artistic", "academic free license": "afl",
+    "open software license": "osl", "european union public license": "eupl", "common development and distribution license": "cddl", "python software foundation license": "psf", "free documentation license": "gfdl",
+    "open database license": "odbl", "open font license": "ofl", "cc by sa": "cc-by-sa", "cc by nc": "cc-by-nc", "cc by nd": "cc-by-nd", "cc0": "cc0", "public domain": "public-domain", "creative commons": "creative-commons",
+    "creative commons zero": "cc0", "creative commons attribution": "cc-by", "creative commons attribution sharealike": "cc-by-sa", "creative commons attribution share alike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc", "creative commons attribution non commercial": "cc-by-nc", "creative commons attribution noderivatives": "cc-by-nd", "creative commons attribution no derivatives": "cc-by-nd",
+    "unlicense": "unlicense", "wtfpl": "wtfpl", "proprietary and confidential": "proprietary",
+}
+#: Fixed: sentences of the licences' own notices.
+NOTICES = {
+    "permission is hereby granted free of charge to any person obtaining a copy": "mit",
+    "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis": "apache",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license": "boost",
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable": "zlib",
+    "everyone is permitted to copy and distribute verbatim copies of this license document": "gpl",
+    "you can redistribute it and or modify it under the terms of the gnu general public license": "gpl",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license": "lgpl",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license": "agpl",
+    "you may not use this work except in compliance with the licence": "eupl",
 }
+#: Short names of one family, alone with GNU before it or with a version; not with a version in two words, as identifier tags have.
+SHORT = {f: n for n in ("gpl", "lgpl", "agpl") for f in (f"gnu {n}", f"{n}v2", f"{n}v3", f"{n} v2", f"{n} v3", f"{n} version 2", f"{n} version 3")}
+PHRASES = NAMES | {p.replace("license", "licence"): v for p, v in NAMES.items()} | NOTICES | SHORT
 #: How freely a text under a label may be used, 0 to 1.
 PERMISSION = {
-    "cc0": 1.0, "public-domain": 1.0, "mit": 0.95, "bsd": 0.95, "isc": 0.95, "apache": 0.9, "cc-by": 0.85, "creative-commons": 0.6, "mpl": 0.7,
-    "epl": 0.65, "lgpl": 0.6, "gpl": 0.5, "cc-by-sa": 0.6, "agpl": 0.4, "cc-by-nc": 0.3, "cc-by-nd": 0.3, "reserved": 0.0,
-}
+    "cc0": 1.0, "public-domain": 1.0, "unlicense": 1.0, "wtfpl": 1.0, "mit": 0.95, "bsd": 0.95, "isc": 0.95, "boost": 0.95, "zlib": 0.95, "apache": 0.9, "psf": 0.9, "cc-by": 0.85, "artistic": 0.8, "afl": 0.8, "ofl": 0.8,
+    "creative-commons": 0.6, "mpl": 0.7, "cddl": 0.65, "epl": 0.65, "lgpl": 0.6, "eupl": 0.55, "osl": 0.5, "gpl": 0.5, "gfdl": 0.5, "odbl": 0.5, "cc-by-sa": 0.6, "agpl": 0.4, "cc-by-nc": 0.3, "cc-by-nd": 0.3,
+    "proprietary": 0.0, "reserved": 0.0,
+}
 UNKNOWN = 0.5
 #: The words that a tag is looked for by. What stands before "SPDX" may belong to its word, such as a byte-order mark.
 TAG = (b"license", b"identifier")
