@@ -1,7 +1,7 @@
 """Quality classifier by positive-unlabelled learning.
 
-Rows labelled 1 are trusted positives, web text with other or no labels is unlabelled.
-A linear model over the shape of a text minimises the non-negative unbiased risk
+Rows labelled 1 are trusted positives. All rows that may be learned from, whatever their labels, positives too, are
+what the unlabelled rows are drawn from: web text as it comes, which has positives in it. A linear model over the shape of a text minimises the non-negative unbiased risk
 (Kiryo and others, 2017): with prior p, positives P, unlabelled U and logistic loss l,
     p * mean_P l(f) + max(0, mean_U l(-f) - p * mean_P l(-f)).
 The prior is estimated from positives and unlabelled rows alone, by the best bin (Garg and
