@@ -29,6 +29,7 @@ query("r6_append_if", f"select p_partkey, array_to_string(case when p_size > 25
 query("r7_array_length", "select doc_id, len(string_split(text, ' ')) as n from documents")(lambda t: t.documents.select("doc_id", F.size(F.split("text", " ")).alias("n")))
 query("r8_array_index", "select doc_id, string_split(text, ' ')[1] as w from documents")(lambda t: t.documents.select("doc_id", fx.token(F.col("text"), " ", 0).alias("w")))
 query("r9_array_index_beyond", "select p_partkey, cast(null as varchar) as w from part")(lambda t: t.part.select("p_partkey", F.get(words(), F.lit(121212)).alias("w")))
+query("r9_array_index_varied", "select p_partkey, string_split(p_name, ' ')[p_size % 7 + 1] as w from part")(lambda t: t.part.select("p_partkey", F.get(words(), F.col("p_size") % 7).alias("w")))
 KEPT = "select p_partkey, string_agg(w, ',' order by w) as a from (select p_partkey, unnest(string_split(p_name, ' ')) as w from part) where w like 's%' or w like 'r%' group by p_partkey"
 
 
@@ -76,6 +77,8 @@ query("m4_property_bags", "select c_custkey, 'map<string,array<int>>' as kind, c
 )
 query("m5_map_lookup", f"select user_id, max(n) filter (event_type = 'click') as v from {COUNTS} group by user_id")(lambda t: members(t).select("user_id", F.element_at("m", "click").alias("v")))
 query("m6_map_lookup_missing", f"select user_id, cast(null as bigint) as v from {COUNTS} group by user_id")(lambda t: members(t).select("user_id", F.element_at("m", "none").alias("v")))
+WANTED = "case user_id % 3 when 0 then 'click' when 1 then 'nothing' else 'error' end"
+query("m6_map_lookup_varied", f"select user_id, max(n) filter (event_type = {WANTED}) as v from {COUNTS} group by user_id")(lambda t: members(t).select("user_id", F.element_at("m", F.expr(WANTED)).alias("v")))
 query("m7_contains_key", f"select user_id from {COUNTS} where event_type = 'error'")(lambda t: members(t).where(F.map_contains_key("m", "error")).select("user_id"))
 query("m8_contains_value", f"select distinct user_id from {COUNTS} where n = 13")(lambda t: members(t).where(F.array_contains(F.map_values("m"), 13)).select("user_id"))
 query("m9_guarded_contains", f"select user_id from {COUNTS} where event_type = 'signup'")(lambda t: members(t).where(F.col("m").isNotNull() & F.map_contains_key("m", "signup")).select("user_id"))
