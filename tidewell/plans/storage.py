@@ -249,7 +249,7 @@ def counted_scan(t):
         {"n_rows": F.count("*"), "n_urgent": F.count_if(wrong), "most": F.max(price)},
     )
     read = [sinks.read_routed(t.spark, path, ["rows", "urgent"], n, k).agg(F.count("*").alias(f"{n}_out")) for n, k in (("rows", "o_orderkey long, o_totalprice double"), ("urgent", "Content string"))]
-    return read[0].join(read[1]).select(F.lit(counts["n_rows"]).alias("n_rows"), F.lit(counts["n_urgent"]).alias("n_urgent"), F.lit(counts["most"]).alias("most"), "rows_out", "urgent_out")
+    return read[0].join(read[1]).select(F.lit(counts["n_rows"]).cast("long").alias("n_rows"), F.lit(counts["n_urgent"]).cast("long").alias("n_urgent"), F.lit(counts["most"]).alias("most"), "rows_out", "urgent_out")
 
 
 query("k10_counters", "select count(*) as n_rows, count(case when o_orderpriority like '1%' then 1 end) as n_urgent, max(o_totalprice) as most, count(case when o_orderpriority not like '1%' then 1 end) as rows_out, count(case when o_orderpriority like '1%' then 1 end) as urgent_out from orders")(counted_scan)
