@@ -15,7 +15,9 @@ import re
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterable
+from functools import reduce
 from hashlib import sha256
+from itertools import batched
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -26,6 +28,8 @@ from tidewell.session import scratch, ship
 
 #: Bytes of item text in one automaton, which takes some 18 bytes of memory for each, so 220 MB. A benchmark beyond this is scanned for in blocks of items.
 BLOCK_BYTES = 12_000_000
+#: Blocks that are sent to the tasks and scanned for at a time.
+HELD = 8
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
@@ -163,11 +167,15 @@ def _blocks(rows: DataFrame, blocks: int):
 
 
 def _row_hits(rows: DataFrame, blocks: int, placed: DataFrame, place: str, text: str, window: int) -> DataFrame:
-    """place, n_words, r, items, offsets of each row of ``placed`` that has hits in some block."""
-    hits = None
-    for shared in _blocks(rows, blocks):
-        found = map_texts(placed, [place], text, _scan(shared, window), "place long, n_words long, first array<int>, after array<int>, items array<string>, offsets array<string>").where(F.size("first") > 0)
-        hits = found if hits is None else hits.unionByName(found)
+    """place, n_words, r, items, offsets of each row of ``placed`` that has hits in some block; a few blocks are held at a time."""
+    path = scratch(placed.sparkSession, "decontam-hits")
+    for b, held in enumerate(batched(_blocks(rows, blocks), HELD)):
+        schema = "place long, n_words long, first array<int>, after array<int>, items array<string>, offsets array<string>"
+        found = [map_texts(placed, [place], text, _scan(shared, window), schema).where(F.size("first") > 0) for shared in held]
+        reduce(DataFrame.union, found).write.parquet(f"{path}/{b}")
+        for shared in held:
+            shared.destroy()
+    hits = placed.sparkSession.read.parquet(f"{path}/*")
     ranges = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("first", "after"))))
     return hits.groupBy("place").agg(F.max("n_words").alias("n_words"), ranges.alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("offsets")))).alias("offsets"))
 
