@@ -170,7 +170,7 @@ def read_set(spark: SparkSession, folder: str, template: str, expansions: dict[s
     there = [m for m in wanted if m.rpartition("/")[2] in listed[m.rpartition("/")[0]]]
     if not there or len(there) < len(wanted) and not sparse:
         missing = sorted(set(wanted) - set(there))
-        raise FileNotFoundError(f"members of {folder}/{template} are missing: {missing[:3]}{' ...' if len(missing) > 3 else ''}")
+        raise FileNotFoundError(f"[PATH_NOT_FOUND] members of {folder}/{template} are missing: {missing[:3]}{' ...' if len(missing) > 3 else ''}")
     # Spark lists members in tasks, one each unless told otherwise
     tasks = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
     before = spark.conf.get(tasks)
