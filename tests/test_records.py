@@ -1,6 +1,7 @@
 """A user's records as a source and sink: splits, requested columns, pushed filters, commits."""
 
 import datetime as dt
+import json
 import math
 import os
 import sys
@@ -14,6 +15,8 @@ from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.plans import storage
+from tidewell.plans.registry import Tables
 from tidewell.plans.storage import Tabbed, WithVersions
 from tidewell.sources import records as rec
 
@@ -192,3 +195,25 @@ def test_formats_of_users(spark, tmp_path):
     rec.write(v, f"file://{tmp_path}/v", versions, versions="v")
     got = rec.read(spark, f"file://{tmp_path}/v", versions, versions="v")
     assert got.agg(F.max("v")).first()[0] == [1, 10, 2] and got.count() == 3
+
+
+@pytest.mark.parametrize("size, least, most", [(1_000_000, 8, 40), (1_600_000_000, 190, 220), (10_000_000_000, 190, 220)])
+def test_splits_follow_the_size_of_the_files(spark, tmp_path, size, least, most):
+    class Stored(rec.Format):
+        pass
+
+    files = [{"name": f"part-{i}.rec", "size": size // 8, "rows": 1} for i in range(8)]
+    schema = T.StructType([T.StructField("n", T.LongType())])
+    (tmp_path / rec.MANIFEST).write_text(json.dumps({"schema": schema.jsonValue(), "files": files}))
+    reader = rec.source(Stored, "stored")({"path": str(tmp_path)}).reader(schema)
+    parts = reader.partitions()
+    assert least <= len(parts) <= most
+    assert sum(p.end - p.start for p in parts) == size and max(p.end - p.start for p in parts) <= rec.SPLIT_BYTES
+
+
+def test_queries_leave_the_splits_to_the_files(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(storage.rec, "write", lambda *a, **options: None)
+    monkeypatch.setattr(storage.rec, "read", lambda *a, **options: given.append(options))
+    storage.record_trip(Tables(spark, ""), None, rec.Format)
+    assert given == [{}]

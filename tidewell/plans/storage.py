@@ -132,15 +132,11 @@ class WithVersions(rec.Format):
         return super().codec(field)
 
 
-#: Bytes of a split in queries, small so that small tables have several.
-SPLIT = "65536"
-
-
 def record_trip(t, df, fmt: type[rec.Format], columns: list[str] | None = None, **arguments: str):
     """Rows written in a user's format and read back by several splits."""
     path, name = place(t, "records"), rec.register(t.spark, fmt, f"tidewell_{fmt.__name__.lower()}")
     rec.write(df, path, name, block_bytes="16384", **arguments)
-    return rec.read(t.spark, path, name, columns, split_bytes=SPLIT, **arguments)
+    return rec.read(t.spark, path, name, columns, **arguments)
 
 
 query("s17_user_source", "select l_partkey, l_returnflag from lineitem where l_quantity > 49 and l_returnflag in ('A', 'R')")(

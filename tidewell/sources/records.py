@@ -36,6 +36,10 @@ from tidewell.session import ship
 
 MANIFEST = "_manifest.json"
 SPLIT_BYTES, BLOCK_BYTES = 64 << 20, 1 << 20
+#: Splits of small files, if their size isn't given: about so many, but none of fewer bytes, as each is a task.
+SPLITS, LEAST_SPLIT = 192, 64 << 10
+#: Rows of a batch that are packed at a time.
+SLICE = 1024
 _HEAD, _LENGTH, _NONE = struct.Struct("<III"), struct.Struct("<I"), 0xFFFFFFFF
 _EPOCH = dt.datetime(1970, 1, 1)
 
@@ -123,17 +127,17 @@ def join_fields(fields: list[bytes | None]) -> bytes:
     return b"".join(out)
 
 
-def split_fields(raw: bytes) -> list[memoryview | None]:
-    view, at, out = memoryview(raw), 0, []
-    while at < len(view):
-        n = _LENGTH.unpack_from(view, at)[0]
+def split_fields(raw: bytes) -> list[bytes | None]:
+    at, size, out, length = 0, len(raw), [], _LENGTH.unpack_from
+    while at < size:
+        n = length(raw, at)[0]
         at += 4
         if n == _NONE:
             out.append(None)
         else:
-            if at + n > len(view):
+            if at + n > size:
                 raise ValueError("a field goes beyond its record")
-            out.append(view[at : at + n])
+            out.append(raw[at : at + n])
             at += n
     return out
 
@@ -207,10 +211,10 @@ def records_of(file: pa.NativeFile, start: int, end: int, chunk: int = 1 << 20)
         payload = file.read(length)
         if len(payload) < length or zlib.crc32(payload) != crc:
             raise ValueError(f"a damaged block at byte {at}")
-        view, place = memoryview(payload), 0
+        place, size_of = 0, _LENGTH.unpack_from
         for _ in range(n):
-            m = _LENGTH.unpack_from(view, place)[0]
-            yield bytes(view[place + 4 : place + 4 + m])
+            m = size_of(payload, place)[0]
+            yield payload[place + 4 : place + 4 + m]
             place += 4 + m
         at += len(head) + length
 
@@ -281,7 +285,7 @@ class _Range(ds.InputPartition):
 class Reader(ds.DataSourceReader):
     """Reads the requested columns (those of the schema that the user gives) of the rows that pass the pushed filters."""
 
-    def __init__(self, path: str, fmt: Format, schema: T.StructType, split_bytes: int):
+    def __init__(self, path: str, fmt: Format, schema: T.StructType, split_bytes: int | None):
         self.path, self.format, self.schema, self.split_bytes = path, fmt, schema, split_bytes
         self.tests: list[tuple[str, Callable]] = []
         files, folder = _opened(path)
@@ -302,9 +306,10 @@ class Reader(ds.DataSourceReader):
                 self.tests.append(test)
 
     def partitions(self):
-        out = []
-        for x in self.manifest["files"]:
-            out += [_Range(x["name"], a, min(a + self.split_bytes, x["size"])) for a in range(0, x["size"], self.split_bytes)]
+        out, files = [], self.manifest["files"]
+        size = self.split_bytes or min(SPLIT_BYTES, max(LEAST_SPLIT, sum(x["size"] for x in files) // SPLITS))
+        for x in files:
+            out += [_Range(x["name"], a, min(a + size, x["size"])) for a in range(0, x["size"], size)]
         return out or [_Range("", 0, 0)]
 
     def rows(self, part: _Range) -> Iterator[tuple]:
@@ -333,6 +338,10 @@ class Reader(ds.DataSourceReader):
         return gathered(self.rows(part), arrow_schema(self.schema))
 
 
+def _packed(pack: Callable[[Any], bytes], values: list) -> list[bytes | None]:
+    return [None if v is None else pack(v) for v in values]
+
+
 class Written(ds.WriterCommitMessage):
     def __init__(self, name: str, size: int, rows: int):
         self.name, self.size, self.rows = name, size, rows
@@ -357,9 +366,12 @@ class Writer(ds.DataSourceArrowWriter):
         codecs, mark, rows = [self.format.codec(f) for f in self.schema], os.urandom(16), 0
 
         def records():
+            join = self.format.join
             for b in iterator:
-                for row in zip(*[c.to_pylist() for c in b.columns]):
-                    yield self.format.join([None if v is None else c.pack(v) for v, c in zip(row, codecs)])
+                # a column after the other, in slices, so that few rows are held as objects
+                for first in range(0, len(b), SLICE):
+                    packed = [_packed(c.pack, column.slice(first, SLICE).to_pylist()) for c, column in zip(codecs, b.columns)]
+                    yield from map(join, map(list, zip(*packed)))
 
         try:
             with files.open_output_stream(f"{folder}/{name}") as f:
@@ -423,7 +435,7 @@ def source(fmt: type[Format], name: str) -> type[ds.DataSource]:
             return T.StructType.fromJson(found["schema"])
 
         def reader(self, schema):
-            return Reader(self.options["path"], self._format(), schema, int(self.options.get("split_bytes", SPLIT_BYTES)))
+            return Reader(self.options["path"], self._format(), schema, int(self.options.get("split_bytes", 0)) or None)
 
         def writer(self, schema, overwrite):
             return Writer(self.options["path"], self._format(), schema, overwrite, int(self.options.get("block_bytes", BLOCK_BYTES)))
