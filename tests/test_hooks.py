@@ -93,6 +93,41 @@ def test_arrays(spark):
         hooks.aggregate(df.union(spark.createDataFrame([("a", [1])], df.schema)), ["k"], ["v"], ElementSums(), "s array<long>").collect()
 
 
+class Counted(hooks.Aggregate):
+    """How many rows came one by one and how many in arrays, and how often the state was packed."""
+
+    def start(self):
+        return [0, 0, 0]
+
+    def add(self, state, x):
+        return [state[0] + 1, *state[1:]]
+
+    def add_batch(self, state, x):
+        return [state[0], state[1] + len(x), state[2]]
+
+    def merge(self, a, b):
+        return [x + y for x, y in zip(a, b)]
+
+    def dump(self, state):
+        return super().dump([*state[:2], state[2] + 1])
+
+    def finish(self, state):
+        return tuple(state)
+
+
+class InArrays(Counted):
+    def add_batch(self, state, x):
+        return super().add_batch(state, x)
+
+
+def test_small_groups_take_no_arrays_and_lone_states_are_passed_on(spark):
+    df = spark.range(0, 2000, 1, 2).select(F.when(F.col("id") < 1000, -1).otherwise(F.col("id")).alias("k"), F.lit(1).alias("x"))
+    got = rows(hooks.aggregate(df, ["k"], ["x"], Counted(), "one long, many long, packed long"))
+    assert got == [(-1, 0, 1000, 1), *[(k, 1, 0, 1) for k in range(1000, 2000)]]
+    # the way of the class above isn't taken beside another one
+    assert rows(hooks.aggregate(df, ["k"], ["x"], InArrays(), "one long, many long, packed long"))[1:] == [(k, 0, 1, 1) for k in range(1000, 2000)]
+
+
 class Failing(Total):
     def merge(self, a, b):
         if a is not None and b is not None:

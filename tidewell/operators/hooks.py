@@ -10,6 +10,7 @@ from __future__ import annotations
 import pickle
 from collections import namedtuple
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice, repeat
 from typing import Any
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.operators.runs import arrow_schema, gathered, groups, key_columns, key_fields, key_names, sorted_by_key, struct_of, tuples
+from tidewell.operators.runs import arrow_schema, gathered, groups, key_columns, key_fields, key_names, same, sorted_by_key, starts_of, struct_of, tuples
 from tidewell.session import ship
 
 # aggregates
@@ -40,7 +41,10 @@ class Aggregate:
         raise NotImplementedError
 
     def add_batch(self, state: Any, *columns: pa.Array) -> Any:
-        """Values of many rows of one group; of use where columns can be handled as a whole."""
+        """Values of many rows of one group; of use where columns can be handled as a whole.
+
+        With ``add`` in the same class, a group's few rows of a batch are added one by one, as small arrays take longer than their values.
+        """
         for values in zip(*[c.to_pylist() for c in columns]):
             state = self.add(state, *values)
         return state
@@ -62,23 +66,33 @@ class Aggregate:
 _NAN = float("nan")
 
 
-def _by_key(b: pa.RecordBatch, n: int) -> Iterator[tuple[tuple, list[pa.Array]]]:
-    """(key, columns after the keys) of each key of a batch."""
+#: Rows of a group in a batch that are added one by one, if a user's class has both ways.
+_FEW = 16
+
+
+def _keys(b: pa.RecordBatch, n: int, at: np.ndarray) -> Iterator[tuple]:
+    """The values of the first n columns in some rows; what isn't a number is one object."""
+    taken = [b.column(i).take(pa.array(at)) for i in range(n)]
+    lists = [[_NAN if x != x else x for x in c.to_pylist()] if pa.types.is_floating(c.type) else c.to_pylist() for c in taken]
+    return zip(*lists)
+
+
+def _by_key(b: pa.RecordBatch, n: int) -> tuple[pa.RecordBatch, np.ndarray]:
+    """A batch with the rows of each key side by side, and where they begin, with the batch's end."""
     code = np.zeros(len(b), np.int64)
     for i in range(n):
         d = b.column(i).dictionary_encode(null_encoding="encode")
         # numbered again, so that numbers stay small
         code = np.unique(code * max(len(d.dictionary), 1) + d.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
     order = np.argsort(code, kind="stable")
-    code = code[order]
-    b = b.take(pa.array(order))
-    starts = [*np.flatnonzero(np.diff(code, prepend=-1)).tolist(), len(b)]
-    for first, last in zip(starts, starts[1:]):
-        key = tuple(b.column(i)[first].as_py() for i in range(n))
-        yield tuple(_NAN if x != x else x for x in key), [c.slice(first, last - first) for c in b.columns[n:]]
+    return b.take(pa.array(order)), np.append(np.flatnonzero(np.diff(code[order], prepend=-1)), len(b))
 
 
 def _partial(agg: Aggregate, n: int, most: int, schema: pa.Schema):
+    single, whole = (next(c for c in type(agg).__mro__ if name in vars(c)) for name in ("add", "add_batch"))
+    # both ways are the same only where one class says both; None: always one by one
+    few = None if whole is Aggregate else _FEW if single is whole else 0
+
     def run(batches):
         states: dict[tuple, Any] = {}
 
@@ -89,8 +103,21 @@ def _partial(agg: Aggregate, n: int, most: int, schema: pa.Schema):
 
         for b in batches:
             if len(b):
-                for key, columns in _by_key(b, n):
-                    states[key] = agg.add_batch(states[key] if key in states else agg.start(), *columns)
+                b, at = _by_key(b, n)
+                columns = b.columns[n:]
+                size = np.diff(at)
+                # values of rows that are added one by one, as objects
+                alone = np.ones(len(size), bool) if few is None else size <= few
+                rows = np.repeat(alone, size)
+                values = zip(*[c.filter(pa.array(rows)).to_pylist() for c in columns]) if columns else repeat(())
+                for key, first, length, one in zip(_keys(b, n, at[:-1]), at.tolist(), size.tolist(), alone.tolist()):
+                    state = states[key] if key in states else agg.start()
+                    if one:
+                        for row in islice(values, length):
+                            state = agg.add(state, *row)
+                    else:
+                        state = agg.add_batch(state, *[c.slice(first, length) for c in columns])
+                    states[key] = state
                 if len(states) > most:
                     yield from flush()
         yield from flush()
@@ -99,15 +126,40 @@ def _partial(agg: Aggregate, n: int, most: int, schema: pa.Schema):
 
 
 def _merging(agg: Aggregate, n: int, drop: int, finish: bool, schema: pa.Schema):
-    """One state of each key of n columns, whose last ``drop`` go, or its result."""
+    """One state of each key of n columns, whose last ``drop`` go, or its result. A state that is alone isn't opened for the former."""
+
+    def ended(key, state):
+        return (*key[: n - drop], *(agg.finish(state) if finish else (agg.dump(state),)))
+
+    def merged(batches):
+        """(key, its one state, still packed) or (key, merged states, None) of each key; no more than a batch is held."""
+        last, held, state = None, None, None  # the key that may go on, its first state as it came, its merged states
+        for b in batches:
+            if not len(b):
+                continue
+            at = starts_of(b, n)
+            states, ends = b.column(n).to_pylist(), [*at[1:].tolist(), len(b)]
+            for key, first, stop in zip(_keys(b, n, at), at.tolist(), ends):
+                if last is None or key != last and not same(key, last):
+                    if last is not None:
+                        yield last, held, state
+                    last, held, state = key, states[first], None
+                    first += 1
+                for raw in states[first:stop]:
+                    if held is not None:
+                        state, held = agg.load(held), None
+                    state = agg.merge(state, agg.load(raw))
+        if last is not None:
+            yield last, held, state
 
     def rows(batches):
-        for key, parts in groups(batches, n):
-            state, first = None, True
-            for _, part in parts:
-                for raw in part.column(n).to_pylist():
-                    state, first = (agg.load(raw), False) if first else (agg.merge(state, agg.load(raw)), False)
-            yield (*key[: n - drop], *(agg.finish(state) if finish else (agg.dump(state),)))
+        for key, held, state in merged(batches):
+            if held is None:
+                yield ended(key, state)
+            elif finish:
+                yield (*key[: n - drop], *agg.finish(agg.load(held)))
+            else:
+                yield (*key[: n - drop], held)
 
     return lambda batches: gathered(rows(batches), schema)
 

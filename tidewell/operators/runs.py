@@ -63,15 +63,21 @@ def _changes(column: pa.Array) -> np.ndarray:
     return changed
 
 
+def starts_of(b: pa.RecordBatch, n: int) -> np.ndarray:
+    """Where each run of equal values in the first ``n`` columns of a batch with rows begins."""
+    changed = np.ones(len(b), bool)
+    changed[1:] = False
+    for i in range(n):
+        changed[1:] |= _changes(b.column(i))
+    return np.flatnonzero(changed)
+
+
 def runs(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
     """(key, rows) of each run of equal values in the first ``n`` columns of a batch."""
     for b in batches:
         if not len(b):
             continue
-        changed = np.zeros(len(b) - 1, bool)
-        for i in range(n):
-            changed |= _changes(b.column(i))
-        starts = [0, *(np.flatnonzero(changed) + 1).tolist(), len(b)]
+        starts = [*starts_of(b, n).tolist(), len(b)]
         for first, last in zip(starts, starts[1:]):
             yield tuple(b.column(i)[first].as_py() for i in range(n)), b.slice(first, last - first)
 
@@ -108,9 +114,9 @@ def tuples(part: pa.RecordBatch, skip: int = 0) -> Iterator[tuple]:
 def gathered(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Batches of a hook's rows; a row of another width is an error."""
     for some in batched(rows, _ROWS):
-        for r in some:
-            if len(r) != len(schema):
-                raise ValueError(f"a row of {len(r)} values for {len(schema)} columns: {r!r}"[:500])
+        if {*map(len, some)} != {len(schema)}:
+            r = next(r for r in some if len(r) != len(schema))
+            raise ValueError(f"a row of {len(r)} values for {len(schema)} columns: {r!r}"[:500])
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
 
 

@@ -48,6 +48,9 @@ class Total(hooks.Aggregate):
     def start(self):
         return None
 
+    def add(self, state, x):
+        return self.merge(state, x)
+
     def add_batch(self, state, x):
         return self.merge(state, pc.sum(x).as_py())
 
@@ -103,6 +106,11 @@ class ElementSums(hooks.Aggregate):
 class ArrayTotal(Total):
     """The sum of all elements of arrays."""
 
+    def add(self, state, array):
+        for x in array or ():
+            state = self.merge(state, x)
+        return state
+
     def add_batch(self, state, arrays):
         return super().add_batch(state, arrays.flatten())
 
