@@ -244,3 +244,18 @@ def test_a_failed_write_leaves_no_member(spark, place):
     with pytest.raises(Exception, match="broken"):
         put(df)
     assert names(spark, place) == {"x-5.parquet", "x-6.parquet"} and os.listdir(os.path.dirname(local(place))) == ["here"]
+
+
+def test_rows_of_a_copy_have_the_numbers_of_their_files(spark, place):
+    base, copy = f"{place}/base", f"{place}/copy"
+    base_of(spark, base, a=(0, 50), b=(50, 200), c=(200, 250))
+    copies.create(spark, f"{base}/*", copy, "k", ["k", "v"], 4)
+    g = [n for n in names(spark, copy) if n.startswith("g-")]
+    stored = spark.read.parquet(f"{copy}/{g[0]}")
+    # a name beside each row was most of a copy's work
+    assert stored.schema["_base_file"].dataType.simpleString() == "int" and stored.select("_base_file").distinct().count() == 6
+    # a file that goes and comes again has its rows once
+    os.rename(local(f"{base}/a"), local(f"{place}/away"))
+    assert copies.refresh(spark, copy)["removed"] == 2 and same_rows(spark, base, copy) == 200
+    os.rename(local(f"{place}/away"), local(f"{base}/a"))
+    assert copies.refresh(spark, copy)["added"] == 2 and same_rows(spark, base, copy) == 250

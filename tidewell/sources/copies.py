@@ -1,9 +1,9 @@
 """A second copy of a table, bucketed by another key, that follows its base.
 
 The base is a folder of Parquet files that come and go. The copy is a list of generations, each a set of bucketed
-files; every row has the file that it came from. A refresh compares the base's files with those that the copy knows, writes
+files; every row has the number of the file that it came from. A refresh compares the base's files with those that the copy knows, writes
 the rows of new files as one more generation, and lists files that are gone, whose rows readers leave out; nothing that stands is
-touched. A manifest names generations and gone files; a new one is put in place by one rename, and readers
+touched. A manifest names generations, files with their numbers, and the numbers of gone files; no number is used twice. A new one is put in place by one rename, and readers
 take the one of the highest number. When generations or gone files are many, the refresh writes one generation of what is left, bucket by
 bucket, without an exchange. One refresh runs at a time; what a failed one has left goes with the next.
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,16 +30,22 @@ _FILE = "_base_file"
 def _base_files(spark: SparkSession, base: str) -> DataFrame:
     """file, path of each of the base's files; a file that is written anew under an old name is another file."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(base)
-    return found.select(_named(F.col("path"), F.col("length"), F.col("modificationTime")).alias("file"), "path")
+    return found.select(F.concat_ws("|", *_identity(F.col("path"), F.col("length"), F.col("modificationTime"))).alias("file"), "path")
 
 
-def _named(path, size, time):
-    return F.concat_ws("|", F.regexp_extract(path, "([^/]*)$", 1), size.cast("string"), F.unix_millis(time).cast("string"))
+def _identity(path, size, time) -> list[Column]:
+    return [F.substring_index(path, "/", -1), size, F.unix_millis(time)]
 
 
-def _rows(df: DataFrame, columns: list[str]) -> DataFrame:
+def _rows(df: DataFrame, columns: list[str], numbers: dict[str, int]) -> DataFrame:
+    """The rows of these files with their numbers; a file that was written anew since the listing isn't one of them."""
+    listed = [(name, int(size), int(time), n) for f, n in numbers.items() for name, size, time in [f.rsplit("|", 2)]]
+    files = df.sparkSession.createDataFrame(listed, "f0 string, f1 long, f2 long, n int")
     m = F.col("_metadata")
-    return df.select(*columns, _named(m["file_path"], m["file_size"], m["file_modification_time"]).alias(_FILE))
+    here = _identity(m["file_path"], m["file_size"], m["file_modification_time"])
+    rows = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], *[x.alias(f"h{i}") for i, x in enumerate(here)])
+    rows = rows.join(F.broadcast(files), [F.col(f"h{i}") == F.col(f"f{i}") for i in range(3)])
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], F.col("n").alias(_FILE))
 
 
 def _manifests(spark: SparkSession, path: str) -> list[str]:
@@ -69,8 +75,8 @@ def create(spark: SparkSession, base: str, path: str, key: str, columns: list[st
     if _manifests(spark, path):
         raise FileExistsError(f"there is a copy at {path}")
     df = spark.read.parquet(base)
-    schema = T.StructType([*[df.schema[c] for c in columns], T.StructField(_FILE, T.StringType())])
-    return _advance(spark, path, {"base": base, "key": key, "columns": columns, "buckets": buckets, "schema": schema.jsonValue(), "generations": [], "files": [], "gone": []}, MOST_GENERATIONS)
+    schema = T.StructType([*[df.schema[c] for c in columns], T.StructField(_FILE, T.IntegerType())])
+    return _advance(spark, path, {"base": base, "key": key, "columns": columns, "buckets": buckets, "schema": schema.jsonValue(), "generations": [], "files": {}, "next": 0, "gone": []}, MOST_GENERATIONS)
 
 
 def _all_rows(spark: SparkSession, path: str, m: dict) -> DataFrame:
@@ -81,7 +87,7 @@ def _all_rows(spark: SparkSession, path: str, m: dict) -> DataFrame:
         out = df if out is None else out.union(df)
     if m["gone"]:
         # a list that a refresh keeps short against the copy; the join leaves rows in their buckets
-        gone = spark.createDataFrame([(x,) for x in m["gone"]], f"{_FILE} string")
+        gone = spark.createDataFrame([(x,) for x in m["gone"]], f"{_FILE} int")
         out = out.join(F.broadcast(gone), _FILE, "left_anti")
     return out
 
@@ -109,12 +115,12 @@ def _advance(spark: SparkSession, path: str, m: dict, most_generations: int) ->
     added, removed = sorted(set(now) - known), sorted(known - set(now))
     if not added and not removed and m["generations"]:
         return {"added": 0, "removed": 0, "merged": 0}
-    m = m | {"files": sorted(now), "gone": sorted({*m["gone"], *removed} - set(now))}
+    # a file that was gone and comes again has a new number, so its old rows stay away
+    numbers = {f: m["next"] + i for i, f in enumerate(added)}
+    gone = sorted([*m["gone"], *[m["files"][f] for f in removed]])
+    m = m | {"files": {f: n for f, n in m["files"].items() if f in now} | numbers, "next": m["next"] + len(added), "gone": gone}
     if added:
-        # a file that was written anew since the listing is left to the next refresh
-        listed = spark.createDataFrame([(x,) for x in added], f"{_FILE} string")
-        rows = _rows(spark.read.parquet(*[now[x] for x in added]), m["columns"])
-        m = _written(rows.join(F.broadcast(listed), _FILE, "left_semi").select(rows.columns), path, m)
+        m = _written(_rows(spark.read.parquet(*[now[f] for f in added]), m["columns"], numbers), path, m)
     merged = len(m["generations"]) > most_generations or len(m["gone"]) > MOST_GONE * (len(now) + len(m["gone"]))
     if merged and m["generations"]:
         m = _written(_all_rows(spark, path, m).select(*T.StructType.fromJson(m["schema"]).names), path, m)
