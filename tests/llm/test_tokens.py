@@ -298,3 +298,22 @@ def test_one_long_text_is_read_in_proportion(spark, tmp_path):
     took(2000)
     once = took(100_000)
     assert took(800_000) < 8 * once + 4
+
+
+def test_words_stay_known_as_more_are_learned(monkeypatch):
+    enc = bpe.Encoder(bpe.vocabulary_path("word_bpe_49k.json"))
+    learned = []
+    learn = enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda words, marks: learned.append(len(words)) or learn(words, marks))
+    # more words than the cache held once, of letters only
+    letters = "abcdefghij"
+    word = lambda n: "".join(letters[int(d)] for d in str(n))
+    texts = [" ".join(map(word, range(i, i + 60_000))).encode() for i in range(0, 660_000, 60_000)]
+    first = enc.encode([texts[0]])
+    for t in texts[1:]:
+        enc.encode([t])
+    assert sum(learned) == 660_000
+    again = enc.encode([texts[0]])
+    assert sum(learned) == 660_000 and all((x == y).all() for x, y in zip(first, again))
+    some = texts[-1][-3000:].decode().split(" ", 1)[1]
+    assert enc.encode([some.encode()])[0].tolist() == enc.library(some)

@@ -15,13 +15,14 @@ import gc
 import json
 import os
 import re
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 
 #: Words that the cache may hold before it starts anew; more than SLICE bytes can have.
-CACHE = 500_000
+#: New words come about as fast as they do in all texts read so far, so a small cache learns the same ones again and again.
+CACHE = 1_500_000
 #: Pieces without letters, and words that only the library can cut, that are remembered.
 PIECES = 50_000
 #: Bytes that are cut into words at a time.
@@ -75,7 +76,8 @@ class Encoder:
         self._restart()
 
     def _restart(self) -> None:
-        self.slot: dict[int, int] = {}
+        #: the hashes of the cached words in order and the slot of each, apart for the latest ones; and how many words there are
+        self.known, self.words = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2, 0
         self.flat, self.end = np.zeros(1 << 20, np.uint32), 0
         self.at, self.size = np.zeros(CACHE + 1, np.int64), np.zeros(CACHE + 1, np.int32)
         #: the bytes of the cached words, and what stands before each
@@ -163,16 +165,16 @@ class Encoder:
         doc = np.searchsorted(np.cumsum(sizes), starts, side="right")
         length = ends - starts
         code, unique = pd.factorize(_hashes(a, starts, length, mark))
-        slots = np.fromiter(map(self.slot.get, unique.tolist(), repeat(-1)), np.int64, len(unique))
+        slots = self._slots(unique)
         new = np.flatnonzero(slots < 0)
-        if len(self.slot) + len(new) > CACHE:
+        if self.words + len(new) > CACHE:
             self._restart()
             new = np.arange(len(unique))
         if len(new):
             where = np.empty(len(unique), np.int64)
             where[code[::-1]] = np.arange(len(code) - 1, -1, -1)
             where = where[new]
-            slots[new] = self._remember(raw, starts[where], ends[where], mark[where], unique[new].tolist())
+            slots[new] = self._remember(raw, starts[where], ends[where], mark[where], unique[new])
         slot = slots[code]
         n, at = self.size[slot].astype(np.int64), self.at[slot]
         other = self._unlike(a, slot, starts, length, mark)
@@ -184,6 +186,17 @@ class Encoder:
             ids = np.concatenate([self.flat[: self.end], more])[_spread(at, n)]
         return ids, np.bincount(doc, weights=n, minlength=len(texts)).astype(np.int64)
 
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """The slots of words by their hashes, or -1."""
+        slots, order = np.full(len(keys), -1), np.argsort(keys)
+        keys = keys[order]  # the cache is walked in order
+        for known, slot in self.known:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                found = known[at] == keys
+                slots[order[found]] = slot[at[found]]
+        return slots
+
     def _unlike(self, a: np.ndarray, slot: np.ndarray, starts: np.ndarray, length: np.ndarray, mark: np.ndarray) -> np.ndarray:
         """The words that aren't those of their slots, though their hashes are."""
         same = (self.length[slot] == length) & (self.mark[slot] == mark)
@@ -196,13 +209,16 @@ class Encoder:
             rest = rest[length[rest] > k]
         return np.flatnonzero(~same)
 
-    def _remember(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, mark: np.ndarray, keys: list[int]) -> np.ndarray:
+    def _remember(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, mark: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Slots of new words."""
         words = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
         ids, n = self._learn(words, mark)
-        first = len(self.slot)
-        self.slot.update(zip(keys, range(first, first + len(keys))))
-        at = slice(first, first + len(keys))
+        at = slice(self.words, self.words + len(keys))
+        old, late = self.known
+        order = np.argsort(keys)
+        late = _inserted(late, keys[order], at.start + order)
+        self.known = [_inserted(old, *late), (late[0][:0], late[1][:0])] if 8 * len(late[0]) > len(old[0]) else [old, late]
+        self.words = at.stop
         self.size[at], self.at[at] = n, self.end + np.cumsum(n) - n
         self.flat, self.end = _extended(self.flat, self.end, ids)
         length = ends - starts
@@ -278,6 +294,12 @@ def _hashes(a: np.ndarray, starts: np.ndarray, length: np.ndarray, mark: np.ndar
     return h
 
 
+def _inserted(held: tuple[np.ndarray, np.ndarray], keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ordered keys and their values with more of them."""
+    place = np.searchsorted(held[0], keys)
+    return np.insert(held[0], place, keys), np.insert(held[1], place, values)
+
+
 def _extended(held: np.ndarray, end: int, more: np.ndarray) -> tuple[np.ndarray, int]:
     """An array that holds ``more`` from ``end`` on, and the new end."""
     if end + len(more) > len(held):

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from hashlib import blake2b
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -133,7 +134,7 @@ def _encode(path: str, end: int):
                     mine.append({"digest": name, "width": width, "payload": bytes(payload)})
                 at = first + e
             crcs.append(zlib.crc32(raw[4 * first : 4 * stop]))
-            counted = np.diff(ends, prepend=0).tolist()
+            counted = list(map(sub, ends, [0, *ends]))
             roots.append(merkle(list(map(leaf, names, counted))))
             digests.append(names)
             sizes.append(counted)
