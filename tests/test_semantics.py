@@ -292,3 +292,21 @@ def test_all_pairs_need_a_small_side(spark, monkeypatch):
     assert rs.combine(a, b, None).count() == rs.combine(b, a, None).count() == 36
     with pytest.raises(ValueError, match="all pairs"):
         rs.combine(a, a.withColumnRenamed("x", "z"), None)
+
+
+@pytest.mark.parametrize("most", [0, 1, 100])
+def test_items_are_counted_in_rows_and_over_rows_of_a_key(spark, most):
+    from collections import Counter
+
+    data = [(1, "a b a"), (2, ""), (3, None), (4, "x  x "), (5, "b a"), (5, "a"), (5, None), (None, "a a"), (None, "a c"), (6, "é e é")]
+    expected = Counter((k, w) for k, text in data if text is not None for w in text.split(" "))
+    df = spark.createDataFrame(data, "k long, t string").repartition(3)
+    got = ag.item_counts(df, "k", F.split("t", " "), "word", "times", most)
+    assert got.columns == ["k", "word", "times"] and got.schema["times"].dataType.simpleString() == "bigint"
+    assert {(r.k, r.word): r.times for r in got.collect()} == expected and got.count() == len(expected)
+
+
+def test_items_of_lone_keys_are_not_shuffled(spark):
+    df = spark.range(50).select("id", F.lit("a b a").alias("t"))
+    got = ag.item_counts(df, "id", F.split("t", " "), "w", "n")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString() and got.count() == 100

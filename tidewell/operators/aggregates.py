@@ -70,3 +70,32 @@ def sum_all(df: DataFrame) -> DataFrame:
 def share_unlike(c: Column, value: str) -> Column:
     """Percentage of a group's rows with another value."""
     return 100 * F.avg((c != value).cast("double"))
+
+
+#: Repeated keys that are told to all tasks; with more of them all items are grouped.
+MOST_REPEATED = 100_000
+
+
+def item_counts(df: DataFrame, key: str, items: Column, item: str, count: str, most_repeated: int = MOST_REPEATED) -> DataFrame:
+    """``key``, each of its items and how often it has it; rows whose array is null or empty have none. Items aren't null.
+
+    Items of a row are counted in the row, where they are sorted, and only those of keys that stand in several rows go
+    through a shuffle. Which keys do is found by a pass over the keys alone.
+    """
+    rows = df.select(F.col(f"`{key}`").alias("k"), items.alias("a"))
+    repeated = rows.groupBy("k").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("k").alias("again"))
+    some = repeated.limit(most_repeated + 1).count()
+    grouped = lambda r: r.select("k", F.explode("a").alias("w")).groupBy("k", "w").agg(F.count(F.lit(1)).alias("n"))
+    if some > most_repeated:
+        return grouped(rows).toDF(key, item, count)
+    same = F.col("k").eqNullSafe(F.col("again"))
+    alone = rows.join(F.broadcast(repeated), same, "left_anti") if some else rows
+    # arrays that lambdas read are columns of their own, made once a row
+    alone = alone.where(F.size("a") > 0).select("k", F.array_sort("a").alias("a"))
+    first = F.filter(F.sequence(F.lit(0), F.size("a") - 1), lambda i: (i == 0) | (F.get("a", i) != F.get("a", i - 1)))
+    alone = alone.select("k", "a", first.alias("first"))
+    runs = F.transform("first", lambda i, j: F.struct(F.get("a", i).alias("w"), (F.coalesce(F.get("first", j + 1), F.size("a")) - i).cast("long").alias("n")))
+    out = alone.select("k", F.inline(runs))
+    if some:
+        out = out.union(grouped(rows.join(F.broadcast(repeated), same, "left_semi")))
+    return out.toDF(key, item, count)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from tidewell.functions import text as fx
 from tidewell.functions.user import Scalar, scalar
-from tidewell.operators.aggregates import map_agg
+from tidewell.operators.aggregates import item_counts, map_agg
 from tidewell.plans.registry import query
 
 # arrays
@@ -39,7 +39,7 @@ def starts():
 
 query("r10_remove_items_by_rows", KEPT)(lambda t: t.part.select("p_partkey", F.explode(words()).alias("w")).where(starts()).groupBy("p_partkey").agg(F.array_join(F.array_sort(F.collect_list("w")), ",").alias("a")))
 query("r11_remove_items_by_lambda", KEPT)(lambda t: t.part.select("p_partkey", F.array_sort(F.filter(words(), lambda w: w.startswith("s") | w.startswith("r"))).alias("k")).where(F.size("k") > 0).select("p_partkey", F.array_join("k", ",").alias("a")))
-query("r12_flatten", "select doc_id, w, count(*) as n from (select doc_id, unnest(string_split(text, ' ')) as w from documents) group by doc_id, w")(lambda t: t.documents.select("doc_id", F.explode(F.split("text", " ")).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n")))
+query("r12_flatten", "select doc_id, w, count(*) as n from (select doc_id, unnest(string_split(text, ' ')) as w from documents) group by doc_id, w")(lambda t: item_counts(t.documents, "doc_id", F.split("text", " "), "w", "n"))
 query("r13_apply_split", f"select p_partkey, unnest({SQL_WORDS}) as w from part")(lambda t: t.sql("select p_partkey, w from {part} lateral view explode(split(p_name, ' ')) x as w", "part"))
 query("r14_break_and_merge", "select p_partkey, string_agg(w, ';' order by w) as words, count(*) as n from (select p_partkey, unnest(string_split(p_name, ' ')) as w from part) group by p_partkey")(
     lambda t: t.part.select("p_partkey", F.explode(words()).alias("w")).groupBy("p_partkey").agg(F.array_join(F.array_sort(F.collect_list("w")), ";").alias("words"), F.count("*").alias("n"))
