@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -263,3 +264,26 @@ def test_columns_of_any_name_stay(spark):
     for size in (200, 1 << 20):
         assert sorted(map(tuple, decontam.decontaminate(dirty, bench, block_bytes=size).collect())) == rows
         assert {r.doc_id: r.n_hit for r in decontam.scan(dirty, bench, block_bytes=size).collect()} == {**{k: 0 for k in range(8)}, 99: 20}
+
+
+def test_stages_bound_the_bytes_of_batches(spark, sf, no_docs):
+    import corpus_pipeline as cp
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())})
+
+    texts = spark.range(0, 40, 1, 1).selectExpr("repeat('x', 1000000) t")
+    try:
+        for what, stage in cp.STAGES:
+            spark.conf.unset(name)
+            stage(spark, no_docs, sf)
+            got = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+            assert sum(got) >= 40_000_000 and max(got) < 6_000_000, what
+        spark.conf.set(name, "12000000")
+        cp.packed(spark, no_docs, sf)
+        assert spark.conf.get(name) == "12000000"
+    finally:
+        spark.conf.unset(name)

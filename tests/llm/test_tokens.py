@@ -47,6 +47,24 @@ def test_cache_restarts_and_long_texts(path, monkeypatch, docs):
     assert [p.tolist() for p in np.split(ids, np.cumsum(n)[:-1])] == expected
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_cache_is_bounded_by_bytes(path, monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE", 30_000)
+    monkeypatch.setattr(bpe, "HELD", 100_000, raising=False)
+    texts = [" ".join(f"{'abcdefghij' * 20}{i}x{j}" for j in range(100)) for i in range(30)]
+    e = bpe.Encoder(path)
+    ids, n = e.encode([t.encode() for t in texts])
+    assert [p.tolist() for p in np.split(ids, np.cumsum(n)[:-1])] == [whole(path, t) for t in texts]
+    assert 0 < e.stop <= 100_000
+
+
+def test_cache_takes_few_bytes_a_word():
+    e = bpe.Encoder(WORD)
+    e.encode([" ".join(f"w{i}" for i in range(20_000)).encode()])
+    assert e.words == 20_000
+    assert sum(a.itemsize for a in (e.at, e.size, e.first, e.length, e.mark, *e.known[0])) <= 29
+
+
 def in_order(df):
     rows = df.collect()
     return sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0))

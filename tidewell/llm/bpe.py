@@ -23,6 +23,8 @@ import pandas as pd
 #: Words that the cache may hold before it starts anew; more than SLICE bytes can have.
 #: New words come about as fast as they do in all texts read so far, so a small cache learns the same ones again and again.
 CACHE = 1_500_000
+#: Bytes of words, and half as many ids, that the cache may hold before it starts anew, so a few million long words don't fill the memory.
+HELD = 32_000_000
 #: Pieces without letters, and words that only the library can cut, that are remembered.
 PIECES = 50_000
 #: Bytes that are cut into words at a time.
@@ -77,12 +79,13 @@ class Encoder:
 
     def _restart(self) -> None:
         #: the hashes of the cached words in order and the slot of each, apart for the latest ones; and how many words there are
-        self.known, self.words = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2, 0
+        self.known, self.words = [(np.zeros(0, np.uint64), np.zeros(0, np.uint32))] * 2, 0
         self.flat, self.end = np.zeros(1 << 20, np.uint32), 0
-        self.at, self.size = np.zeros(CACHE + 1, np.int64), np.zeros(CACHE + 1, np.int32)
+        # numbers of 32 bits: places stay below HELD and a slice
+        self.at, self.size = np.zeros(CACHE + 1, np.uint32), np.zeros(CACHE + 1, np.uint32)
         #: the bytes of the cached words, and what stands before each
         self.held, self.stop = np.zeros(1 << 22, np.uint8), 0
-        self.first, self.length, self.mark = np.zeros(CACHE + 1, np.int64), np.zeros(CACHE + 1, np.int64), np.zeros(CACHE + 1, np.uint8)
+        self.first, self.length, self.mark = np.zeros(CACHE + 1, np.uint32), np.zeros(CACHE + 1, np.uint32), np.zeros(CACHE + 1, np.uint8)
         self.pieces: dict[str, list[int]] = {}
 
     def library(self, text: str) -> list[int]:
@@ -167,7 +170,7 @@ class Encoder:
         code, unique = pd.factorize(_hashes(a, starts, length, mark))
         slots = self._slots(unique)
         new = np.flatnonzero(slots < 0)
-        if self.words + len(new) > CACHE:
+        if len(new) and (self.words + len(new) > CACHE or self.stop + len(raw) > HELD or self.end > HELD // 2):
             self._restart()
             new = np.arange(len(unique))
         if len(new):
@@ -176,7 +179,7 @@ class Encoder:
             where = where[new]
             slots[new] = self._remember(raw, starts[where], ends[where], mark[where], unique[new])
         slot = slots[code]
-        n, at = self.size[slot].astype(np.int64), self.at[slot]
+        n, at = self.size[slot].astype(np.int64), self.at[slot].astype(np.int64)
         other = self._unlike(a, slot, starts, length, mark)
         if not len(other):
             ids = self.flat[_spread(at, n)]
@@ -303,7 +306,7 @@ def _inserted(held: tuple[np.ndarray, np.ndarray], keys: np.ndarray, values: np.
 def _extended(held: np.ndarray, end: int, more: np.ndarray) -> tuple[np.ndarray, int]:
     """An array that holds ``more`` from ``end`` on, and the new end."""
     if end + len(more) > len(held):
-        held = np.concatenate([held, np.zeros(max(len(held), len(more)), held.dtype)])
+        held = np.concatenate([held, np.zeros(max(len(held) // 4, len(more)), held.dtype)])
     held[end : end + len(more)] = more
     return held, end + len(more)
 

@@ -35,7 +35,8 @@ from tidewell.llm.shingles import DEPTH, WIDTH, bands, cells, samples, shingles,
 from tidewell.session import cut, delete, scratch, ship
 
 ROWS, BANDS, SIMILARITY = 4, 14, 0.8
-_SLICES, _BLOCK = 64, 1_500_000
+#: Parts of the table of counts; bytes of text that are shingled at a time, each of which takes some 80 bytes meanwhile.
+_SLICES, _BLOCK = 64, 500_000
 #: Parts that the texts of a code are dealt into; as many as a long has bits.
 _SALTS = 64
 
